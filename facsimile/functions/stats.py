@@ -1,0 +1,25 @@
+"""Aggregate expressions that survive ANSI mode (no DIVIDE_BY_ZERO on flat inputs)."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def safe_corr(a: Column, b: Column) -> Column:
+    """Pearson correlation, null when either side has zero variance.
+
+    ``corr`` throws under ANSI mode on a constant column; this ratio of population
+    moments gives the same value and null instead of an error.
+    """
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
+def preservation(orig: Column, synth: Column, eps: float = 1e-10) -> Column:
+    """1 - |o - s| / (|o| + eps); not clamped, as in the source."""
+    return F.lit(1.0) - F.abs(orig - synth) / (F.abs(orig) + F.lit(eps))
+
+
+def pct_diff(orig: Column, synth: Column) -> Column:
+    """|o - s| / |o| * 100, 0 when the original is 0."""
+    return F.when(orig == 0, F.lit(0.0)).otherwise(F.abs(orig - synth) / F.abs(orig) * 100.0)

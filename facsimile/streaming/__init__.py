@@ -1,0 +1,4 @@
+"""Streaming: the source application has no streams (no watermark, window, state or
+late data), so there is nothing to rebuild here.  Its one progress loop is the batch
+loop over files, which lives in :mod:`facsimile.plans.batch` as a single Spark job.
+"""
