@@ -312,6 +312,26 @@ def modes(df: DataFrame, columns: list[str]) -> DataFrame:
     return best.select("column", F.col("m.v").alias("mode"), (-F.col("m.nc")).alias("mode_count"))
 
 
+def hist_edges(lo: float, hi: float, bins: int = HIST_BINS) -> list[float]:
+    """numpy ``linspace`` edges: k * step + lo, the last edge exactly hi."""
+    step = (hi - lo) / bins
+    return [k * step + lo for k in range(bins)] + [hi]
+
+
+def hist_bin(x: Column, lo: float, hi: float, bins: int = HIST_BINS) -> Column:
+    """numpy's bin index for x in [lo, hi]: scaled guess, then corrected against the
+    linspace edges (left-closed bins, last bin closed)."""
+    step = (hi - lo) / bins
+
+    def edge(i: Column) -> Column:
+        return F.when(i >= bins, F.lit(hi)).otherwise(i.cast("double") * F.lit(step) + F.lit(lo))
+
+    guess = F.floor((x - F.lit(lo)) / F.lit(hi - lo) * F.lit(float(bins))).cast("int")
+    i0 = F.least(guess, F.lit(bins - 1))
+    i1 = F.when(x < edge(i0), i0 - 1).otherwise(i0)
+    return F.when((x >= edge(i1 + 1)) & (i1 != bins - 1), i1 + 1).otherwise(i1)
+
+
 def histogram(df: DataFrame, columns: list[str], bins: int = HIST_BINS,
               edges_from: DataFrame | None = None) -> DataFrame:
     """Equal-width histogram on the [min, max] of ``edges_from`` (default ``df``).
@@ -332,9 +352,10 @@ def histogram(df: DataFrame, columns: list[str], bins: int = HIST_BINS,
             continue
         if lo == hi:
             lo, hi = lo - 0.5, hi + 0.5
-        edge_rows += [(c, b, lo + (hi - lo) * b / bins, lo + (hi - lo) * (b + 1) / bins) for b in range(bins)]
+        e = hist_edges(lo, hi, bins)
+        edge_rows += [(c, b, e[b], e[b + 1]) for b in range(bins)]
         x = num(c, types[c])
-        b = F.least(F.floor((x - F.lit(lo)) * F.lit(bins / (hi - lo))), F.lit(bins - 1)).cast("int")
+        b = hist_bin(x, lo, hi, bins)
         parts.append(F.when(x.between(F.lit(lo), F.lit(hi)), F.struct(F.lit(c).alias("column"), b.alias("bin"))))
     if not parts:
         return spark.createDataFrame([], "column string, bin int, lo double, hi double, count bigint")

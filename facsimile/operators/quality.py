@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from facsimile.functions.stats import pct_diff, preservation, safe_corr
 from facsimile.operators.clean import numeric_matrix
-from facsimile.operators.profile import correlation_matrix, exact_quantiles, missing, num, to_long
+from facsimile.operators.profile import (correlation_matrix, exact_quantiles, hist_bin, missing, num,
+                                         to_long)
 from facsimile.schema import (EPS, HIST_BINS, SCORE_GOOD, SCORE_MEDIUM, SHAPE_DEFAULT, SIZE_LARGE,
                               SIZE_MEDIUM, PRIVACY_DEFAULT, PRIVACY_LABELS, common_numeric_columns,
                               kind_of, numeric_columns)
@@ -127,7 +128,7 @@ def shape_scores(o: DataFrame, s: DataFrame, cols: list[str], bins: int = HIST_B
         for c in keep:
             lo, hi = edges[c]
             x = F.col(c)
-            b = F.least(F.floor((x - F.lit(lo)) * F.lit(bins / (hi - lo))), F.lit(bins - 1)).cast("int")
+            b = hist_bin(x, lo, hi, bins)
             cells.append(F.when(x.between(F.lit(lo), F.lit(hi)), F.struct(F.lit(c).alias("column"), b.alias("bin"))))
         return (df.select(F.explode(F.filter(F.array(*cells), lambda z: z.isNotNull())).alias("z"))
                 .groupBy(F.col("z.column").alias("column"), F.col("z.bin").alias("bin"))

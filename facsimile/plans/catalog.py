@@ -116,10 +116,11 @@ def q_correlation_matrix(spark, sf_dir):
 
 @query("histogram_20",
        "WITH r AS (SELECT min(value) AS lo, max(value) AS hi FROM events), "
-       "c AS (SELECT least(floor((value - r.lo) * (CAST(20.0 AS DOUBLE) / (r.hi - r.lo))), 19)::INTEGER AS bin, "
+       f"c AS (SELECT {Q.bin_sql('value', 'r.lo', 'r.hi')} AS bin, "
        "count(*) AS count FROM events, r WHERE value BETWEEN r.lo AND r.hi GROUP BY 1) "
-       "SELECT 'value' AS \"column\", g.bin, round(r.lo + (r.hi - r.lo) * g.bin / CAST(20.0 AS DOUBLE), 6) AS lo, "
-       "round(r.lo + (r.hi - r.lo) * (g.bin + 1) / CAST(20.0 AS DOUBLE), 6) AS hi, coalesce(c.count, 0) AS count "
+       "SELECT 'value' AS \"column\", g.bin, round(g.bin * ((r.hi - r.lo) / CAST(20.0 AS DOUBLE)) + r.lo, 6) AS lo, "
+       "round(CASE WHEN g.bin = 19 THEN r.hi ELSE (g.bin + 1) * ((r.hi - r.lo) / CAST(20.0 AS DOUBLE)) + r.lo END, 6) "
+       "AS hi, coalesce(c.count, 0) AS count "
        "FROM (SELECT range::INTEGER AS bin FROM range(20)) g CROSS JOIN r LEFT JOIN c ON g.bin = c.bin")
 def q_histogram_20(spark, sf_dir):
     return r6(profile.histogram(load(spark, sf_dir, "events"), ["value"]))
@@ -411,8 +412,8 @@ def _shape_sql(orig: str, synth: str, cols: list[str]) -> str:
         h = Q.hist_sql(orig, synth, c)
         per.append(
             f"SELECT '{c}' AS c, CASE WHEN (SELECT stddev_samp({c}) FROM {orig}) > 0 AND "
-            f"(SELECT stddev_samp({c}) FROM {synth}) > 0 THEN (SELECT greatest({Q.d(0.0)}, {Q.corr_expr('ho', 'hs')}) "
-            f"FROM ({h})) END AS shape")
+            f"(SELECT stddev_samp({c}) FROM {synth}) > 0 THEN (SELECT CASE WHEN r IS NOT NULL THEN greatest({Q.d(0.0)}, r) END "
+            f"FROM (SELECT {Q.corr_expr('ho', 'hs')} AS r FROM ({h}))) END AS shape")
     return " UNION ALL ".join(per)
 
 

@@ -98,10 +98,22 @@ def normal_col_sql(id_sql: str, col: str, mean_sql: str, std_sql: str, seed: int
             f"ELSE {mean_sql} + {std_sql} * {z_sql(id_sql, col, seed)} END")
 
 
+def bin_sql(x: str, lo: str, hi: str, bins: int = 20) -> str:
+    """numpy's histogram bin of x on [lo, hi] (guess, then correction on linspace edges)."""
+    step = f"(({hi} - {lo}) / {d(bins)})"
+
+    def edge(i: str) -> str:
+        return f"(CASE WHEN ({i}) >= {bins} THEN {hi} ELSE CAST({i} AS DOUBLE) * {step} + {lo} END)"
+
+    i0 = f"least(floor(({x} - {lo}) / ({hi} - {lo}) * {d(bins)})::INTEGER, {bins - 1})"
+    i1 = f"(CASE WHEN {x} < {edge(i0)} THEN {i0} - 1 ELSE {i0} END)"
+    return f"(CASE WHEN {x} >= {edge(i1 + ' + 1')} AND {i1} <> {bins - 1} THEN {i1} + 1 ELSE {i1} END)"
+
+
 def hist_sql(orig: str, synth: str | None, col: str, bins: int = 20) -> str:
     """(bin, ho[, hs]) counts on the original's [min, max], empty bins kept."""
     def counts(t: str, name: str) -> str:
-        return (f"(SELECT least(floor(({col} - r.lo) * ({d(bins)} / (r.hi - r.lo))), {bins - 1})::INTEGER AS bin, "
+        return (f"(SELECT {bin_sql(col, 'r.lo', 'r.hi', bins)} AS bin, "
                 f"count(*) AS {name} FROM {t}, r WHERE {col} BETWEEN r.lo AND r.hi GROUP BY 1)")
     q = (f"WITH r AS (SELECT min({num(col)}) AS lo, max({num(col)}) AS hi FROM {orig}) "
          f"SELECT g.bin, coalesce(a.ho, 0)::DOUBLE AS ho")
