@@ -17,6 +17,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from facsimile.functions import rng
 from facsimile.functions.fmt import round2, round_year
@@ -57,25 +58,16 @@ def format_numeric(c: Column, spec: ColumnSpec, keep_int: bool = False) -> Colum
 
 # ---------------------------------------------------------------- categorical lookup
 
-def _offsets_small(freq_rows, value_type):
-    """Driver-side prefix sums for a proven-small frequency table."""
-    rows, lo = [], 0
-    for v, cnt in sorted(freq_rows, key=lambda r: r[0]):
-        rows.append((v, lo, lo + cnt))
-        lo += cnt
-    return rows
-
-
-def _offsets_distributed(freq: DataFrame) -> DataFrame:
+def _offsets_distributed(freq: DataFrame, order: list[str]) -> DataFrame:
     """Prefix sums over a large frequency table without a global window.
 
-    Range-partition by value, sort inside partitions, checkpoint (the two uses below
-    must see the same partitions), add each partition's starting offset (one number
-    per partition) to a running sum inside the partition.
+    Range-partition by the sort key, sort inside partitions, checkpoint (the two uses
+    below must see the same partitions), add each partition's starting offset (one
+    number per partition) to a running sum inside the partition.
     """
     spark = freq.sparkSession
     parts = default_parallelism(spark)
-    ranged = (freq.repartitionByRange(parts, "v").sortWithinPartitions("v")
+    ranged = (freq.repartitionByRange(parts, *order).sortWithinPartitions(*order)
               .withColumn("pid", F.spark_partition_id()))
     ranged = cut_lineage(ranged)
     totals = sorted((r["pid"], r["t"]) for r in ranged.groupBy("pid").agg(F.sum("cnt").alias("t")).collect())
@@ -84,9 +76,9 @@ def _offsets_distributed(freq: DataFrame) -> DataFrame:
         start[pid] = acc
         acc += t
     off = F.create_map(*[F.lit(x) for kv in start.items() for x in kv])
-    w = Window.partitionBy("pid").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy("pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     hi = F.sum("cnt").over(w) + off[F.col("pid")]
-    return ranged.select("v", (hi - F.col("cnt")).alias("lo"), hi.alias("hi"))
+    return ranged.select(*order, (hi - F.col("cnt")).alias("lo"), hi.alias("hi"))
 
 
 def _blocks(intervals: DataFrame, block: int) -> DataFrame:
@@ -105,49 +97,83 @@ def _blocks(intervals: DataFrame, block: int) -> DataFrame:
     return lvl1.select(F.explode(F.sequence(lo_b, hi_b)).alias("block"), "v", "lo", "hi")
 
 
-def categorical_lookup(df: DataFrame, column: str, spec: ColumnSpec | None = None) -> tuple[DataFrame, int, int, bool]:
-    """(blocks table, N, block size, broadcastable) for weighted resampling of ``column``."""
+class Lookup:
+    """Weighted-resampling lookup: intervals of the sorted (group, value) pairs laid
+    end to end on 0..N-1, cut into blocks of ``block`` positions.
+
+    ``groups`` maps each group to (start, count) of its stretch; without a group there
+    is one stretch (None -> (0, N)).
+    """
+
+    def __init__(self, blocks: DataFrame, block: int, broadcastable: bool, groups: dict):
+        self.blocks, self.block, self.broadcastable, self.groups = blocks, block, broadcastable, groups
+
+
+def categorical_lookup(df: DataFrame, column: str, spec: ColumnSpec | None = None,
+                       group: str | None = None) -> Lookup:
     spark = df.sparkSession
-    freq = (df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v"))
-            .agg(F.count(F.lit(1)).alias("cnt")))
+    keys = ([F.col(group).alias("g")] if group else []) + [F.col(column).alias("v")]
+    freq = df.where(F.col(column).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("cnt"))
+    dtype = freq.schema["v"].dataType.simpleString()
     d_est = spec.distinct if spec is not None else None
     if d_est is not None and d_est <= DRIVER_FREQ_LIMIT:
-        rows = freq.collect()
-        if len(rows) <= DRIVER_FREQ_LIMIT * 2:
-            dtype = freq.schema["v"].dataType.simpleString()
-            iv = _offsets_small([(r["v"], r["cnt"]) for r in rows], dtype)
-            n_total = iv[-1][2] if iv else 0
-            block = max(1, math.ceil(n_total / max(1, len(iv))))
-            tbl = []
-            for v, lo, hi in iv:
-                for b in range(lo // block, (hi - 1) // block + 1):
-                    tbl.append((b, v, lo, hi))
+        rows = freq.collect()   # bounded: distinct (group, value) pairs, checked below
+        if len(rows) <= DRIVER_FREQ_LIMIT * 4:
+            rows.sort(key=lambda r: ((r["g"] if group else 0), r["v"]))
+            ivs, groups, lo = [], {}, 0
+            for r in rows:
+                g = r["g"] if group else None
+                if g not in groups:
+                    groups[g] = [lo, 0]
+                groups[g][1] += r["cnt"]
+                ivs.append((r["v"], lo, lo + r["cnt"]))
+                lo += r["cnt"]
+            block = max(1, math.ceil(lo / max(1, len(ivs))))
+            tbl = [(b, v, a, z) for v, a, z in ivs for b in range(a // block, (z - 1) // block + 1)]
             blocks = spark.createDataFrame(tbl, f"block long, v {dtype}, lo long, hi long")
-            return blocks, n_total, block, True
-    intervals = _offsets_distributed(freq)
+            return Lookup(blocks, block, True, {g: tuple(x) for g, x in groups.items()})
+    order = (["g"] if group else []) + ["v"]
+    intervals = _offsets_distributed(freq, order)
+    if group:
+        groups = {r["g"]: (int(r["s"]), int(r["n"])) for r in
+                  intervals.groupBy("g").agg(F.min("lo").alias("s"), F.sum(F.col("hi") - F.col("lo")).alias("n"))
+                  .collect()}   # one row per group (datasets)
     stats = intervals.agg(F.count(F.lit(1)).alias("d"), F.max("hi").alias("n")).first()
     d, n_total = int(stats["d"]), int(stats["n"] or 0)
+    if not group:
+        groups = {None: (0, n_total)}
     block = max(1, math.ceil(n_total / max(1, d)))
-    return _blocks(intervals, block), n_total, block, (d + n_total // block) <= BROADCAST_BLOCK_LIMIT
+    return Lookup(_blocks(intervals.select("v", "lo", "hi"), block), block,
+                  (d + n_total // block) <= BROADCAST_BLOCK_LIMIT, groups)
+
+
+def _group_lookup(groups: dict, group: str | None, which: int) -> Column:
+    if group is None:
+        return F.lit(groups[None][which] if None in groups else 0)
+    m = F.create_map(*[F.lit(x) for g, v in groups.items() for x in (g, v[which])])
+    return F.coalesce(m[F.col(group)], F.lit(0))
 
 
 def resample_column(ids: DataFrame, df: DataFrame, column: str, spec: ColumnSpec | None,
-                    seed: int, fast: bool, out: str | None = None) -> DataFrame:
-    """Add ``out`` (default ``column``) to ``ids`` by weighted resampling of ``df[column]``."""
+                    seed: int, fast: bool, out: str | None = None, group: str | None = None) -> DataFrame:
+    """Add ``out`` (default ``column``) to ``ids`` by weighted resampling of ``df[column]``
+    (within the row's ``group`` when given).  A group with no value gets ''."""
     out = out or column
-    blocks, n_total, block, small = categorical_lookup(df, column, spec)
-    vtype = blocks.schema["v"].dataType
-    if n_total == 0:
-        return ids.withColumn(out, F.lit("").cast(vtype) if vtype.simpleString() == "string" else F.lit(""))
-    idx = F.floor(rng.uniform(F.col("id"), column, seed, fast) * F.lit(n_total)).cast("long")
-    draws = ids.withColumn("__idx", idx).withColumn("__blk", F.floor(F.col("__idx") / block).cast("long"))
-    right = blocks.select(F.col("block").alias("__blk"), F.col("v").alias(out),
-                          F.col("lo").alias("__lo"), F.col("hi").alias("__hi"))
-    if small:
+    lk = categorical_lookup(df, column, spec, group)
+    vtype = lk.blocks.schema["v"].dataType
+    start, count = _group_lookup(lk.groups, group, 0), _group_lookup(lk.groups, group, 1)
+    idx = start + F.floor(rng.uniform(F.col("id"), column, seed, fast) * count).cast("long")
+    draws = (ids.withColumn("__idx", F.when(count > 0, idx))
+             .withColumn("__blk", F.floor(F.col("__idx") / lk.block).cast("long")))
+    right = lk.blocks.select(F.col("block").alias("__blk"), F.col("v").alias(out),
+                             F.col("lo").alias("__lo"), F.col("hi").alias("__hi"))
+    if lk.broadcastable:
         right = F.broadcast(right)
     joined = draws.join(right, (draws["__blk"] == right["__blk"]) & (draws["__idx"] >= right["__lo"])
-                        & (draws["__idx"] < right["__hi"]), "inner")
-    return joined.drop("__idx", "__blk", "__lo", "__hi")
+                        & (draws["__idx"] < right["__hi"]), "left")
+    empty = F.lit("") if isinstance(vtype, T.StringType) else F.lit(None).cast(vtype)
+    return (joined.withColumn(out, F.when(F.col("__idx").isNull(), empty).otherwise(F.col(out)))
+            .drop("__idx", "__blk", "__lo", "__hi"))
 
 
 # ---------------------------------------------------------------- tables

@@ -499,6 +499,361 @@ def q_align_stats(spark, sf_dir):
     return r6(quality.column_stats_pair(a, b))
 
 
+
+
+# ============================================================ batch
+
+BATCH_IN = "(SELECT o_orderpriority AS dataset, o_totalprice, o_orderstatus FROM orders)"
+BATCH_SQL = (
+    f"WITH g AS (SELECT dataset, count(*) AS n, avg(o_totalprice) AS m, stddev_samp(o_totalprice) AS s "
+    f"FROM {BATCH_IN} GROUP BY 1), "
+    f"go AS (SELECT *, sum(n) OVER (ORDER BY dataset) - n AS start FROM g), "
+    f"ids AS (SELECT unnest(range((SELECT sum(n) FROM g)::BIGINT)) AS id), "
+    f"a AS (SELECT ids.id, go.dataset, go.m, go.s FROM ids JOIN go ON ids.id >= go.start AND ids.id < go.start + go.n), "
+    f"f AS {Q.freq_intervals_sql(BATCH_IN, 'o_orderstatus', 'dataset')} "
+    f"SELECT a.dataset, a.id, round_even({Q.normal_col_sql('a.id', 'o_totalprice', 'a.m', 'a.s')}, 2) AS o_totalprice, "
+    f"f.v AS o_orderstatus FROM a JOIN f ON f.g = a.dataset "
+    f"AND floor({Q.u_sql('a.id', 'o_orderstatus')} * f.n)::BIGINT >= f.lo "
+    f"AND floor({Q.u_sql('a.id', 'o_orderstatus')} * f.n)::BIGINT < f.hi")
+
+
+def _batch_input(spark, sf_dir):
+    o = load(spark, sf_dir, "orders")
+    return o.select(F.col("o_orderpriority").alias("dataset"), "o_totalprice", "o_orderstatus")
+
+
+@query("synth_batch", BATCH_SQL)
+def q_synth_batch(spark, sf_dir):
+    from facsimile.plans.batch import synthesize_batch
+    return synthesize_batch(_batch_input(spark, sf_dir))
+
+
+@query("batch_status",
+       f"SELECT o.dataset, o.n AS original_rows, s.n AS synthetic_rows, 'Success' AS status FROM "
+       f"(SELECT dataset, count(*) AS n FROM {BATCH_IN} GROUP BY 1) o JOIN "
+       f"(SELECT dataset, count(*) AS n FROM ({BATCH_SQL}) GROUP BY 1) s ON o.dataset = s.dataset")
+def q_batch_status(spark, sf_dir):
+    from facsimile.plans.batch import batch_status, synthesize_batch
+    src = _batch_input(spark, sf_dir)
+    return batch_status(src, synthesize_batch(src))
+
+
+# ============================================================ copula (F1) and PCA (H15): rows only
+
+@query("synth_copula")
+def q_synth_copula(spark, sf_dir):
+    from facsimile.operators.copula import synthesize_copula
+    li = load(spark, sf_dir, "lineitem").select("l_quantity", "l_extendedprice", "l_discount", "l_returnflag")
+    return synthesize_copula(li, SynthConfig(keep_id=True))
+
+
+@query("pca_scores")
+def q_pca_scores(spark, sf_dir):
+    from facsimile.operators.pca import pca_scores
+    a, b = li_halves(spark, sf_dir)
+    cols = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    return pca_scores(a.select(*cols), b.select(*cols))
+
+
+@query("pca_variance")
+def q_pca_variance(spark, sf_dir):
+    from facsimile.operators.pca import pca_variance
+    e = load(spark, sf_dir, "embeddings")
+    dims = e.select(*[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(64)])
+    return pca_variance(dims)
+
+
+# ============================================================ report pieces
+
+EV_TYPES = [("event_id", "bigint"), ("ts", "timestamp_ntz"), ("user_id", "bigint"), ("event_type", "string"),
+            ("value", "double"), ("props", "string")]
+
+
+def _profile_side_sql(table: str, side: str) -> str:
+    parts = []
+    for i, (c, t) in enumerate(EV_TYPES):
+        head_ = f"SELECT '{side}' AS side, {i} AS position, '{c}' AS \"column\", '{t}' AS dtype, " \
+                f"count(*) FILTER (WHERE {c} IS NULL) AS missing, "
+        if t in ("bigint", "double"):
+            x = Q.num(c)
+            parts.append(head_ + f"count({x}) AS count, round(avg({x}), 6) AS mean, round(stddev_samp({x}), 6) AS std, "
+                         f"round(min({x}), 6) AS min, round(quantile_cont({x}, 0.25), 6) AS p25, "
+                         f"round(quantile_cont({x}, 0.5), 6) AS p50, round(quantile_cont({x}, 0.75), 6) AS p75, "
+                         f"round(max({x}), 6) AS max FROM {table}")
+        else:
+            parts.append(head_ + "NULL::BIGINT AS count, NULL::DOUBLE AS mean, NULL::DOUBLE AS std, NULL::DOUBLE AS min, "
+                         "NULL::DOUBLE AS p25, NULL::DOUBLE AS p50, NULL::DOUBLE AS p75, NULL::DOUBLE AS max "
+                         f"FROM {table}")
+    return " UNION ALL ".join(parts)
+
+
+@query("profile_pair", _profile_side_sql(EV_EVEN, "original") + " UNION ALL " + _profile_side_sql(EV_ODD, "synthetic"))
+def q_profile_pair(spark, sf_dir):
+    a, b = ev_halves(spark, sf_dir)
+    return r6(quality.profile_pair(a, b))
+
+
+ORD_SYN_SQL = (f"SELECT n.id, n.o_totalprice, c.o_orderpriority FROM "
+               f"({_synth_numeric_sql('orders', ['o_totalprice'], ORD_IDS)}) n JOIN "
+               f"{Q.resample_sql(ORD_IDS, 'orders', 'o_orderpriority', 'o_orderpriority')} c ON n.id = c.id")
+
+
+@query("side_by_side",
+       "SELECT 'original' AS side, row, o_orderkey, o_totalprice, o_orderpriority FROM (SELECT (row_number() OVER "
+       "(ORDER BY o_orderkey) - 1)::BIGINT AS row, o_orderkey, round_even(o_totalprice, 2) AS o_totalprice, "
+       "o_orderpriority FROM orders) WHERE row < 100 UNION ALL "
+       f"SELECT 'synthetic', id::BIGINT, NULL::BIGINT, o_totalprice, o_orderpriority FROM ({ORD_SYN_SQL}) WHERE id < 100")
+def q_side_by_side(spark, sf_dir):
+    from facsimile.operators.formatting import format_types
+    from facsimile.plans.generate import head, with_row_number
+    o = load(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority")
+    _, specs = profile.profile(o)
+    fake = synth.synthesize_independent(o.select("o_totalprice", "o_orderpriority"), SynthConfig(keep_id=True))
+    left = with_row_number(head(format_types(o, specs, floats_only=True), 100, ["o_orderkey"]), ["o_orderkey"])
+    right = head(format_types(fake, specs, floats_only=True), 100, ["id"]).withColumnRenamed("id", "row")
+    return (left.withColumn("side", F.lit("original"))
+            .unionByName(right.withColumn("side", F.lit("synthetic")), allowMissingColumns=True)
+            .select("side", "row", "o_orderkey", "o_totalprice", "o_orderpriority"))
+
+
+def _report_sql() -> str:
+    cols = ["event_id", "user_id", "value"]
+    struct = (f"SELECT 'structure' AS section, NULL AS \"column\", metric, round(value, 6) AS value FROM ("
+              f"SELECT 'original_rows' AS metric, (SELECT count(*) FROM {EV_EVEN})::DOUBLE AS value UNION ALL "
+              f"SELECT 'synthetic_rows', (SELECT count(*) FROM {EV_ODD})::DOUBLE UNION ALL "
+              f"SELECT 'original_columns', 6.0::DOUBLE UNION ALL SELECT 'synthetic_columns', 6.0::DOUBLE UNION ALL "
+              f"SELECT 'size_ratio', (SELECT count(*) FROM {EV_ODD})::DOUBLE / (SELECT count(*) FROM {EV_EVEN}))")
+    sp = Q.stats_pair_sql(EV_EVEN, EV_ODD, cols)
+    pres = (f"SELECT 'preservation', \"column\", 'mean_preservation', round({Q.pres('orig_mean', 'synth_mean')}, 6) "
+            f"FROM {sp} UNION ALL SELECT 'preservation', \"column\", 'std_preservation', "
+            f"round({Q.pres('orig_std', 'synth_std')}, 6) FROM {sp} UNION ALL "
+            f"SELECT 'preservation', '__overall__', 'mean_preservation', round(avg({Q.pres('orig_mean', 'synth_mean')}), 6) "
+            f"FROM {sp} UNION ALL SELECT 'preservation', '__overall__', 'std_preservation', "
+            f"round(avg({Q.pres('orig_std', 'synth_std')}), 6) FROM {sp}")
+    sim = (f"SELECT 'similarity', NULL, metric, round(value, 6) FROM (SELECT 'mean_similarity' AS metric, "
+           f"mean_similarity AS value FROM ({SIM_EV}) UNION ALL SELECT 'std_similarity', std_similarity FROM ({SIM_EV}) "
+           f"UNION ALL SELECT 'shape_similarity', shape_similarity FROM ({SIM_EV}) UNION ALL SELECT 'utility_score', "
+           f"(mean_similarity + std_similarity) / 2 FROM ({SIM_EV}) UNION ALL SELECT 'fidelity_score', shape_similarity "
+           f"FROM ({SIM_EV}))")
+    return f"{struct} UNION ALL {pres} UNION ALL {sim}"
+
+
+@query("quality_report", _report_sql())
+def q_quality_report(spark, sf_dir):
+    a, b = ev_halves(spark, sf_dir)
+    return r6(quality.quality_report(a, b))
+
+
+PRIORITY_LEVEL_SQL = ("CASE o_orderpriority WHEN '1-URGENT' THEN 'High' WHEN '2-HIGH' THEN 'Medium' "
+                      "WHEN '3-MEDIUM' THEN 'Low' ELSE o_orderpriority END")
+
+
+@query("privacy_label",
+       f"SELECT o_orderkey, level, CASE level WHEN 'Low' THEN 'Medium-Low' WHEN 'Medium' THEN 'Medium' "
+       f"WHEN 'High' THEN 'High' ELSE 'Medium' END AS label FROM (SELECT o_orderkey, {PRIORITY_LEVEL_SQL} AS level FROM orders)")
+def q_privacy_label(spark, sf_dir):
+    o = load(spark, sf_dir, "orders")
+    p = F.col("o_orderpriority")
+    level = (F.when(p == "1-URGENT", "High").when(p == "2-HIGH", "Medium").when(p == "3-MEDIUM", "Low").otherwise(p))
+    return o.select("o_orderkey", level.alias("level")).select("o_orderkey", "level",
+                                                               quality.privacy_label(F.col("level")).alias("label"))
+
+
+ALL_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
+              "embeddings", "pages", "benchmark", "labels", "conversations"]
+
+
+@query("size_tier", " UNION ALL ".join(
+    f"SELECT '{t}' AS \"table\", count(*) AS rows, CASE WHEN count(*) > 100000 THEN 'large' WHEN count(*) > 50000 "
+    f"THEN 'medium' ELSE 'small' END AS tier FROM {t}" for t in ALL_TABLES))
+def q_size_tier(spark, sf_dir):
+    from functools import reduce
+    parts = [load(spark, sf_dir, t).agg(F.count(F.lit(1)).alias("rows")).select(F.lit(t).alias("table"), "rows")
+             for t in ALL_TABLES]
+    counts = reduce(lambda a, b: a.unionByName(b), parts)
+    return counts.select("table", "rows", quality.size_tier(F.col("rows")).alias("tier"))
+
+
+# ============================================================ text
+
+WS = r"[\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
+
+def _strip_sql(x: str) -> str:
+    return f"regexp_replace(regexp_replace({x}, '^{WS}+', ''), '{WS}+$', '')"
+
+
+@query("html_preview",
+       "SELECT page_id, CASE WHEN length(t) > 1000 THEN left(t, 1000) || '...' ELSE t END AS preview FROM "
+       "(SELECT page_id, regexp_replace(html, '<[^<]+?>', '', 'g') AS t FROM pages)")
+def q_html_preview(spark, sf_dir):
+    from facsimile.functions.text import html_preview
+    return load(spark, sf_dir, "pages").select("page_id", html_preview(F.col("html")).alias("preview"))
+
+
+FENCED_SQL = ("CASE WHEN turn % 3 = 0 THEN '```html' || chr(10) || text || chr(10) || '```' "
+              "WHEN turn % 3 = 1 THEN '  ```' || text || '```  ' ELSE text END")
+
+
+def _fences_sql() -> str:
+    s1 = _strip_sql("f")
+    s2 = _strip_sql(f"CASE WHEN starts_with({s1}, '```html') THEN substr({s1}, 8) "
+                    f"WHEN starts_with({s1}, '```') THEN substr({s1}, 4) ELSE {s1} END")
+    s3 = _strip_sql(f"CASE WHEN ends_with(s2, '```') THEN left(s2, length(s2) - 3) ELSE s2 END")
+    return (f"SELECT conv_id, turn, {s3} AS cleaned FROM (SELECT conv_id, turn, {s2} AS s2 FROM "
+            f"(SELECT conv_id, turn, {FENCED_SQL} AS f FROM conversations))")
+
+
+@query("strip_fences", _fences_sql())
+def q_strip_fences(spark, sf_dir):
+    from facsimile.functions.text import strip_fences
+    c = load(spark, sf_dir, "conversations")
+    nl = F.lit("\n")
+    fenced = (F.when(F.col("turn") % 3 == 0, F.concat(F.lit("```html"), nl, F.col("text"), nl, F.lit("```")))
+              .when(F.col("turn") % 3 == 1, F.concat(F.lit("  ```"), F.col("text"), F.lit("```  ")))
+              .otherwise(F.col("text")))
+    return c.select("conv_id", "turn", strip_fences(fenced).alias("cleaned"))
+
+
+@query("safe_names",
+       "SELECT doc_id, translate(concat(source, ' ', lang, '/', CAST(doc_id AS VARCHAR)), ' /', '__') || '_report.html' "
+       "AS report_name, replace(source || '.csv', '.csv', '_synthetic.csv') AS synthetic_name FROM documents")
+def q_safe_names(spark, sf_dir):
+    from facsimile.functions.text import safe_file_name, synthetic_file_name
+    d = load(spark, sf_dir, "documents")
+    title = F.concat_ws("", F.col("source"), F.lit(" "), F.col("lang"), F.lit("/"), F.col("doc_id").cast("string"))
+    return d.select("doc_id", safe_file_name(title).alias("report_name"),
+                    synthetic_file_name(F.concat(F.col("source"), F.lit(".csv"))).alias("synthetic_name"))
+
+
+# ============================================================ sources and sinks (A*)
+
+ORDERS_TEXT_SQL = ("SELECT o_orderkey, o_custkey, o_orderstatus, round(o_totalprice, 6) AS o_totalprice, "
+                   "strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate, o_orderpriority FROM orders")
+
+
+@query("csv_roundtrip", ORDERS_TEXT_SQL)
+def q_csv_roundtrip(spark, sf_dir):
+    from facsimile.session import scratch_path
+    from facsimile.sources import io
+    path = scratch_path(spark, "csv-roundtrip")
+    io.write_csv(load(spark, sf_dir, "orders"), path)
+    return r6(io.read_csv(spark, path))
+
+
+@query("json_roundtrip", ORDERS_TEXT_SQL)
+def q_json_roundtrip(spark, sf_dir):
+    from facsimile.session import scratch_path
+    from facsimile.sources import io
+    path = scratch_path(spark, "json-roundtrip")
+    io.write_json(load(spark, sf_dir, "orders"), path)
+    return r6(io.read_json(spark, path, ORDER_COLS))
+
+
+@query("multi_file_scan",
+       "SELECT o_orderpriority AS dataset, count(*) AS rows, round(sum(o_totalprice), 6) AS total FROM orders GROUP BY 1")
+def q_multi_file_scan(spark, sf_dir):
+    from facsimile.session import scratch_path
+    from facsimile.sources import io
+    path = scratch_path(spark, "batch-tree")
+    o = load(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("dataset"), "o_orderkey", "o_totalprice")
+    io.write_batch(o, path)
+    back = io.read_batch(spark, path)
+    return r6(back.groupBy("dataset").agg(F.count(F.lit(1)).alias("rows"), F.sum("o_totalprice").alias("total")))
+
+
+# ============================================================ projections (B*)
+
+@query("project_columns", "SELECT o_orderkey, o_totalprice FROM orders")
+def q_project_columns(spark, sf_dir):
+    from facsimile.plans.generate import select_lenient
+    return select_lenient(load(spark, sf_dir, "orders"), ["o_totalprice", "o_orderkey", "no_such_column"])
+
+
+@query("head_rows",
+       "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate FROM orders ORDER BY o_orderkey LIMIT 10")
+def q_head_rows(spark, sf_dir):
+    from facsimile.plans.generate import default_projection, head
+    return head(default_projection(load(spark, sf_dir, "orders")), 10, ["o_orderkey"])
+
+
+FLAG_SQL = "CASE o_orderstatus WHEN 'F' THEN 'yes' WHEN 'O' THEN 'No' END"
+
+
+def _rules_sql() -> str:
+    t = f"(SELECT {FLAG_SQL} AS flag_text, year(o_orderdate) AS order_year, o_totalprice FROM orders)"
+    ft = "coalesce(flag_text, 'Unknown')"
+    text = (f"SELECT 'flag_text' AS \"column\", count(flag_text) AS non_null, NULL::BOOLEAN AS in_year_range, "
+            f"bool_and(lower({ft}) IN ('yes', 'no', 'unknown', 'nan')) AS yes_no, "
+            f"bool_and(lower({ft}) IN ('male', 'female', 'm', 'f', 'unknown', 'nan')) AS male_female, "
+            f"bool_and(lower({ft}) IN ('true', 'false', 'unknown', 'nan')) AS true_false FROM {t}")
+    nums = " UNION ALL ".join(
+        f"SELECT '{c}', count({c}), coalesce(bool_and({c} BETWEEN 1900 AND 2100), true), NULL, NULL, NULL FROM {t}"
+        for c in ["order_year", "o_totalprice"])
+    return f"{text} UNION ALL {nums}"
+
+
+@query("value_rules", _rules_sql())
+def q_value_rules(spark, sf_dir):
+    o = load(spark, sf_dir, "orders")
+    st = F.col("o_orderstatus")
+    t = o.select(F.when(st == "F", "yes").when(st == "O", "No").alias("flag_text"),
+                 F.year("o_orderdate").alias("order_year"), "o_totalprice")
+    _, specs = profile.profile(t)
+    rows = []
+    for s in specs:
+        if s.kind == "string":
+            rows.append((s.name, s.count, None, s.extra["yes_no"], s.extra["male_female"], s.extra["true_false"]))
+        else:
+            rows.append((s.name, s.count, s.extra["in_year_range"], None, None, None))
+    return spark.createDataFrame(rows, "column string, non_null bigint, in_year_range boolean, yes_no boolean, "
+                                       "male_female boolean, true_false boolean")
+
+
+# ============================================================ scalar functions
+
+@query("scalar_text",
+       "SELECT p_partkey, lower(p_name) AS name_lower, replace(p_name, ' ', '_') AS name_snake, "
+       "starts_with(p_brand, 'Brand#1') AS brand_1x, ends_with(p_name, 'bolt') AS is_bolt, "
+       "contains(p_name, 'red') AS has_red, regexp_replace(p_type, '[AEIOU]', '', 'g') AS type_consonants, "
+       "to_json({'p_partkey': p_partkey, 'p_size': p_size}) AS as_json FROM part")
+def q_scalar_text(spark, sf_dir):
+    p = load(spark, sf_dir, "part")
+    return p.select("p_partkey", F.lower("p_name").alias("name_lower"),
+                    F.replace(F.col("p_name"), F.lit(" "), F.lit("_")).alias("name_snake"),
+                    F.col("p_brand").startswith("Brand#1").alias("brand_1x"),
+                    F.col("p_name").endswith("bolt").alias("is_bolt"),
+                    F.col("p_name").contains("red").alias("has_red"),
+                    F.regexp_replace("p_type", "[AEIOU]", "").alias("type_consonants"),
+                    F.to_json(F.struct("p_partkey", "p_size")).alias("as_json"))
+
+
+@query("scalar_number",
+       "SELECT o_orderkey, round(abs(o_totalprice - 200000), 6) AS dist, round_even(o_totalprice / 1000, 1) AS k_price, "
+       "round(greatest(CAST(100000.0 AS DOUBLE), least(CAST(400000.0 AS DOUBLE), o_totalprice)), 6) AS clipped, "
+       "TRY_CAST(substr(o_orderpriority, 1, 1) AS DOUBLE) AS priority_num, "
+       "format('{:,}', o_orderkey * 1000) AS key_thousands FROM orders")
+def q_scalar_number(spark, sf_dir):
+    from facsimile.functions.fmt import to_number
+    from facsimile.functions.rng import clip
+    o = load(spark, sf_dir, "orders")
+    return r6(o.select("o_orderkey", F.abs(F.col("o_totalprice") - 200000).alias("dist"),
+                       F.bround(F.col("o_totalprice") / 1000, 1).alias("k_price"),
+                       clip(F.col("o_totalprice"), 100000.0, 400000.0).alias("clipped"),
+                       to_number(F.substring("o_orderpriority", 1, 1)).alias("priority_num"),
+                       F.format_number(F.col("o_orderkey") * 1000, 0).alias("key_thousands")))
+
+
+@query("scalar_date",
+       "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS ts_text, o_orderdate + INTERVAL 1 HOUR "
+       "AS next_hour, year(o_orderdate)::INTEGER AS y, month(o_orderdate)::INTEGER AS m FROM orders")
+def q_scalar_date(spark, sf_dir):
+    o = load(spark, sf_dir, "orders")
+    return o.select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("ts_text"),
+                    F.timestamp_add("HOUR", F.lit(1), F.col("o_orderdate")).alias("next_hour"),
+                    F.year("o_orderdate").alias("y"), F.month("o_orderdate").alias("m"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
