@@ -24,9 +24,8 @@ from pyspark.sql import functions as F
 
 from facsimile.functions import rng
 from facsimile.functions.fmt import round_year
-from facsimile.functions.stats import safe_corr
 from facsimile.operators.encode import build_dictionary, decode_column, Encoding
-from facsimile.operators.profile import filled_text, modes, num, profile
+from facsimile.operators.profile import correlation_values, filled_text, modes, num, profile
 from facsimile.operators.synth import format_numeric, resample_column, synthetic_ids
 from facsimile.schema import LABEL_MAX_DISTINCT, ColumnSpec, SynthConfig
 from facsimile.functions.fmt import strip
@@ -114,11 +113,12 @@ def fit_copula(df: DataFrame, specs: list[ColumnSpec] | None = None) -> CopulaMo
     p = len(m.columns)
     R = np.eye(p)
     if p > 1:
-        pairs = [(i, j) for i in range(p) for j in range(i + 1, p)]
-        row = lat.agg(*[safe_corr(F.col(f"z{i}"), F.col(f"z{j}")).alias(f"r{i}_{j}") for i, j in pairs]).first()
-        for i, j in pairs:
-            v = row[f"r{i}_{j}"]
-            R[i, j] = R[j, i] = 0.0 if v is None or math.isnan(v) else v
+        names = [f"z{i}" for i in range(p)]
+        vals = correlation_values(lat, names)
+        for i in range(p):
+            for j in range(i + 1, p):
+                v = vals[(None, names[i], names[j])]
+                R[i, j] = R[j, i] = 0.0 if v is None or math.isnan(v) else v
     m.corr = _nearest_pd(R)
     m.chol = np.linalg.cholesky(m.corr)
     return m

@@ -367,9 +367,7 @@ def histogram(df: DataFrame, columns: list[str], bins: int = HIST_BINS,
             .select("column", "bin", "lo", "hi", F.coalesce("count", F.lit(0)).cast("bigint").alias("count")))
 
 
-def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Pairwise Pearson (pairwise-complete rows, null on zero variance) as (col_i, col_j, corr)."""
-    types = dict((f.name, f.dataType) for f in df.schema.fields)
+def _corr_aggs(types: dict, columns: list[str]) -> tuple[list[Column], list[tuple[int, int]]]:
     aggs, keys = [], []
     for i, a in enumerate(columns):
         for j, b in enumerate(columns):
@@ -379,12 +377,62 @@ def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
             both = xa.isNotNull() & xb.isNotNull()
             aggs.append(safe_corr(F.when(both, xa), F.when(both, xb)).alias(f"r{i}_{j}"))
             keys.append((i, j))
-    one = df.agg(*aggs)
-    cells = []
-    for i, j in keys:
-        cells.append(F.struct(F.lit(columns[i]).alias("col_i"), F.lit(columns[j]).alias("col_j"),
-                              F.col(f"r{i}_{j}").alias("corr")))
-        if i != j:
-            cells.append(F.struct(F.lit(columns[j]).alias("col_i"), F.lit(columns[i]).alias("col_j"),
-                                  F.col(f"r{i}_{j}").alias("corr")))
-    return one.select(F.inline(F.array(*cells)))
+    return aggs, keys
+
+
+def correlation_values(df: DataFrame, columns: list[str], by: str | None = None) -> dict:
+    """{(group, col_i, col_j): r} for all ordered pairs (group None without ``by``).
+
+    Two-pass algorithm in two jobs: column means (and null counts), then the sums of
+    centred cross-products -- plain sums, cheap to generate code for and stable.  Pairs
+    touching a column with nulls use the pairwise-complete moment expression instead
+    (pandas drops nulls pair by pair).  Null on zero variance.
+    """
+    types = dict((f.name, f.dataType) for f in df.schema.fields)
+    x = {c: num(c, types[c]) for c in columns}
+    keys = [F.col(by)] if by else []
+    first = (df.groupBy(*keys) if by else df.groupBy()).agg(
+        F.count(F.lit(1)).alias("__n"),
+        *[e for i, c in enumerate(columns) for e in (F.avg(x[c]).alias(f"m{i}"), F.count(x[c]).alias(f"k{i}"))])
+    rows1 = {(r[by] if by else None): r for r in first.collect()}
+    has_null = {c for i, c in enumerate(columns) if any(r[f"k{i}"] != r["__n"] for r in rows1.values())}
+    groups = list(rows1)
+
+    def mean_of(i):
+        if not by:
+            return F.lit(rows1[None][f"m{i}"])
+        mp = F.create_map(*[F.lit(v) for g in groups for v in (g, rows1[g][f"m{i}"])])
+        return mp[F.col(by)]
+
+    centred = {c: x[c] - mean_of(i) for i, c in enumerate(columns) if c not in has_null}
+    aggs, plan = [], []
+    for i, a in enumerate(columns):
+        for j, b in enumerate(columns):
+            if j < i:
+                continue
+            if a in has_null or b in has_null:
+                both = x[a].isNotNull() & x[b].isNotNull()
+                aggs.append(safe_corr(F.when(both, x[a]), F.when(both, x[b])).alias(f"r{i}_{j}"))
+                plan.append((i, j, "direct"))
+            else:
+                aggs.append(F.sum(centred[a] * centred[b]).alias(f"s{i}_{j}"))
+                plan.append((i, j, "sum"))
+    rows2 = {(r[by] if by else None): r for r in (df.groupBy(*keys) if by else df.groupBy()).agg(*aggs).collect()}
+    out = {}
+    for g, r in rows2.items():
+        for i, j, how in plan:
+            if how == "direct":
+                v = r[f"r{i}_{j}"]
+            else:
+                sij, sii, sjj = r[f"s{i}_{j}"], r[f"s{i}_{i}"], r[f"s{j}_{j}"]
+                v = sij / math.sqrt(sii * sjj) if sii and sjj and sii > 0 and sjj > 0 else None
+            out[(g, columns[i], columns[j])] = v
+            out[(g, columns[j], columns[i])] = v
+    return out
+
+
+def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Pairwise Pearson (pairwise-complete rows, null on zero variance) as (col_i, col_j, corr)."""
+    vals = correlation_values(df, columns)
+    rows = [(a, b, vals[(None, a, b)]) for a in columns for b in columns]
+    return df.sparkSession.createDataFrame(rows, "col_i string, col_j string, corr double")

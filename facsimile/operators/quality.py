@@ -6,15 +6,14 @@ of metrics); the per-column results are long tables joined on the column name.
 
 from __future__ import annotations
 
-from functools import reduce
+import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from facsimile.functions.stats import pct_diff, preservation, safe_corr
 from facsimile.operators.clean import numeric_matrix
-from facsimile.operators.profile import (correlation_matrix, exact_quantiles, hist_bin, missing, num,
-                                         to_long)
+from facsimile.operators.profile import correlation_values, exact_quantiles, hist_bin, missing, num
 from facsimile.schema import (EPS, HIST_BINS, SCORE_GOOD, SCORE_MEDIUM, SHAPE_DEFAULT, SIZE_LARGE,
                               SIZE_MEDIUM, PRIVACY_DEFAULT, PRIVACY_LABELS, common_numeric_columns,
                               kind_of, numeric_columns)
@@ -22,22 +21,58 @@ from facsimile.schema import (EPS, HIST_BINS, SCORE_GOOD, SCORE_MEDIUM, SHAPE_DE
 OVERALL = "__overall__"   # key of the summary row (a real column may be called 'overall')
 
 
-def _mean_std(df: DataFrame, columns: list[str], prefix: str) -> DataFrame:
-    """(column, <prefix>_mean, <prefix>_std) from one aggregate."""
-    types = dict((f.name, f.dataType) for f in df.schema.fields)
-    agg = df.agg(*[e for i, c in enumerate(columns) for e in (
-        F.avg(num(c, types[c])).alias(f"a{i}"), F.stddev_samp(num(c, types[c])).alias(f"s{i}"))])
-    cells = [F.struct(F.lit(c).alias("column"), F.col(f"a{i}").alias(f"{prefix}_mean"),
-                      F.col(f"s{i}").alias(f"{prefix}_std")) for i, c in enumerate(columns)]
-    return agg.select(F.inline(F.array(*cells)))
-
-
-def column_stats_pair(original: DataFrame, synthetic: DataFrame, columns: list[str] | None = None) -> DataFrame:
+def side_stats(original: DataFrame, synthetic: DataFrame, columns: list[str]) -> dict:
+    """Per-side count, mean, std (n-1), min, max of every column -- one job for both
+    sides (tagged union, grouped by side; only 2 x p numbers reach the driver)."""
+    to = dict((f.name, f.dataType) for f in original.schema.fields)
+    ts = dict((f.name, f.dataType) for f in synthetic.schema.fields)
+    u = (original.select(F.lit(0).alias("__side"), *[num(c, to[c]).alias(f"c{i}") for i, c in enumerate(columns)])
+         .unionByName(synthetic.select(F.lit(1).alias("__side"),
+                                       *[num(c, ts[c]).alias(f"c{i}") for i, c in enumerate(columns)])))
+    aggs = [F.count(F.lit(1)).alias("__rows")]
+    for i in range(len(columns)):
+        x = F.col(f"c{i}")
+        aggs += [F.avg(x).alias(f"a{i}"), F.stddev_samp(x).alias(f"s{i}"), F.min(x).alias(f"lo{i}"),
+                 F.max(x).alias(f"hi{i}")]
+    rows = {r["__side"]: r for r in u.groupBy("__side").agg(*aggs).collect()}
+    out = {"rows": [rows[k]["__rows"] if k in rows else 0 for k in (0, 1)], "columns": {}}
+    for i, c in enumerate(columns):
+        out["columns"][c] = [
+            {k: (rows[side][f"{k}{i}"] if side in rows else None) for k in ("a", "s", "lo", "hi")}
+            for side in (0, 1)]
+    return out
+
+
+def _pres(o, s, eps: float = EPS):
+    if o is None or s is None:
+        return None
+    return 1.0 - abs(o - s) / (abs(o) + eps)
+
+
+def _mean(xs):
+    """Plain mean that is undefined (None) if any term is undefined."""
+    if not xs or any(x is None for x in xs):
+        return None
+    return sum(xs) / len(xs)
+
+
+def column_stats_pair(original: DataFrame, synthetic: DataFrame, columns: list[str] | None = None,
+                      stats: dict | None = None) -> DataFrame:
     """(position, column, orig_mean, orig_std, synth_mean, synth_std) for common numeric columns."""
     cols = columns if columns is not None else common_numeric_columns(original, synthetic)
-    pos = original.sparkSession.createDataFrame([(i, c) for i, c in enumerate(cols)], "position int, column string")
-    return (pos.join(_mean_std(original, cols, "orig"), "column")
-            .join(_mean_std(synthetic, cols, "synth"), "column"))
+    st = stats or side_stats(original, synthetic, cols)
+    rows = [(i, c, st["columns"][c][0]["a"], st["columns"][c][0]["s"], st["columns"][c][1]["a"],
+             st["columns"][c][1]["s"]) for i, c in enumerate(cols)]
+    return original.sparkSession.createDataFrame(
+        rows, "position int, column string, orig_mean double, orig_std double, synth_mean double, synth_std double")
+
+
+def _preservation_rows(st: dict, cols: list[str]):
+    per = [(c, i, _pres(st["columns"][c][0]["a"], st["columns"][c][1]["a"]),
+            _pres(st["columns"][c][0]["s"], st["columns"][c][1]["s"])) for i, c in enumerate(cols)]
+    if per:
+        per.append((OVERALL, None, _mean([r[2] for r in per]), _mean([r[3] for r in per])))
+    return per
 
 
 def mean_std_preservation(original: DataFrame, synthetic: DataFrame) -> DataFrame:
@@ -46,47 +81,54 @@ def mean_std_preservation(original: DataFrame, synthetic: DataFrame) -> DataFram
     The summary is the plain mean over columns and is null if any column's score is
     null (NaN in the source).
     """
-    st = column_stats_pair(original, synthetic)
-    per = st.select("column", "position",
-                    preservation(F.col("orig_mean"), F.col("synth_mean"), EPS).alias("mean_preservation"),
-                    preservation(F.col("orig_std"), F.col("synth_std"), EPS).alias("std_preservation"))
-    overall = per.agg(
-        F.when(F.count_if(F.col("mean_preservation").isNull()) > 0, F.lit(None))
-        .otherwise(F.avg("mean_preservation")).cast("double").alias("mean_preservation"),
-        F.when(F.count_if(F.col("std_preservation").isNull()) > 0, F.lit(None))
-        .otherwise(F.avg("std_preservation")).cast("double").alias("std_preservation"),
-        F.count(F.lit(1)).alias("n"))
-    overall = overall.where(F.col("n") > 0).select(F.lit(OVERALL).alias("column"), F.lit(None).cast("int").alias("position"),
-                                                   "mean_preservation", "std_preservation")
-    return per.unionByName(overall)
+    cols = common_numeric_columns(original, synthetic)
+    rows = _preservation_rows(side_stats(original, synthetic, cols), cols)
+    return original.sparkSession.createDataFrame(
+        rows, "column string, position int, mean_preservation double, std_preservation double")
 
 
 def overall_quality(original: DataFrame, synthetic: DataFrame) -> DataFrame:
     """H4: (overall mean preservation + overall std preservation) / 2."""
-    o = mean_std_preservation(original, synthetic).where(F.col("column") == OVERALL)
-    return o.select("mean_preservation", "std_preservation",
-                    ((F.col("mean_preservation") + F.col("std_preservation")) / 2).alias("overall_quality"))
+    cols = common_numeric_columns(original, synthetic)
+    rows = _preservation_rows(side_stats(original, synthetic, cols), cols)
+    m, s = (rows[-1][2], rows[-1][3]) if rows else (None, None)
+    q = None if m is None or s is None else (m + s) / 2
+    return original.sparkSession.createDataFrame(
+        [(m, s, q)], "mean_preservation double, std_preservation double, overall_quality double")
 
 
 def pooled_similarity(original: DataFrame, synthetic: DataFrame) -> DataFrame:
     """H5: 1 - mean|o - s| / (mean|o| + eps) over columns, for means and for stds."""
-    st = column_stats_pair(original, synthetic)
-    return st.agg(
-        (F.lit(1.0) - F.avg(F.abs(F.col("orig_mean") - F.col("synth_mean")))
-         / (F.avg(F.abs("orig_mean")) + F.lit(EPS))).alias("mean_similarity"),
-        (F.lit(1.0) - F.avg(F.abs(F.col("orig_std") - F.col("synth_std")))
-         / (F.avg(F.abs("orig_std")) + F.lit(EPS))).alias("std_similarity"))
+    cols = common_numeric_columns(original, synthetic)
+    st = side_stats(original, synthetic, cols)
+
+    def pooled(k):
+        o = [st["columns"][c][0][k] for c in cols]
+        s_ = [st["columns"][c][1][k] for c in cols]
+        pairs = [(x, y) for x, y in zip(o, s_) if x is not None and y is not None]
+        if not pairs:
+            return None
+        return 1.0 - (sum(abs(x - y) for x, y in pairs) / len(pairs)) / (sum(abs(x) for x, _ in pairs) / len(pairs) + EPS)
+
+    return original.sparkSession.createDataFrame([(pooled("a"), pooled("s"))],
+                                                 "mean_similarity double, std_similarity double")
 
 
 def corr_preservation(original: DataFrame, synthetic: DataFrame) -> DataFrame:
-    """H6: Pearson correlation between the two flattened correlation matrices."""
+    """H6: Pearson correlation between the two flattened correlation matrices
+    (diagonal included).  Both matrices come from one grouped aggregate job."""
     cols = common_numeric_columns(original, synthetic)
     if len(cols) < 2:
         raise ValueError("correlation preservation needs at least 2 common numeric columns")
-    a = correlation_matrix(original, cols).withColumnRenamed("corr", "r_orig")
-    b = correlation_matrix(synthetic, cols).withColumnRenamed("corr", "r_synth")
-    j = a.join(b, ["col_i", "col_j"])
-    return j.agg(safe_corr(F.col("r_orig"), F.col("r_synth")).alias("corr_preservation"))
+    to = dict((f.name, f.dataType) for f in original.schema.fields)
+    ts = dict((f.name, f.dataType) for f in synthetic.schema.fields)
+    u = (original.select(F.lit(0).alias("__side"), *[num(c, to[c]).alias(c) for c in cols])
+         .unionByName(synthetic.select(F.lit(1).alias("__side"), *[num(c, ts[c]).alias(c) for c in cols])))
+    v = correlation_values(u, cols, by="__side")
+    pairs = [(v.get((0, a, b)), v.get((1, a, b))) for a in cols for b in cols]
+    pairs = [(x, y) for x, y in pairs if x is not None and y is not None]
+    r = _pearson([x for x, _ in pairs], [y for _, y in pairs]) if pairs else None
+    return original.sparkSession.createDataFrame([(r,)], "corr_preservation double")
 
 
 # ---------------------------------------------------------------- similarity
@@ -101,71 +143,90 @@ def _check_viz_inputs(original: DataFrame, synthetic: DataFrame) -> list[str]:
     return cols
 
 
-def shape_scores(o: DataFrame, s: DataFrame, cols: list[str], bins: int = HIST_BINS) -> DataFrame:
+def _pearson(xs: list[float], ys: list[float]):
+    """Population-moment Pearson correlation, None on zero variance."""
+    n = len(xs)
+    mx, my = sum(xs) / n, sum(ys) / n
+    cov = sum((x - mx) * (y - my) for x, y in zip(xs, ys)) / n
+    vx = sum((x - mx) ** 2 for x in xs) / n
+    vy = sum((y - my) ** 2 for y in ys) / n
+    if not (vx > 0 and vy > 0):
+        return None
+    return cov / (math.sqrt(vx) * math.sqrt(vy))
+
+
+def shape_scores(o: DataFrame, s: DataFrame, cols: list[str], bins: int = HIST_BINS,
+                 stats: dict | None = None) -> dict[str, float | None]:
     """Per column: correlation of the two 20-bin histograms on the original's range.
 
-    Columns skipped (null score) when either side has zero (or undefined) std or a
-    flat histogram; negative correlations floor at 0.  Counts stand in for densities:
-    a density only rescales the counts, which leaves a correlation unchanged.
+    Skipped (None) when either side has zero (or undefined) std or a flat histogram;
+    negative correlations floor at 0.  Counts stand in for densities: a density only
+    rescales the counts (a flat count histogram is skipped even where the source's
+    density arithmetic leaves rounding noise).  Both sides are binned in one job.
     """
-    spark = o.sparkSession
-    ro = o.agg(*[e for i, c in enumerate(cols) for e in (
-        F.min(c).alias(f"lo{i}"), F.max(c).alias(f"hi{i}"), F.stddev_samp(c).alias(f"so{i}"))]).first()
-    rs = s.agg(*[F.stddev_samp(c).alias(f"ss{i}") for i, c in enumerate(cols)]).first()
-    keep, edges = [], {}
-    for i, c in enumerate(cols):
-        so, ss = ro[f"so{i}"], rs[f"ss{i}"]
+    st = stats or side_stats(o, s, cols)
+    keep = []
+    for c in cols:
+        so, ss = st["columns"][c][0]["s"], st["columns"][c][1]["s"]
         if so is None or ss is None or not (so > 0) or not (ss > 0):
             continue
-        lo, hi = ro[f"lo{i}"], ro[f"hi{i}"]
         keep.append(c)
-        edges[c] = (lo, hi)
+    out: dict[str, float | None] = {c: None for c in cols}
     if not keep:
-        return spark.createDataFrame([], "column string, shape double")
+        return out
 
-    def counts(df: DataFrame, side: str) -> DataFrame:
-        cells = []
+    def cells(df: DataFrame, side: int):
+        cs = []
         for c in keep:
-            lo, hi = edges[c]
+            lo, hi = st["columns"][c][0]["lo"], st["columns"][c][0]["hi"]
             x = F.col(c)
-            b = hist_bin(x, lo, hi, bins)
-            cells.append(F.when(x.between(F.lit(lo), F.lit(hi)), F.struct(F.lit(c).alias("column"), b.alias("bin"))))
-        return (df.select(F.explode(F.filter(F.array(*cells), lambda z: z.isNotNull())).alias("z"))
-                .groupBy(F.col("z.column").alias("column"), F.col("z.bin").alias("bin"))
-                .agg(F.count(F.lit(1)).alias(side)))
-
-    grid = spark.createDataFrame([(c, b) for c in keep for b in range(bins)], "column string, bin int")
-    h = (grid.join(counts(o, "ho"), ["column", "bin"], "left").join(counts(s, "hs"), ["column", "bin"], "left")
-         .select("column", F.coalesce("ho", F.lit(0)).cast("double").alias("ho"),
-                 F.coalesce("hs", F.lit(0)).cast("double").alias("hs")))
-    r = h.groupBy("column").agg(safe_corr(F.col("ho"), F.col("hs")).alias("r"))
-    return r.select("column", F.when(F.col("r").isNotNull(), F.greatest(F.lit(0.0), F.col("r"))).alias("shape"))
-
-
-def similarity_summary(original: DataFrame, synthetic: DataFrame) -> DataFrame:
+            cs.append(F.when(x.between(F.lit(lo), F.lit(hi)),
+                             F.struct(F.lit(side).alias("side"), F.lit(c).alias("column"),
+                                      hist_bin(x, lo, hi, bins).alias("bin"))))
+        return df.select(F.explode(F.filter(F.array(*cs), lambda z: z.isNotNull())).alias("z"))
+
+    both = cells(o, 0).unionByName(cells(s, 1))
+    counts = {(r["side"], r["column"], r["bin"]): r["n"] for r in
+              both.groupBy("z.side", "z.column", "z.bin").agg(F.count(F.lit(1)).alias("n")).collect()}
+    for c in keep:
+        ho = [float(counts.get((0, c, b), 0)) for b in range(bins)]
+        hs = [float(counts.get((1, c, b), 0)) for b in range(bins)]
+        r = _pearson(ho, hs)
+        out[c] = None if r is None else max(0.0, r)
+    return out
+
+
+def similarity_values(original: DataFrame, synthetic: DataFrame) -> dict:
     """H7 + H8 on the numeric matrices (missing -> 0): mean, std and shape similarity."""
     cols = _check_viz_inputs(original, synthetic)
     o, s = numeric_matrix(original, cols), numeric_matrix(synthetic, cols)
-    cnt = o.agg(F.count(F.lit(1)).alias("n")).first()["n"], s.agg(F.count(F.lit(1)).alias("n")).first()["n"]
-    if cnt[0] < 5 or cnt[1] < 5:
+    st = side_stats(o, s, cols)
+    if st["rows"][0] < 5 or st["rows"][1] < 5:
         raise ValueError("Need at least 5 samples in both datasets for visualization")
-    st = column_stats_pair(o, s, cols)
-    ms = st.agg(F.avg(preservation(F.col("orig_mean"), F.col("synth_mean"), EPS)).alias("mean_similarity"),
-                F.avg(preservation(F.col("orig_std"), F.col("synth_std"), EPS)).alias("std_similarity"))
-    sh = shape_scores(o, s, cols).agg(F.coalesce(F.avg("shape"), F.lit(SHAPE_DEFAULT)).alias("shape_similarity"))
-    return _one_row_join(ms, sh)
+    ms = [_pres(st["columns"][c][0]["a"], st["columns"][c][1]["a"]) for c in cols]
+    ss = [_pres(st["columns"][c][0]["s"], st["columns"][c][1]["s"]) for c in cols]
+    ms, ss = [x for x in ms if x is not None], [x for x in ss if x is not None]
+    shapes = [v for v in shape_scores(o, s, cols, stats=st).values() if v is not None]
+    return {"mean_similarity": sum(ms) / len(ms) if ms else None,
+            "std_similarity": sum(ss) / len(ss) if ss else None,
+            "shape_similarity": sum(shapes) / len(shapes) if shapes else SHAPE_DEFAULT,
+            "stats": st, "columns": cols}
 
 
-def _one_row_join(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Side by side of two one-row frames (join on a constant key, both sides one row)."""
-    return a.withColumn("__k", F.lit(1)).join(b.withColumn("__k", F.lit(1)), "__k").drop("__k")
+def similarity_summary(original: DataFrame, synthetic: DataFrame) -> DataFrame:
+    v = similarity_values(original, synthetic)
+    return original.sparkSession.createDataFrame(
+        [(v["mean_similarity"], v["std_similarity"], v["shape_similarity"])],
+        "mean_similarity double, std_similarity double, shape_similarity double")
 
 
 def utility_fidelity(original: DataFrame, synthetic: DataFrame) -> DataFrame:
     """H9: utility = (mean similarity + std similarity)/2, fidelity = shape similarity."""
-    s = similarity_summary(original, synthetic)
-    return s.select(((F.col("mean_similarity") + F.col("std_similarity")) / 2).alias("utility_score"),
-                    F.col("shape_similarity").alias("fidelity_score"))
+    v = similarity_values(original, synthetic)
+    u = None if v["mean_similarity"] is None or v["std_similarity"] is None else \
+        (v["mean_similarity"] + v["std_similarity"]) / 2
+    return original.sparkSession.createDataFrame([(u, v["shape_similarity"])],
+                                                 "utility_score double, fidelity_score double")
 
 
 def band(c: Column) -> Column:
@@ -174,10 +235,11 @@ def band(c: Column) -> Column:
 
 
 def score_bands(original: DataFrame, synthetic: DataFrame) -> DataFrame:
-    s = similarity_summary(original, synthetic)
-    long = to_long(s, ["Mean Similarity", "Std Similarity", "Distribution Shape"],
-                   ["mean_similarity", "std_similarity", "shape_similarity"], "metric", "score")
-    return long.select("metric", "score", band(F.col("score")).alias("band"))
+    v = similarity_values(original, synthetic)
+    rows = [("Mean Similarity", v["mean_similarity"]), ("Std Similarity", v["std_similarity"]),
+            ("Distribution Shape", v["shape_similarity"])]
+    df = original.sparkSession.createDataFrame(rows, "metric string, score double")
+    return df.select("metric", "score", band(F.col("score")).alias("band"))
 
 
 # ---------------------------------------------------------------- report pieces
@@ -186,23 +248,28 @@ def percent_diffs(original: DataFrame, synthetic: DataFrame, first: int = 5) ->
     """Mean and std difference in % for the first 5 numeric columns of the original."""
     other = set(synthetic.columns)
     cols = [c for c in numeric_columns(original)[:first] if c in other]
-    st = column_stats_pair(original, synthetic, cols)
-    return st.select("position", "column",
-                     pct_diff(F.col("orig_mean"), F.col("synth_mean")).alias("mean_diff_pct"),
-                     pct_diff(F.col("orig_std"), F.col("synth_std")).alias("std_diff_pct"))
+    st = side_stats(original, synthetic, cols)
 
+    def pct(o, s_):
+        if o is None or s_ is None:
+            return None
+        return 0.0 if o == 0 else abs(o - s_) / abs(o) * 100.0
 
-def structure_compare(original: DataFrame, synthetic: DataFrame) -> DataFrame:
+    rows = [(i, c, pct(st["columns"][c][0]["a"], st["columns"][c][1]["a"]),
+             pct(st["columns"][c][0]["s"], st["columns"][c][1]["s"])) for i, c in enumerate(cols)]
+    return original.sparkSession.createDataFrame(
+        rows, "position int, column string, mean_diff_pct double, std_diff_pct double")
+
+
+def structure_compare(original: DataFrame, synthetic: DataFrame, stats: dict | None = None) -> DataFrame:
     """Rows, columns, size ratio (0 for an empty source), all columns kept."""
-    a = original.agg(F.count(F.lit(1)).alias("original_rows"))
-    b = synthetic.agg(F.count(F.lit(1)).alias("synthetic_rows"))
-    j = _one_row_join(a, b)
-    return j.select("original_rows", "synthetic_rows",
-                    F.lit(len(original.columns)).alias("original_columns"),
-                    F.lit(len(synthetic.columns)).alias("synthetic_columns"),
-                    F.when(F.col("original_rows") > 0, F.col("synthetic_rows") / F.col("original_rows"))
-                    .otherwise(F.lit(0.0)).alias("size_ratio"),
-                    F.lit(len(original.columns) == len(synthetic.columns)).alias("all_columns_kept"))
+    st = stats or side_stats(original.select(), synthetic.select(), [])
+    no, ns = st["rows"]
+    row = (no, ns, len(original.columns), len(synthetic.columns), (ns / no) if no > 0 else 0.0,
+           len(original.columns) == len(synthetic.columns))
+    return original.sparkSession.createDataFrame([row], (
+        "original_rows bigint, synthetic_rows bigint, original_columns int, synthetic_columns int, "
+        "size_ratio double, all_columns_kept boolean"))
 
 
 def size_ratio(original: DataFrame, synthetic: DataFrame) -> DataFrame:
@@ -253,29 +320,29 @@ def size_tier(rows: Column) -> Column:
 # ---------------------------------------------------------------- report
 
 def quality_report(original: DataFrame, synthetic: DataFrame, method: str = "independent") -> DataFrame:
-    """H16 as one long table (section, column, metric, value); the HTML is not rebuilt."""
-    parts = []
-    st = structure_compare(original, synthetic)
-    parts.append(to_long(st, ["original_rows", "synthetic_rows", "original_columns", "synthetic_columns",
-                              "size_ratio"],
-                         ["original_rows", "synthetic_rows", "original_columns", "synthetic_columns", "size_ratio"],
-                         "metric", "value", "double").select(F.lit("structure").alias("section"),
-                                                             F.lit(None).cast("string").alias("column"),
-                                                             "metric", "value"))
-    pres = mean_std_preservation(original, synthetic)
-    parts.append(pres.select(F.lit("preservation").alias("section"), "column",
-                             F.inline(F.array(F.struct(F.lit("mean_preservation").alias("metric"),
-                                                       F.col("mean_preservation").alias("value")),
-                                              F.struct(F.lit("std_preservation").alias("metric"),
-                                                       F.col("std_preservation").alias("value"))))))
+    """H16 as one long table (section, column, metric, value); the HTML is not rebuilt.
+
+    Jobs: one for the per-side statistics of the raw tables, one for the numeric
+    matrices' statistics and one for both sides' histograms -- computed once and
+    shared by every section.
+    """
+    cols = common_numeric_columns(original, synthetic)
+    st = side_stats(original, synthetic, cols)
+    no, ns = st["rows"]
+    rows = [("structure", None, "original_rows", float(no)), ("structure", None, "synthetic_rows", float(ns)),
+            ("structure", None, "original_columns", float(len(original.columns))),
+            ("structure", None, "synthetic_columns", float(len(synthetic.columns))),
+            ("structure", None, "size_ratio", (ns / no) if no > 0 else 0.0)]
+    for c, _, mp, sp in _preservation_rows(st, cols):
+        rows += [("preservation", c, "mean_preservation", mp), ("preservation", c, "std_preservation", sp)]
     try:
-        sim = similarity_summary(original, synthetic)
-        sim = sim.select("*", ((F.col("mean_similarity") + F.col("std_similarity")) / 2).alias("utility_score"),
-                         F.col("shape_similarity").alias("fidelity_score"))
-        names = ["mean_similarity", "std_similarity", "shape_similarity", "utility_score", "fidelity_score"]
-        parts.append(to_long(sim, names, names, "metric", "value", "double")
-                     .select(F.lit("similarity").alias("section"), F.lit(None).cast("string").alias("column"),
-                             "metric", "value"))
+        v = similarity_values(original, synthetic)
+        u = None if v["mean_similarity"] is None or v["std_similarity"] is None else \
+            (v["mean_similarity"] + v["std_similarity"]) / 2
+        for k, val in [("mean_similarity", v["mean_similarity"]), ("std_similarity", v["std_similarity"]),
+                       ("shape_similarity", v["shape_similarity"]), ("utility_score", u),
+                       ("fidelity_score", v["shape_similarity"])]:
+            rows.append(("similarity", None, k, val))
     except ValueError:
         pass
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    return original.sparkSession.createDataFrame(rows, "section string, column string, metric string, value double")
