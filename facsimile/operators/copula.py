@@ -1,8 +1,8 @@
 """Gaussian-copula synthesis (F1), after the published method (Patki, Wedge and
 Veeramachaneni, "The Synthetic Data Vault", 2016), built from Spark aggregates.
 
-Fit (three small jobs): marginal quantile knots of every continuous column at
-Phi(z) for z = -4..4 step 0.05 (one ``percentile_approx`` pass); category
+Fit (a few small jobs): marginal quantile knots of every continuous column at
+Phi(z) for z = -4..4 step 0.05 (exact quantiles, so the same on any partitioning); category
 frequencies of every categorical column (<= 50 values); the correlation matrix of
 the latent normal scores (one aggregate of pairwise moments).  The p x p matrix is
 repaired to positive definite and factored on the driver.
@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 from facsimile.functions import rng
 from facsimile.functions.fmt import round_year
 from facsimile.operators.encode import build_dictionary, decode_column, Encoding
-from facsimile.operators.profile import correlation_values, filled_text, modes, num, profile
+from facsimile.operators.profile import (correlation_values, exact_quantiles, filled_text, modes, num,
+                                         profile)
 from facsimile.operators.synth import format_numeric, resample_column, synthetic_ids
 from facsimile.schema import LABEL_MAX_DISTINCT, ColumnSpec, SynthConfig
 from facsimile.functions.fmt import strip
@@ -79,11 +80,10 @@ def fit_copula(df: DataFrame, specs: list[ColumnSpec] | None = None) -> CopulaMo
     # marginals of continuous columns: 161 quantile knots each, one pass
     if cont:
         probs = [_N01.cdf(z) for z in Z_GRID]
-        row = df.agg(*[F.percentile_approx(num(c, types[c]), probs, 10000).alias(f"q{i}")
-                       for i, c in enumerate(cont)]).first()
-        for i, c in enumerate(cont):
+        q = exact_quantiles(df, cont, probs)   # exact: the same knots on any partitioning
+        for c in cont:
             m.kind[c] = "continuous"
-            m.knots[c] = [float(v) for v in row[f"q{i}"]]
+            m.knots[c] = [float(q[(c, p)]) for p in probs]
             m.integer[c] = by[c].dtype in ("tinyint", "smallint", "int", "bigint", "boolean")
     # categories: one dictionary (sorted trimmed values) and their frequencies
     if cats:

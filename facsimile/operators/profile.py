@@ -128,17 +128,31 @@ def profile(df: DataFrame, columns: list[str] | None = None) -> tuple[int, list[
 
 # ---------------------------------------------------------------- exact quantiles
 
+def _bucketize(d: DataFrame, splits: dict[int, list[float]]) -> DataFrame:
+    """Bucket index of every listed column by its own sorted split points (JVM binary
+    search in ``Bucketizer``); missing values go to a bucket past the last split."""
+    from pyspark.ml.feature import Bucketizer
+
+    cols = sorted(splits)
+    prepared = d.select(*d.columns, *[F.coalesce(F.col(f"c{i}"), F.lit(float("nan"))).alias(f"n{i}") for i in cols])
+    return Bucketizer(splitsArray=[[-math.inf] + splits[i] + [math.inf] for i in cols],
+                      inputCols=[f"n{i}" for i in cols], outputCols=[f"b{i}" for i in cols],
+                      handleInvalid="keep").transform(prepared)
+
+
 def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
                     group_limit: int = QUANTILE_GROUP_LIMIT, accuracy: int = 10000,
                     max_rounds: int = 8) -> dict[tuple[str, float], float | None]:
     """Exact linear-interpolated quantiles (pandas / DuckDB ``quantile_cont``).
 
     Spark's exact ``percentile`` keeps every distinct value of a column in one buffer.
-    Here each target rank is narrowed to a value bracket with ``percentile_approx``
-    (rank error <= bracket/accuracy) plus rank counts, until the bracket holds at most
-    ``group_limit`` distinct values; the last pass counts just those values, ranks them
-    with a window per bracket and picks the target ranks.  Every pass is a scan with a
-    small aggregate output; targets of one column that share a bracket share the work.
+    Here a target rank that sits in a column with more than ``group_limit`` distinct
+    values is first narrowed to a value bracket: ``percentile_approx`` proposes bounds
+    (rank error <= bracket/accuracy) and one grouped count of the values bucketed by
+    all proposed bounds gives the exact ranks of the bounds.  The last pass counts the
+    distinct values inside the (merged) brackets, ranks them with a window per bracket
+    and picks the target ranks.  Every pass is a scan with a small output, and the
+    number of expressions does not grow with the number of probabilities.
     """
     types = dict((f.name, f.dataType) for f in df.schema.fields)
     d = df.select(*[num(c, types[c]).alias(f"c{i}") for i, c in enumerate(columns)])
@@ -157,22 +171,19 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
             r_lo = int(math.floor(h))
             r_hi = min(int(math.ceil(h)), n - 1)
             targets.append(dict(col=i, name=c, p=p, r_lo=r_lo, r_hi=r_hi, frac=h - r_lo,
-                                L=r0[f"lo{i}"], U=r0[f"hi{i}"], below=0, inside=n,
+                                L=float(r0[f"lo{i}"]), U=float(r0[f"hi{i}"]), below=0, inside=n,
                                 distinct=r0[f"ad{i}"], done=False))
 
-    def groups_of(ts):
-        g: dict[tuple, list] = {}
-        for t in ts:
-            g.setdefault((t["col"], t["L"], t["U"], t["below"], t["inside"]), []).append(t)
-        return list(g.items())
-
     for _ in range(max_rounds):
         active = [t for t in targets if not t["done"] and t["distinct"] > group_limit and t["L"] < t["U"]]
         if not active:
             break
-        grouped = groups_of(active)
+        # pass A: one sketch per shared bracket proposes narrower bounds for its targets
+        grouped: dict[tuple, list] = {}
+        for t in active:
+            grouped.setdefault((t["col"], t["L"], t["U"], t["below"], t["inside"]), []).append(t)
         exprs = []
-        for k, ((ci, L, U, below, inside), ts) in enumerate(grouped):
+        for k, ((ci, L, U, below, inside), ts) in enumerate(grouped.items()):
             x = F.col(f"c{ci}")
             qs = []
             for t in ts:
@@ -181,27 +192,50 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
             exprs.append(F.percentile_approx(F.when(x.between(F.lit(L), F.lit(U)), x),
                                              F.array(*[F.lit(q) for q in qs]), accuracy).alias(f"a{k}"))
         ra = d.agg(*exprs).first()
-        exprs = []
-        m = 0
-        for k, ((ci, L, U, below, inside), ts) in enumerate(grouped):
-            x = F.col(f"c{ci}")
+        for k, (_, ts) in enumerate(grouped.items()):
             a = ra[f"a{k}"]
             for j, t in enumerate(ts):
-                nl, nu = a[2 * j], a[2 * j + 1]
-                t["nL"], t["nU"], t["m"] = nl, nu, m
-                exprs += [F.count_if((x >= F.lit(L)) & (x < F.lit(nl))).alias(f"b{m}"),
-                          F.count_if(x.between(F.lit(nl), F.lit(nu))).alias(f"i{m}"),
-                          F.approx_count_distinct(F.when(x.between(F.lit(nl), F.lit(nu)), x)).alias(f"d{m}")]
-                m += 1
-        rb = d.agg(*exprs).first()
+                t["nL"], t["nU"] = float(a[2 * j]), float(a[2 * j + 1])
+        # pass B: exact counts of every piece between the proposed bounds, one groupBy
+        splits: dict[int, list[float]] = {}
         for t in active:
-            m = t["m"]
-            below = t["below"] + rb[f"b{m}"]
-            inside = rb[f"i{m}"]
+            splits.setdefault(t["col"], set()).update((t["L"], t["U"], t["nL"], t["nU"]))
+        splits = {ci: sorted(v) for ci, v in splits.items()}
+        b = _bucketize(d, splits)
+        cells = []
+        for ci, sp in splits.items():
+            arr = F.array(*[F.lit(v) for v in [-math.inf] + sp])
+            bk = F.col(f"b{ci}").cast("int")
+            x = F.col(f"c{ci}")
+            cells.append(F.when(x.isNotNull(), F.struct(F.lit(ci).alias("ci"), bk.alias("b"),
+                                                        (x == F.element_at(arr, bk + 1)).alias("eq"), x.alias("x"))))
+        pieces = (b.select(F.explode(F.filter(F.array(*cells), lambda z: z.isNotNull())).alias("z"))
+                  .groupBy("z.ci", "z.b", "z.eq").agg(F.count(F.lit(1)).alias("n"),
+                                                       F.approx_count_distinct("z.x").alias("dn")).collect())
+        got = {(r["ci"], r["b"], r["eq"]): (r["n"], r["dn"]) for r in pieces}
+
+        def count_between(ci, lo, hi, hi_inclusive):
+            """Rows with lo <= x < hi (or <= hi), and their approximate distinct count."""
+            sp = splits[ci]
+            n = dn = 0
+            for k in range(sp.index(lo) + 1, sp.index(hi) + 1):   # buckets [sp[k-1], sp[k])
+                for eq in (True, False):
+                    v = got.get((ci, k, eq), (0, 0))
+                    n, dn = n + v[0], dn + v[1]
+            if hi_inclusive:
+                v = got.get((ci, sp.index(hi) + 1, True), (0, 0))
+                n, dn = n + v[0], dn + v[1]
+            return n, dn
+
+        for t in active:
+            ci = t["col"]
+            below = t["below"] + count_between(ci, t["L"], t["nL"], False)[0]
+            inside, dn = count_between(ci, t["nL"], t["nU"], True)
             if not (below <= t["r_lo"] and below + inside > t["r_hi"]) or inside >= t["inside"]:
                 t["done"] = True          # no safe progress: rank the current bracket exactly
                 continue
-            t.update(L=t["nL"], U=t["nU"], below=below, inside=inside, distinct=rb[f"d{m}"])
+            t.update(L=t["nL"], U=t["nU"], below=below, inside=inside, distinct=dn)
+
     final = []
     for t in targets:
         if t["L"] == t["U"]:
@@ -209,30 +243,47 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
         else:
             final.append(t)
     if final:
-        grouped = groups_of(final)
-        cells, wanted = [], []
-        for g, ((ci, L, U, below, inside), ts) in enumerate(grouped):
+        # merge overlapping brackets of a column into disjoint intervals
+        merged: dict[int, list[list]] = {}
+        for t in sorted(final, key=lambda t: (t["col"], t["L"])):
+            ms = merged.setdefault(t["col"], [])
+            if ms and t["L"] <= math.nextafter(ms[-1][1], math.inf):
+                ms[-1][1] = max(ms[-1][1], t["U"])
+                ms[-1][3].append(t)
+            else:
+                ms.append([t["L"], t["U"], t["below"], [t]])
+            t["m"] = len(ms) - 1
+        splits = {ci: [v for m in ms for v in (m[0], math.nextafter(m[1], math.inf))] for ci, ms in merged.items()}
+        b = _bucketize(d, splits)
+        cells = []
+        for ci in splits:
+            bk = F.col(f"b{ci}").cast("int")
             x = F.col(f"c{ci}")
-            cells.append(F.when(x.between(F.lit(L), F.lit(U)), F.struct(F.lit(g).alias("g"), x.alias("v"))))
-            for t in ts:
-                wanted += [t["r_lo"] - below, t["r_hi"] - below]
-                t["g"] = g
-        ranks = F.create_map(*[e for g, ((_, _, _, below, _), ts) in enumerate(grouped)
-                               for e in (F.lit(g), F.array_distinct(F.array(*[
-                                   F.lit(r - below) for t in ts for r in (t["r_lo"], t["r_hi"])])))])
-        counts = (d.select(F.explode(F.filter(F.array(*cells), lambda s: s.isNotNull())).alias("s"))
-                  .groupBy(F.col("s.g").alias("g"), F.col("s.v").alias("v")).count())
+            # odd buckets are inside an interval: bucket 2m+1 <-> interval m
+            cells.append(F.when(x.isNotNull() & (bk % 2 == 1),
+                                F.struct((F.lit(ci * 100000) + (bk - 1) / 2).cast("long").alias("g"), x.alias("v"))))
+        counts = (b.select(F.explode(F.filter(F.array(*cells), lambda z: z.isNotNull())).alias("z"))
+                  .groupBy(F.col("z.g").alias("g"), F.col("z.v").alias("v")).count())
+        wanted: dict[int, set] = {}
+        for ci, ms in merged.items():
+            for k, (_, _, below_m, ts) in enumerate(ms):
+                for t in ts:
+                    wanted.setdefault(ci * 100000 + k, set()).update((t["r_lo"] - below_m, t["r_hi"] - below_m))
+        ranks = F.create_map(*[e for g, rs in wanted.items()
+                               for e in (F.lit(g), F.array(*[F.lit(r) for r in sorted(rs)]))])
         w = Window.partitionBy("g").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
         ranked = counts.withColumn("cum", F.sum("count").over(w))
         hits = ranked.select("g", "v", F.filter(ranks[F.col("g")], lambda r: (F.col("cum") - F.col("count") <= r)
                                                 & (r < F.col("cum"))).alias("r")).where(F.size("r") > 0)
         found: dict[tuple[int, int], float] = {}
-        for row in hits.collect():
+        for row in hits.collect():   # at most two rows per target
             for r in row["r"]:
                 found[(row["g"], r)] = row["v"]
         for t in final:
-            below = next(k[3] for k, ts in grouped if t in ts)
-            lo, hi = found.get((t["g"], t["r_lo"] - below)), found.get((t["g"], t["r_hi"] - below))
+            ci = t["col"]
+            m = merged[ci][t["m"]]
+            g, below_m = ci * 100000 + t["m"], m[2]
+            lo, hi = found.get((g, t["r_lo"] - below_m)), found.get((g, t["r_hi"] - below_m))
             out[(t["name"], t["p"])] = None if lo is None or hi is None else lo + t["frac"] * (hi - lo)
     return out
 

@@ -74,6 +74,39 @@ def read_csv(spark: SparkSession, paths: str | list[str], infer: bool = True, wi
     return df.select(*type_exprs(df, names), *(["source_file"] if with_file else []))
 
 
+def read_csv_files(spark: SparkSession, paths: list[str], infer: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Many CSV files of one layout as one DataFrame with ``dataset`` = file name, plus a
+    status table (dataset, rows, status).
+
+    A file with rows that do not fit the header (wrong number of fields) is reported as
+    an error and left out; the other files go on (the batch loop's per-file try).
+    The check is one distributed aggregate, not a loop of reads.
+    """
+    header = spark.read.option("header", True).option("escape", '"').csv(paths).columns
+    names = [c.strip() for c in header]
+    # one spare column catches rows with more fields than the header (pandas refuses
+    # such a file); the corrupt-record column catches rows the parser cannot read
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in names] +
+                          [T.StructField("__extra", T.StringType()), T.StructField("_corrupt", T.StringType())])
+    raw = (spark.read.schema(schema).option("header", True).option("escape", '"').option("mode", "PERMISSIVE")
+           .option("columnNameOfCorruptRecord", "_corrupt").csv(paths)
+           .select(*[null_tokens(F.col(n)).alias(n) for n in names], "__extra", "_corrupt",
+                   F.col("_metadata.file_name").alias("dataset")))
+    bad_row = F.col("__extra").isNotNull() | F.col("_corrupt").isNotNull()
+    status = raw.groupBy("dataset").agg(F.count(F.lit(1)).alias("rows"), F.count_if(bad_row).alias("bad_rows"),
+                                        F.count(names[0]).alias("__first"))
+    status = status.select("dataset", "rows", F.when(F.col("bad_rows") > 0,
+                                                     F.concat(F.lit("Error: "), F.col("bad_rows").cast("string"),
+                                                              F.lit(" malformed rows")))
+                           .when(F.col("__first") >= 0, F.lit("Loaded")).alias("status"))
+    bad = [r["dataset"] for r in status.where(F.col("status") != "Loaded").collect()]   # one row per bad file
+    good = raw.where(~F.col("dataset").isin(*bad)) if bad else raw
+    good = good.drop("_corrupt", "__extra")
+    if infer:
+        good = good.select(*type_exprs(good, names), "dataset")
+    return good, status
+
+
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite", partition_by: list[str] | None = None) -> None:
     w = (df.write.mode(mode).option("header", True).option("escape", '"')
          .option("timestampNTZFormat", TIMESTAMP_TEXT).option("timestampFormat", TIMESTAMP_TEXT))
