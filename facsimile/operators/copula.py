@@ -29,6 +29,7 @@ from facsimile.operators.profile import (correlation_values, exact_quantiles, fi
                                          profile)
 from facsimile.operators.synth import format_numeric, resample_column, synthetic_ids
 from facsimile.schema import LABEL_MAX_DISTINCT, ColumnSpec, SynthConfig
+from facsimile.session import reused
 from facsimile.functions.fmt import strip
 
 Z_LO, Z_STEP, Z_N = -4.0, 0.05, 161
@@ -213,7 +214,8 @@ def sample_copula(df: DataFrame, model: CopulaModel, n: int, seed: int = 42, fas
 
 def synthesize_copula(df: DataFrame, config: SynthConfig | None = None) -> DataFrame:
     cfg = config or SynthConfig()
-    rows, specs = profile(df)
-    model = fit_copula(df, specs)
-    n = cfg.num_samples if cfg.num_samples is not None else rows
-    return sample_copula(df, model, n, cfg.seed, cfg.fast, specs, cfg.keep_id)
+    with reused(df) as d:
+        rows, specs = profile(d)
+        model = fit_copula(d, specs)
+        n = cfg.num_samples if cfg.num_samples is not None else rows
+        return sample_copula(d, model, n, cfg.seed, cfg.fast, specs, cfg.keep_id)

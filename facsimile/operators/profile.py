@@ -13,12 +13,13 @@ from pyspark.sql import types as T
 
 from facsimile.functions.fmt import is_blank
 from facsimile.functions.stats import safe_corr
+from facsimile.session import reused
 from facsimile.schema import (BLANK_FILL, HIST_BINS, MALE_FEMALE, TRUE_FALSE, YEAR_MAX,
                               YEAR_MAX_DISTINCT, YEAR_MIN, YES_NO, ColumnSpec, is_year_name,
                               kind_of)
 
 EXACT_DISTINCT_LIMIT = 1000   # approx distinct below this -> exact count by a bounded set
-QUANTILE_GROUP_LIMIT = 1000000  # distinct values per bracket before the final exact pick
+QUANTILE_GROUP_LIMIT = 100000  # distinct values per bracket before the final exact pick
 
 
 def num(c: str | Column, dt: T.DataType | None = None) -> Column:
@@ -71,6 +72,11 @@ def profile(df: DataFrame, columns: list[str] | None = None) -> tuple[int, list[
             t = F.when(F.col(f"x{i}").isNull() | F.col(f"blank{i}"), F.lit(BLANK_FILL)).otherwise(F.col(f"x{i}"))
             proj2 += [F.col(f"blank{i}"), t.alias(f"t{i}"), F.lower(t).alias(f"lt{i}")]
     base = base.select(*proj2)
+    with reused(base) as b:
+        return _profile_passes(b, fields)
+
+
+def _profile_passes(base: DataFrame, fields) -> tuple[int, list[ColumnSpec]]:
     aggs = [F.count(F.lit(1)).alias("__rows")]
     for i, f in enumerate(fields):
         k = kind_of(f.dataType)
@@ -143,6 +149,14 @@ def _bucketize(d: DataFrame, splits: dict[int, list[float]]) -> DataFrame:
 def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
                     group_limit: int = QUANTILE_GROUP_LIMIT, accuracy: int = 10000,
                     max_rounds: int = 8) -> dict[tuple[str, float], float | None]:
+    types = dict((f.name, f.dataType) for f in df.schema.fields)
+    proj = df.select(*[num(c, types[c]).alias(f"c{i}") for i, c in enumerate(columns)])
+    with reused(proj) as d:
+        return _exact_quantiles(d, columns, probs, group_limit, accuracy, max_rounds)
+
+
+def _exact_quantiles(d: DataFrame, columns: list[str], probs: list[float], group_limit: int, accuracy: int,
+                     max_rounds: int) -> dict[tuple[str, float], float | None]:
     """Exact linear-interpolated quantiles (pandas / DuckDB ``quantile_cont``).
 
     Spark's exact ``percentile`` keeps every distinct value of a column in one buffer.
@@ -154,8 +168,6 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
     and picks the target ranks.  Every pass is a scan with a small output, and the
     number of expressions does not grow with the number of probabilities.
     """
-    types = dict((f.name, f.dataType) for f in df.schema.fields)
-    d = df.select(*[num(c, types[c]).alias(f"c{i}") for i, c in enumerate(columns)])
     r0 = d.agg(*[e for i in range(len(columns)) for e in (
         F.count(f"c{i}").alias(f"n{i}"), F.min(f"c{i}").alias(f"lo{i}"),
         F.max(f"c{i}").alias(f"hi{i}"), F.approx_count_distinct(f"c{i}").alias(f"ad{i}"))]).first()

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from facsimile.functions.stats import pct_diff, preservation, safe_corr
 from facsimile.operators.clean import numeric_matrix
 from facsimile.operators.profile import correlation_values, exact_quantiles, hist_bin, missing, num
+from facsimile.session import reused
 from facsimile.schema import (EPS, HIST_BINS, SCORE_GOOD, SCORE_MEDIUM, SHAPE_DEFAULT, SIZE_LARGE,
                               SIZE_MEDIUM, PRIVACY_DEFAULT, PRIVACY_LABELS, common_numeric_columns,
                               kind_of, numeric_columns)
@@ -199,7 +200,11 @@ def shape_scores(o: DataFrame, s: DataFrame, cols: list[str], bins: int = HIST_B
 def similarity_values(original: DataFrame, synthetic: DataFrame) -> dict:
     """H7 + H8 on the numeric matrices (missing -> 0): mean, std and shape similarity."""
     cols = _check_viz_inputs(original, synthetic)
-    o, s = numeric_matrix(original, cols), numeric_matrix(synthetic, cols)
+    with reused(numeric_matrix(original, cols)) as o, reused(numeric_matrix(synthetic, cols)) as s:
+        return _similarity_values(o, s, cols)
+
+
+def _similarity_values(o: DataFrame, s: DataFrame, cols: list[str]) -> dict:
     st = side_stats(o, s, cols)
     if st["rows"][0] < 5 or st["rows"][1] < 5:
         raise ValueError("Need at least 5 samples in both datasets for visualization")

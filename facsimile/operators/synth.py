@@ -23,7 +23,7 @@ from facsimile.functions import rng
 from facsimile.functions.fmt import round2, round_year
 from facsimile.operators.profile import num, profile
 from facsimile.schema import ColumnSpec, SynthConfig
-from facsimile.session import cut_lineage, default_parallelism
+from facsimile.session import cut_lineage, default_parallelism, reused
 
 DRIVER_FREQ_LIMIT = 20000        # distinct values collected to build a broadcast lookup
 BROADCAST_BLOCK_LIMIT = 2000000  # exploded lookup rows allowed in a broadcast
@@ -185,6 +185,12 @@ def synthesize_independent(df: DataFrame, config: SynthConfig | None = None,
     Column order follows the source.  Booleans count as numeric here (as in pandas'
     ``is_numeric_dtype``).  All-null text columns become ''.
     """
+    with reused(df) as d:
+        return _synthesize_independent(d, config, specs, n_rows)
+
+
+def _synthesize_independent(df: DataFrame, config: SynthConfig | None, specs: list[ColumnSpec] | None,
+                            n_rows: int | None) -> DataFrame:
     cfg = config or SynthConfig()
     if specs is None or n_rows is None:
         n_rows, specs = profile(df)

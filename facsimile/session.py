@@ -5,8 +5,10 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
-from pyspark.sql import SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULT_CONF = {
     "spark.ui.enabled": "false",
@@ -73,3 +75,43 @@ def default_parallelism(spark: SparkSession) -> int:
         return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     except Exception:  # noqa: BLE001
         return os.cpu_count() or 8
+
+
+REUSE_MAX_BYTES = 8 << 30   # default for spark.facsimile.reuse.maxBytes
+
+
+def estimated_bytes(df: DataFrame) -> int | None:
+    """Optimizer size estimate of a plan (parquet: file size scaled to the projected columns)."""
+    try:
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # noqa: BLE001
+        return None
+
+
+@contextmanager
+def reused(df: DataFrame, max_bytes: int | None = None):
+    """Keep a (projected) input that several passes will scan.
+
+    Persisted (memory, spilling to disk; lost blocks are recomputed from the source)
+    only when the optimizer's size estimate is at most ``spark.facsimile.reuse.maxBytes``
+    -- beyond that, re-scanning the columnar source is the cheaper plan.  A frame with
+    fewer partitions than the shuffle parallelism is spread first so every core works.
+    Frames that are already cached are used as they are.
+    """
+    spark = df.sparkSession
+    if df.storageLevel != StorageLevel(False, False, False, False, 1):
+        yield df
+        return
+    limit = max_bytes if max_bytes is not None else int(
+        spark.conf.get("spark.facsimile.reuse.maxBytes", str(REUSE_MAX_BYTES)))
+    size = estimated_bytes(df)
+    if size is None or size > limit:
+        yield df
+        return
+    target = default_parallelism(spark)
+    d = df.repartition(target) if df.rdd.getNumPartitions() < target else df
+    d = d.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield d
+    finally:
+        d.unpersist()
