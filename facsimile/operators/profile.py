@@ -72,12 +72,15 @@ def profile(df: DataFrame, columns: list[str] | None = None) -> tuple[int, list[
             t = F.when(F.col(f"x{i}").isNull() | F.col(f"blank{i}"), F.lit(BLANK_FILL)).otherwise(F.col(f"x{i}"))
             proj2 += [F.col(f"blank{i}"), t.alias(f"t{i}"), F.lower(t).alias(f"lt{i}")]
     base = base.select(*proj2)
-    with reused(base) as b:
-        return _profile_passes(b, fields)
+    return _profile_passes(base, fields)
 
 
 def _profile_passes(base: DataFrame, fields) -> tuple[int, list[ColumnSpec]]:
+    # Pass 1 holds only declarative aggregates so it runs in whole-stage codegen; the
+    # distinct-count sketches (imperative aggregates, which would switch the whole
+    # aggregate to the interpreted path) get their own pass.
     aggs = [F.count(F.lit(1)).alias("__rows")]
+    sketches = []
     for i, f in enumerate(fields):
         k = kind_of(f.dataType)
         x = F.col(f"x{i}")
@@ -85,20 +88,21 @@ def _profile_passes(base: DataFrame, fields) -> tuple[int, list[ColumnSpec]]:
         if k in ("numeric", "boolean"):
             aggs += [F.avg(x).alias(f"mean{i}"), F.stddev_samp(x).alias(f"std{i}"),
                      F.min(x).alias(f"min{i}"), F.max(x).alias(f"max{i}"),
-                     F.approx_count_distinct(x).alias(f"ad{i}"),
                      F.coalesce(F.bool_and(x.between(YEAR_MIN, YEAR_MAX)), F.lit(True)).alias(f"yr{i}")]
+            sketches.append(F.approx_count_distinct(x).alias(f"ad{i}"))
         elif k == "string":
             lt = F.col(f"lt{i}")
-            aggs += [F.approx_count_distinct(f"t{i}").alias(f"ad{i}"),
-                     F.min(x).alias(f"min{i}"), F.max(x).alias(f"max{i}"),
+            aggs += [F.min(x).alias(f"min{i}"), F.max(x).alias(f"max{i}"),
                      F.coalesce(F.bool_and(lt.isin(*YES_NO)), F.lit(True)).alias(f"yn{i}"),
                      F.coalesce(F.bool_and(lt.isin(*MALE_FEMALE)), F.lit(True)).alias(f"mf{i}"),
                      F.coalesce(F.bool_and(lt.isin(*TRUE_FALSE)), F.lit(True)).alias(f"tf{i}"),
                      F.count_if(x.isNotNull() & F.col(f"blank{i}")).alias(f"bl{i}")]
+            sketches.append(F.approx_count_distinct(f"t{i}").alias(f"ad{i}"))
         else:
-            aggs += [F.approx_count_distinct(x).alias(f"ad{i}"),
-                     F.min(x).alias(f"min{i}"), F.max(x).alias(f"max{i}")]
+            aggs += [F.min(x).alias(f"min{i}"), F.max(x).alias(f"max{i}")]
+            sketches.append(F.approx_count_distinct(x).alias(f"ad{i}"))
     row = base.agg(*aggs).first().asDict()
+    row.update(base.agg(*sketches).first().asDict())
     n = int(row["__rows"])
     specs: list[ColumnSpec] = []
     exact_needed = []
@@ -156,7 +160,7 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
 
 
 def _exact_quantiles(d: DataFrame, columns: list[str], probs: list[float], group_limit: int, accuracy: int,
-                     max_rounds: int) -> dict[tuple[str, float], float | None]:
+                     max_rounds: int, known: dict | None = None) -> dict[tuple[str, float], float | None]:
     """Exact linear-interpolated quantiles (pandas / DuckDB ``quantile_cont``).
 
     Spark's exact ``percentile`` keeps every distinct value of a column in one buffer.
@@ -168,9 +172,12 @@ def _exact_quantiles(d: DataFrame, columns: list[str], probs: list[float], group
     and picks the target ranks.  Every pass is a scan with a small output, and the
     number of expressions does not grow with the number of probabilities.
     """
-    r0 = d.agg(*[e for i in range(len(columns)) for e in (
-        F.count(f"c{i}").alias(f"n{i}"), F.min(f"c{i}").alias(f"lo{i}"),
-        F.max(f"c{i}").alias(f"hi{i}"), F.approx_count_distinct(f"c{i}").alias(f"ad{i}"))]).first()
+    if known is None:
+        r = d.agg(*[e for i in range(len(columns)) for e in (
+            F.count(f"c{i}").alias(f"n{i}"), F.min(f"c{i}").alias(f"lo{i}"),
+            F.max(f"c{i}").alias(f"hi{i}"), F.approx_count_distinct(f"c{i}").alias(f"ad{i}"))]).first()
+        known = {i: (r[f"n{i}"], r[f"lo{i}"], r[f"hi{i}"], r[f"ad{i}"]) for i in range(len(columns))}
+    r0 = {f"{k}{i}": v for i, vals in known.items() for k, v in zip(("n", "lo", "hi", "ad"), vals)}
     targets = []
     out: dict[tuple[str, float], float | None] = {}
     for i, c in enumerate(columns):
@@ -316,14 +323,21 @@ def to_long(one_row: DataFrame, names: list[str], aliases: list[str], key: str =
 
 
 def describe(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """count, mean, std (n-1), min, 25/50/75 %, max per numeric column, exact."""
+    """count, mean, std (n-1), min, 25/50/75 %, max per numeric column, exact.
+
+    The numeric projection is read once (kept when small enough) and shared by the
+    moment aggregate and the quantile passes.
+    """
     types = dict((f.name, f.dataType) for f in df.schema.fields)
     cols = columns or [f.name for f in df.schema.fields if kind_of(f.dataType) == "numeric"]
-    stats = df.agg(*[e for i, c in enumerate(cols) for e in (
-        F.count(num(c, types[c])).alias(f"n{i}"), F.avg(num(c, types[c])).alias(f"mean{i}"),
-        F.stddev_samp(num(c, types[c])).alias(f"std{i}"), F.min(num(c, types[c])).alias(f"min{i}"),
-        F.max(num(c, types[c])).alias(f"max{i}"))]).first()
-    q = exact_quantiles(df, cols, [0.25, 0.5, 0.75])
+    proj = df.select(*[num(c, types[c]).alias(f"c{i}") for i, c in enumerate(cols)])
+    with reused(proj) as d:
+        stats = d.agg(*[e for i in range(len(cols)) for e in (
+            F.count(f"c{i}").alias(f"n{i}"), F.avg(f"c{i}").alias(f"mean{i}"),
+            F.stddev_samp(f"c{i}").alias(f"std{i}"), F.min(f"c{i}").alias(f"min{i}"),
+            F.max(f"c{i}").alias(f"max{i}"), F.approx_count_distinct(f"c{i}").alias(f"ad{i}"))]).first()
+        known = {i: (stats[f"n{i}"], stats[f"min{i}"], stats[f"max{i}"], stats[f"ad{i}"]) for i in range(len(cols))}
+        q = _exact_quantiles(d, cols, [0.25, 0.5, 0.75], QUANTILE_GROUP_LIMIT, 10000, 8, known)
     rows = [(c, int(stats[f"n{i}"]), stats[f"mean{i}"], stats[f"std{i}"], stats[f"min{i}"],
              q[(c, 0.25)], q[(c, 0.5)], q[(c, 0.75)], stats[f"max{i}"]) for i, c in enumerate(cols)]
     schema = ("column string, count bigint, mean double, std double, min double, p25 double, "
