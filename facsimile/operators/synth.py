@@ -109,6 +109,46 @@ class Lookup:
         self.blocks, self.block, self.broadcastable, self.groups = blocks, block, broadcastable, groups
 
 
+def _lookup_from_rows(spark, rows: list[tuple], dtype: str, grouped: bool) -> Lookup:
+    """Driver-side prefix sums for a proven-small frequency table [(group, value, count)]."""
+    rows = sorted(rows, key=lambda r: ((r[0] if grouped else 0), r[1]))
+    ivs, groups, lo = [], {}, 0
+    for g, v, cnt in rows:
+        g = g if grouped else None
+        if g not in groups:
+            groups[g] = [lo, 0]
+        groups[g][1] += cnt
+        ivs.append((v, lo, lo + cnt))
+        lo += cnt
+    if not grouped and None not in groups:
+        groups[None] = [0, 0]
+    block = max(1, math.ceil(lo / max(1, len(ivs))))
+    tbl = [(b, v, a, z) for v, a, z in ivs for b in range(a // block, (z - 1) // block + 1)]
+    blocks = spark.createDataFrame(tbl, f"block long, v {dtype}, lo long, hi long")
+    return Lookup(blocks, block, True, {g: tuple(x) for g, x in groups.items()})
+
+
+def small_lookups(df: DataFrame, columns: list[str]) -> dict[str, Lookup]:
+    """Lookups of several small columns from ONE scan: each row is exploded into one
+    typed cell per column, counted per (column, value), and collected (bounded by the
+    distinct counts the caller checked)."""
+    if not columns:
+        return {}
+    cells = [F.struct(F.lit(k).alias("k"), *[(F.col(c) if j == k else F.lit(None).cast(df.schema[c].dataType))
+                                              .alias(f"v{j}") for j, c in enumerate(columns)])
+             for k, c in enumerate(columns)]
+    long = df.select(F.explode(F.array(*cells)).alias("z")).select("z.*")
+    keep = F.lit(False)
+    for k in range(len(columns)):
+        keep = keep | ((F.col("k") == k) & F.col(f"v{k}").isNotNull())
+    rows = long.where(keep).groupBy(*long.columns).agg(F.count(F.lit(1)).alias("cnt")).collect()
+    out = {}
+    for k, c in enumerate(columns):
+        mine = [(None, r[f"v{k}"], r["cnt"]) for r in rows if r["k"] == k]
+        out[c] = _lookup_from_rows(df.sparkSession, mine, df.schema[c].dataType.simpleString(), False)
+    return out
+
+
 def categorical_lookup(df: DataFrame, column: str, spec: ColumnSpec | None = None,
                        group: str | None = None) -> Lookup:
     spark = df.sparkSession
@@ -119,19 +159,8 @@ def categorical_lookup(df: DataFrame, column: str, spec: ColumnSpec | None = Non
     if d_est is not None and d_est <= DRIVER_FREQ_LIMIT:
         rows = freq.collect()   # bounded: distinct (group, value) pairs, checked below
         if len(rows) <= DRIVER_FREQ_LIMIT * 4:
-            rows.sort(key=lambda r: ((r["g"] if group else 0), r["v"]))
-            ivs, groups, lo = [], {}, 0
-            for r in rows:
-                g = r["g"] if group else None
-                if g not in groups:
-                    groups[g] = [lo, 0]
-                groups[g][1] += r["cnt"]
-                ivs.append((r["v"], lo, lo + r["cnt"]))
-                lo += r["cnt"]
-            block = max(1, math.ceil(lo / max(1, len(ivs))))
-            tbl = [(b, v, a, z) for v, a, z in ivs for b in range(a // block, (z - 1) // block + 1)]
-            blocks = spark.createDataFrame(tbl, f"block long, v {dtype}, lo long, hi long")
-            return Lookup(blocks, block, True, {g: tuple(x) for g, x in groups.items()})
+            return _lookup_from_rows(spark, [((r["g"] if group else None), r["v"], r["cnt"]) for r in rows],
+                                     dtype, bool(group))
     order = (["g"] if group else []) + ["v"]
     intervals = _offsets_distributed(freq, order)
     if group:
@@ -155,11 +184,12 @@ def _group_lookup(groups: dict, group: str | None, which: int) -> Column:
 
 
 def resample_column(ids: DataFrame, df: DataFrame, column: str, spec: ColumnSpec | None,
-                    seed: int, fast: bool, out: str | None = None, group: str | None = None) -> DataFrame:
+                    seed: int, fast: bool, out: str | None = None, group: str | None = None,
+                    lookup: Lookup | None = None) -> DataFrame:
     """Add ``out`` (default ``column``) to ``ids`` by weighted resampling of ``df[column]``
     (within the row's ``group`` when given).  A group with no value gets ''."""
     out = out or column
-    lk = categorical_lookup(df, column, spec, group)
+    lk = lookup if lookup is not None else categorical_lookup(df, column, spec, group)
     vtype = lk.blocks.schema["v"].dataType
     start, count = _group_lookup(lk.groups, group, 0), _group_lookup(lk.groups, group, 1)
     idx = start + F.floor(rng.uniform(F.col("id"), column, seed, fast) * count).cast("long")
@@ -207,12 +237,14 @@ def _synthesize_independent(df: DataFrame, config: SynthConfig | None, specs: li
         s = by_name[c]
         exprs.append(format_numeric(numeric_draw(F.col("id"), s, cfg.seed, cfg.fast), s, cfg.keep_int).alias(c))
     out = ids.select(*exprs)
+    small = [c for c in cat_cols if 0 < by_name[c].count and by_name[c].distinct <= DRIVER_FREQ_LIMIT]
+    lookups = small_lookups(df, small)
     for c in cat_cols:
         s = by_name[c]
         if s.count == 0:
             out = out.withColumn(c, F.lit(""))
             continue
-        out = resample_column(out, df.select(c), c, s, cfg.seed, cfg.fast)
+        out = resample_column(out, df.select(c), c, s, cfg.seed, cfg.fast, lookup=lookups.get(c))
         if cfg.stringify:
             out = out.withColumn(c, F.col(c).cast("string"))
     cols = (["id"] if cfg.keep_id else []) + list(df.columns)
