@@ -1,5 +1,5 @@
-"""Gaussian-copula synthesis (F1), after the published method (Patki, Wedge and
-Veeramachaneni, "The Synthetic Data Vault", 2016), built from Spark aggregates.
+"""Gaussian-copula synthesis (F1), after the published method for synthetic tables
+(Patki, Wedge and Veeramachaneni, IEEE DSAA 2016), built from Spark aggregates.
 
 Fit (a few small jobs): marginal quantile knots of every continuous column at
 Phi(z) for z = -4..4 step 0.05 (exact quantiles, so the same on any partitioning); category
