@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from facsimile.functions.fmt import is_blank
-from facsimile.functions.stats import safe_corr
+from facsimile.functions.stats import exact_avg, safe_corr
 from facsimile.session import reused
 from facsimile.schema import (BLANK_FILL, HIST_BINS, MALE_FEMALE, TRUE_FALSE, YEAR_MAX,
                               YEAR_MAX_DISTINCT, YEAR_MIN, YES_NO, ColumnSpec, is_year_name,
@@ -333,10 +333,11 @@ def describe(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     proj = df.select(*[num(c, types[c]).alias(f"c{i}") for i, c in enumerate(cols)])
     with reused(proj) as d:
         stats = d.agg(*[e for i in range(len(cols)) for e in (
-            F.count(f"c{i}").alias(f"n{i}"), F.avg(f"c{i}").alias(f"mean{i}"),
+            F.count(f"c{i}").alias(f"n{i}"), exact_avg(F.col(f"c{i}")).alias(f"mean{i}"),
             F.stddev_samp(f"c{i}").alias(f"std{i}"), F.min(f"c{i}").alias(f"min{i}"),
-            F.max(f"c{i}").alias(f"max{i}"), F.approx_count_distinct(f"c{i}").alias(f"ad{i}"))]).first()
-        known = {i: (stats[f"n{i}"], stats[f"min{i}"], stats[f"max{i}"], stats[f"ad{i}"]) for i in range(len(cols))}
+            F.max(f"c{i}").alias(f"max{i}"))]).first()
+        sk = d.agg(*[F.approx_count_distinct(f"c{i}").alias(f"ad{i}") for i in range(len(cols))]).first()
+        known = {i: (stats[f"n{i}"], stats[f"min{i}"], stats[f"max{i}"], sk[f"ad{i}"]) for i in range(len(cols))}
         q = _exact_quantiles(d, cols, [0.25, 0.5, 0.75], QUANTILE_GROUP_LIMIT, 10000, 8, known)
     rows = [(c, int(stats[f"n{i}"]), stats[f"mean{i}"], stats[f"std{i}"], stats[f"min{i}"],
              q[(c, 0.25)], q[(c, 0.5)], q[(c, 0.75)], stats[f"max{i}"]) for i, c in enumerate(cols)]

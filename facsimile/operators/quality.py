@@ -11,7 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from facsimile.functions.stats import pct_diff, preservation, safe_corr
+from facsimile.functions.stats import exact_avg, pct_diff, preservation, safe_corr
 from facsimile.operators.clean import numeric_matrix
 from facsimile.operators.profile import correlation_values, exact_quantiles, hist_bin, missing, num
 from facsimile.session import reused
@@ -33,7 +33,7 @@ def side_stats(original: DataFrame, synthetic: DataFrame, columns: list[str]) ->
     aggs = [F.count(F.lit(1)).alias("__rows")]
     for i in range(len(columns)):
         x = F.col(f"c{i}")
-        aggs += [F.avg(x).alias(f"a{i}"), F.stddev_samp(x).alias(f"s{i}"), F.min(x).alias(f"lo{i}"),
+        aggs += [exact_avg(x).alias(f"a{i}"), F.stddev_samp(x).alias(f"s{i}"), F.min(x).alias(f"lo{i}"),
                  F.max(x).alias(f"hi{i}")]
     rows = {r["__side"]: r for r in u.groupBy("__side").agg(*aggs).collect()}
     out = {"rows": [rows[k]["__rows"] if k in rows else 0 for k in (0, 1)], "columns": {}}
@@ -288,7 +288,7 @@ def profile_side(df: DataFrame, side: str) -> DataFrame:
     types = dict((f.name, f.dataType) for f in fields)
     agg = df.agg(*[F.count_if(missing(f.name, f.dataType)).alias(f"m{i}") for i, f in enumerate(fields)],
                  *[e for j, c in enumerate(numeric) for e in (
-                     F.count(num(c, types[c])).alias(f"n{j}"), F.avg(num(c, types[c])).alias(f"a{j}"),
+                     F.count(num(c, types[c])).alias(f"n{j}"), exact_avg(num(c, types[c])).alias(f"a{j}"),
                      F.stddev_samp(num(c, types[c])).alias(f"s{j}"), F.min(num(c, types[c])).alias(f"lo{j}"),
                      F.max(num(c, types[c])).alias(f"hi{j}"))]).first()
     q = exact_quantiles(df, numeric, [0.25, 0.5, 0.75]) if numeric else {}

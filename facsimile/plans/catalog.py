@@ -492,8 +492,8 @@ def q_size_ratio(spark, sf_dir):
 
 
 @query("align_stats",
-       f"SELECT position, \"column\", round(orig_mean, 6) AS orig_mean, round(orig_std, 6) AS orig_std, "
-       f"round(synth_mean, 6) AS synth_mean, round(synth_std, 6) AS synth_std FROM {Q.stats_pair_sql(LI_EVEN, LI_ODD, LI_NUM)}")
+       f"SELECT position, \"column\", orig_mean6 AS orig_mean, round(orig_std, 6) AS orig_std, "
+       f"synth_mean6 AS synth_mean, round(synth_std, 6) AS synth_std FROM {Q.stats_pair_sql(LI_EVEN, LI_ODD, LI_NUM)}")
 def q_align_stats(spark, sf_dir):
     a, b = li_halves(spark, sf_dir)
     return r6(quality.column_stats_pair(a, b))
@@ -576,7 +576,7 @@ def _profile_side_sql(table: str, side: str) -> str:
                 f"count(*) FILTER (WHERE {c} IS NULL) AS missing, "
         if t in ("bigint", "double"):
             x = Q.num(c)
-            parts.append(head_ + f"count({x}) AS count, round(avg({x}), 6) AS mean, round(stddev_samp({x}), 6) AS std, "
+            parts.append(head_ + f"count({x}) AS count, {Q.exact_mean6(x)} AS mean, round(stddev_samp({x}), 6) AS std, "
                          f"round(min({x}), 6) AS min, round(quantile_cont({x}, 0.25), 6) AS p25, "
                          f"round(quantile_cont({x}, 0.5), 6) AS p50, round(quantile_cont({x}, 0.75), 6) AS p75, "
                          f"round(max({x}), 6) AS max FROM {table}")

@@ -30,12 +30,20 @@ def r6(expr: str) -> str:
     return f"round(CAST({expr} AS DOUBLE), 6)"
 
 
+def exact_mean6(x: str) -> str:
+    """Mean of the decimal values of x, rounded half up to 6 places, in integer arithmetic
+    (the twin of ``exact_avg`` followed by a 6-place round; values assumed >= 0 mean)."""
+    scaled = f"CAST(CAST(CAST(CAST({x} AS VARCHAR) AS DECIMAL(38, 10)) * 10000000000 AS DECIMAL(38, 0)) AS HUGEINT)"
+    return (f"(CAST((2 * sum({scaled}) + count({x}) * 10000) // (2 * count({x}) * 10000) AS DOUBLE) "
+            f"/ {d(1000000.0)})")
+
+
 def describe_sql(table: str, cols: list[str]) -> str:
     parts = []
     for c in cols:
         x = num(c)
         parts.append(
-            f"SELECT '{c}' AS \"column\", count({x}) AS count, {r6(f'avg({x})')} AS mean, "
+            f"SELECT '{c}' AS \"column\", count({x}) AS count, {exact_mean6(x)} AS mean, "
             f"{r6(f'stddev_samp({x})')} AS std, {r6(f'min({x})')} AS min, "
             f"{r6(f'quantile_cont({x}, 0.25)')} AS p25, {r6(f'quantile_cont({x}, 0.5)')} AS p50, "
             f"{r6(f'quantile_cont({x}, 0.75)')} AS p75, {r6(f'max({x})')} AS max FROM {table}")
@@ -61,11 +69,13 @@ def corr_matrix_sql(table: str, cols: list[str]) -> str:
 def mean_std_sql(table: str, cols: list[str], prefix: str) -> str:
     return "\nUNION ALL\n".join(
         f"SELECT '{c}' AS \"column\", {i} AS position, avg({num(c)}) AS {prefix}_mean, "
-        f"stddev_samp({num(c)}) AS {prefix}_std FROM {table}" for i, c in enumerate(cols))
+        f"{exact_mean6(num(c))} AS {prefix}_mean6, stddev_samp({num(c)}) AS {prefix}_std FROM {table}"
+        for i, c in enumerate(cols))
 
 
 def stats_pair_sql(orig: str, synth: str, cols: list[str]) -> str:
-    return (f"(SELECT o.position, o.\"column\", o.orig_mean, o.orig_std, s.synth_mean, s.synth_std "
+    return (f"(SELECT o.position, o.\"column\", o.orig_mean, o.orig_mean6, o.orig_std, s.synth_mean, "
+            f"s.synth_mean6, s.synth_std "
             f"FROM ({mean_std_sql(orig, cols, 'orig')}) o JOIN ({mean_std_sql(synth, cols, 'synth')}) s "
             f"ON o.\"column\" = s.\"column\")")
 

@@ -31,7 +31,7 @@ def norm(v):
     if isinstance(v, float):
         if math.isnan(v):
             return "\x00null"
-        return repr(round(v, 6) + 0.0)
+        return repr(v + 0.0)   # exact: the driver hashes values, so no extra rounding here
     if hasattr(v, "isoformat"):
         return v.isoformat(sep=" ") if hasattr(v, "hour") else v.isoformat()
     if isinstance(v, (list, tuple)):
