@@ -816,7 +816,7 @@ def q_value_rules(spark, sf_dir):
        "SELECT p_partkey, lower(p_name) AS name_lower, replace(p_name, ' ', '_') AS name_snake, "
        "starts_with(p_brand, 'Brand#1') AS brand_1x, ends_with(p_name, 'bolt') AS is_bolt, "
        "contains(p_name, 'red') AS has_red, regexp_replace(p_type, '[AEIOU]', '', 'g') AS type_consonants, "
-       "to_json({'p_partkey': p_partkey, 'p_size': p_size}) AS as_json FROM part")
+       "CAST(to_json({'p_partkey': p_partkey, 'p_size': p_size}) AS VARCHAR) AS as_json FROM part")
 def q_scalar_text(spark, sf_dir):
     p = load(spark, sf_dir, "part")
     return p.select("p_partkey", F.lower("p_name").alias("name_lower"),
