@@ -89,3 +89,24 @@ def batch_status(original: DataFrame, synthetic: DataFrame, key: str = "dataset"
 
 def any_success(status: DataFrame) -> bool:
     return status.agg(F.count_if(F.col("status") == "Success").alias("k")).first()["k"] > 0
+
+
+def run_batch(spark, paths: list[str], output_dir: str, config: SynthConfig | None = None):
+    """The batch flow: read many CSV files (bad ones reported, not fatal), synthesise
+    every good dataset in one job, write one folder per dataset, return the status.
+
+    Output folders follow the '<name>_synthetic.csv' naming as partition values.
+    """
+    from facsimile.functions.text import synthetic_file_name
+    from facsimile.sources import io
+
+    data, load_status = io.read_csv_files(spark, paths)
+    fake = synthesize_batch(data, "dataset", config)
+    fake = fake.withColumn("dataset", synthetic_file_name(F.col("dataset")))
+    io.write_batch(fake.drop("id"), output_dir)
+    written = io.read_batch(spark, output_dir)
+    st = batch_status(data.withColumn("dataset", synthetic_file_name(F.col("dataset"))), written)
+    failed = (load_status.where(F.col("status") != "Loaded")
+              .select(synthetic_file_name(F.col("dataset")).alias("dataset"), F.col("rows").alias("original_rows"),
+                      F.lit(0).cast("bigint").alias("synthetic_rows"), "status"))
+    return st.unionByName(failed)

@@ -70,3 +70,30 @@ def synthesize(df: DataFrame, config: SynthConfig | None = None,
         return synthesize_copula(data, cfg), "copula"
     except (ValueError, ArithmeticError, RuntimeError):
         return synthesize_independent(data, cfg), "independent"
+
+
+def run_generation(spark, input_path: str, output_dir: str | None = None, config: SynthConfig | None = None,
+                   columns: list[str] | None = None, formats: tuple[str, ...] = ("csv", "json"),
+                   header_row: int = 0):
+    """The whole generation flow: read -> synthesize -> write -> report.
+
+    Returns (synthetic DataFrame, method used, quality report DataFrame).  Outputs go to
+    ``output_dir`` (a shared folder on a cluster) as ``synthetic_csv`` / ``synthetic_json``.
+    """
+    from facsimile.operators.quality import quality_report
+    from facsimile.sources import io
+
+    kw = {"header_row": header_row} if input_path.lower().endswith(".xlsx") else {}
+    source = io.load_table(spark, input_path, **kw)
+    if "source_file" in source.columns:
+        source = source.drop("source_file")
+    data = select_lenient(source, columns)
+    fake, method = synthesize(data, config)
+    if output_dir:
+        if "csv" in formats:
+            io.write_csv(fake, f"{output_dir}/synthetic_csv")
+        if "json" in formats:
+            io.write_json(fake, f"{output_dir}/synthetic_json")
+        # read back what was written so the report scores the delivered table
+        fake = io.read_csv(spark, f"{output_dir}/synthetic_csv") if "csv" in formats else fake
+    return fake, method, quality_report(data, fake, method)
