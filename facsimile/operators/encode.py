@@ -147,7 +147,11 @@ def decode(df: DataFrame, enc: Encoding) -> DataFrame:
     return df.select(*[(decode_column(c, enc) if c in enc.dictionary else F.col(c)) for c in df.columns])
 
 
-def hash_encode(c: Column, buckets: int = HASH_BUCKETS) -> Column:
-    """Stable hash bucket of the text (the source's per-process salted hash is not
-    reproducible; xxhash64 is)."""
-    return F.pmod(F.xxhash64(c.cast("string")), F.lit(buckets))
+def hash_encode(c: Column, buckets: int = HASH_BUCKETS, fast: bool = False) -> Column:
+    """Stable hash bucket of the text.  The source's per-process salted hash is not
+    reproducible; the md5 form (first 60 bits) gives the same bucket in any engine,
+    ``fast`` uses xxhash64 (cheaper, Spark only)."""
+    if fast:
+        return F.pmod(F.xxhash64(c.cast("string")), F.lit(buckets))
+    h = F.conv(F.substring(F.md5(c.cast("string")), 1, 15), 16, 10).cast("long")
+    return F.pmod(h, F.lit(buckets))

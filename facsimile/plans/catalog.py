@@ -265,7 +265,9 @@ def q_preprocess_table(spark, sf_dir):
     return r6(out)
 
 
-@query("hash_encode")
+@query("hash_encode",
+       "SELECT o_orderkey, (('0x' || substr(md5(CAST(o_orderpriority AS VARCHAR)), 1, 15))::BIGINT % 10000) AS bucket "
+       "FROM orders")
 def q_hash_encode(spark, sf_dir):
     o = load(spark, sf_dir, "orders")
     return o.select("o_orderkey", encode.hash_encode(F.col("o_orderpriority")).alias("bucket"))

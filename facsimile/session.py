@@ -18,6 +18,8 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # smaller generated methods keep wide one-pass aggregates inside the JIT's limits
+    "spark.sql.codegen.methodSplitThreshold": "256",
 }
 
 
