@@ -92,8 +92,9 @@ def _profile_passes(base: DataFrame, fields) -> tuple[int, list[ColumnSpec]]:
             sketches.append(F.approx_count_distinct(x).alias(f"ad{i}"))
         elif k == "string":
             lt = F.col(f"lt{i}")
-            aggs += [F.min(x).alias(f"min{i}"), F.max(x).alias(f"max{i}"),
-                     F.coalesce(F.bool_and(lt.isin(*YES_NO)), F.lit(True)).alias(f"yn{i}"),
+            # no min/max of text here: a string aggregate buffer would force the slow
+            # sort-based, interpreted aggregation on the whole pass
+            aggs += [F.coalesce(F.bool_and(lt.isin(*YES_NO)), F.lit(True)).alias(f"yn{i}"),
                      F.coalesce(F.bool_and(lt.isin(*MALE_FEMALE)), F.lit(True)).alias(f"mf{i}"),
                      F.coalesce(F.bool_and(lt.isin(*TRUE_FALSE)), F.lit(True)).alias(f"tf{i}"),
                      F.count_if(x.isNotNull() & F.col(f"blank{i}")).alias(f"bl{i}")]
