@@ -111,7 +111,11 @@ def reused(df: DataFrame, max_bytes: int | None = None):
         yield df
         return
     target = default_parallelism(spark)
-    d = df.repartition(target) if df.rdd.getNumPartitions() < target else df
+    try:
+        parts = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - sessions without RDD access
+        parts = target
+    d = df.repartition(target) if parts < target else df
     d = d.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         yield d
