@@ -30,30 +30,27 @@ def uniform(row_id: Column, stream: str, seed: int = 42, fast: bool = False) ->
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(TWO_POW_52)
 
 
-def uniform_sql(id_sql: str, stream: str, seed: int = 42) -> str:
-    """The DuckDB twin of :func:`uniform` (md5 form)."""
-    return (f"(('0x' || substr(md5(concat(CAST({id_sql} AS VARCHAR), ':', '{stream}', ':', "
-            f"'{seed}')), 1, 13))::BIGINT::DOUBLE / {TWO_POW_52!r})")
-
-
 def uniform_between(row_id: Column, stream: str, lo: float, hi: float, seed: int = 42,
                     fast: bool = False) -> Column:
     return F.lit(float(lo)) + (F.lit(float(hi)) - F.lit(float(lo))) * uniform(row_id, stream, seed, fast)
 
 
+def uniform_pair(row_id: Column, stream: str, seed: int = 42, fast: bool = False) -> tuple[Column, Column]:
+    """Two independent U[0,1) from ONE digest: md5 hex digits 1-13 and 14-26 (52 bits
+    each), or two xxhash64 seeds.  One md5 per normal instead of two."""
+    if fast:
+        return uniform(row_id, stream + "#1", seed, True), uniform(row_id, stream + "#2", seed, True)
+    digest = F.md5(_key(row_id, stream, seed))
+    to_u = lambda start: F.conv(F.substring(digest, start, 13), 16, 10).cast("double") / F.lit(TWO_POW_52)
+    return to_u(1), to_u(14)
+
+
 def standard_normal(row_id: Column, stream: str, seed: int = 42, fast: bool = False) -> Column:
     """Box-Muller on two independent uniforms: sqrt(-2 ln(1-u1)) cos(2 pi u2)."""
-    u1 = uniform(row_id, stream + "#1", seed, fast)
-    u2 = uniform(row_id, stream + "#2", seed, fast)
+    u1, u2 = uniform_pair(row_id, stream, seed, fast)
     return F.sqrt(F.lit(-2.0) * F.log(F.lit(1.0) - u1)) * F.cos(F.lit(2.0 * math.pi) * u2)
 
 
-def standard_normal_sql(id_sql: str, stream: str, seed: int = 42) -> str:
-    u1 = uniform_sql(id_sql, stream + "#1", seed)
-    u2 = uniform_sql(id_sql, stream + "#2", seed)
-    return f"(sqrt(-2.0 * ln(1.0 - {u1})) * cos({2.0 * math.pi!r} * {u2}))"
-
-
 def normal(row_id: Column, stream: str, mean: float, std: float, seed: int = 42,
            fast: bool = False) -> Column:
     return F.lit(float(mean)) + F.lit(float(std)) * standard_normal(row_id, stream, seed, fast)

@@ -18,7 +18,10 @@ def u_sql(id_sql: str, stream: str, seed: int = 42) -> str:
 
 
 def z_sql(id_sql: str, stream: str, seed: int = 42) -> str:
-    u1, u2 = u_sql(id_sql, stream + "#1", seed), u_sql(id_sql, stream + "#2", seed)
+    """Box-Muller on the two uniforms of one md5 digest (hex digits 1-13 and 14-26)."""
+    h = f"md5(concat(CAST({id_sql} AS VARCHAR), ':', '{stream}', ':', '{seed}'))"
+    u1 = f"(('0x' || substr({h}, 1, 13))::BIGINT::DOUBLE / {d(TWO_POW_52)})"
+    u2 = f"(('0x' || substr({h}, 14, 13))::BIGINT::DOUBLE / {d(TWO_POW_52)})"
     return f"(sqrt({d(-2.0)} * ln({d(1.0)} - {u1})) * cos({d(2.0 * math.pi)} * {u2}))"
 
 
