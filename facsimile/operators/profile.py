@@ -192,7 +192,7 @@ def _exact_quantiles(d: DataFrame, columns: list[str], probs: list[float], group
             r_hi = min(int(math.ceil(h)), n - 1)
             targets.append(dict(col=i, name=c, p=p, r_lo=r_lo, r_hi=r_hi, frac=h - r_lo,
                                 L=float(r0[f"lo{i}"]), U=float(r0[f"hi{i}"]), below=0, inside=n,
-                                distinct=r0[f"ad{i}"], done=False))
+                                distinct=r0[f"ad{i}"], done=False, margin=3.0))
 
     for _ in range(max_rounds):
         active = [t for t in targets if not t["done"] and t["distinct"] > group_limit and t["L"] < t["U"]]
@@ -207,8 +207,8 @@ def _exact_quantiles(d: DataFrame, columns: list[str], probs: list[float], group
             x = F.col(f"c{ci}")
             qs = []
             for t in ts:
-                qs += [max(0.0, (t["r_lo"] - below) / inside - 3.0 / accuracy),
-                       min(1.0, (t["r_hi"] + 1 - below) / inside + 3.0 / accuracy)]
+                qs += [max(0.0, (t["r_lo"] - below) / inside - t["margin"] / accuracy),
+                       min(1.0, (t["r_hi"] + 1 - below) / inside + t["margin"] / accuracy)]
             exprs.append(F.percentile_approx(F.when(x.between(F.lit(L), F.lit(U)), x),
                                              F.array(*[F.lit(q) for q in qs]), accuracy).alias(f"a{k}"))
         ra = d.agg(*exprs).first()
@@ -251,8 +251,15 @@ def _exact_quantiles(d: DataFrame, columns: list[str], probs: list[float], group
             ci = t["col"]
             below = t["below"] + count_between(ci, t["L"], t["nL"], False)[0]
             inside, dn = count_between(ci, t["nL"], t["nU"], True)
-            if not (below <= t["r_lo"] and below + inside > t["r_hi"]) or inside >= t["inside"]:
-                t["done"] = True          # no safe progress: rank the current bracket exactly
+            if not (below <= t["r_lo"] and below + inside > t["r_hi"]):
+                # the proposed bounds missed the rank: retry with a wider margin rather
+                # than ranking a large bracket in one window group
+                t["margin"] *= 4
+                if t["margin"] * 2 > accuracy:
+                    t["done"] = True
+                continue
+            if inside >= t["inside"]:
+                t["done"] = True          # no progress (ties): rank the current bracket exactly
                 continue
             t.update(L=t["nL"], U=t["nU"], below=below, inside=inside, distinct=dn)
 
