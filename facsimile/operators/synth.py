@@ -232,10 +232,10 @@ def _synthesize_independent(df: DataFrame, config: SynthConfig | None, specs: li
     for c in df.columns:
         s = by_name[c]
         (num_cols if s.kind in ("numeric", "boolean") else cat_cols).append(c)
-    exprs = [F.col("id")]
-    for c in num_cols:
-        s = by_name[c]
-        exprs.append(format_numeric(numeric_draw(F.col("id"), s, cfg.seed, cfg.fast), s, cfg.keep_int).alias(c))
+    draws = {c: numeric_draw(F.col("id"), by_name[c], cfg.seed, cfg.fast) for c in num_cols}
+    if cfg.year_rule_on == "synthetic" and num_cols:
+        by_name = {**by_name, **synthetic_year_rule(ids, draws, by_name)}
+    exprs = [F.col("id")] + [format_numeric(draws[c], by_name[c], cfg.keep_int).alias(c) for c in num_cols]
     out = ids.select(*exprs)
     small = [c for c in cat_cols if 0 < by_name[c].count and by_name[c].distinct <= DRIVER_FREQ_LIMIT]
     lookups = small_lookups(df, small)
@@ -251,6 +251,29 @@ def _synthesize_independent(df: DataFrame, config: SynthConfig | None, specs: li
     return out.select(*cols)
 
 
+def synthetic_year_rule(ids: DataFrame, draws: dict[str, Column], specs: dict[str, ColumnSpec]) -> dict:
+    """The source's variant of the value rule: judged on the *synthetic* draws (all in
+    1900..2100 and fewer than 200 distinct).  One aggregate over the generated ids; the
+    exact distinct count is only taken for columns whose draws are all in range and whose
+    sketch is small, so the set stays bounded."""
+    from dataclasses import replace
+
+    cols = [c for c in draws if specs[c].kind == "numeric"]
+    if not cols:
+        return {}
+    gen = ids.select(*[draws[c].alias(f"d{i}") for i, c in enumerate(cols)])
+    r = gen.agg(*[e for i in range(len(cols)) for e in (
+        F.coalesce(F.bool_and(F.col(f"d{i}").between(1900, 2100)), F.lit(True)).alias(f"in{i}"),
+        F.approx_count_distinct(f"d{i}").alias(f"ad{i}"))]).first()
+    small = [i for i in range(len(cols)) if r[f"in{i}"] and r[f"ad{i}"] < 1000]
+    exact = gen.agg(*[F.size(F.collect_set(f"d{i}")).alias(f"n{i}") for i in small]).first() if small else {}
+    out = {}
+    for i, c in enumerate(cols):
+        by_value = i in small and exact[f"n{i}"] < 200
+        out[c] = replace(specs[c], year_by_value=by_value)
+    return out
+
+
 # ---------------------------------------------------------------- sample table
 
 # Fixed values of the built-in sample table (energy use of buildings).

@@ -114,3 +114,13 @@ def test_fast_uniform_in_range(spark):
     u = spark.range(20000).select(rng.uniform(F.col("id"), "s", 1, fast=True).alias("u"))
     r = u.agg(F.min("u"), F.max("u"), F.avg("u")).first()
     assert 0 <= r[0] and r[1] < 1 and abs(r[2] - 0.5) < 0.01
+
+
+def test_year_rule_on_synthetic_values(spark, tables):
+    """A year column judged on its normal draws usually fails the value rule (the source's
+    behaviour); judged on the source it stays integral (the default)."""
+    o = tables("orders", "/root/testdata/sf0.01").select(F.year("o_orderdate").cast("double").alias("y"))
+    src = synth.synthesize_independent(o, SynthConfig(num_samples=2000))
+    syn = synth.synthesize_independent(o, SynthConfig(num_samples=2000, year_rule_on="synthetic"))
+    assert dict(src.dtypes)["y"] == "bigint"
+    assert dict(syn.dtypes)["y"] == "double"
