@@ -124,3 +124,19 @@ def test_year_rule_on_synthetic_values(spark, tables):
     syn = synth.synthesize_independent(o, SynthConfig(num_samples=2000, year_rule_on="synthetic"))
     assert dict(src.dtypes)["y"] == "bigint"
     assert dict(syn.dtypes)["y"] == "double"
+
+
+def test_format_rule_variants(spark):
+    from facsimile.operators.profile import profile
+    df = spark.createDataFrame([(2001.4, 1999.6, 12, 3.14159), (2002.5, 2000.2, 7, 2.71828)],
+                               "yr double, fiscal_year double, k int, x double")
+    _, specs = profile(df)
+    full = dict(format_types(df, specs).dtypes)
+    assert full == {"yr": "bigint", "fiscal_year": "bigint", "k": "double", "x": "double"}
+    short = format_types(df, specs, rule="short").collect()
+    # 'fiscal_year' is year-like by name only in the full rule, but its values pass the value rule
+    assert [r["yr"] for r in short] == [2001, 2002]
+    floats = dict(format_types(df, specs, floats_only=True).dtypes)
+    assert floats["k"] == "int"
+    assert dict(format_types(df, specs, keep_int=True).dtypes)["k"] == "int"
+    assert [r["x"] for r in format_types(df, specs).collect()] == [3.14, 2.72]
