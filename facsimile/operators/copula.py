@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from facsimile.functions import rng
+from facsimile.functions.consts import double_array
 from facsimile.functions.fmt import round_year
 from facsimile.operators.encode import build_dictionary, decode_column, Encoding
 from facsimile.operators.profile import (correlation_values, exact_quantiles, filled_text, modes, num,
@@ -154,8 +155,8 @@ def _latent_frame(df: DataFrame, m: CopulaModel, types) -> DataFrame:
             continue
         uniq, zval = zmaps[i]
         # bucket b (1..len(uniq)-1 inside) lies between uniq[b-1] and uniq[b]
-        xs = F.array(*[F.lit(v) for v in uniq])
-        zs = F.array(*[F.lit(v) for v in zval])
+        xs = double_array(uniq)
+        zs = double_array(zval)
         b = F.col(f"b{i}").cast("int")
         lo_i = F.least(F.greatest(b, F.lit(1)), F.lit(len(uniq) - 1))
         x0, x1 = F.element_at(xs, lo_i), F.element_at(xs, lo_i + 1)
@@ -190,7 +191,7 @@ def sample_copula(df: DataFrame, model: CopulaModel, n: int, seed: int = 42, fas
                 F.lit(0.0))
         if model.kind[c] == "continuous":
             kn = model.knots[c]
-            arr = F.array(*[F.lit(v) for v in kn])
+            arr = double_array(kn)
             t = (F.least(F.greatest(z, F.lit(Z_LO)), F.lit(-Z_LO)) - F.lit(Z_LO)) / F.lit(Z_STEP)
             k = F.least(F.floor(t).cast("int"), F.lit(Z_N - 2))
             frac = t - k

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from facsimile.functions.consts import double_array, long_to_longs_map
 from facsimile.functions.fmt import is_blank
 from facsimile.functions.stats import exact_avg, safe_corr
 from facsimile.session import reused
@@ -210,7 +211,7 @@ def _exact_quantiles(d: DataFrame, columns: list[str], probs: list[float], group
                 qs += [max(0.0, (t["r_lo"] - below) / inside - t["margin"] / accuracy),
                        min(1.0, (t["r_hi"] + 1 - below) / inside + t["margin"] / accuracy)]
             exprs.append(F.percentile_approx(F.when(x.between(F.lit(L), F.lit(U)), x),
-                                             F.array(*[F.lit(q) for q in qs]), accuracy).alias(f"a{k}"))
+                                             double_array(qs), accuracy).alias(f"a{k}"))
         ra = d.agg(*exprs).first()
         for k, (_, ts) in enumerate(grouped.items()):
             a = ra[f"a{k}"]
@@ -224,7 +225,7 @@ def _exact_quantiles(d: DataFrame, columns: list[str], probs: list[float], group
         b = _bucketize(d, splits)
         cells = []
         for ci, sp in splits.items():
-            arr = F.array(*[F.lit(v) for v in [-math.inf] + sp])
+            arr = double_array([-math.inf] + sp)
             bk = F.col(f"b{ci}").cast("int")
             x = F.col(f"c{ci}")
             cells.append(F.when(x.isNotNull(), F.struct(F.lit(ci).alias("ci"), bk.alias("b"),
@@ -296,8 +297,7 @@ def _exact_quantiles(d: DataFrame, columns: list[str], probs: list[float], group
             for k, (_, _, below_m, ts) in enumerate(ms):
                 for t in ts:
                     wanted.setdefault(ci * 100000 + k, set()).update((t["r_lo"] - below_m, t["r_hi"] - below_m))
-        ranks = F.create_map(*[e for g, rs in wanted.items()
-                               for e in (F.lit(g), F.array(*[F.lit(r) for r in sorted(rs)]))])
+        ranks = long_to_longs_map({g: sorted(rs) for g, rs in wanted.items()})
         w = Window.partitionBy("g").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
         ranked = counts.withColumn("cum", F.sum("count").over(w))
         hits = ranked.select("g", "v", F.filter(ranks[F.col("g")], lambda r: (F.col("cum") - F.col("count") <= r)
