@@ -447,6 +447,37 @@ def q_utility_fidelity(spark, sf_dir):
     return r6(quality.utility_fidelity(a, b))
 
 
+# The generate -> report lifecycle end to end: the whole of lineitem against its own
+# independent synthetic copy (md5 draws, so the twin draws the same rows in DuckDB).
+LI_SYN_ORIG = f"(SELECT {', '.join(SYN_NUM)} FROM lineitem)"
+LI_SYN_FAKE = f"({_synth_numeric_sql('lineitem', SYN_NUM, LI_IDS)})"
+
+
+def li_with_synthetic(spark, sf_dir):
+    li = load(spark, sf_dir, "lineitem").select(*SYN_NUM)
+    return li, synth.synthesize_independent(li, SynthConfig())
+
+
+@query("generate_and_score",
+       f"SELECT \"column\", position, round({Q.pres('orig_mean', 'synth_mean')}, 6) AS mean_preservation, "
+       f"round({Q.pres('orig_std', 'synth_std')}, 6) AS std_preservation "
+       f"FROM {Q.stats_pair_sql(LI_SYN_ORIG, LI_SYN_FAKE, SYN_NUM)} "
+       f"UNION ALL SELECT '__overall__', NULL, round(avg({Q.pres('orig_mean', 'synth_mean')}), 6), "
+       f"round(avg({Q.pres('orig_std', 'synth_std')}), 6) FROM {Q.stats_pair_sql(LI_SYN_ORIG, LI_SYN_FAKE, SYN_NUM)}")
+def q_generate_and_score(spark, sf_dir):
+    orig, fake = li_with_synthetic(spark, sf_dir)
+    return r6(quality.mean_std_preservation(orig, fake))
+
+
+@query("generate_and_fidelity",
+       f"SELECT round(mean_similarity, 6) AS mean_similarity, round(std_similarity, 6) AS std_similarity, "
+       f"round(shape_similarity, 6) AS shape_similarity "
+       f"FROM ({_similarity_sql(LI_SYN_ORIG, LI_SYN_FAKE, SYN_NUM)})")
+def q_generate_and_fidelity(spark, sf_dir):
+    orig, fake = li_with_synthetic(spark, sf_dir)
+    return r6(quality.similarity_summary(orig, fake))
+
+
 def _band_sql(x: str) -> str:
     return f"CASE WHEN {x} >= 0.8 THEN 'good' WHEN {x} >= 0.6 THEN 'medium' ELSE 'low' END"
 
