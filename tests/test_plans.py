@@ -1,0 +1,18 @@
+"""Plan shape of every catalogue query: no pair-emitting joins.
+
+A cartesian product or a broadcast nested-loop join grows with the product of its
+sides; at scale either is a defect, whatever the result.
+"""
+
+import pytest
+
+import __spark_entry__ as E
+from conftest import SF001
+
+FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin")
+
+
+@pytest.mark.parametrize("name", sorted(E.queries()))
+def test_no_pair_emitting_join(spark, name):
+    plan = E.queries()[name](spark, SF001)._jdf.queryExecution().executedPlan().toString()
+    assert not [k for k in FORBIDDEN if k in plan], plan
