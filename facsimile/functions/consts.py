@@ -47,3 +47,37 @@ def long_to_longs_map(entries: dict[int, list[int]]) -> Column:
     """map<bigint, array<bigint>> literal."""
     body = ", ".join(f"{sql_long(k)}, array({', '.join(sql_long(x) for x in v)})" for k, v in entries.items())
     return F.expr(f"map({body})")
+
+
+def sql_string(v: str) -> str:
+    """Exact text literal for any characters: UTF-8 bytes as a hex binary, cast back."""
+    return f"CAST(X'{v.encode('utf-8').hex()}' AS STRING)"
+
+
+def _sql_value(v) -> str:
+    if isinstance(v, bool):
+        return "true" if v else "false"
+    if isinstance(v, int):
+        return sql_long(v)
+    if isinstance(v, float):
+        return sql_double(v)
+    if isinstance(v, str):
+        return sql_string(v)
+    raise TypeError(f"no SQL literal for {type(v).__name__}")
+
+
+def const_map(entries: dict) -> Column | None:
+    """map literal from a dict of str/int keys to int/float/str values (None values
+    become typed nulls of the other values' type).  Returns None for an empty dict or a
+    None key, which a map cannot hold; callers keep their own path for those."""
+    if not entries or any(k is None for k in entries):
+        return None
+    present = [v for v in entries.values() if v is not None]
+    if any(isinstance(v, float) for v in present):
+        vals = {k: (None if v is None else float(v)) for k, v in entries.items()}
+        null = "CAST(NULL AS DOUBLE)"
+    else:
+        vals = dict(entries)
+        null = "CAST(NULL AS BIGINT)" if all(isinstance(v, int) for v in present) else "CAST(NULL AS STRING)"
+    body = ", ".join(f"{_sql_value(k)}, {null if v is None else _sql_value(v)}" for k, v in vals.items())
+    return F.expr(f"map({body})")

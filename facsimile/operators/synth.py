@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from facsimile.functions import rng
+from facsimile.functions.consts import const_map
 from facsimile.functions.fmt import round2, round_year
 from facsimile.operators.profile import num, profile
 from facsimile.schema import ColumnSpec, SynthConfig
@@ -75,9 +76,10 @@ def _offsets_distributed(freq: DataFrame, order: list[str]) -> DataFrame:
     for pid, t in totals:
         start[pid] = acc
         acc += t
-    off = F.create_map(*[F.lit(x) for kv in start.items() for x in kv])
+    off = const_map(start)   # one number per partition, one expression
+    base = off[F.col("pid").cast("long")] if off is not None else F.lit(0)
     w = Window.partitionBy("pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    hi = F.sum("cnt").over(w) + off[F.col("pid")]
+    hi = F.sum("cnt").over(w) + base
     return ranged.select(*order, (hi - F.col("cnt")).alias("lo"), hi.alias("hi"))
 
 
@@ -179,7 +181,10 @@ def categorical_lookup(df: DataFrame, column: str, spec: ColumnSpec | None = Non
 def _group_lookup(groups: dict, group: str | None, which: int) -> Column:
     if group is None:
         return F.lit(groups[None][which] if None in groups else 0)
-    m = F.create_map(*[F.lit(x) for g, v in groups.items() for x in (g, v[which])])
+    # text keys (dataset names) as one expression; other key types keep their own literal type
+    m = const_map({g: v[which] for g, v in groups.items()}) if all(isinstance(g, str) for g in groups) else None
+    if m is None:
+        m = F.create_map(*[F.lit(x) for g, v in groups.items() for x in (g, v[which])])
     return F.coalesce(m[F.col(group)], F.lit(0))
 
 

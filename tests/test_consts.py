@@ -3,6 +3,7 @@
 import math
 
 from hypothesis import given, settings
+from pyspark.sql import functions as F
 from hypothesis import strategies as st
 
 from facsimile.functions.consts import double_array, long_array, long_to_longs_map
@@ -30,3 +31,15 @@ def test_special_values_and_longs(spark):
 def test_folded_to_one_literal(spark):
     plan = spark.range(3).select(double_array([0.5, 1.5]).alias("a"))._jdf.queryExecution().optimizedPlan()
     assert "array(" not in plan.toString().lower()
+
+
+def test_const_map_text_keys_exact(spark):
+    from facsimile.functions.consts import const_map
+    keys = ["a", "O'Brien", "back\\slash", "tab\tand\nnewline", "ünï €", "1-URGENT", ""]
+    m = const_map({k: i * 10 for i, k in enumerate(keys)})
+    df = spark.createDataFrame([(k,) for k in keys] + [("missing",)], "k string")
+    got = {r["k"]: r["v"] for r in df.select("k", m[F.col("k")].alias("v")).collect()}
+    assert got == {**{k: i * 10 for i, k in enumerate(keys)}, "missing": None}
+    assert const_map({}) is None and const_map({None: 1}) is None
+    pid = spark.range(3).select(const_map({0: 5, 1: 7, 2: 9})[F.col("id")].alias("v")).collect()
+    assert [r["v"] for r in pid] == [5, 7, 9]
