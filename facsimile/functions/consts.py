@@ -81,3 +81,10 @@ def const_map(entries: dict) -> Column | None:
         null = "CAST(NULL AS BIGINT)" if all(isinstance(v, int) for v in present) else "CAST(NULL AS STRING)"
     body = ", ".join(f"{_sql_value(k)}, {null if v is None else _sql_value(v)}" for k, v in vals.items())
     return F.expr(f"map({body})")
+
+
+def string_array(values: list[str]) -> Column:
+    """array<string> literal (exact for any characters)."""
+    if not values:
+        return F.expr("CAST(array() AS ARRAY<STRING>)")
+    return F.expr("array(" + ", ".join(sql_string(v) for v in values) + ")")

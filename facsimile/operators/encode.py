@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from facsimile.functions.consts import string_array
 from facsimile.functions.fmt import is_blank, strip, to_number
 from facsimile.operators.profile import exact_quantiles, filled_text, modes, num, profile
 from facsimile.schema import (BLANK_FILL, HASH_BUCKETS, LABEL_MAX_DISTINCT, MALE_FEMALE_CODES,
@@ -137,7 +138,7 @@ def decode_column(c: str, enc: Encoding, code: Column | None = None) -> Column:
     """code -> value by the one dictionary; unmapped -> mode of the source, else 'Unknown'."""
     x = F.col(c) if code is None else code
     values = enc.dictionary[c]
-    arr = F.array(*[F.lit(v) for v in values])
+    arr = string_array(values) if all(isinstance(v, str) for v in values) else F.array(*[F.lit(v) for v in values])
     k = F.bround(x.cast("double"), 0).cast("int")
     hit = F.when((k >= 0) & (k < len(values)), F.element_at(arr, k + 1))
     return F.coalesce(hit, F.lit(enc.modes.get(c)), F.lit(BLANK_FILL)).alias(c)

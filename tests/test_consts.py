@@ -43,3 +43,9 @@ def test_const_map_text_keys_exact(spark):
     assert const_map({}) is None and const_map({None: 1}) is None
     pid = spark.range(3).select(const_map({0: 5, 1: 7, 2: 9})[F.col("id")].alias("v")).collect()
     assert [r["v"] for r in pid] == [5, 7, 9]
+
+
+def test_string_array_exact(spark):
+    from facsimile.functions.consts import string_array
+    vals = ["a", "O'Brien", "back\\slash", "tab\tand\nnewline", "ünï €", ""]
+    assert spark.range(1).select(string_array(vals).alias("a")).first()["a"] == vals
