@@ -1,15 +1,17 @@
 """Language-model scores by deleted interpolation of word n-grams.
 
-The corpus is gathered by its distinct n-grams, not its tokens: each task of the first
-pass numbers the n-grams of its texts (a *lot*), sends their counts to the parts of the
-hash space and keeps its texts as numbers.  A part adds up the counts of all lots and
-answers each lot in the order it asked.  A lot then knows the corpus count of all its
-n-grams and scores its texts.  A word that a third of all texts hold costs one entry a lot.
+The corpus is gathered by its distinct n-grams, not its tokens: a *lot* of texts sends
+the counts of its distinct n-grams to the parts of the hash space.  A part adds up the
+counts of all lots and answers each lot in the order of its n-grams.  A lot then meets
+its texts again, numbers the n-grams anew and knows the corpus count of each.  A word
+that a third of all texts hold costs one entry a lot.  Only compressed texts, distinct
+n-grams and counts are shuffled; nothing is kept per token.
 """
 
 from __future__ import annotations
 
 import struct
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,7 +20,6 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,9 +32,9 @@ START = xxhash.xxh64_intdigest(b"", 2)
 
 @dataclass(frozen=True)
 class LmParams:
-    """``lot_tokens`` ends a lot, ``parts`` is the number of parts of the hash space."""
+    """``lot_tokens``: about as many tokens are a lot (more if one text has more)."""
 
-    lot_tokens: int = 1_500_000
+    lot_tokens: int = 1_000_000
     buckets: int = 16           # of contexts, by the whole part of log2 of their count
     grid: int = 48              # cells a side in which held-out counts are added up
     em_rounds: int = 60
@@ -62,124 +63,150 @@ def pair_keys(before: np.ndarray, word: np.ndarray) -> np.ndarray:
 
 
 class _Lot:
-    """Texts of one lot: word keys in order, each text ended with END."""
+    """Texts of one lot and the keys of their words in order, each text ended with END."""
 
     def __init__(self):
         self.keys: list[np.ndarray] = []
-        self.rows: list[tuple] = []
+        self.ids: list = []
+        self.held: list[bool] = []
         self.size = 0
         self.known: dict[bytes, int] = {}
 
-    def add(self, row: tuple, text: str | None) -> None:
-        tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    def add(self, name, held: bool, text: bytes) -> None:
+        tokens = text.lower().split()
         known, digest = self.known, xxhash.xxh64_intdigest
         got = list(map(known.get, tokens))
         if None in got:
-            for w, k in zip(tokens, got):
-                if k is None and w not in known:
-                    known[w] = digest(w)
+            for w in {w for w, k in zip(tokens, got) if k is None}:
+                known[w] = digest(w)
             got = list(map(known.__getitem__, tokens))
         got.append(END)
         self.keys.append(np.array(got, np.uint64))
-        self.rows.append((*row, len(got)))
+        self.ids.append(name)
+        self.held.append(held)
         self.size += len(got)
 
-
-def _pass_one(src: DataFrame, kind: str, parts_log2: int, p: LmParams) -> DataFrame:
-    """Rows of two kinds: a lot's texts (part -1) and its n-gram counts for each part."""
-    schema = pa.schema([("lot", pa.int64()), ("part", pa.int32()), ("data", pa.binary()), ("more", pa.binary())])
+    def numbered(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(lengths of the texts, distinct keys of words and pairs, the place of every word, then of every pair)."""
+        lengths = np.array([len(k) for k in self.keys], np.int64)
+        words = np.concatenate(self.keys)
+        self.keys, self.known = [], {}
+        before = np.concatenate([[np.uint64(START)], words[:-1]])
+        before[np.cumsum(lengths)[:-1]] = START
+        distinct, at = np.unique(np.concatenate([words, pair_keys(before, words)]), return_inverse=True)
+        return lengths, distinct, at
+
+
+def _cuts(distinct: np.ndarray, parts_log2: int) -> list[int]:
+    """Where the sorted keys of each part of the hash space begin, and their end."""
+    if not parts_log2:
+        return [0, len(distinct)]
+    firsts = np.arange(1 << parts_log2, dtype=np.uint64) << np.uint64(64 - parts_log2)
+    return [*np.searchsorted(distinct, firsts).tolist(), len(distinct)]
+
+
+def _lots(batches: Iterator[pa.RecordBatch], lot_tokens: int) -> Iterator[tuple[int, list[tuple]]]:
+    """(name, rows) of each lot of a task: rows of (id, held, text as bytes) of one file block, cut by their bytes."""
+    rows, size, number, place = [], 0, 0, None
+    name = lambda: xxhash.xxh64_intdigest(struct.pack("<qq", place, number)) >> 1
+    for b in batches:
+        for i, held, text, at in zip(*(c.to_pylist() for c in b.columns)):
+            if at != place and rows:
+                yield name(), rows
+                rows, size = [], 0
+            place, number = at, number if at == place else 0
+            raw = (text or "").encode("utf-8", "surrogatepass")
+            rows.append((i, held, raw))
+            size += len(raw) + 8
+            if size >= 6 * lot_tokens:
+                yield name(), rows
+                rows, size, number = [], 0, number + 1
+    if rows:
+        yield name(), rows
+
+
+def _asked(src: DataFrame, parts_log2: int, p: LmParams) -> DataFrame:
+    """(part, lot, keys, counts): each lot's distinct n-grams with their counts in training texts."""
+    schema = pa.schema([("part", pa.int32()), ("lot", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, made = TaskContext.get().partitionId() << 24, 0
-
-        def close(lot: _Lot) -> Iterator[pa.RecordBatch]:
-            nonlocal made
-            words = np.concatenate(lot.keys)
-            lengths = np.array([r[-1] for r in lot.rows], np.int64)
-            train = np.array([not r[1] for r in lot.rows])
-            before = np.concatenate([[np.uint64(START)], words[:-1]])
-            before[np.cumsum(lengths)[:-1]] = START
-            pairs = pair_keys(before, words)
-            distinct, at = np.unique(np.concatenate([words, pairs]), return_inverse=True)
-            weight = np.tile(np.repeat(train, lengths), 2)
-            count = np.bincount(at, weight, len(distinct)).astype("<u4")
-            one = np.zeros(len(distinct), bool)
-            one[at[:len(words)]] = True
-            name = base + made
-            made += 1
-            ids = pa.RecordBatch.from_arrays([pa.array([r[0] for r in lot.rows]), pa.array([r[1] for r in lot.rows])], names=["id", "held"])
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, ids.schema) as out:
-                out.write_batch(ids)
-            text = [_zip(lengths), _zip(at[:len(words)].astype("<u4")), _zip(at[len(words):].astype("<u4"))]
-            blob = struct.pack("<3Q", *map(len, text)) + b"".join(text)
-            yield pa.RecordBatch.from_pylist([dict(lot=name, part=-1, data=blob, more=sink.getvalue().to_pybytes())], schema)
-            cut = np.searchsorted(distinct, np.arange(1 << parts_log2, dtype=np.uint64) << np.uint64(64 - parts_log2)) if parts_log2 else [0]
-            cut = [*np.asarray(cut).tolist(), len(distinct)]
-            for q in range(1 << parts_log2):
-                lo, hi = cut[q], cut[q + 1]
+        for name, rows in _lots(batches, p.lot_tokens):
+            lot = _Lot()
+            for row in rows:
+                lot.add(*row)
+            lengths, distinct, at = lot.numbered()
+            weight = np.tile(np.repeat(~np.array(lot.held), lengths), 2)
+            count = np.bincount(at, weight, len(distinct)).astype("<u4") << 1
+            count[at[:len(at) // 2]] |= 1       # the last bit marks words
+            cut = _cuts(distinct, parts_log2)
+            for q, (lo, hi) in enumerate(zip(cut[:-1], cut[1:])):
                 if lo < hi:
-                    step = np.diff(distinct[lo:hi], prepend=np.uint64(0))
-                    yield pa.RecordBatch.from_pylist([dict(
-                        lot=name, part=q, data=_zip(step.astype("<u8")),
-                        more=_zip((count[lo:hi].astype("<u4") << 1) | one[lo:hi]))], schema)
+                    step = np.diff(distinct[lo:hi], prepend=np.uint64(0)).astype("<u8")
+                    yield pa.RecordBatch.from_pylist([dict(part=q, lot=name, keys=_zip(step), counts=_zip(count[lo:hi]))], schema)
 
-        lot = _Lot()
-        for b in batches:
-            for i, held, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                lot.add((i, held), text)
-                if lot.size >= p.lot_tokens:
-                    yield from close(lot)
-                    lot = _Lot()
-        if lot.rows:
-            yield from close(lot)
-
-    return src.mapInArrow(run, "lot long, part int, data binary, more binary")
+    return src.mapInArrow(run, "part int, lot long, keys binary, counts binary")
 
 
 def _add_up(key, frame: pd.DataFrame) -> pd.DataFrame:
-    """A part's corpus counts, given back to each lot in the order it asked; word and pair totals apart."""
+    """A part's corpus counts for each lot in the order it asked, with a checksum of its keys; and the words' totals."""
     lots = frame.sort_values("lot")
-    keys = [np.cumsum(_unzip(d), dtype=np.uint64) for d in lots.data]
-    more = [_unzip(m) for m in lots.more]
+    keys = [np.cumsum(_unzip(d), dtype=np.uint64) for d in lots["keys"]]
+    sums = [zlib.crc32(k.tobytes()) for k in keys]
     distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
-    flat = np.concatenate(more)
+    ends = np.cumsum([len(k) for k in keys])[:-1]
+    flat = np.concatenate([_unzip(m) for m in lots["counts"]])
     total = np.bincount(at, flat >> 1, len(distinct)).astype("<u8")
     word = np.zeros(len(distinct), bool)
     word[at[(flat & 1) == 1]] = True
-    ends = np.cumsum([len(k) for k in keys])[:-1]
-    # totals of the words: their count and how many of them occur in training texts
+    small = total.astype("<u4") if total.max(initial=0) < 1 << 32 else total
     n, v = int(total[word].sum()), int((total[word] > 0).sum())
-    part = int(key[0])
-    answer = [_zip(total[i].astype("<u4" if total.max(initial=0) < 1 << 32 else "<u8")) for i in np.split(at, ends)]
-    return pd.DataFrame({"lot": [*lots.lot, -1], "part": part, "data": [*answer, None], "more": None,
-                         "n": [*[0] * len(lots), n], "v": [*[0] * len(lots), v]})
+    return pd.DataFrame({"lot": [*lots.lot, -1], "part": int(key[0]), "counts": [*(_zip(small[i]) for i in np.split(at, ends)), None],
+                         "sum": [*sums, 0], "n": [*[0] * len(lots), n], "v": [*[0] * len(lots), v]})
 
 
-def _texts(blob: bytes) -> list[np.ndarray]:
-    sizes = struct.unpack_from("<3Q", blob)
-    at = 24 + np.cumsum([0, *sizes])
-    return [_unzip(blob[a:b]) for a, b in zip(at[:-1], at[1:])]
+def _texts(src: DataFrame, kind: str, p: LmParams) -> DataFrame:
+    """(lot, part = -1, counts, sum): the compressed texts of each lot, in the shape of an answer."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, rows in _lots(batches, p.lot_tokens):
+            ids = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows]),
+                                              pa.array([r[2] for r in rows], pa.large_binary())], names=["id", "held", "text"])
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, ids.schema) as out:
+                out.write_batch(ids)
+            blob = zstandard.ZstdCompressor(level=3).compress(sink.getvalue().to_pybytes())
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([-1], pa.int32()), pa.array([blob], pa.binary()),
+                                              pa.array([0])], names=["lot", "part", "counts", "sum"])
+
+    return src.mapInArrow(run, "lot long, part int, counts binary, sum long")
 
 
-def _probabilities(frame: pd.DataFrame, n: int, v: int, starts: int, deleted: bool):
-    """(rows, lengths, c of words, context counts, ML pair and word probabilities, uniform) of a lot.
+def _probabilities(frame: pd.DataFrame, parts_log2: int, n: int, v: int, starts: int, deleted: bool):
+    """(ids, held, lengths, counts of words, context counts, ML pair and word probabilities, uniform) of a lot.
 
     ``deleted`` leaves the token itself out of all counts, as held-out counts do.
     """
-    texts = frame[frame.part < 0].iloc[0]
-    count = np.concatenate([_unzip(d) for d in frame[frame.part >= 0].sort_values("part").data]).astype(float)
-    lengths, wi, pi = _texts(texts.data)
-    rows = pa.ipc.open_stream(texts.more).read_all()
-    c1, c2 = count[wi], count[pi]
-    first = np.cumsum(lengths) - lengths
+    texts = frame[frame.part < 0]
+    answers = frame[frame.part >= 0].sort_values("part")
+    if len(texts) != 1:
+        raise RuntimeError("a lot has not been read the same way twice: write the input first (stable=False)")
+    rows = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(texts.counts.iloc[0])).read_all()
+    lot = _Lot()
+    for row in zip(*(rows.column(c).to_pylist() for c in ("id", "held", "text"))):
+        lot.add(*row)
+    lengths, distinct, at = lot.numbered()
+    cut = _cuts(distinct, parts_log2)
+    own = {q: zlib.crc32(distinct[lo:hi].tobytes()) for q, (lo, hi) in enumerate(zip(cut[:-1], cut[1:])) if lo < hi}
+    if own != dict(zip(answers.part.tolist(), answers["sum"].tolist())):
+        raise RuntimeError("a lot has not been read the same way twice: write the input first (stable=False)")
+    count = np.concatenate([_unzip(d) for d in answers.counts]).astype(float)
+    del distinct
+    both = count[at]
+    c1, c2 = both[:len(at) // 2], both[len(at) // 2:]
     ctx = np.concatenate([[0.0], c1[:-1]])
-    ctx[first] = starts
-    if deleted:
-        p2 = np.divide(c2 - 1, ctx - 1, out=np.zeros_like(c2), where=ctx > 1)
-        return rows, lengths, c1, ctx, p2, (c1 - 1) / max(1, n - 1), 1 / (v + 1)
-    p2 = np.divide(c2, ctx, out=np.zeros_like(c2), where=ctx > 0)
-    return rows, lengths, c1, ctx, p2, c1 / max(1, n), 1 / (v + 1)
+    ctx[np.cumsum(lengths) - lengths] = starts
+    less = 1 if deleted else 0
+    p2 = np.divide(c2 - less, ctx - less, out=np.zeros_like(c2), where=ctx > less)
+    return lot.ids, lot.held, lengths, c1, ctx, p2, (c1 - less) / max(1, n - less), 1 / (v + 1)
 
 
 def _bucket(ctx: np.ndarray, buckets: int) -> np.ndarray:
@@ -211,7 +238,7 @@ def mixture(cells: dict[tuple[int, int, int], tuple[float, float, float, float]]
 
 
 def score(docs: DataFrame, held: str, params: LmParams = LmParams(), id_col: str = "doc_id", text_col: str = "text",
-          parts_log2: int | None = None) -> DataFrame:
+          parts_log2: int | None = None, stable: bool = False) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document.
 
     ``held`` names a boolean column: rows where it is true teach nothing (null: false).
@@ -221,29 +248,33 @@ def score(docs: DataFrame, held: str, params: LmParams = LmParams(), id_col: str
     word before; the weights come from counts with the token itself left out.  A null
     or empty text is its end alone; repeated rows are one each; without training rows
     all probability is uniform.  Every n-gram of every training text is counted.
+
+    The texts are read three times and must come in the same file blocks and order each
+    time: ``stable`` says that ``docs`` is a scan of files, which does.  Otherwise it is
+    written first.  A lot whose n-grams differ between two reads raises an error.
     """
     spark = docs.sparkSession
     arrow_limits(spark)
     src = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{held}`"), F.lit(False)).alias("held"),
                       F.col(f"`{text_col}`").cast("string").alias("text"))
+    src = src if stable else written(src, "lm_texts")
+    src = src.withColumn("place", F.xxhash64(F.input_file_name(), F.input_file_block_start()))
     kind = src.schema["id"].dataType.simpleString()
     if parts_log2 is None:
         # the n-grams of about two million characters a part
         chars = src.agg(F.sum(F.length("text"))).first()[0] or 0
         parts_log2 = int(np.clip(np.ceil(np.log2(max(1, chars / 2e6))), 0, 20))
-    first = written(_pass_one(src, kind, parts_log2, params), "lm_lots")
-    asked = first.where("part >= 0").groupBy("part").applyInPandas(
-        _add_up, "lot long, part int, data binary, more binary, n long, v long")
-    answers = written(asked, "lm_counts")
+    answers = written(_asked(src, parts_log2, params).groupBy("part").applyInPandas(
+        _add_up, "lot long, part int, counts binary, sum long, n long, v long"), "lm_counts")
     totals = answers.where("lot < 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     n, v = int(totals[0]), int(totals[1])
     starts = src.where(~F.col("held")).count()
-    both = answers.where("lot >= 0").select("lot", "part", "data", "more").unionByName(first.where("part < 0"))
+    both = answers.where("lot >= 0").select("lot", "part", "counts", "sum").unionByName(_texts(src, kind, params))
     grid, buckets = params.grid, params.buckets
 
     def tally(key, frame: pd.DataFrame) -> pd.DataFrame:
-        rows, lengths, c1, ctx, p2, p1, p0 = _probabilities(frame, n, v, starts, True)
-        on = np.repeat(~np.array(rows.column("held").to_pylist(), bool), lengths)
+        _, held_, lengths, _, ctx, p2, p1, _ = _probabilities(frame, parts_log2, n, v, starts, True)
+        on = np.repeat(~np.array(held_, bool), lengths)
         p1, p2, b = np.maximum(p1[on], 0), np.maximum(p2[on], 0), _bucket(ctx[on] - 1, buckets)
         place = lambda p: np.where(p > 0, np.clip(np.log2(np.maximum(p, 1e-300) * (v + 1)) + grid // 4, 1, grid - 1), 0).astype(int)
         cell = (b * grid + place(p1)) * grid + place(p2)
@@ -262,15 +293,16 @@ def score(docs: DataFrame, held: str, params: LmParams = LmParams(), id_col: str
     shared = spark.sparkContext.broadcast(weights)
 
     def rate(key, frame: pd.DataFrame) -> pd.DataFrame:
-        rows, lengths, c1, ctx, p2, p1, p0 = _probabilities(frame, n, v, starts, False)
-        w = shared.value[_bucket(ctx, buckets)]
-        # after a context never seen the pair estimate is nothing: its weight goes to the others
-        w = np.where((ctx > 0)[:, None], w, w * [1, 1, 0])
-        w /= w.sum(1, keepdims=True)
+        ids, held_, lengths, c1, ctx, p2, p1, p0 = _probabilities(frame, parts_log2, n, v, starts, False)
         first = np.cumsum(lengths) - lengths
-        total = np.add.reduceat(np.log10(w[:, 0] * p0 + w[:, 1] * p1 + w[:, 2] * p2), first)
+        b = _bucket(ctx, buckets)
+        # after a context never seen the pair estimate is nothing: its weight goes to the others
+        w = shared.value
+        full = np.where(ctx > 0, 1.0, w[b, 0] + w[b, 1])
+        prob = (w[b, 0] * p0 + w[b, 1] * p1 + np.where(ctx > 0, w[b, 2] * p2, 0)) / full
+        total = np.add.reduceat(np.log10(prob), first)
         base = np.add.reduceat(np.log10((c1 + 1) / (n + (v + 1))), first)
-        return pd.DataFrame({"id": rows.column("id").to_pylist(), "held_out": rows.column("held").to_pylist(), "n_tokens": lengths,
+        return pd.DataFrame({"id": ids, "held_out": held_, "n_tokens": lengths,
                              "n_known": np.add.reduceat((c1 > 0).astype(np.int64), first), "train_tokens": n,
                              "base_score": base, "score": total})
 

@@ -80,7 +80,7 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log10 probability of every document, learned outside the fold crc32 mod 7 = 2."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", _fold(7, 2).alias("held_out"))
-    return lm.score(docs, "held_out")
+    return lm.score(docs, "held_out", stable=True)
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
