@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from facsimile.session import scratch_path
 
 #: Rows and bytes of one Arrow batch between the JVM and a Python worker.
-ARROW_ROWS = 2000
-ARROW_BYTES = 16 << 20
+ARROW_ROWS = 1000
+ARROW_BYTES = 4 << 20
 
 
 def arrow_limits(spark: SparkSession) -> None:

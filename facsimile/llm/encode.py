@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
-WORDS_KEPT = 1_200_000     # words a worker remembers; the memory is emptied beyond that
+WORDS_KEPT = 500_000     # words a worker remembers; the memory is emptied beyond that
 PER_CALL = 1_000           # words encoded in one call of the library
 
 

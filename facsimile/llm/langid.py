@@ -150,7 +150,9 @@ def fit(labelled: DataFrame, params: LangParams = LangParams(), id_col: str = "d
     for i, r in enumerate(got):
         x[i, np.frombuffer(r["at"], "<u4")] = np.frombuffer(r["count"], "<f4")
     model.idf = np.log((1 + len(x)) / (1 + (x > 0).sum(0))).astype(np.float32) + np.float32(1e-3)
-    x = _unit(np.log1p(x) * model.idf)
+    np.log1p(x, out=x)
+    x *= model.idf
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
     model.langs = sorted({r["lang"] for r in got})
     y = np.array([model.langs.index(r["lang"]) for r in got])
     cents = [_cluster(x[y == j], params.centroids, params.rounds) for j in range(len(model.langs))]

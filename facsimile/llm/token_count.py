@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from facsimile.llm.common import arrow_limits
 
 SPACE = "▁"
-WORDS_KEPT = 800_000
+WORDS_KEPT = 400_000
 
 
 @dataclass(frozen=True)

@@ -34,11 +34,12 @@ class ToxicParams:
     """``fit_rows`` bounds the labelled rows the weights are fitted on; feature counts use all of them."""
 
     fit_rows: int = 20_000
-    features: int = 4096        # kept of the words and word beginnings, by evidence
+    features: int = 1024        # kept of the words and word beginnings, by evidence
     min_docs: int = 3
-    ridge: float = 1e-3
+    ridge: float = 1e-5
     swap_penalty: float = 1.0   # weight of squared score changes under swaps
-    rounds: int = 40            # Newton-like steps
+    swaps: int = 2000           # swapped sentences used, of the fitted rows
+    rounds: int = 40            # tens of accelerated gradient steps
 
 
 def word_features(word: str) -> tuple[str, ...]:
@@ -68,7 +69,7 @@ class ToxicModel:
         """How often each kept feature is in a whole text."""
         out: Counter = Counter()
         seen, index = self.seen, self.index
-        if len(seen) > 400_000:
+        if len(seen) > 150_000:
             seen.clear()
         for w, n in Counter(words(text)).items():
             at = seen.get(w)
@@ -106,10 +107,10 @@ def feature_counts(labelled: DataFrame) -> DataFrame:
                 n.update(own)
                 if y:
                     bad.update(own)
-            if len(n) > 300_000:
+            if len(n) > 150_000:
                 yield give(n, bad)
                 n, bad = Counter(), Counter()
-            if len(known) > 300_000:
+            if len(known) > 150_000:
                 known = {}
         yield give(n, bad)
 
@@ -180,8 +181,7 @@ def fit(docs: DataFrame, labels: DataFrame, params: ToxicParams = ToxicParams(),
     chosen = lab.where(spot < params.fit_rows / total).orderBy(F.xxhash64(F.col("id").cast("string")), "id").limit(params.fit_rows)
     shared = spark.sparkContext.broadcast(model)
     groups = _groups()
-    schema = pa.schema([("y", pa.int32()), ("at", pa.list_(pa.int32())), ("val", pa.list_(pa.float64())),
-                        ("swap_at", pa.list_(pa.int32())), ("swap_val", pa.list_(pa.float64()))])
+    schema = pa.schema([("y", pa.int32()), *((c, pa.binary()) for c in ("at", "val", "swap_at", "swap_val"))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -190,22 +190,23 @@ def fit(docs: DataFrame, labels: DataFrame, params: ToxicParams = ToxicParams(),
             for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 c = m.counts(text)
                 at = sorted(c)
+                whole, real = lambda x: np.array(list(x), "<i4").tobytes(), lambda x: np.array(list(x), "<f8").tobytes()
                 swap: dict[int, float] = {}
                 ws = words(text)
                 if not groups.keys().isdisjoint(ws):
                     other = m.counts(" ".join(groups[w][(groups[w].index(w) + 1) % len(groups[w])] if w in groups else w for w in ws))
                     swap = {j: d for j in {*c, *other} if (d := float(np.log1p(c[j]) - np.log1p(other[j])))}
-                rows.append(dict(y=y, at=at, val=[float(np.log1p(c[j])) for j in at], swap_at=list(swap), swap_val=list(swap.values())))
+                rows.append(dict(y=y, at=whole(at), val=real(np.log1p(c[j]) for j in at), swap_at=whole(swap), swap_val=real(swap.values())))
             yield pa.RecordBatch.from_pylist(rows, schema)
 
     got = txt.join(F.broadcast(chosen), "id").select("text", "y").mapInArrow(
-        run, "y int, at array<int>, val array<double>, swap_at array<int>, swap_val array<double>").collect()
+        run, "y int, at binary, val binary, swap_at binary, swap_val binary").collect()
     got.sort(key=lambda r: (r["y"], r["at"], r["val"]))     # the same sums whatever the tasks' order
     swaps = []
-    for i, r in enumerate(got):
+    for i, r in enumerate([r for r in got if r["swap_at"]][:params.swaps]):
         if r["swap_at"]:
             d = np.zeros(len(keep))
-            d[r["swap_at"]] = r["swap_val"]
+            d[np.frombuffer(r["swap_at"], "<i4")] = np.frombuffer(r["swap_val"], "<f8")
             swaps.append((i, d))
     # labelled sentences without identity terms: the swap of a mention put into them changes these features
     for g in IDENTITY_TERMS:
@@ -216,7 +217,7 @@ def fit(docs: DataFrame, labels: DataFrame, params: ToxicParams = ToxicParams(),
             for f in word_features(two):
                 d[model.index[f]] -= np.log(2)
             swaps.append((-1, d))
-    model.weights, model.bias = _train([np.array(r["at"], int) for r in got], [np.array(r["val"], float) for r in got],
+    model.weights, model.bias = _train([np.frombuffer(r["at"], "<i4") for r in got], [np.frombuffer(r["val"], "<f8") for r in got],
                                        np.array([float(r["y"] > 0) for r in got]), swaps, len(keep), params)
     model.seen = {}
     return model
@@ -238,6 +239,7 @@ def predict(docs: DataFrame, model: ToxicModel, text_col: str = "text", name: st
     keep = docs.select(*[F.col(f"`{f.name}`") for f in rest], F.col(f"`{text_col}`").cast("string").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shared.value.seen.clear()
         for b in batches:
             score = [shared.value.score(t) for t in b.column(b.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(score, pa.float64())],
