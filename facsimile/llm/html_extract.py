@@ -107,7 +107,7 @@ class ExtractModel:
     block: float = 0.4
     inline: float = 0.05
     holder: float = 2.0
-    cut: float = 0.5
+    cut: float = 0.01
 
     def of(self, key: str) -> float:
         if key == "/cut":
