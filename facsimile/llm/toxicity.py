@@ -171,7 +171,8 @@ def fit(docs: DataFrame, labels: DataFrame, params: ToxicParams = ToxicParams(),
     if not total or not bad or bad == total:
         return model
     base = bad / total
-    stats = feature_counts(txt.join(lab, "id").select("text", "y")).where(F.col("n") >= params.min_docs)
+    # labels grow with the corpus: they are dealt by id like the texts, at every size alike
+    stats = feature_counts(txt.join(lab.hint("merge"), "id").select("text", "y")).where(F.col("n") >= params.min_docs)
     z = (F.col("bad") - base * F.col("n")) / F.sqrt(F.col("n") * base * (1 - base))
     top = stats.select("feature", F.abs(z).alias("z")).orderBy(F.desc("z"), "feature").limit(params.features).collect()
     keep = dict.fromkeys([r[0] for r in top])
