@@ -33,8 +33,11 @@ def strip(c: Column) -> Column:
 
 
 def to_number(c: Column) -> Column:
-    """pandas ``to_numeric(errors='coerce')``: unparsable text becomes null."""
-    return c.try_cast("double")
+    """pandas ``to_numeric(errors='coerce')``: unparsable text becomes null.
+
+    The cast alone also reads Java's literals ('1d', '10F', '0x1p3'), which are text here.
+    """
+    return F.when(~c.cast("string").rlike(r"(?i)[0-9.][df]\s*$|0x"), c.try_cast("double"))
 
 
 def safe_div(a: Column, b: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FractionalType
 
 from facsimile.functions.fmt import is_blank, to_number
 from facsimile.operators.profile import medians, num
@@ -21,6 +22,7 @@ def fill_unknown(df: DataFrame, columns: list[str]) -> DataFrame:
 def fill_median(df: DataFrame, columns: list[str], values: dict | None = None) -> DataFrame:
     """Numeric nulls (and NaN) become the column's exact median.
 
+    A whole-number column becomes double, since its median may lie between two values.
     Medians are computed only for the columns asked for; pass ``values`` to reuse them.
     """
     types = dict((f.name, f.dataType) for f in df.schema.fields)
@@ -29,7 +31,8 @@ def fill_median(df: DataFrame, columns: list[str], values: dict | None = None) -
     out = []
     for c in df.columns:
         if c in cols and vals.get(c) is not None:
-            out.append(F.coalesce(num(c, types[c]), F.lit(float(vals[c]))).cast(types[c]).alias(c))
+            filled = F.coalesce(num(c, types[c]), F.lit(float(vals[c])))
+            out.append((filled.cast(types[c]) if isinstance(types[c], FractionalType) else filled).alias(c))
         else:
             out.append(F.col(c))
     return df.select(*out)

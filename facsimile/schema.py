@@ -67,8 +67,7 @@ def common_numeric_columns(original: DataFrame, synthetic: DataFrame) -> list[st
 def is_year_name(name: str) -> bool:
     """Name part of the year-like rule."""
     low = name.lower()
-    return (low in ("year", "yr") or low.endswith("year") or low.endswith("_year")
-            or low.startswith("year_") or "date" in low)
+    return low == "yr" or "date" in low or low.endswith("year") or low.startswith("year_")
 
 
 def is_short_year_name(name: str) -> bool:

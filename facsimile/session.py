@@ -47,8 +47,9 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this must be set by the deployment (HDFS, S3, ...).  Only when it is
-    unset -- local tests -- a private folder is created and registered.
+    On a cluster this must be set by the deployment (HDFS, S3, ...); it is an error if it
+    is not, since executors do not share a machine's own folder.  Only a local master
+    gets a private folder.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -56,6 +57,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf = sc.getConf().get("spark.checkpoint.dir", None)
     if not conf:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         conf = tempfile.mkdtemp(prefix="facsimile-ckpt-")
     sc.setCheckpointDir(conf)
     return sc.getCheckpointDir()

@@ -69,3 +69,14 @@ def test_hash_encode_is_stable(spark):
     a = [r[0] for r in df.select(encode.hash_encode(F.col("s"))).collect()]
     b = [r[0] for r in df.repartition(3).select(encode.hash_encode(F.col("s"))).collect()]
     assert a[0] == a[2] and sorted(a) == sorted(b) and all(0 <= v < 10000 for v in a)
+
+
+def test_whole_number_median_and_java_literals(spark):
+    from pyspark.sql import functions as F
+
+    from facsimile.functions.fmt import to_number
+    from facsimile.operators.clean import fill_median
+    ints = spark.createDataFrame([(1,), (2,), (3,), (4,), (None,)], "n int")
+    assert sorted(r[0] for r in fill_median(ints, ["n"]).collect()) == [1.0, 2.0, 2.5, 3.0, 4.0]
+    texts = spark.createDataFrame([("1d",), ("10F",), ("0x1p3",), ("1e5",), (" 12 ",), ("-.5",), (None,)], "s string")
+    assert [r[0] for r in texts.select(to_number(F.col("s"))).collect()] == [None, None, None, 1e5, 12.0, -0.5, None]
