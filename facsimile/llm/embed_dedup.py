@@ -20,8 +20,10 @@ class PqParams:
     """``fit_rows`` bounds the sample that lists and codebooks are fitted on; every vector is indexed.
 
     The number of lists follows the square root of the number of vectors up to
-    ``max_lists``.  A list is searched for a vector if the vector could cross to it by a
-    step of ``reach`` standard deviations of a random step of the link's length.
+    ``max_lists``.  Two linked vectors of different lists lie on either side of the plane
+    between the centroids, so one of them is within half the link's length across it.  A
+    list is searched for a vector within half of ``reach`` standard deviations of a random
+    step of the link's length: with both sides searching, that covers ``reach`` of them.
     """
 
     fit_rows: int = 20_000
@@ -69,7 +71,7 @@ def fit(sample: np.ndarray, rows: int, min_cosine: float, params: PqParams) -> I
     books = np.stack([_kmeans(rest[:, m * width:(m + 1) * width], min(params.codes, len(rest)), params.rounds, m + 1)
                       for m in range(params.subspaces)])
     limit = float(np.sqrt(max(0.0, 2 - 2 * min_cosine)))
-    return Index(coarse, books, limit, limit * min(1.0, params.reach / np.sqrt(dims)))
+    return Index(coarse, books, limit, 0.5 * limit * min(1.0, params.reach / np.sqrt(dims)))
 
 
 def probes(x: np.ndarray, index: Index) -> list[np.ndarray]:
