@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from facsimile.llm.common import arrow_limits, written
 from facsimile.llm.components import connected_components
 
+LOOKUPS = 64    # queries whose distance tables are made at a time
+
 
 @dataclass(frozen=True)
 class PqParams:
@@ -114,10 +116,14 @@ def candidates(query: np.ndarray, codes: np.ndarray, error: np.ndarray, own: int
     """
     m, _, width = index.books.shape
     shifted = np.pad(query - index.coarse[own], ((0, 0), (0, m * width - query.shape[1])))
-    flat = codes.astype(np.int64) + np.arange(m) * index.books.shape[1]
-    for q in shifted:
-        table = ((index.books - q.reshape(m, 1, width)) ** 2).sum(2).ravel()
-        yield np.flatnonzero(np.sqrt(table[flat].sum(1)) <= index.limit + error + 1e-6)
+    reach = (index.limit + error + 1e-6) ** 2
+    for lo in range(0, len(shifted), LOOKUPS):
+        q = shifted[lo:lo + LOOKUPS].reshape(-1, m, width)
+        dist = np.zeros((len(q), len(codes)))
+        for j, book in enumerate(index.books):
+            table = (q[:, j] ** 2).sum(1)[:, None] - 2 * q[:, j] @ book.T + (book ** 2).sum(1)
+            dist += table[:, codes[:, j]]
+        yield from map(np.flatnonzero, dist <= reach)
 
 
 def _unit(raw: list[bytes]) -> np.ndarray:
