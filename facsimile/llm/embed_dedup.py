@@ -8,6 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,8 +22,8 @@ LOOKUPS = 64    # queries whose distance tables are made at a time
 class PqParams:
     """``fit_rows`` bounds the sample that lists and codebooks are fitted on; every vector is indexed.
 
-    The number of lists follows the square root of the number of vectors up to
-    ``max_lists``.  Two linked vectors of different lists lie on either side of the plane
+    Every length of vectors has lists and codebooks of its own.  The number of its lists
+    follows the square root of the number of its vectors up to ``max_lists``.  Two linked vectors of different lists lie on either side of the plane
     between the centroids, so one of them is within half the link's length across it.  A
     list is searched for a vector within half of ``reach`` standard deviations of a random
     step of the link's length: with both sides searching, that covers ``reach`` of them.
@@ -39,10 +40,13 @@ class PqParams:
 
 @dataclass
 class Index:
+    """Lists and codebooks of the vectors of one length; ``first`` is the number of its first list among all."""
+
     coarse: np.ndarray      # lists x dims
     books: np.ndarray       # subspaces x codes x dims of a subspace
     limit: float            # largest distance of unit vectors that are linked
     margin: float
+    first: int = 0
 
 
 def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -154,8 +158,9 @@ def near_duplicates(vectors: DataFrame, min_cosine: float = 0.95, params: PqPara
     """(id, n_links, component_id, kept) of every vector, by cosine in double precision.
 
     Equal vectors form one class before any candidate is made; a class counts with its
-    size.  Vectors that are null, zero or of another length than the most frequent one,
-    or hold null or non-finite components, link with nothing, themselves' copies
+    size.  Vectors link with vectors of their own length; each length is indexed by
+    itself, so the driver reads the classes once a length.  Vectors that are null or
+    zero, or hold null or non-finite components, link with nothing, themselves' copies
     included.  A link found from either side counts for both, once.  ``component_id`` is
     the smallest id reachable, the vector itself included.
     """
@@ -164,43 +169,48 @@ def near_duplicates(vectors: DataFrame, min_cosine: float = 0.95, params: PqPara
     v = F.col(f"`{vec_col}`").cast("array<double>")
     sound = v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = vectors.select(F.col(f"`{id_col}`").alias("id"), v.alias("vec"), F.coalesce(sound, F.lit(False)).alias("sound"))
-    dims = rows.where("sound").groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    alone = F.lit(0).cast("long")
-    if not dims:
-        return rows.select(F.col("id").alias(id_col), alone.alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    d = dims[0][0]
-    rows = rows.withColumn("sound", F.col("sound") & (F.size("vec") == d))
     classes = written(rows.where("sound").groupBy("vec").agg(F.min("id").alias("cid"), F.count("*").alias("n")), "vectors")
-    total = classes.count()
-    sample = classes.orderBy(F.xxhash64("cid"), "cid").limit(params.fit_rows).select("vec").collect()
-    x = np.array([r[0] for r in sample], float)
-    x /= np.abs(x).max(1, keepdims=True)
-    index = fit(x / np.linalg.norm(x, axis=1, keepdims=True), total, min_cosine, params)
-    shared = spark.sparkContext.broadcast(index)
+    alone = F.lit(0).cast("long")
+    indexes: dict[int, Index] = {}
+    first = 0
+    for d, total in sorted(classes.groupBy(F.size("vec")).count().where("count > 1").collect()):    # one row a length
+        sample = classes.where(F.size("vec") == d).orderBy(F.xxhash64("cid"), "cid").limit(params.fit_rows).select("vec").collect()
+        x = np.array([r[0] for r in sample], float)
+        x /= np.abs(x).max(1, keepdims=True)
+        indexes[d] = fit(x / np.linalg.norm(x, axis=1, keepdims=True), total, min_cosine, params)
+        indexes[d].first = first
+        first += len(indexes[d].coarse)
+    shared = spark.sparkContext.broadcast(indexes)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not b.num_rows:
-                continue
-            vec = b.column(0).flatten().to_numpy().reshape(-1, d)
-            vec = vec / np.abs(vec).max(1, keepdims=True)       # the length of a very long or short vector stays finite
-            unit = vec / np.linalg.norm(vec, axis=1, keepdims=True)
-            where = probes(unit, shared.value)
-            codes, error = encode(unit, np.array([p[0] for p in where], int), shared.value)
-            count = np.array([len(p) for p in where])
-            row = np.repeat(np.arange(len(vec)), count + 1)
-            lists = np.concatenate([np.concatenate([p[:1], p]) for p in where])
-            first = np.cumsum(count + 1) - (count + 1)
-            role = np.ones(len(row), np.int32)
-            role[first] = 0
-            raw = [u.tobytes() for u in vec]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(lists, pa.int32()), pa.array(role), b.column(1).take(pa.array(row)), b.column(2).take(pa.array(row)),
-                 pa.array([raw[i] for i in row], pa.binary()),
-                 pa.array([codes[i].tobytes() if r == 0 else None for i, r in zip(row, role)], pa.binary()),
-                 pa.array([error[i] if r == 0 else None for i, r in zip(row, role)], pa.float64()),
-                 pa.array([where[i].astype("<i4").tobytes() for i in row], pa.binary())],
-                names=["list", "role", "cid", "n", "vec", "code", "error", "lists"])
+            size = pc.list_value_length(b.column(0)).to_numpy()
+            for d in np.unique(size).tolist():
+                if d in shared.value:
+                    yield deal_length(b.filter(pa.array(size == d)), d)
+
+    def deal_length(b: pa.RecordBatch, d: int) -> pa.RecordBatch:
+        index = shared.value[d]
+        vec = b.column(0).flatten().to_numpy().reshape(-1, d)
+        vec = vec / np.abs(vec).max(1, keepdims=True)       # the length of a very long or short vector stays finite
+        unit = vec / np.linalg.norm(vec, axis=1, keepdims=True)
+        where = probes(unit, index)
+        codes, error = encode(unit, np.array([p[0] for p in where], int), index)
+        where = [p + index.first for p in where]
+        count = np.array([len(p) for p in where])
+        row = np.repeat(np.arange(len(vec)), count + 1)
+        lists = np.concatenate([np.concatenate([p[:1], p]) for p in where])
+        first = np.cumsum(count + 1) - (count + 1)
+        role = np.ones(len(row), np.int32)
+        role[first] = 0
+        raw = [u.tobytes() for u in vec]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(lists, pa.int32()), pa.array(role), b.column(1).take(pa.array(row)), b.column(2).take(pa.array(row)),
+             pa.array([raw[i] for i in row], pa.binary()),
+             pa.array([codes[i].tobytes() if r == 0 else None for i, r in zip(row, role)], pa.binary()),
+             pa.array([error[i] if r == 0 else None for i, r in zip(row, role)], pa.float64()),
+             pa.array([where[i].astype("<i4").tobytes() for i in row], pa.binary())],
+            names=["list", "role", "cid", "n", "vec", "code", "error", "lists"])
 
     dealt = written(classes.select("vec", "cid", "n").mapInArrow(
         deal, "list int, role int, cid long, n long, vec binary, code binary, error double, lists binary"), "lists")
@@ -208,7 +218,7 @@ def near_duplicates(vectors: DataFrame, min_cosine: float = 0.95, params: PqPara
     size = dealt.groupBy("list").agg(F.count(F.when(F.col("role") == 0, 1)).alias("vs"), F.count(F.when(F.col("role") == 1, 1)).alias("qs"))
     parts = size.select("list", F.ceil(F.greatest("vs", F.lit(1)) / params.block).cast("int").alias("vb"),
                         F.ceil(F.greatest("qs", F.lit(1)) / params.block).cast("int").alias("qb")).collect()   # one row a list
-    vb, qb = (F.create_map(*[F.lit(y) for r in parts for y in (r["list"], r[k])])[F.col("list")] for k in ("vb", "qb"))
+    vb, qb = (F.create_map(*[F.lit(y) for r in parts for y in (r["list"], r[k])])[F.col("list")] if parts else F.lit(1) for k in ("vb", "qb"))
     h = F.xxhash64("cid")
     own_block = F.pmod(h, F.when(F.col("role") == 0, vb).otherwise(qb)).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.when(F.col("role") == 0, qb).otherwise(vb) - 1))
@@ -221,7 +231,8 @@ def near_duplicates(vectors: DataFrame, min_cosine: float = 0.95, params: PqPara
         none = pd.DataFrame({"cid": np.zeros(0, np.int64), "links": np.zeros(0, np.int64), "other": np.zeros(0, np.int64)})
         if not len(have) or not len(ask):
             return none
-        here = int(key[0])
+        index = shared.value[len(have.vec.iloc[0]) // 8]    # a list holds one length
+        here = int(key[0]) - index.first
         vx, qx = _unit(list(have.vec)), _unit(list(ask.vec))
         codes = np.stack([np.frombuffer(c, np.uint8) for c in have.code])
         vid, vn, qid, qn = have.cid.to_numpy(), have.n.to_numpy(), ask.cid.to_numpy(), ask.n.to_numpy()
@@ -229,7 +240,7 @@ def near_duplicates(vectors: DataFrame, min_cosine: float = 0.95, params: PqPara
         home = [int(np.frombuffer(p, "<i4", 1)[0]) for p in ask.lists]
         links: dict[int, int] = {}
         ea, eb = [], []
-        for i, at in enumerate(candidates(qx, codes, have.error.to_numpy(), here, shared.value)):
+        for i, at in enumerate(candidates(qx, codes, have.error.to_numpy(), here, index)):
             at = at[vid[at] != qid[i]]
             at = at[vx[at] @ qx[i] >= min_cosine] if len(at) else at
             if not len(at):

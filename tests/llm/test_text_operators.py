@@ -239,6 +239,30 @@ def test_embeddings(spark):
     assert embed_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embeddings_of_several_lengths_match_sql(spark):
+    import duckdb
+
+    from facsimile.llm.queries import _SQL_OP6
+    rng = np.random.default_rng(13)
+    rows = []
+    for dims, n in ((24, 120), (16, 60), (3, 1)):       # far-off vectors, exact copies and scaled copies of each length
+        base = rng.normal(size=(n, dims))
+        rows += [*base, *base[:n // 3 + 1], *(3 * base[n // 4:n // 2]), *(base[:5] + 1e-3 * rng.normal(size=(min(n, 5), dims)))]
+    rows = [(int(i), v.tolist()) for i, v in zip(rng.permutation(len(rows)), rows)] + [(1000, None), (1001, [0.0] * 16), (1002, [0.0] * 16), (1003, [2.0] * 5)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding DOUBLE[])")
+    con.executemany("INSERT INTO embeddings VALUES (?, ?)", rows)
+    cols = "vec_id, n_links, component_id, kept"
+    want = sorted(con.sql(f"SELECT {cols} FROM ({_SQL_OP6})").fetchall())
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in embed_dedup.near_duplicates(df).selectExpr(*cols.split(", ")).collect())
+    assert got == want
+    linked = {len(v or []) for i, v in rows for r in got if r[0] == i and r[1] > 0}
+    assert linked == {24, 16, 3}
+    copies = spark.createDataFrame([(2, [1.0, 2.0]), (1, [1.0, 2.0])], "vec_id long, embedding array<double>")
+    assert sorted(tuple(r) for r in embed_dedup.near_duplicates(copies).collect()) == [(1, 1, 1, True), (2, 1, 1, False)]
+
+
 PAGE = ("<html><head><title>t</title><script>var a='</p>';</script></head><body class='has-sidebar'><nav><ul><li><a href='/'>Home</a></ul></nav>"
         "<div class=\"ad\">buy one of these now and here</div><article><h1>Big  <b>ne</b>ws</h1><p>First &amp; best &lt;tag&gt;&nbsp;x.<br>Then"
         "<p>Second one here, with words.</p><aside>see also</aside><form><p>your mail</p></form><section id='comments'><p>nice one there</p></section>"
