@@ -177,6 +177,23 @@ def test_token_counts_match_the_library(spark):
     assert none["n_tokens"] == 2
 
 
+def test_token_counts_of_a_file_with_byte_pieces(spark):
+    import sentencepiece
+    from tokenizers import normalizers
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    pieces = [(sp.id_to_piece(i), sp.get_score(i)) for i in range(sp.get_piece_size())]
+    hf = Tokenizer(models.Unigram(pieces, 0, True))
+    hf.normalizer = normalizers.Sequence([normalizers.Prepend("▁"), normalizers.Replace(" ", "▁")])
+    rng = np.random.default_rng(6)
+    parts = ["the ", "cat", " ", "  ", "    ", "\n", "\n\n", "\t", "\r\n", "🤖", "𓀀𓀁", "中文", "def f(x):", "ing", "▁", "É", "x\x00"]
+    texts = ["".join(rng.choice(parts, rng.integers(0, 25))) for _ in range(200)] + [
+        None, "", " ", "\n", "  a", "a  ", "a\nb", "a  b", "🤖🦾", "𓀀" * 20, "the cat\n    return x\n" * 300]
+    got = {r[0]: r[1] for r in token_count.count_tokens(frame(spark, texts), token_count.Vocabulary.from_sentencepiece(path)).collect()}
+    assert got == {i: len(hf.encode(t or "", add_special_tokens=False).ids) for i, t in enumerate(texts)}
+    assert [got[i] for i in range(206, 210)] == [3, 3, 9, 81]
+
+
 def test_decontamination_by_brute_force(spark):
     rng = np.random.default_rng(7)
     word = lambda: f"v{rng.integers(0, 30)}"
