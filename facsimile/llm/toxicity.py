@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -12,9 +13,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from facsimile.llm.common import arrow_limits, slices
+from facsimile.llm.common import arrow_limits, slices, written
 
 _OTHER = re.compile(r"[\W\d_]+")
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")     # scripts without spaces
+BUCKETS = 1 << 18
 
 # Words that name a group of people; each row's words are swapped for one another.
 IDENTITY_TERMS = (
@@ -34,7 +37,7 @@ class ToxicParams:
     """``fit_rows`` bounds the labelled rows the weights are fitted on; feature counts use all of them."""
 
     fit_rows: int = 20_000
-    features: int = 1024        # kept of the words and word beginnings, by evidence
+    features: int = 1024        # kept of the words and word beginnings, and as many character n-grams, by evidence
     min_docs: int = 3
     ridge: float = 1e-5
     swap_penalty: float = 1.0   # weight of squared score changes under swaps
@@ -43,9 +46,16 @@ class ToxicParams:
 
 
 def word_features(word: str) -> tuple[str, ...]:
-    """A word's features: the word (its first six letters if longer) and its beginnings of four and five."""
+    """A word's features: the word, its beginnings of four to six letters and the hashes of its character n-grams.
+
+    The n-grams are taken at every place of the whole word: four characters, and two and
+    three in scripts without spaces, where a "word" is a clause.  A very long word stands
+    as its hash.
+    """
     n = len(word)
-    return (word if n <= 6 else word[:6] + "*", *((word[:5] + "*",) if n > 5 else ()), *((word[:4] + "*",) if n > 4 else ()))
+    whole = word if n <= 32 else f"={zlib.crc32(word.encode()):08x}{zlib.adler32(word.encode()):08x}"
+    grams = {word[i:i + k] for k in ((2, 3) if _UNSPACED.search(word) else (4,)) for i in range(n - k + 1)}
+    return (whole, *(word[:k] + "*" for k in (6, 5, 4) if n > k), *{f"#{zlib.crc32(g.encode()) % BUCKETS}" for g in grams})
 
 
 def words(text: str | None) -> list[str]:
@@ -107,7 +117,7 @@ def feature_counts(labelled: DataFrame) -> DataFrame:
                 n.update(own)
                 if y:
                     bad.update(own)
-            if len(n) > 150_000:
+            if len(n) > 300_000:
                 yield give(n, bad)
                 n, bad = Counter(), Counter()
             if len(known) > 150_000:
@@ -155,8 +165,9 @@ def fit(docs: DataFrame, labels: DataFrame, params: ToxicParams = ToxicParams(),
     """Learn from the texts of ``docs`` whose id ``labels`` marks 0 or 1.
 
     First all labelled texts count how many of them, and how many toxic ones, hold each
-    word and word beginning; the ``features`` with the strongest evidence either way are
-    kept, the identity terms always.  Then the weights are fitted on ``fit_rows`` rows at
+    word, word beginning and character n-gram; of the words with their beginnings and of
+    the n-grams the ``features`` with the strongest evidence either way are kept, the
+    identity terms always.  Then the weights are fitted on ``fit_rows`` rows at
     most, taken by a hash of their id; only their kept features come to the driver.
     Rows with a null id, text or label teach nothing; an id with several labels counts
     once for each.  Without labelled rows every score is near 0.
@@ -174,21 +185,24 @@ def fit(docs: DataFrame, labels: DataFrame, params: ToxicParams = ToxicParams(),
     # labels grow with the corpus: they are dealt by id like the texts, at every size alike
     stats = feature_counts(txt.join(lab.hint("merge"), "id").select("text", "y")).where(F.col("n") >= params.min_docs)
     z = (F.col("bad") - base * F.col("n")) / F.sqrt(F.col("n") * base * (1 - base))
-    top = stats.select("feature", F.abs(z).alias("z")).orderBy(F.desc("z"), "feature").limit(params.features).collect()
-    keep = dict.fromkeys([r[0] for r in top])
+    stats = written(stats.select("feature", F.abs(z).alias("z"), F.col("feature").startswith("#").alias("gram")), "features")
+    keep: dict[str, None] = {}
+    for gram in (False, True):
+        top = stats.where(F.col("gram") == gram).orderBy(F.desc("z"), "feature").limit(params.features).collect()
+        keep.update(dict.fromkeys(r["feature"] for r in top))
     keep.update(dict.fromkeys(f for g in IDENTITY_TERMS for w in g for f in word_features(w)))
     model.index = {f: i for i, f in enumerate(keep)}
     spot = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1_000_003)) / 1_000_003
     chosen = lab.where(spot < params.fit_rows / total).orderBy(F.xxhash64(F.col("id").cast("string")), "id").limit(params.fit_rows)
     shared = spark.sparkContext.broadcast(model)
     groups = _groups()
-    schema = pa.schema([("y", pa.int32()), *((c, pa.binary()) for c in ("at", "val", "swap_at", "swap_val"))])
+    schema = pa.schema([("id_hash", pa.int64()), ("y", pa.int32()), *((c, pa.binary()) for c in ("at", "val", "swap_at", "swap_val"))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in slices(batches, 500):
             rows = []
-            for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for h, text, y in zip(*(c.to_pylist() for c in b.columns)):
                 c = m.counts(text)
                 at = sorted(c)
                 whole, real = lambda x: np.array(list(x), "<i4").tobytes(), lambda x: np.array(list(x), "<f8").tobytes()
@@ -197,18 +211,18 @@ def fit(docs: DataFrame, labels: DataFrame, params: ToxicParams = ToxicParams(),
                 if not groups.keys().isdisjoint(ws):
                     other = m.counts(" ".join(groups[w][(groups[w].index(w) + 1) % len(groups[w])] if w in groups else w for w in ws))
                     swap = {j: d for j in {*c, *other} if (d := float(np.log1p(c[j]) - np.log1p(other[j])))}
-                rows.append(dict(y=y, at=whole(at), val=real(np.log1p(c[j]) for j in at), swap_at=whole(swap), swap_val=real(swap.values())))
+                rows.append(dict(id_hash=h, y=y, at=whole(at), val=real(np.log1p(c[j]) for j in at), swap_at=whole(swap), swap_val=real(swap.values())))
             yield pa.RecordBatch.from_pylist(rows, schema)
 
-    got = txt.join(F.broadcast(chosen), "id").select("text", "y").mapInArrow(
-        run, "y int, at binary, val binary, swap_at binary, swap_val binary").collect()
+    got = txt.join(F.broadcast(chosen), "id").select(F.xxhash64(F.col("id").cast("string")).alias("h"), "text", "y").mapInArrow(
+        run, "id_hash long, y int, at binary, val binary, swap_at binary, swap_val binary").collect()
     got.sort(key=lambda r: (r["y"], r["at"], r["val"]))     # the same sums whatever the tasks' order
     swaps = []
-    for i, r in enumerate([r for r in got if r["swap_at"]][:params.swaps]):
-        if r["swap_at"]:
-            d = np.zeros(len(keep))
-            d[np.frombuffer(r["swap_at"], "<i4")] = np.frombuffer(r["swap_val"], "<f8")
-            swaps.append((i, d))
+    # by the hash of the id, so both labels are among them as they are among all
+    for i, r in enumerate(sorted((r for r in got if r["swap_at"]), key=lambda r: r["id_hash"])[:params.swaps]):
+        d = np.zeros(len(keep))
+        d[np.frombuffer(r["swap_at"], "<i4")] = np.frombuffer(r["swap_val"], "<f8")
+        swaps.append((i, d))
     # labelled sentences without identity terms: the swap of a mention put into them changes these features
     for g in IDENTITY_TERMS:
         for one, two in zip(g, (*g[1:], g[0])):

@@ -350,6 +350,42 @@ def test_toxicity(spark):
     assert toxicity.predict(empty(spark), model).count() == 0
 
 
+def test_toxicity_reads_whole_words(spark):
+    """Words that differ after the sixth letter, and toxic ones late in a clause without spaces, differ in score."""
+    rng = np.random.default_rng(8)
+    words, signs = [f"word{i}x" for i in range(100)], [chr(0x4E00 + i) for i in range(300)]
+    texts, y = [], []
+    for i in range(600):
+        bad = i % 3 == 0
+        if i % 2:
+            texts.append(" ".join([*rng.choice(words, 20), "motherfucker" if bad else str(rng.choice(["motherland", "motherboard"]))]))
+        else:
+            texts.append("".join(rng.choice(signs, 30)) + ("傻逼" if bad else "") + "".join(rng.choice(signs, 10)))
+        y.append(int(bad))
+    model = toxicity.fit(frame(spark, texts), spark.createDataFrame(list(enumerate(y)), "doc_id long, toxic int"))
+    assert model.score("word1x motherfucker") > 0.5 > max(model.score("word1x motherland"), model.score("word1x motherboard"))
+    clause = "".join(rng.choice(signs, 40))
+    assert model.score(clause + "傻逼" + clause) > 0.5 > model.score(clause + clause)
+    assert model.score("word1x youmotherfuckers") > model.score("word1x yourmotherlands")
+
+
+def test_toxicity_swaps_take_both_labels(spark, monkeypatch):
+    """With more swapped sentences than are used, those of toxic rows are among them."""
+    texts = [f"some women say word{i % 50}x" + (" idiot" if i % 2 else "") for i in range(200)]
+    seen = {}
+
+    def spy(x_at, x_val, y, swaps, size, p):
+        seen["swaps"] = swaps
+        return np.zeros(size), 0.0
+
+    monkeypatch.setattr(toxicity, "_train", spy)
+    texts = [t + (" muslims" if i % 2 else "") for i, t in enumerate(texts)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int")
+    model = toxicity.fit(frame(spark, texts), labels, toxicity.ToxicParams(swaps=40))
+    muslims = [d[model.index["muslims"]] != 0 for i, d in seen["swaps"] if i >= 0]      # toxic rows alone name them
+    assert len(muslims) == 40 and 8 <= sum(muslims) <= 32
+
+
 def test_language_model(spark):
     rng = np.random.default_rng(4)
     docs = [(i, " ".join(rng.choice(["The", "cat", "sat", "on", "mat", f"w{rng.integers(0, 50)}"], rng.integers(1, 40))), i % 7 == 2) for i in range(300)]
