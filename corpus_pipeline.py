@@ -32,18 +32,26 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the smallest id, of each SimHash class."""
-    got = simhash.near_duplicates(docs.select("doc_id", "text"), words=3, max_bits=2)
-    gone = written(got.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")), "gone")
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    """One row, the one with the smallest id, of each SimHash class.
+
+    Rows have a written number, so rows without an id or with a repeated one are told
+    apart.  A null id comes after all others; of rows with one id the one with the
+    smallest hash of its text stays.
+    """
+    docs = written(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("hash"), "__row")
+    got = simhash.near_duplicates(docs.select(key.alias("key"), "text"), id_col="key", words=3, max_bits=2)
+    gone = written(got.where("key.__row <> component_id.__row").select(F.col("key.__row").alias("__gone")), "gone")
+    return docs.join(gone, F.col("__row") == F.col("__gone"), "left_anti").drop("__row")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any window of a benchmark item."""
+    """Rows whose text has no window of a benchmark item; the text alone says so, whatever the row's id."""
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    got = decontam.contamination(docs.select("doc_id", "text"), bench, WINDOW)
-    gone = written(got.where("contaminated").select(F.col("doc_id").alias("__gone")), "gone")
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    digest = F.unhex(F.md5("text"))
+    got = decontam.contamination(docs.select(digest.alias("digest"), "text"), bench, WINDOW, id_col="digest")
+    gone = written(got.where("contaminated").select(F.col("digest").alias("__gone")).distinct(), "gone")
+    return docs.join(gone, digest == F.col("__gone"), "left_anti")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -435,6 +435,34 @@ def test_pipeline_stages(spark):
     assert clean.columns == docs.columns and 0 < clean.count() < docs.count()
 
 
+def test_pipeline_stages_with_null_and_repeated_ids(spark):
+    """Rows are told apart without ids: each stage decides by the row's text."""
+    from collections import Counter
+
+    import corpus_pipeline as cp
+    from pyspark.sql import functions as F
+    sf = "/root/testdata/sf0.01"
+    base = spark.read.parquet(f"{sf}/documents.parquet")
+    leak = spark.read.parquet(f"{sf}/benchmark.parquet").where(F.length("text") > 100).orderBy("item_id").first()["text"]
+    clean = [r["text"] for r in cp.decontaminate(spark, base, sf).where(F.length("text") > 400).orderBy("doc_id").limit(40).collect()]
+    a, b, c, d = [t for t in clean if len(t.split()) > 20][:4]
+    assert min((brute_fingerprint(x) ^ brute_fingerprint(y)).bit_count() for x, y in ((a, b), (a, c), (a, d), (b, c), (b, d), (c, d))) > 2
+    rows = [(1, a), (1, a), (1, a), (None, b), (None, b), (2, c), (2, d), (None, a), (3, leak), (3, b), (None, leak), (None, None), (4, None), (None, leak)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").crossJoin(base.drop("doc_id", "text").limit(1)).select(*base.columns)
+    pairs = lambda df: Counter((r["doc_id"], r["text"]) for r in df.collect())
+    one = cp.near_dedup(spark, docs, sf)
+    assert one.columns == docs.columns
+    assert pairs(one) == Counter([(1, a), (3, b), (2, c), (2, d), (3, leak), (4, None)])
+    assert pairs(cp.decontaminate(spark, docs, sf)) == Counter(r for r in rows if r[1] != leak)
+    both = base.unionByName(base.limit(100)).unionByName(base.limit(50).withColumn("doc_id", F.lit(None).cast(base.schema["doc_id"].dataType)))
+    for stage in (cp.language_id, cp.toxic):        # a row's copies and those without an id go with its text
+        kept, every = pairs(stage(spark, both, sf)), pairs(both)
+        texts = {t for _, t in kept}
+        assert kept == Counter({k: n for k, n in every.items() if k[1] in texts})
+    packed = cp.pack(spark, docs, sf).toPandas()
+    assert packed[packed["start"] == 0].doc_id.isna().sum() == sum(r[0] is None for r in rows) and (packed["start"] == 0).sum() == len(rows)
+
+
 def pa_lit(x):
     from pyspark.sql import functions as F
     return F.lit(x)
