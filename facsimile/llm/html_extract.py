@@ -7,6 +7,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,6 +25,10 @@ complementary contentinfo consent cookie cookies copyright disclaimer discussion
 masthead menu menubar modal nav navbar navigation navigationlist newsletter notice notices notification overlay pager pagination paywall popup promo
 promoted promotion recommended related replies reply respond search share sharing sidebar sidemenu signup skip social sponsor
 sponsored subscribe subscription tags toolbar toc widget widgets alert dialog""".split())
+# Words that say nothing of their own beside a furniture word ("ad-slot", "comment-list").
+GENERIC = frozenset("""area articles bar block bottom box btn button buttons col column container footer form frame group header heading
+icon icons inner item items left link links list outer panel placeholder posts right row section slot stories sub text title top unit
+wrap wrapper zone""".split())
 EXEMPT = frozenset("html body main article h1 h2 h3 h4 h5 h6".split())
 MAIN = frozenset("article main".split())
 INLINE = frozenset("""a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q s samp small span
@@ -35,33 +40,40 @@ _TOKEN = re.compile(
     rf"(?P<gone><!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*>)"
     r"|(?P<tag></?[a-z](?:[^>\"']|\"[^\"]*\"|'[^']*')*+>|</?[a-z][^>]*>)|(?P<text>[^<]+|<)", re.I | re.S)
 _NAME = re.compile(r"</?([a-z][a-z0-9:-]*)", re.I)
-_MARK = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s=>"'/]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+))?""")
 _PART = re.compile(r"[a-z]+", re.I)
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 @lru_cache(maxsize=4096)
-def tag_facts(tag: str) -> tuple[str, bool, bool, str]:
-    """(name, opens, furniture, key) of a tag; the key is its name, direction and first class word."""
+def tag_facts(tag: str) -> tuple[str, bool, int, str]:
+    """(name, opens, furniture, key) of a tag; the key is its name, direction and first class word.
+
+    Furniture is 2 if the tag's name, or a whole name in its class, id or role, says so
+    ("sidebar", "ad-slot"), and 1 if a furniture word is only a part of such a name
+    ("has-sidebar", "related-work").
+    """
     name = _NAME.match(tag)[1].lower()
     opens = not tag.startswith("</")
-    found, first = False, ""
+    found, first = 0, ""
     if opens and name not in EXEMPT:
-        found = name in DROPPED
-    if opens and len(tag) < 2000:
-        for kind, value in _MARK.findall(tag[len(name) + 1:]):
-            kind, value = kind.lower(), value.strip("\"'")
+        found = 2 * (name in DROPPED)
+    if opens:
+        for kind, value in _ATTRIBUTE.findall(tag[len(name) + 1:]):
+            kind, value, hidden = kind.lower(), value.strip("\"'"), 0
             if kind == "style":
-                hidden = "display:none" in value.replace(" ", "").lower()
+                hidden = 2 * ("display:none" in value.replace(" ", "").lower())
             elif kind == "hidden":
-                hidden = True
+                hidden = 2
             elif kind == "aria-hidden":
-                hidden = value.lower() == "true"
-            else:
-                parts = [w.lower() for w in _PART.findall(_CAMEL.sub(" ", value))]
-                first = first or (parts[0] if kind == "class" and parts else "")
-                hidden = any(w in FURNITURE for w in parts)
-            found |= hidden and name not in EXEMPT
+                hidden = 2 * (value.lower() == "true")
+            elif kind in ("class", "id", "role"):
+                for part in value.split():
+                    parts = [w.lower() for w in _PART.findall(_CAMEL.sub(" ", part))]
+                    first = first or (parts[0] if kind == "class" and parts else "")
+                    if not FURNITURE.isdisjoint(parts):
+                        hidden = max(hidden, 2 if all(w in FURNITURE or w in GENERIC for w in parts) else 1)
+            found = max(found, hidden if name not in EXEMPT else 0)
     return name, opens, found, f"{name}.{first}" if first else name if opens else "/" + name
 
 
@@ -69,7 +81,10 @@ def tokens(page: str) -> list[tuple[str, str]]:
     """("tag", markup) and ("text", characters) of a page without furniture elements.
 
     A furniture element goes with all it holds; one that is never closed loses its tag
-    alone (one that ends itself, such as a paragraph, ends at the next block tag).
+    alone (one that ends itself, such as a paragraph, ends at the next block tag).  It
+    stays if it holds a main element or all article elements of the page or, on a page
+    with neither, most of its words; then, as with a tag that only has a furniture word in
+    a longer name, its tag costs more and the scan decides.
     """
     found = [(m.lastgroup if m.lastgroup != "raw" else "gone", m[0]) for m in _TOKEN.finditer(page)]
     found = [t for t in found if t[0] != "gone"]
@@ -86,11 +101,20 @@ def tokens(page: str) -> list[tuple[str, str]]:
                 stacks.setdefault(name, []).append(i)
             elif stacks.get(name):
                 close[stacks[name].pop()] = i
+    opened = [tag_facts(s)[0] if kind == "tag" and tag_facts(s)[1] else "" for kind, s in found]
+    mains, articles, words = ([0, *accumulate(x)] for x in (
+        (n == "main" for n in opened), (n == "article" for n in opened), (len(s.split()) if kind == "text" else 0 for kind, s in found)))
+
+    def stays(lo: int, hi: int) -> bool:
+        if mains[-1] or articles[-1]:
+            return mains[hi] > mains[lo] or 0 < articles[-1] == articles[hi] - articles[lo]
+        return 2 * (words[hi] - words[lo]) > words[-1]
+
     out, skip = [], -1
     for i, t in enumerate(found):
         if i <= skip:
             continue
-        if t[0] == "tag" and tag_facts(t[1])[2]:
+        if t[0] == "tag" and tag_facts(t[1])[2] == 2 and not stays(i, close.get(i, i) + 1):
             skip = close.get(i, i)
             out.append(("tag", "</cut>"))
             continue
@@ -108,6 +132,7 @@ class ExtractModel:
     inline: float = 0.05
     holder: float = 2.0
     cut: float = 0.01
+    marked: float = 5.0     # more for a tag with a furniture word, outside article and main, whose element was not cut
 
     def of(self, key: str) -> float:
         if key == "/cut":
@@ -150,8 +175,17 @@ def main_text(page: str | None, model: ExtractModel) -> str:
     if not page:
         return ""
     found = tokens(page)
-    score = [model.word * len(s.split()) if kind == "text" else -model.of(tag_facts(s)[3] if s != "</cut>" else "/cut")
-             for kind, s in found]
+    score, inside = [], 0
+    for kind, s in found:
+        if kind == "text":
+            score.append(model.word * len(s.split()))
+        elif s == "</cut>":
+            score.append(-model.of("/cut"))
+        else:
+            name, opens, furniture, key = tag_facts(s)
+            if name in MAIN:
+                inside = max(0, inside + (1 if opens else -1))
+            score.append(-model.of(key) - (model.marked if furniture and not inside else 0.0))
     lo, hi = best_region(score)
     return joined(found[lo:hi])
 

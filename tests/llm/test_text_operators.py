@@ -301,6 +301,26 @@ def test_html(spark):
     assert html_extract.best_region([-1, 3, -1, 2, -9, 4]) in [(1, 4)]
 
 
+@pytest.mark.parametrize("holder", ["<form id=aspnetForm>", "<div class='layout has-sidebar'>", "<div class='page with-nav'>",
+                                    "<div id='search-results-page'>", "<div class='sidebar'>"])
+def test_html_keeps_what_holds_the_article(spark, holder):
+    end = f"</{holder[1:5].strip()}>"
+    body, text = [], []
+    for k, name in enumerate(("search-algorithms", "related-work", "social-history", "plain")):
+        line = " ".join(f"{name[:3]}word{k}x{i}" for i in range(30))
+        body.append(f"<section id='{name}'><p>{line}</p></section>")
+        text.append(line)
+    advert = f"<div data-x='{'y ' * 2000}' class='advert'><p>{'buy now ' * 40}</p></div>"
+    side = f"<div data-props='class=plain' class='sidebar'><p>{'more to read ' * 5}</p></div>"
+    page = f"<html><body>{holder}<nav>Home</nav>{side}<article><h1>Big news of the day</h1>{''.join(body[:2])}{advert}{''.join(body[2:])}</article>{side}{end}</body></html>"
+    bare = f"<html><body>{holder}<p>{text[0]}</p><p>{text[1]}</p>{end}<footer>one two</footer></body></html>"
+    df = spark.createDataFrame([(0, page), (1, bare), (2, page)], "page_id long, html string")
+    for model in (html_extract.fit(df), html_extract.ExtractModel()):
+        got = {r["page_id"]: r["text"] for r in html_extract.extract(df, model).collect()}
+        assert got[0] == got[2] == " ".join(["Big news of the day", *text])
+        assert got[1] == " ".join(text[:2])
+
+
 def test_html_of_given_pages(spark, tables):
     pages = tables("pages")
     got = html_extract.extract(pages, html_extract.fit(pages)).toPandas().set_index("page_id")["text"]
