@@ -2,7 +2,8 @@
 (Patki, Wedge and Veeramachaneni, IEEE DSAA 2016), built from Spark aggregates.
 
 Fit (a few small jobs): marginal quantile knots of every continuous column at
-Phi(z) for z = -4..4 step 0.05 (exact quantiles, so the same on any partitioning); category
+Phi(z) for z = -4..4 step 0.05 (exact quantiles, so the same on any partitioning), and the
+exact minimum and maximum, which the tails beyond the outer knots run to; category
 frequencies of every categorical column (<= 50 values); the correlation matrix of
 the latent normal scores (one aggregate of pairwise moments).  The p x p matrix is
 repaired to positive definite and factored on the driver.
@@ -10,6 +11,10 @@ repaired to positive definite and factored on the driver.
 Sample: ``range(n)``, p reproducible standard normals per row, z = L e, then each
 column back through its marginal: knot interpolation (constant time, indexes into a
 literal array) for continuous columns, threshold counts for categories.
+
+Beyond |z| = 4 the part of the way from the extreme back to the outer knot is
+exp((16 - z^2) / 2), which falls with z about as the normal's tail does, so draws spread
+over the whole range to the extreme and pile up nowhere.
 """
 
 from __future__ import annotations
@@ -43,6 +48,8 @@ class CopulaModel:
         self.columns: list[str] = []            # modelled, in source order
         self.kind: dict[str, str] = {}          # 'continuous' | 'categorical'
         self.knots: dict[str, list[float]] = {}
+        self.ends: dict[str, tuple[float, float]] = {}     # exact minimum and maximum
+        self.tail: float = 1.0      # least part of a tail's way: the place of a source's own extreme
         self.integer: dict[str, bool] = {}
         self.cat_values: dict[str, list[str]] = {}
         self.cat_thresholds: dict[str, list[float]] = {}
@@ -82,10 +89,12 @@ def fit_copula(df: DataFrame, specs: list[ColumnSpec] | None = None) -> CopulaMo
     # marginals of continuous columns: 161 quantile knots each, one pass
     if cont:
         probs = [_N01.cdf(z) for z in Z_GRID]
-        q = exact_quantiles(df, cont, probs)   # exact: the same knots on any partitioning
+        q = exact_quantiles(df, cont, [0.0, *probs, 1.0])   # exact: the same knots on any partitioning
+        m.tail = min(1.0, 0.5 / max(by[c].count for c in cont) / probs[0])
         for c in cont:
             m.kind[c] = "continuous"
             m.knots[c] = [float(q[(c, p)]) for p in probs]
+            m.ends[c] = float(q[(c, 0.0)]), float(q[(c, 1.0)])
             m.integer[c] = by[c].dtype in ("tinyint", "smallint", "int", "bigint", "boolean")
     # categories: one dictionary (sorted trimmed values) and their frequencies
     if cats:
@@ -161,8 +170,13 @@ def _latent_frame(df: DataFrame, m: CopulaModel, types) -> DataFrame:
         lo_i = F.least(F.greatest(b, F.lit(1)), F.lit(len(uniq) - 1))
         x0, x1 = F.element_at(xs, lo_i), F.element_at(xs, lo_i + 1)
         z0, z1 = F.element_at(zs, lo_i), F.element_at(zs, lo_i + 1)
-        x = F.least(F.greatest(F.col(f"x{i}"), F.lit(uniq[0])), F.lit(uniq[-1]))
-        out.append((z0 + (x - x0) / (x1 - x0) * (z1 - z0)).alias(f"z{i}"))
+        x = F.col(f"x{i}")
+        z = F.when((x >= uniq[0]) & (x <= uniq[-1]), z0 + (x - x0) / (x1 - x0) * (z1 - z0))
+        for sign, end, knot in ((-1.0, m.ends[c][0], uniq[0]), (1.0, m.ends[c][1], uniq[-1])):
+            if end != knot:
+                part = F.greatest((F.lit(end) - x) / F.lit(end - knot), F.lit(m.tail))
+                z = z.when(x < knot if sign < 0 else x > knot, F.lit(sign) * F.sqrt(F.lit(Z_LO ** 2) - 2 * F.log(part)))
+        out.append(z.alias(f"z{i}"))
     return base.select(*out)
 
 
@@ -192,10 +206,13 @@ def sample_copula(df: DataFrame, model: CopulaModel, n: int, seed: int = 42, fas
         if model.kind[c] == "continuous":
             kn = model.knots[c]
             arr = double_array(kn)
-            t = (F.least(F.greatest(z, F.lit(Z_LO)), F.lit(-Z_LO)) - F.lit(Z_LO)) / F.lit(Z_STEP)
-            k = F.least(F.floor(t).cast("int"), F.lit(Z_N - 2))
+            t = (z - F.lit(Z_LO)) / F.lit(Z_STEP)
+            k = F.greatest(F.least(F.floor(t).cast("int"), F.lit(Z_N - 2)), F.lit(0))
             frac = t - k
             x = F.element_at(arr, k + 1) + frac * (F.element_at(arr, k + 2) - F.element_at(arr, k + 1))
+            (lo, hi), part = model.ends[c], F.exp((F.lit(Z_LO ** 2) - z * z) / 2)
+            x = (F.when(z < Z_LO, F.lit(lo) + part * F.lit(kn[0] - lo))
+                 .when(z > -Z_LO, F.lit(hi) - part * F.lit(hi - kn[-1])).otherwise(x))
             if model.integer[c]:
                 x = round_year(x).cast("double")
             exprs.append(format_numeric(x, by[c]).alias(c))

@@ -95,3 +95,23 @@ def test_pca_matches_numpy(spark, tables):
     for j in range(2):
         s = 1.0 if vt[j][np.abs(vt[j]).argmax()] >= 0 else -1.0
         assert np.allclose(np.sort(sc[f"pc{j + 1}"].values), np.sort(ref[:, j] * s), atol=1e-6)
+
+
+def test_copula_draws_reach_the_source_range(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from facsimile.operators.copula import _latent_frame, sample_copula
+    rng = np.random.default_rng(1)
+    vals = np.exp(rng.normal(size=30_000)).round(6)
+    vals[:2] = 500.0, -40.0         # the extremes, far outside the outer knots
+    src = spark.createDataFrame([(float(v), float(w)) for v, w in zip(vals, rng.normal(size=30_000))], "a double, b double")
+    model = fit_copula(src)
+    lo, hi = model.knots["a"][0], model.knots["a"][-1]
+    assert model.ends["a"] == (-40.0, 500.0) and lo > -40 and hi < 500
+    z = _latent_frame(src, model, {f.name: f.dataType for f in src.schema.fields}).agg(F.min("z0"), F.max("z0")).first()
+    assert z[0] < -4 and z[1] > 4
+    got = sample_copula(src, model, 600_000, seed=3, fast=True).select(F.col("a").cast("double"))
+    out = got.where((F.col("a") < lo - 0.01) | (F.col("a") > hi + 0.01)).toPandas()["a"]
+    assert 10 <= len(out) <= 90 and out.nunique() == len(out)       # 38 expected, spread and not on one knot
+    assert out.between(-40, 500).all() and out.max() > hi + 0.8 * (500 - hi) and out.min() < lo - 0.8 * (lo + 40)
