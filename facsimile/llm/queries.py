@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facsimile.llm import decontam, embed_dedup, html_extract, langid, lm, packing, simhash, token_count, token_files, toxicity
+from facsimile.llm import (decontam, embed_dedup, html_extract, langid, line_dedup, lm, packing, simhash, token_count, token_files,
+                           toxicity)
 from facsimile.llm.common import is_fold
 from facsimile.session import scratch_path
 
@@ -99,6 +100,13 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document, those dropped that five documents or more repeat, and a digest of the rest."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup_lines(docs, min_docs=5, min_chars=40).select(
+        "doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of corpus_pipeline.py over the documents table."""
     import corpus_pipeline
@@ -146,10 +154,26 @@ FROM d LEFT JOIN word ON word.doc_id = d.doc_id LEFT JOIN item ON item.doc_id =
 """
 
 
+_SQL_OP11 = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT r, doc_id, p, lines[p] AS line FROM d, unnest(range(1, len(lines) + 1)) AS t(p)),
+k AS (SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                          'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+often AS (
+  SELECT key, max(doc_id) AS last_id FROM (SELECT DISTINCT r, doc_id, key FROM k WHERE length(key) >= 40)
+  GROUP BY key HAVING count(*) >= 5),
+m AS (SELECT k.r, k.p, k.line, o.key IS NOT NULL AND k.doc_id IS DISTINCT FROM o.last_id AS gone
+      FROM k LEFT JOIN often o ON o.key = k.key)
+SELECT any_value(d.doc_id) AS doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (NOT gone), '')) AS kept_sha256
+FROM m JOIN d ON d.r = m.r GROUP BY m.r
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name -> (spark, sf_dir) -> DataFrame."""
     own = (op1_language_id, op2_html_extraction, op3_token_counts, op4_simhash, op5_token_files, op6_embedding_dedup,
-           op7_best_fit_packing, op8_lm_scores, op9_decontamination, op10_toxicity, pipeline)
+           op7_best_fit_packing, op8_lm_scores, op9_decontamination, op10_toxicity, op11_line_dedup, pipeline)
     return {f.__name__: f for f in own}
 
 
@@ -157,4 +181,4 @@ def oracle_sql() -> dict[str, str]:
     """DuckDB twins of the queries that SQL can say."""
     import corpus_pipeline
     whole = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
-    return {"op6_embedding_dedup": _SQL_OP6, "op9_decontamination": _SQL_OP9} | whole
+    return {"op6_embedding_dedup": _SQL_OP6, "op9_decontamination": _SQL_OP9, "op11_line_dedup": _SQL_OP11} | whole
