@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,3 +63,43 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = ARROW_ROWS) -> Iterato
     for b in batches:
         for i in range(0, b.num_rows, rows):
             yield b.slice(i, rows)
+
+
+FAN = 16    # states folded by one task, and brought to the driver at last
+
+
+def folded(states: DataFrame, fold: Callable[[list[bytes]], bytes], name: str) -> list[bytes]:
+    """Fold task states (one binary column) to at most ``FAN`` of them, which the driver gets.
+
+    Every round deals the states evenly and writes what is left, a ``FAN``-th of it, so
+    no task ever folds more than that many.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[bytes] = []
+        for b in batches:
+            for raw in b.column(0).to_pylist():
+                held = [fold([*held, raw])] if held else [raw]
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary())], names=["state"])
+
+    states = written(states.toDF("state"), name)
+    n = states.count()
+    while n > FAN:
+        n = -(-n // FAN)
+        states = written(states.repartition(n).mapInArrow(run, "state binary"), name)
+    return [r[0] for r in states.collect()]
+
+
+def sound_vector(vec: Column) -> Column:
+    """True for a vector (array<double>) that is not null and holds neither null nor non-finite entries."""
+    return F.coalesce(vec.isNotNull() & F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
+
+
+def matrices(batch: pa.RecordBatch, column: int = 0) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(length, rows, matrix) for each length of the vectors in a batch's list column."""
+    col = batch.column(column)
+    size = pc.list_value_length(col).to_numpy()
+    for d in np.unique(size).tolist():
+        rows = np.flatnonzero(size == d)
+        part = col if len(rows) == len(col) else col.take(pa.array(rows))
+        yield d, rows, part.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(rows), d)

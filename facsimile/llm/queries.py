@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from facsimile.llm import (decontam, embed_dedup, html_extract, langid, line_dedup, lm, packing, simhash, token_count, token_files,
-                           toxicity)
+                           toxicity, vector_codes, whitening)
 from facsimile.llm.common import is_fold
 from facsimile.session import scratch_path
 
@@ -107,6 +107,17 @@ def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened components of every vector, at most 32 of them."""
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return whitening.whiten(vectors, whitening.fit(vectors, components=32))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of every vector: four parts of 256 entries, four rounds."""
+    return vector_codes.quantise(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of corpus_pipeline.py over the documents table."""
     import corpus_pipeline
@@ -170,10 +181,42 @@ FROM m JOIN d ON d.r = m.r GROUP BY m.r
 """
 
 
+def _sql_op13(codes: int = 256, rounds: int = 4) -> str:
+    """The rounds of the codebooks written out one after the other."""
+    ctes = [
+        """v AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding::DOUBLE[], lambda x: floor(1024 * x)::BIGINT) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        """p AS MATERIALIZED (
+  SELECT vec_id, (i - 1) // (len(x) // 4) AS part, (i - 1) % (len(x) // 4) AS pos, x[i] AS val FROM v, unnest(range(1, len(x) + 1)) AS t(i))""",
+        f"""b0 AS MATERIALIZED (
+  SELECT part, r - 1 AS entry, pos, val FROM p JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS r FROM v) USING (vec_id)
+  WHERE r <= {codes})"""]
+    for k in range(rounds + 1):
+        ctes.append(f"""a{k} AS MATERIALIZED (
+  SELECT vec_id, part, min(dist * {codes} + entry) AS best FROM (
+    SELECT p.vec_id, p.part, b.entry, sum((p.val - b.val) * (p.val - b.val))::BIGINT AS dist
+    FROM p JOIN b{k} b ON b.part = p.part AND b.pos = p.pos GROUP BY p.vec_id, p.part, b.entry) GROUP BY vec_id, part)""")
+        if k < rounds:
+            ctes.append(f"""b{k + 1} AS MATERIALIZED (
+  SELECT b.part, b.entry, b.pos, coalesce(m.val, b.val) AS val FROM b{k} b LEFT JOIN (
+    SELECT p.part, a.best % {codes} AS entry, p.pos, floor(sum(p.val) / count(*))::BIGINT AS val
+    FROM p JOIN a{k} a ON a.vec_id = p.vec_id AND a.part = p.part GROUP BY p.part, a.best % {codes}, p.pos) m
+  ON m.part = b.part AND m.entry = b.entry AND m.pos = b.pos)""")
+    ctes.append(f"""c AS (
+  SELECT vec_id, string_agg(lpad(to_hex(best % {codes}), 2, '0'), '' ORDER BY part) AS code, sum(best // {codes})::BIGINT AS error
+  FROM a{rounds} GROUP BY vec_id)""")
+    return "WITH " + ",\n".join(ctes) + f"""
+SELECT c.vec_id, lower(code) AS code, error, (sum(error) OVER (PARTITION BY v.label))::BIGINT AS label_error,
+  (SELECT sha256(string_agg(val::VARCHAR, ',' ORDER BY part, entry, pos)) FROM b{rounds}) AS codebooks_sha256
+FROM c JOIN v ON v.vec_id = c.vec_id"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name -> (spark, sf_dir) -> DataFrame."""
     own = (op1_language_id, op2_html_extraction, op3_token_counts, op4_simhash, op5_token_files, op6_embedding_dedup,
-           op7_best_fit_packing, op8_lm_scores, op9_decontamination, op10_toxicity, op11_line_dedup, pipeline)
+           op7_best_fit_packing, op8_lm_scores, op9_decontamination, op10_toxicity, op11_line_dedup,
+           op12_embedding_whitening, op13_vector_codes, pipeline)
     return {f.__name__: f for f in own}
 
 
@@ -181,4 +224,5 @@ def oracle_sql() -> dict[str, str]:
     """DuckDB twins of the queries that SQL can say."""
     import corpus_pipeline
     whole = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
-    return {"op6_embedding_dedup": _SQL_OP6, "op9_decontamination": _SQL_OP9, "op11_line_dedup": _SQL_OP11} | whole
+    return {"op6_embedding_dedup": _SQL_OP6, "op9_decontamination": _SQL_OP9, "op11_line_dedup": _SQL_OP11,
+            "op13_vector_codes": _sql_op13()} | whole
