@@ -289,18 +289,21 @@ def dedup_lines(docs: DataFrame, min_docs: int = 5, min_chars: int = 40, id_col:
     arrays = written(shard_arrays(counts, shards), "line_arrays")
     gone = (repeated_lines(src, arrays, shards, min_docs, min_chars)
             .groupBy("doc", "hash").agg(F.collect_set("nth").alias("gone")))     # at most a document's lines
-    # the same plan at every size: both sides meet by a merge
-    both = src.join(gone.hint("merge"), ["doc", "hash"], "left").select("id", "text", "gone")
+    # the same plan at every size: texts stream past a hash table of a partition's few numbers, unsorted
+    both = src.join(gone.hint("shuffle_hash"), ["doc", "hash"], "left").select("id", "text", "gone")
     names = [id_col, "n_lines", "n_dropped", text_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(t, 0) if g is None else drop_lines(t, set(g), min_chars)
-                    for t, g in zip(b.column(1).cast(pa.binary()).to_pylist(), b.column(2).to_pylist())]
-            dropped = np.array([d for _, d in rows], np.int64)
-            n = np.array([t.count(b"\n") + 1 for t in b.column(1).cast(pa.binary()).to_pylist()], np.int64)
+            texts, n, dropped = [], [], []
+            for text, numbers in zip(b.column(1).cast(pa.binary()).to_pylist(), b.column(2).to_pylist()):
+                n.append(text.count(b"\n") + 1)
+                text, less = drop_lines(text, set(numbers), min_chars) if numbers else (text, 0)
+                texts.append(text)
+                dropped.append(less)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n), pa.array(dropped), pa.array([t for t, _ in rows], pa.binary()).cast(pa.string())], names=names)
+                [b.column(0), pa.array(n, pa.int64()), pa.array(dropped, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string())],
+                names=names)
 
     kind = src.schema["id"].dataType.simpleString()
     return both.mapInArrow(run, f"`{id_col}` {kind}, n_lines long, n_dropped long, `{text_col}` string")
