@@ -72,28 +72,48 @@ def walsh(x: np.ndarray) -> np.ndarray:
 
 
 def nearest(part: np.ndarray, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(index of the nearest entry, its squared distance) of each row, ties to the lower index."""
-    if part.dtype == object or entries.dtype == object:
-        part, entries = part.astype(object), entries.astype(object)
-    have = walsh(entries)
+    """(index of the nearest entry, its squared distance) of each row, ties to the lower index.
+
+    While many pairs of a row and an entry are left they are all taken one coefficient
+    further; once an eighth is left, those alone.
+    """
+    kind = object if object in (part.dtype, entries.dtype) else np.int64
+    have = walsh(entries.astype(kind))
     size = have.shape[1]
+    if kind is not object:
+        top = int(np.abs(part).max(initial=0)) + int(np.abs(entries).max(initial=0))
+        kind = np.int32 if (size * top) ** 2 < 1 << 31 else np.int64    # the sums are size * squared distance
+    have = have.astype(kind)
+    columns = np.ascontiguousarray(have.T)
     index, error = np.zeros(len(part), np.int64), np.zeros(len(part), part.dtype)
     for lo in range(0, len(part), ROWS):
-        x = walsh(part[lo:lo + ROWS])
+        x = walsh(part[lo:lo + ROWS]).astype(kind)
         n = np.arange(len(x))
-        whole = lambda e: ((x - have[e]) ** 2).sum(1)  # noqa: E731  of one entry a row
-        done = min(2, size)
-        sums = sum((x[:, None, k] - have[None, :, k]) ** 2 for k in range(done))
-        bound = whole(sums.argmin(1))
-        row, entry = np.nonzero(sums <= bound[:, None])
+        whole = lambda e: ((x - have[e]) ** 2).sum(1, dtype=kind)  # noqa: E731  of one entry a row
+        sums, done, alive, bound = np.zeros((len(x), len(have)), kind), 0, None, None
+        while done < size:
+            gap = np.subtract.outer(x[:, done], columns[done])
+            gap *= gap
+            sums += gap
+            done += 1
+            if done >= 4 and done & (done - 1) == 0 and done < size:
+                tried = whole(sums.argmin(1))
+                bound = tried if bound is None else np.minimum(bound, tried)
+                alive = sums <= bound[:, None]
+                if 8 * np.count_nonzero(alive) <= alive.size:
+                    break
+        if done == size:
+            best = sums.argmin(1)       # the first, so the lowest, of equal ones
+            index[lo:lo + len(x)], error[lo:lo + len(x)] = best, sums[n, best] // size
+            continue
+        row, entry = np.nonzero(alive)
         sums = sums[row, entry]
         while done < size:
             more = min(size, 2 * done)
-            sums = sums + ((x[row, done:more] - have[entry, done:more]) ** 2).sum(1)
+            sums = sums + ((x[row, done:more] - have[entry, done:more]) ** 2).sum(1, dtype=kind)
             done = more
             first = np.searchsorted(row, n)             # every row keeps its best entry
-            least = np.minimum.reduceat(sums, first)
-            at = np.flatnonzero(sums == least[row])
+            at = np.flatnonzero(sums == np.minimum.reduceat(sums, first)[row])
             best = at[np.searchsorted(row[at], n)]      # entries ascend within a row
             bound = np.minimum(bound, whole(entry[best]))
             stay = sums <= bound[row]
