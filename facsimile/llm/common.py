@@ -103,3 +103,22 @@ def matrices(batch: pa.RecordBatch, column: int = 0) -> Iterator[tuple[int, np.n
         rows = np.flatnonzero(size == d)
         part = col if len(rows) == len(col) else col.take(pa.array(rows))
         yield d, rows, part.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(rows), d)
+
+
+HOT = 1000      # a key with more than this share of all rows goes by broadcast: fewer keys than this
+
+
+def hot_join(rows: DataFrame, table: DataFrame, keys: list[str], weight: str) -> DataFrame:
+    """``rows`` joined with ``table``, which has each key once and, in ``weight``, its number of rows.
+
+    Keys with more than a ``HOT``-th of all rows, of which there are fewer than ``HOT``,
+    meet their rows by broadcast; those left are too small to fill a task and meet by a
+    merge.  ``weight`` stays a column of the result; rows without a match are left out.
+    """
+    total = table.agg(F.sum(weight)).first()[0] or 0
+    hot = F.broadcast(table.where(F.col(weight) * HOT > total))
+    cold = table.where(F.col(weight) * HOT <= total).hint("merge")
+    names = [*rows.columns, *(c for c in table.columns if c not in rows.columns)]
+    few = rows.join(hot, keys)
+    rest = rows.join(F.broadcast(table.where(F.col(weight) * HOT > total).select(*keys)), keys, "left_anti").join(cold, keys)
+    return few.select(*names).unionByName(rest.select(*names))
