@@ -1,23 +1,26 @@
-"""Toxicity: a logistic classifier whose score may not change when identity terms are swapped."""
+"""Toxicity: a logistic classifier whose score may not change when identity terms are swapped.
+
+Texts are read a batch at a time: the words of a batch are coded once, features are
+taken of its distinct words, all at once, and sums run over (text, feature) pairs.
+"""
 
 from __future__ import annotations
 
-import re
-import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from facsimile.llm.common import arrow_limits, slices, written
 
-_OTHER = re.compile(r"[\W\d_]+")
-_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")     # scripts without spaces
-BUCKETS = 1 << 18
+BUCKETS = 1 << 18       # of character n-grams; words and their beginnings keep a 63-bit hash
+PAIRS = 2_000_000       # (feature, counts) rows a task holds before it sums them up
+#: First and last code points of scripts without spaces.
+UNSPACED = ((0xE00, 0xEFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x2E80, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF))
 
 # Words that name a group of people; each row's words are swapped for one another.
 IDENTITY_TERMS = (
@@ -45,21 +48,81 @@ class ToxicParams:
     rounds: int = 40            # tens of accelerated gradient steps
 
 
-def word_features(word: str) -> tuple[str, ...]:
-    """A word's features: the word, its beginnings of four to six letters and the hashes of its character n-grams.
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
-    The n-grams are taken at every place of the whole word: four characters, and two and
-    three in scripts without spaces, where a "word" is a clause.  A very long word stands
-    as its hash.
-    """
-    n = len(word)
-    whole = word if n <= 32 else f"={zlib.crc32(word.encode()):08x}{zlib.adler32(word.encode()):08x}"
-    grams = {word[i:i + k] for k in ((2, 3) if _UNSPACED.search(word) else (4,)) for i in range(n - k + 1)}
-    return (whole, *(word[:k] + "*" for k in (6, 5, 4) if n > k), *{f"#{zlib.crc32(g.encode()) % BUCKETS}" for g in grams})
+
+def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(text of each word, its place among the distinct words, distinct words) of a batch; words are runs of letters."""
+    lower = pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
+    split = pc.ascii_split_whitespace(pc.replace_substring_regex(lower, r"[^\p{L}]+", " "))
+    limits = split.offsets.to_numpy()
+    coded = split.flatten().dictionary_encode()
+    row, at = np.repeat(np.arange(len(limits) - 1), np.diff(limits)), coded.indices.to_numpy()
+    empty = pc.equal(coded.dictionary, "").to_numpy(zero_copy_only=False)
+    if empty.any():
+        row, at = row[~empty[at]], at[~empty[at]]
+    return row, at, coded.dictionary
 
 
-def words(text: str | None) -> list[str]:
-    return _OTHER.sub(" ", text.lower()).split() if text else []
+def word_features(distinct: pa.Array, grams: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(word, feature) pairs of distinct words: each word, its beginnings of four to six letters and its character n-grams.
+
+    The n-grams are taken at every place of the whole word: four characters, and two and
+    three in scripts without spaces, where a "word" is a clause.  A feature is a number:
+    an n-gram's bucket, or a negative hash.  With ``grams``, a mask of buckets, only
+    n-grams of those are taken.
+    """
+    n = pc.utf8_length(distinct).to_numpy().astype(np.int64)
+    code = np.frombuffer("".join(distinct.to_pylist()).encode("utf-32-le"), "<u4").astype(np.uint64)
+    first = np.cumsum(n) - n
+    word = np.repeat(np.arange(len(n)), n)
+    place = np.arange(len(code)) - first[word]
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(code + np.uint64(0x9E3779B97F4A7C15) * (place + 1).astype(np.uint64)))])
+    top = np.uint64(1 << 63)
+
+    def beginning(which: np.ndarray, size) -> np.ndarray:
+        kind = 0 if size is None else size
+        end = first[which] + (n[which] if size is None else size)
+        return (_mix((total[end] - total[first[which]]) ^ np.uint64(kind)) | top).view(np.int64)
+
+    every = np.arange(len(n))
+    owner, feature = [every], [beginning(every, None)]
+    for k in (4, 5, 6):
+        longer = np.flatnonzero(n > k)
+        owner.append(longer)
+        feature.append(beginning(longer, k))
+    bare = np.zeros(len(n), bool)
+    for lo, hi in UNSPACED:
+        bare[word[(code >= lo) & (code <= hi)]] = True
+    for k, here in ((4, ~bare), (2, bare), (3, bare)):
+        at = np.flatnonzero((place + k <= n[word]) & here[word])
+        gram = np.full(len(at), k, np.uint64)
+        for i in range(k):
+            gram = _mix(gram * np.uint64(0x9E3779B97F4A7C15) + code[at + i])
+        gram = (gram % np.uint64(BUCKETS)).astype(np.int64)
+        if grams is not None:
+            at, gram = at[grams[gram]], gram[grams[gram]]
+        own = np.unique(word[at] * BUCKETS + gram)      # an n-gram counts once a word
+        owner.append(own // BUCKETS)
+        feature.append(own % BUCKETS)
+    return np.concatenate(owner), np.concatenate(feature)
+
+
+def _by_word(owner: np.ndarray, value: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first, count, values): the values of word w are values[first[w]:first[w] + count[w]]."""
+    order = np.argsort(owner, kind="stable")
+    count = np.bincount(owner, minlength=size)
+    return np.cumsum(count) - count, count, value[order]
+
+
+def _spread(row: np.ndarray, at: np.ndarray, first: np.ndarray, count: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, value) of every value of every word in ``at``."""
+    n = count[at]
+    end = np.cumsum(n)
+    return np.repeat(row, n), values[np.repeat(first[at] - end + n, n) + np.arange(end[-1] if len(end) else 0)]
 
 
 def _groups() -> dict[str, tuple[str, ...]]:
@@ -68,63 +131,82 @@ def _groups() -> dict[str, tuple[str, ...]]:
 
 @dataclass
 class ToxicModel:
-    """Weights of the kept features; a feature counts log(1 + its words) in a text."""
+    """Weights of the kept features; a feature counts log(1 + its words) in a text.
 
+    ``features`` holds the kept features in rising order, ``index`` the numbers of the
+    identity terms among them.
+    """
+
+    features: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     index: dict[str, int] = field(default_factory=dict)
     weights: np.ndarray | None = None
     bias: float = -20.0
-    seen: dict[str, tuple[int, ...]] = field(default_factory=dict, repr=False, compare=False)
-
-    def counts(self, text: str | None) -> Counter:
-        """How often each kept feature is in a whole text."""
-        out: Counter = Counter()
-        seen, index = self.seen, self.index
-        if len(seen) > 150_000:
-            seen.clear()
-        for w, n in Counter(words(text)).items():
-            at = seen.get(w)
-            if at is None:
-                at = seen[w] = tuple(index[f] for f in word_features(w) if f in index)
-            for j in at:
-                out[j] += n
-        return out
+
+    def kept(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(word, number) pairs of the words' features that are kept."""
+        if not len(self.features):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        grams = np.zeros(BUCKETS, bool)
+        grams[self.features[self.features >= 0]] = True
+        owner, feature = word_features(distinct, grams)
+        at = np.minimum(np.searchsorted(self.features, feature), len(self.features) - 1)
+        have = self.features[at] == feature
+        return owner[have], at[have]
+
+    def count(self, row: np.ndarray, at: np.ndarray, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, feature, words) in rising order: how often each kept feature is in each whole text."""
+        first, n, values = _by_word(*self.kept(distinct), len(distinct))
+        some = n[at] > 0
+        pair_row, pair = _spread(row[some], at[some], first, n, values)
+        size = max(1, len(self.features))
+        key, times = np.unique(pair_row * size + pair, return_counts=True)
+        return key // size, key % size, times
+
+    def scores(self, texts: pa.Array) -> np.ndarray:
+        """Score of every text of a batch."""
+        z = np.full(len(texts), self.bias)
+        if self.weights is not None and len(self.features):
+            row, at, times = self.count(*words(texts))
+            z += np.bincount(row, self.weights[at] * np.log1p(times), len(texts))
+        return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
     def score(self, text: str | None) -> float:
-        z = self.bias + sum(self.weights[j] * np.log1p(n) for j, n in self.counts(text).items())
-        return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
+        return float(self.scores(pa.array([text], pa.string()))[0])
 
 
 def feature_counts(labelled: DataFrame) -> DataFrame:
     """(feature, n, bad): labelled texts, and toxic ones, that hold each feature; all rows count."""
-    schema = pa.schema([("feature", pa.string()), ("n", pa.int64()), ("bad", pa.int64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, tuple[str, ...]] = {}
+    schema = pa.schema([("feature", pa.int64()), ("n", pa.int64()), ("bad", pa.int64())])
 
-        def give(n: Counter, bad: Counter) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64()),
-                                               pa.array([bad[f] for f in n], pa.int64())], schema=schema)
+    def summed(held: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+        feature, n, bad = (np.concatenate(x) for x in zip(*held))
+        own, at = np.unique(feature, return_inverse=True)
+        return own, np.bincount(at, n).astype(np.int64), np.bincount(at, bad).astype(np.int64)
 
-        n, bad = Counter(), Counter()
-        for b in batches:
-            for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                own: set[str] = set()
-                for w in set(words(text)):
-                    f = known.get(w)
-                    if f is None:
-                        f = known[w] = word_features(w)
-                    own.update(f)
-                n.update(own)
-                if y:
-                    bad.update(own)
-            if len(n) > 300_000:
-                yield give(n, bad)
-                n, bad = Counter(), Counter()
-            if len(known) > 150_000:
-                known = {}
-        yield give(n, bad)
-
-    part = labelled.mapInArrow(run, "feature string, n long, bad long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for b in slices(batches, 500):
+            row, at, distinct = words(b.column(0))
+            label = b.column(1).to_numpy() > 0
+            pair = np.unique(row * max(1, len(distinct)) + at)      # a word counts once a text
+            row, at = pair // max(1, len(distinct)), pair % max(1, len(distinct))
+            owner, feature = word_features(distinct)
+            own, code = np.unique(feature, return_inverse=True)
+            row, code = _spread(row, at, *_by_word(owner, code, len(distinct)))
+            pair = np.unique(row * max(1, len(own)) + code)         # and so does a feature
+            row, code = pair // max(1, len(own)), pair % max(1, len(own))
+            held.append((own, np.bincount(code, minlength=len(own)), np.bincount(code, label[row], len(own))))
+            size += len(own)
+            if size > PAIRS:
+                held = [summed(held)]
+                size = len(held[0][0])
+                if size > PAIRS // 2:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in held[0]], schema=schema)
+                    held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in summed(held)], schema=schema)
+
+    part = labelled.mapInArrow(run, "feature long, n long, bad long")
     return part.groupBy("feature").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
 
 
@@ -185,13 +267,17 @@ def fit(docs: DataFrame, labels: DataFrame, params: ToxicParams = ToxicParams(),
     # labels grow with the corpus: they are dealt by id like the texts, at every size alike
     stats = feature_counts(txt.join(lab.hint("merge"), "id").select("text", "y")).where(F.col("n") >= params.min_docs)
     z = (F.col("bad") - base * F.col("n")) / F.sqrt(F.col("n") * base * (1 - base))
-    stats = written(stats.select("feature", F.abs(z).alias("z"), F.col("feature").startswith("#").alias("gram")), "features")
-    keep: dict[str, None] = {}
+    stats = written(stats.select("feature", F.abs(z).alias("z"), (F.col("feature") >= 0).alias("gram")), "features")
+    keep: set[int] = set()
     for gram in (False, True):
         top = stats.where(F.col("gram") == gram).orderBy(F.desc("z"), "feature").limit(params.features).collect()
-        keep.update(dict.fromkeys(r["feature"] for r in top))
-    keep.update(dict.fromkeys(f for g in IDENTITY_TERMS for w in g for f in word_features(w)))
-    model.index = {f: i for i, f in enumerate(keep)}
+        keep.update(r["feature"] for r in top)
+    terms = pa.array([w for g in IDENTITY_TERMS for w in g], pa.large_string())
+    owner, feature = word_features(terms)
+    keep.update(feature.tolist())
+    model.features = np.array(sorted(keep), np.int64)
+    # a word's own feature comes first
+    model.index = dict(zip(terms.to_pylist(), np.searchsorted(model.features, feature[:len(terms)]).tolist()))
     spot = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1_000_003)) / 1_000_003
     chosen = lab.where(spot < params.fit_rows / total).orderBy(F.xxhash64(F.col("id").cast("string")), "id").limit(params.fit_rows)
     shared = spark.sparkContext.broadcast(model)
@@ -201,17 +287,29 @@ def fit(docs: DataFrame, labels: DataFrame, params: ToxicParams = ToxicParams(),
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in slices(batches, 500):
+            row, at, distinct = words(b.column(1))
+            one = m.count(row, at, distinct)
+            plain = distinct.to_pylist()
+            named = np.array([w in groups for w in plain], bool)
+            rows_named = np.unique(row[named[at]]) if len(plain) else row
+            other_words = [groups[w][(groups[w].index(w) + 1) % len(groups[w])] if w in groups else w for w in plain]
+            touched = np.isin(row, rows_named)
+            two = m.count(row[touched], at[touched], pa.array(other_words, pa.large_string()))
             rows = []
-            for h, text, y in zip(*(c.to_pylist() for c in b.columns)):
-                c = m.counts(text)
-                at = sorted(c)
-                whole, real = lambda x: np.array(list(x), "<i4").tobytes(), lambda x: np.array(list(x), "<f8").tobytes()
-                swap: dict[int, float] = {}
-                ws = words(text)
-                if not groups.keys().isdisjoint(ws):
-                    other = m.counts(" ".join(groups[w][(groups[w].index(w) + 1) % len(groups[w])] if w in groups else w for w in ws))
-                    swap = {j: d for j in {*c, *other} if (d := float(np.log1p(c[j]) - np.log1p(other[j])))}
-                rows.append(dict(id_hash=h, y=y, at=whole(at), val=real(np.log1p(c[j]) for j in at), swap_at=whole(swap), swap_val=real(swap.values())))
+            cut = [np.searchsorted(x[0], np.arange(b.num_rows + 1)) for x in (one, two)]
+            for i, (h, y) in enumerate(zip(b.column(0).to_pylist(), b.column(2).to_pylist())):
+                lo, hi = cut[0][i], cut[0][i + 1]
+                f, v = one[1][lo:hi], np.log1p(one[2][lo:hi])
+                swap_at, swap_val = f[:0], v[:0]
+                if cut[1][i] < cut[1][i + 1] or i in rows_named:
+                    lo, hi = cut[1][i], cut[1][i + 1]
+                    d = np.zeros(len(m.features))
+                    d[f] += v
+                    d[two[1][lo:hi]] -= np.log1p(two[2][lo:hi])
+                    swap_at = np.flatnonzero(d)
+                    swap_val = d[swap_at]
+                rows.append(dict(id_hash=h, y=y, at=f.astype("<i4").tobytes(), val=v.astype("<f8").tobytes(),
+                                 swap_at=swap_at.astype("<i4").tobytes(), swap_val=swap_val.astype("<f8").tobytes()))
             yield pa.RecordBatch.from_pylist(rows, schema)
 
     got = txt.join(F.broadcast(chosen), "id").select(F.xxhash64(F.col("id").cast("string")).alias("h"), "text", "y").mapInArrow(
@@ -224,17 +322,16 @@ def fit(docs: DataFrame, labels: DataFrame, params: ToxicParams = ToxicParams(),
         d[np.frombuffer(r["swap_at"], "<i4")] = np.frombuffer(r["swap_val"], "<f8")
         swaps.append((i, d))
     # labelled sentences without identity terms: the swap of a mention put into them changes these features
+    own = [model.kept(terms.slice(i, 1))[1] for i in range(len(terms))]
+    number = {w: i for i, w in enumerate(terms.to_pylist())}
     for g in IDENTITY_TERMS:
         for one, two in zip(g, (*g[1:], g[0])):
             d = np.zeros(len(keep))
-            for f in word_features(one):
-                d[model.index[f]] += np.log(2)
-            for f in word_features(two):
-                d[model.index[f]] -= np.log(2)
+            d[own[number[one]]] += np.log(2)
+            d[own[number[two]]] -= np.log(2)
             swaps.append((-1, d))
     model.weights, model.bias = _train([np.frombuffer(r["at"], "<i4") for r in got], [np.frombuffer(r["val"], "<f8") for r in got],
                                        np.array([float(r["y"] > 0) for r in got]), swaps, len(keep), params)
-    model.seen = {}
     return model
 
 
@@ -246,17 +343,13 @@ def predict(docs: DataFrame, model: ToxicModel, text_col: str = "text", name: st
     """
     spark = docs.sparkSession
     arrow_limits(spark)
-    model.seen = {}
-    if model.weights is None:
-        model.weights = np.zeros(len(model.index))
     shared = spark.sparkContext.broadcast(model)
     rest = [f for f in docs.schema if f.name != name]
-    keep = docs.select(*[F.col(f"`{f.name}`") for f in rest], F.col(f"`{text_col}`").cast("string").alias("__text"))
+    keep = docs.select(*[F.col(f"`{f.name}`") for f in rest], F.col(f"`{text_col}`").cast("string").alias(f"{name} of"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shared.value.seen.clear()
         for b in batches:
-            score = [shared.value.score(t) for t in b.column(b.num_columns - 1).to_pylist()]
+            score = shared.value.scores(b.column(b.num_columns - 1))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(score, pa.float64())],
                                              names=[*(f.name for f in rest), name])
 
