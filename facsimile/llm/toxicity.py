@@ -195,7 +195,8 @@ def feature_counts(labelled: DataFrame) -> DataFrame:
             row, code = _spread(row, at, *_by_word(owner, code, len(distinct)))
             pair = np.unique(row * max(1, len(own)) + code)         # and so does a feature
             row, code = pair // max(1, len(own)), pair % max(1, len(own))
-            held.append((own, np.bincount(code, minlength=len(own)), np.bincount(code, label[row], len(own))))
+            n = np.bincount(code, minlength=len(own))
+            held.append((own[n > 0], n[n > 0], np.bincount(code, label[row], len(own))[n > 0]))
             size += len(own)
             if size > PAIRS:
                 held = [summed(held)]
