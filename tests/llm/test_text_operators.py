@@ -491,3 +491,184 @@ def pa_lit(x):
 def test_arrow_type_of_encoder():
     ids, limits = WordEncoder(BPE).encode(pa.array([None, "a b", ""], pa.string()))
     assert limits.tolist() == [0, 0, 2, 2] and len(ids) == 2
+
+
+def test_word_encoder_on_every_character():
+    """Each assigned character before a full stop, a comma and letters, in blocks: the ids of the plain call."""
+    import unicodedata
+    enc = WordEncoder(BPE)
+    chars = [c for c in map(chr, range(0x110000)) if unicodedata.category(c) not in ("Cn", "Co", "Cs")]
+    for lo in range(0, len(chars), 2000):
+        texts = [" ".join(form.replace("{c}", c) for c in chars[lo:lo + 2000]) for form in ("{c}.", "{c},", "A{c}.", "a{c}b##")]
+        plain = [e.ids for e in enc.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        ids, limits = enc.encode(pa.array(texts))
+        assert [ids[a:b].tolist() for a, b in zip(limits[:-1], limits[1:])] == plain, lo
+
+
+def test_word_encoder_forgets(monkeypatch):
+    """Ids stay right while remembered pieces come and go, long ones among them."""
+    from facsimile.llm import encode
+    monkeypatch.setattr(encode, "PIECES_KEPT", 50)
+    enc = WordEncoder(BPE)
+    rng = np.random.default_rng(1)
+    for _ in range(30):
+        text = " ".join(rng.choice(["the", "cat.", "Cat,", f"w{rng.integers(0, 99)}x", "É.", "x" * 60, f"n{'o' * int(rng.integers(1, 70))}"], 80))
+        assert enc.check(text) and len(enc.pieces) <= 50
+
+
+@pytest.mark.parametrize("dims, rank", [(128, 2), (128, 4), (256, 3), (64, 8)])
+def test_embeddings_of_low_rank_lose_no_link(spark, dims, rank):
+    rng = np.random.default_rng(dims + rank)
+    x = rng.normal(size=(1500, rank)) @ rng.normal(size=(rank, dims))
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = (u @ u.T >= 0.95).sum(1) - 1
+    assert want.sum() > 50
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    small = embed_dedup.PqParams(block=1 << 16)         # several regions and blocks
+    got = {r[0]: r[1] for r in embed_dedup.near_duplicates(df, params=small).collect()}
+    assert [got[i] for i in range(len(x))] == want.tolist()
+
+
+def test_embeddings_with_null_and_repeated_ids(spark):
+    rows = [(1, [1.0, 0.1]), (1, [1.0, 0.11]), (None, [1.0, 0.1]), (None, [5.0, -9.0]), (None, None), (3, None), (None, [5.0, -9.1])]
+    got = embed_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(
+        [(1, 2, 1, True), (1, 2, 1, True), (None, 2, 1, False), (None, 1, None, True), (None, 0, None, True), (3, 0, 3, True),
+         (None, 1, None, True)], key=repr)
+
+
+def test_embedding_classes_of_many_copies(spark):
+    """A third of all rows are one vector, and another third near it: counts without pairs."""
+    rng = np.random.default_rng(4)
+    far = rng.normal(size=(300, 16))
+    rows = [(i, [1.0] + [0.0] * 15) for i in range(300)] + [(300 + i, [1.0] + (0.001 * rng.normal(size=15)).tolist()) for i in range(300)]
+    rows += [(600 + i, v.tolist()) for i, v in enumerate(far)]
+    got = {r[0]: r for r in embed_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert all(got[i]["n_links"] == 599 and got[i]["component_id"] == 0 for i in range(600))
+
+
+def brute_region(items):
+    """The first and longest run with the largest sum, by all runs."""
+    best = max([0.0, *(sum(items[a:b]) for a in range(len(items)) for b in range(a + 1, len(items) + 1))])
+    if best <= 0:
+        return 0, 0
+    runs = [(a, b) for a in range(len(items)) for b in range(a + 1, len(items) + 1) if sum(items[a:b]) == best]
+    return best, runs
+
+
+def test_best_region_by_all_runs():
+    rng = np.random.default_rng(9)
+    for _ in range(400):
+        items = rng.integers(-6, 6, int(rng.integers(0, 14))).astype(float).tolist()
+        got = html_extract.best_region(items)
+        best, runs = brute_region(items)
+        assert got == (0, 0) if not best else got in runs and got[0] <= min(a for a, _ in runs), items
+
+
+def unlabelled(page):
+    """The page with its structure's names hidden: containers are divs and nothing has a class."""
+    page = re.sub(r"(</?)(article|nav|header|footer|aside|section|main)\b", r"\1div", page)
+    return re.sub(r"\s(class|id|role)=(\"[^\"]*\"|'[^']*'|[^\s>]+)", "", page)
+
+
+def test_html_of_unlabelled_pages(spark, tables):
+    """Weights of one half's labelled pages find the article on the other half's pages, whose names are hidden."""
+    pages = tables("pages", "/root/testdata/sf0.01").collect()
+    model = html_extract.fit(spark.createDataFrame([(r["html"],) for r in pages[::2]], "html string"))
+    for r in pages[1::2]:
+        inside = re.search(r"<article>(.*?)(</article>|\Z)", r["html"], re.S)[1]
+        inside = re.sub("<[^>]*>", "", re.sub(r"</?(p|br|h1)>", " ", inside))
+        assert html_extract.main_text(unlabelled(r["html"]), model) == " ".join(html.unescape(inside).split())
+
+
+def test_html_of_articles_and_comments():
+    say = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    comments = "".join(f"<li><article class=comment><p>{say(f'c{k}w', 30)}</p></article></li>" for k in range(5))
+    model = html_extract.ExtractModel()
+    post = f"<body><div class=entry><h1>Title here</h1><p>{say('a', 60)}</p></div><ol class='comment-list'>{comments}</ol></body>"
+    assert html_extract.main_text(post, model) == f"Title here {say('a', 60)}"
+    for name in ("feedback", "discussion", "search", "social"):
+        page = f"<body><article><h1>T</h1><p>{say('a', 20)}</p><section id={name}><p>{say('b', 20)}</p></section><p>{say('c', 20)}</p></article></body>"
+        assert html_extract.main_text(page, model) == f"T {say('a', 20)} {say('b', 20)} {say('c', 20)}"
+    page = f"<body><header><p>{say('site', 9)}</p></header><article><header><h1>The title</h1></header><p>{say('a', 20)}</p><aside>{say('x', 9)}</aside><p>{say('b', 20)}</p></article></body>"
+    assert html_extract.main_text(page, model) == f"The title {say('a', 20)} {say('b', 20)}"
+    page = f"<body><main><article><p>{say('a', 30)}</p></article><section id=comments><article><p>{say('c', 90)}</p></article></section></main></body>"
+    assert html_extract.main_text(page, model) == say("a", 30)
+
+
+@pytest.mark.parametrize("part", ["<a ", "<a '", "<!", '<p class="x', "<script>", "<", "<a b='>' ", "<!-- ", "</", "<p>", "<div class=comments>", "<a \"'>"])
+def test_html_of_broken_pages_is_linear(part):
+    import time
+    model = html_extract.ExtractModel()
+    start = time.process_time()
+    html_extract.main_text(part * (1_000_000 // len(part)), model)
+    assert time.process_time() - start < 6
+
+
+def test_html_tag_ends():
+    assert html_extract.scan("<a b='>'>x</a>") == [("tag", "<a b='>'>"), ("text", "x"), ("tag", "</a>")]
+    assert html_extract.scan("<a b='>x</a>") == [("tag", "<a b='>"), ("text", "x"), ("tag", "</a>")]
+    assert html_extract.scan("1 < 2 <b>İ</B><SCRIPT>a<b></Script >y<!-- - > --><!x>z<") == [
+        ("text", "1 "), ("text", "<"), ("text", " 2 "), ("tag", "<b>"), ("text", "İ"), ("tag", "</B>"), ("text", "y"), ("text", "z"), ("text", "<")]
+
+
+def test_html_with_null_ids_and_repeated_rows(spark):
+    df = spark.createDataFrame([(None, PAGE), (1, PAGE), (1, PAGE), (None, None)], "page_id long, html string")
+    got = html_extract.extract(df, html_extract.fit(df)).collect()
+    assert [r["n_chars"] > 0 for r in sorted(got, key=lambda r: (r["page_id"] is None, -r["n_chars"]))] == [True, True, True, False]
+
+
+def test_toxicity_features_and_counts_by_brute_force(spark):
+    """Features of words one by one, and the counts of labelled texts, against sets in Python."""
+    texts = ["Cat cats cat", "the catalogue! of cats", None, "", "Éa éa 中文字符 x1y2", "catalog catalogs cat's", "ﬁn İx", "a" * 50]
+    row, at, distinct = toxicity.words(pa.array(texts))
+    plain = distinct.to_pylist()
+    got = [[plain[a] for a in at[row == i]] for i in range(len(texts))]
+    assert got[:2] == [["cat", "cats", "cat"], ["the", "catalogue", "of", "cats"]] and got[2] == got[3] == []
+    assert got[4] == ["éa", "éa", "中文字符", "x", "y"] and got[5] == ["catalog", "catalogs", "cat", "s"]
+    single = {w: set(toxicity.word_features(pa.array([w], pa.large_string()))[1].tolist()) for w in plain}
+    owner, feature = toxicity.word_features(distinct)
+    assert [set(feature[owner == i].tolist()) for i in range(len(plain))] == [single[w] for w in plain]
+    assert len(feature) == sum(len(f) for f in single.values())
+    # a word, its beginnings and its n-grams
+    assert [len(single[w]) for w in ("cat", "cats", "catalogue", "the")] == [1, 2, 1 + 3 + 6, 1]
+    assert len(single["catalog"] & single["catalogs"]) == 3 + 4 and len(single["中文字符"]) == 1 + 3 + 2
+    y = [1, 0, 1, 1, 0, 1, 0, 0]
+    want = {}
+    for i, ws in enumerate(got):
+        for f in set().union(*(single[w] for w in ws)):
+            n, bad = want.get(f, (0, 0))
+            want[f] = n + 1, bad + y[i]
+    df = spark.createDataFrame(list(zip(texts, y)), "text string, y int").where("text is not null")
+    assert {r[0]: (r[1], r[2]) for r in toxicity.feature_counts(df).collect()} == want
+
+
+def test_toxicity_score_is_the_weighted_sum():
+    rng = np.random.default_rng(3)
+    distinct = pa.array(["cat", "cats", "dog", "hound"], pa.large_string())
+    features = np.unique(toxicity.word_features(distinct)[1])[::2]
+    model = toxicity.ToxicModel(features, {}, rng.normal(size=len(features)), 0.3)
+    text = "cat cat dog other hound cats cats cats"
+    z = 0.3
+    for f, w in zip(features.tolist(), model.weights):
+        n = sum(f in toxicity.word_features(pa.array([x], pa.large_string()))[1] for x in text.split())
+        z += w * np.log1p(n)
+    assert model.score(text) == pytest.approx(1 / (1 + np.exp(-z)))
+    assert model.score(None) == model.score("") == pytest.approx(1 / (1 + np.exp(-0.3)))
+
+
+def test_toxicity_weights_are_the_minimum_of_the_penalised_loss():
+    """The fitted weights have no gradient left, the swap penalty in it."""
+    rng = np.random.default_rng(6)
+    x = (rng.random((300, 12)) < 0.3) * rng.random((300, 12))
+    y = (x[:, 0] + 0.5 * x[:, 1] + 0.2 * rng.random(300) > 0.5).astype(float)
+    d = np.zeros((5, 12))
+    d[:, 0], d[:, 2:7] = 0.7, -0.7 * np.eye(5)
+    p = toxicity.ToxicParams(ridge=1e-2, rounds=400)
+    w, b = toxicity._train([np.flatnonzero(r).astype("<i4") for r in x], [r[r > 0] for r in x], y, [(i, v) for i, v in enumerate(d)], 12, p)
+    prob = 1 / (1 + np.exp(-(x @ w + b)))
+    grad = x.T @ (prob - y) / len(y) + p.ridge * w + p.swap_penalty * d.T @ (d @ w) / len(d)
+    assert np.abs(grad).max() < 1e-4 and abs((prob - y).mean()) < 1e-4
+    loose, _ = toxicity._train([np.flatnonzero(r).astype("<i4") for r in x], [r[r > 0] for r in x], y, [(i, v) for i, v in enumerate(d)], 12,
+                               toxicity.ToxicParams(ridge=1e-2, rounds=400, swap_penalty=0.0))
+    assert np.abs(d @ w).mean() < 0.7 * np.abs(d @ loose).mean()
