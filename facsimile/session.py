@@ -69,6 +69,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/facsimile/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once into the shared folder and return a frame that reads it.
+
+    Later passes read the files, so a lost executor never replays what came before.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df, eager: bool = True):
     """Reliable checkpoint (never a local one) so a lost executor cannot force a long replay."""
     checkpoint_dir(df.sparkSession)
