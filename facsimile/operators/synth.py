@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from facsimile.functions.names import free_name, named
 from facsimile.functions import rng
 from facsimile.functions.consts import const_map
 from facsimile.functions.fmt import round2, round_year
@@ -32,9 +33,12 @@ ROWS_PER_PARTITION = 1000000     # synthetic rows generated per task
 CHUNK = 1 << 20                  # blocks per first-level chunk of the two-level explode
 
 
-def synthetic_ids(spark: SparkSession, n: int) -> DataFrame:
+ROW = "__synthetic_row__"           # name of a synthetic row's number, beside the source's columns
+
+
+def synthetic_ids(spark: SparkSession, n: int, name: str = "id") -> DataFrame:
     parts = max(default_parallelism(spark), math.ceil(n / ROWS_PER_PARTITION))
-    return spark.range(0, n, 1, numPartitions=parts)
+    return spark.range(0, n, 1, numPartitions=parts).toDF(name)
 
 
 # ---------------------------------------------------------------- numeric
@@ -136,7 +140,7 @@ def small_lookups(df: DataFrame, columns: list[str]) -> dict[str, Lookup]:
     distinct counts the caller checked)."""
     if not columns:
         return {}
-    cells = [F.struct(F.lit(k).alias("k"), *[(F.col(c) if j == k else F.lit(None).cast(df.schema[c].dataType))
+    cells = [F.struct(F.lit(k).alias("k"), *[(named(c) if j == k else F.lit(None).cast(df.schema[c].dataType))
                                               .alias(f"v{j}") for j, c in enumerate(columns)])
              for k, c in enumerate(columns)]
     long = df.select(F.explode(F.array(*cells)).alias("z")).select("z.*")
@@ -154,8 +158,8 @@ def small_lookups(df: DataFrame, columns: list[str]) -> dict[str, Lookup]:
 def categorical_lookup(df: DataFrame, column: str, spec: ColumnSpec | None = None,
                        group: str | None = None) -> Lookup:
     spark = df.sparkSession
-    keys = ([F.col(group).alias("g")] if group else []) + [F.col(column).alias("v")]
-    freq = df.where(F.col(column).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("cnt"))
+    keys = ([named(group).alias("g")] if group else []) + [named(column).alias("v")]
+    freq = df.where(named(column).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("cnt"))
     dtype = freq.schema["v"].dataType.simpleString()
     d_est = spec.distinct if spec is not None else None
     if d_est is not None and d_est <= DRIVER_FREQ_LIMIT:
@@ -185,19 +189,19 @@ def _group_lookup(groups: dict, group: str | None, which: int) -> Column:
     m = const_map({g: v[which] for g, v in groups.items()}) if all(isinstance(g, str) for g in groups) else None
     if m is None:
         m = F.create_map(*[F.lit(x) for g, v in groups.items() for x in (g, v[which])])
-    return F.coalesce(m[F.col(group)], F.lit(0))
+    return F.coalesce(m[named(group)], F.lit(0))
 
 
 def resample_column(ids: DataFrame, df: DataFrame, column: str, spec: ColumnSpec | None,
                     seed: int, fast: bool, out: str | None = None, group: str | None = None,
-                    lookup: Lookup | None = None) -> DataFrame:
+                    lookup: Lookup | None = None, row: str = "id") -> DataFrame:
     """Add ``out`` (default ``column``) to ``ids`` by weighted resampling of ``df[column]``
-    (within the row's ``group`` when given).  A group with no value gets ''."""
+    (within the row's ``group`` when given); ``row`` names the row number.  A group with no value gets ''."""
     out = out or column
     lk = lookup if lookup is not None else categorical_lookup(df, column, spec, group)
     vtype = lk.blocks.schema["v"].dataType
     start, count = _group_lookup(lk.groups, group, 0), _group_lookup(lk.groups, group, 1)
-    idx = start + F.floor(rng.uniform(F.col("id"), column, seed, fast) * count).cast("long")
+    idx = start + F.floor(rng.uniform(named(row), column, seed, fast) * count).cast("long")
     draws = (ids.withColumn("__idx", F.when(count > 0, idx))
              .withColumn("__blk", F.floor(F.col("__idx") / lk.block).cast("long")))
     right = lk.blocks.select(F.col("block").alias("__blk"), F.col("v").alias(out),
@@ -207,7 +211,7 @@ def resample_column(ids: DataFrame, df: DataFrame, column: str, spec: ColumnSpec
     joined = draws.join(right, (draws["__blk"] == right["__blk"]) & (draws["__idx"] >= right["__lo"])
                         & (draws["__idx"] < right["__hi"]), "left")
     empty = F.lit("") if isinstance(vtype, T.StringType) else F.lit(None).cast(vtype)
-    return (joined.withColumn(out, F.when(F.col("__idx").isNull(), empty).otherwise(F.col(out)))
+    return (joined.withColumn(out, F.when(F.col("__idx").isNull(), empty).otherwise(named(out)))
             .drop("__idx", "__blk", "__lo", "__hi"))
 
 
@@ -231,16 +235,16 @@ def _synthesize_independent(df: DataFrame, config: SynthConfig | None, specs: li
         n_rows, specs = profile(df)
     n = cfg.num_samples if cfg.num_samples is not None else n_rows
     spark = df.sparkSession
-    ids = synthetic_ids(spark, n)
+    ids = synthetic_ids(spark, n, ROW)
     by_name = {s.name: s for s in specs}
     num_cols, cat_cols = [], []
     for c in df.columns:
         s = by_name[c]
         (num_cols if s.kind in ("numeric", "boolean") else cat_cols).append(c)
-    draws = {c: numeric_draw(F.col("id"), by_name[c], cfg.seed, cfg.fast) for c in num_cols}
+    draws = {c: numeric_draw(F.col(ROW), by_name[c], cfg.seed, cfg.fast) for c in num_cols}
     if cfg.year_rule_on == "synthetic" and num_cols:
         by_name = {**by_name, **synthetic_year_rule(ids, draws, by_name)}
-    exprs = [F.col("id")] + [format_numeric(draws[c], by_name[c], cfg.keep_int).alias(c) for c in num_cols]
+    exprs = [F.col(ROW)] + [format_numeric(draws[c], by_name[c], cfg.keep_int).alias(c) for c in num_cols]
     out = ids.select(*exprs)
     small = [c for c in cat_cols if 0 < by_name[c].count and by_name[c].distinct <= DRIVER_FREQ_LIMIT]
     lookups = small_lookups(df, small)
@@ -249,11 +253,11 @@ def _synthesize_independent(df: DataFrame, config: SynthConfig | None, specs: li
         if s.count == 0:
             out = out.withColumn(c, F.lit(""))
             continue
-        out = resample_column(out, df.select(c), c, s, cfg.seed, cfg.fast, lookup=lookups.get(c))
+        out = resample_column(out, df.select(named(c)), c, s, cfg.seed, cfg.fast, lookup=lookups.get(c), row=ROW)
         if cfg.stringify:
-            out = out.withColumn(c, F.col(c).cast("string"))
-    cols = (["id"] if cfg.keep_id else []) + list(df.columns)
-    return out.select(*cols)
+            out = out.withColumn(c, named(c).cast("string"))
+    kept = [F.col(ROW).alias(free_name("id", df.columns))] if cfg.keep_id else []
+    return out.select(*kept, *[named(c) for c in df.columns])
 
 
 def synthetic_year_rule(ids: DataFrame, draws: dict[str, Column], specs: dict[str, ColumnSpec]) -> dict:
