@@ -23,14 +23,3 @@ def preservation(orig: Column, synth: Column, eps: float = 1e-10) -> Column:
 def pct_diff(orig: Column, synth: Column) -> Column:
     """|o - s| / |o| * 100, 0 when the original is 0."""
     return F.when(orig == 0, F.lit(0.0)).otherwise(F.abs(orig - synth) / F.abs(orig) * 100.0)
-
-
-def exact_avg(x: Column) -> Column:
-    """Mean taken over the decimal values of the doubles: exact and independent of the
-    order rows are summed in (a double sum depends on partitioning in its last bits,
-    which decides rounding ties such as a mean of exactly 0.0499185).  Falls back to the
-    double mean when a value does not fit decimal(38,18) or the sum overflows.
-    """
-    d = x.try_cast("decimal(38,18)")
-    exact = F.try_avg(d)
-    return F.when((F.count(d) == F.count(x)) & exact.isNotNull(), exact.cast("double")).otherwise(F.avg(x))

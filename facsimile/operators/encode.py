@@ -13,8 +13,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from facsimile.functions.names import named
 from facsimile.functions.consts import string_array
-from facsimile.functions.fmt import is_blank, strip, to_number
+from facsimile.functions.fmt import is_blank, moment_of, strip, to_number, whole_moment
 from facsimile.operators.profile import exact_quantiles, filled_text, modes, num, profile
 from facsimile.schema import (BLANK_FILL, HASH_BUCKETS, LABEL_MAX_DISTINCT, MALE_FEMALE_CODES,
                               TRUE_FALSE_CODES, YES_NO_CODES, ColumnSpec)
@@ -38,20 +39,17 @@ def choose_encoder(s: ColumnSpec) -> str:
         return "to_number"
     if s.kind in ("numeric", "boolean"):
         return "median"
-    return "keep"
+    return "moment" if s.kind == "temporal" else "keep"
 
 
 @dataclass
 class Encoding:
     rules: dict[str, str]
     dictionary: dict[str, list[str]] = field(default_factory=dict)   # column -> values by code
-    fills: dict[str, float | None] = field(default_factory=dict)     # numeric fills (medians)
+    fills: dict[str, float | None] = field(default_factory=dict)     # medians: numbers, days or microseconds of the epoch
+    types: dict = field(default_factory=dict)                        # of the dates and timestamps among them
     modes: dict[str, str] = field(default_factory=dict)              # decode fallback
 
-    def dictionary_df(self, spark) -> DataFrame:
-        rows = [(c, i, v) for c, vals in self.dictionary.items() for i, v in enumerate(vals)]
-        return spark.createDataFrame(rows, "column string, code int, value string")
-
 
 def build_dictionary(df: DataFrame, columns: list[str]) -> dict[str, list[str]]:
     """Sorted distinct trimmed values of each column (code = position), one job.
@@ -76,7 +74,7 @@ def _map_literal(pairs) -> Column:
 
 
 def encode_column(c: str, rule: str, enc: Encoding) -> Column:
-    col = F.col(c)
+    col = named(c)
     if rule == "zero":
         return F.lit(0).alias(c)
     if rule in RULE_CODES:
@@ -94,6 +92,8 @@ def encode_column(c: str, rule: str, enc: Encoding) -> Column:
         fill = enc.fills.get(c)
         x = num(c)
         return (F.coalesce(x, F.lit(float(fill))) if fill is not None else x).alias(c)
+    if rule == "moment" and enc.fills.get(c) is not None:
+        return F.coalesce(col, moment_of(enc.fills[c], enc.types[c])).alias(c)
     return col
 
 
@@ -106,12 +106,14 @@ def fit_encoding(df: DataFrame, specs: list[ColumnSpec] | None = None) -> Encodi
     labels = [c for c, r in rules.items() if r == "label"]
     enc.dictionary = build_dictionary(df, labels)
     need_median = [s.name for s in specs if rules[s.name] == "median" and s.nulls > 0]
+    moments = [s.name for s in specs if rules[s.name] == "moment" and s.nulls > 0]
+    enc.types = {f.name: f.dataType for f in df.schema.fields if f.name in moments}
     text_num = [c for c, r in rules.items() if r == "to_number"]
-    if need_median or text_num:
-        med_src = df.select(*[F.col(c) for c in need_median],
-                            *[to_number(F.col(c)).alias(c) for c in text_num])
-        q = exact_quantiles(med_src, need_median + text_num, [0.5])
-        enc.fills = {c: q[(c, 0.5)] for c in need_median + text_num}
+    if need_median or text_num or moments:
+        med_src = df.select(*[named(c) for c in need_median], *[whole_moment(named(c), enc.types[c]).alias(c) for c in moments],
+                            *[to_number(named(c)).alias(c) for c in text_num])
+        q = exact_quantiles(med_src, need_median + moments + text_num, [0.5])
+        enc.fills = {c: q[(c, 0.5)] for c in need_median + moments + text_num}
     if labels:
         enc.modes = {r["column"]: r["mode"] for r in modes(df, labels).collect()}
     return enc
@@ -136,7 +138,7 @@ def preprocess(df: DataFrame, specs: list[ColumnSpec] | None = None,
 
 def decode_column(c: str, enc: Encoding, code: Column | None = None) -> Column:
     """code -> value by the one dictionary; unmapped -> mode of the source, else 'Unknown'."""
-    x = F.col(c) if code is None else code
+    x = named(c) if code is None else code
     values = enc.dictionary[c]
     arr = string_array(values) if all(isinstance(v, str) for v in values) else F.array(*[F.lit(v) for v in values])
     k = F.bround(x.cast("double"), 0).cast("int")
@@ -145,7 +147,7 @@ def decode_column(c: str, enc: Encoding, code: Column | None = None) -> Column:
 
 
 def decode(df: DataFrame, enc: Encoding) -> DataFrame:
-    return df.select(*[(decode_column(c, enc) if c in enc.dictionary else F.col(c)) for c in df.columns])
+    return df.select(*[(decode_column(c, enc) if c in enc.dictionary else named(c)) for c in df.columns])
 
 
 def hash_encode(c: Column, buckets: int = HASH_BUCKETS, fast: bool = False) -> Column:

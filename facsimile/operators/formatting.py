@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from facsimile.functions.names import named
 from facsimile.functions.fmt import round2, round_year
 from facsimile.operators.profile import profile
 from facsimile.schema import ColumnSpec, is_short_year_name
@@ -39,15 +40,15 @@ def format_types(df: DataFrame, specs: list[ColumnSpec] | None = None, rule: str
         is_float = isinstance(dt, (T.DoubleType, T.FloatType))
         is_num = isinstance(dt, T.NumericType)
         if s is None or not is_num or s.kind != "numeric":
-            out.append(F.col(c))
+            out.append(named(c))
             continue
         year = (is_short_year_name(c) or s.year_by_value) if rule == "short" else s.is_year
         if floats_only and not is_float:
-            out.append(F.col(c))
+            out.append(named(c))
         elif year:
-            out.append(round_year(F.col(c)).alias(c))
+            out.append(round_year(named(c)).alias(c))
         elif keep_int and not is_float:
-            out.append(F.col(c))
+            out.append(named(c))
         else:
-            out.append(round2(F.col(c)).alias(c))
+            out.append(round2(named(c)).alias(c))
     return df.select(*out)

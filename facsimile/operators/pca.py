@@ -13,6 +13,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from facsimile.functions.names import named
 from facsimile.operators.clean import numeric_matrix
 from facsimile.schema import common_numeric_columns, numeric_columns
 
@@ -34,14 +35,14 @@ def pca_scores(original: DataFrame, synthetic: DataFrame, k: int = 2, id_col: st
     scaler, model, signs = fit_pca(original, cols, k)
 
     def project(df: DataFrame, side: str) -> DataFrame:
-        keep = [F.col(id_col)] if id_col else []
+        keep = [named(id_col)] if id_col else []
         m = numeric_matrix(df, cols)
         if id_col:
-            m = df.select(F.col(id_col), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in cols])
+            m = df.select(named(id_col), *[F.coalesce(named(c).cast("double"), F.lit(0.0)).alias(c) for c in cols])
         v = VectorAssembler(inputCols=cols, outputCol="__x").transform(m)
         p = model.transform(scaler.transform(v)).select(*([id_col] if id_col else []),
                                                         vector_to_array("__p").alias("__a"))
-        return p.select(F.lit(side).alias("side"), *([F.col(id_col)] if id_col else keep[:0]),
+        return p.select(F.lit(side).alias("side"), *([named(id_col)] if id_col else keep[:0]),
                         *[(F.col("__a")[j] * signs[j]).alias(f"pc{j + 1}") for j in range(k)])
 
     return project(original, "original").unionByName(project(synthetic, "synthetic"))

@@ -11,21 +11,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from facsimile.functions.consts import double_array, long_to_longs_map
-from facsimile.functions.fmt import is_blank
-from facsimile.functions.stats import exact_avg, safe_corr
-from facsimile.session import reused
+from facsimile.functions.names import named
+from facsimile.functions.consts import double_array, long_to_longs_map, sql_string
+from facsimile.functions.fmt import is_blank, to_number
+from facsimile.functions.exact import exact_means
+from facsimile.session import reused, written
 from facsimile.schema import (BLANK_FILL, HIST_BINS, MALE_FEMALE, TRUE_FALSE, YEAR_MAX,
                               YEAR_MAX_DISTINCT, YEAR_MIN, YES_NO, ColumnSpec, is_year_name,
                               kind_of)
 
 EXACT_DISTINCT_LIMIT = 1000   # approx distinct below this -> exact count by a bounded set
+FAR = math.nextafter(math.nextafter(math.inf, 0.0), 0.0)    # stands for an infinite value while quantiles are bracketed
 QUANTILE_GROUP_LIMIT = 100000  # distinct values per bracket before the final exact pick
 
 
 def num(c: str | Column, dt: T.DataType | None = None) -> Column:
     """Column as double with NaN read as missing (pandas has one notion of missing)."""
-    col = F.col(c) if isinstance(c, str) else c
+    col = named(c) if isinstance(c, str) else c
     if dt is not None and isinstance(dt, T.BooleanType):
         return col.cast("int").cast("double")
     d = col.cast("double")
@@ -34,13 +36,13 @@ def num(c: str | Column, dt: T.DataType | None = None) -> Column:
 
 def missing(c: str, dt: T.DataType) -> Column:
     if isinstance(dt, (T.DoubleType, T.FloatType)):
-        return F.col(c).isNull() | F.isnan(F.col(c))
-    return F.col(c).isNull()
+        return named(c).isNull() | F.isnan(named(c))
+    return named(c).isNull()
 
 
 def filled_text(c: str) -> Column:
     """String after the cleaning rule: null or blank -> 'Unknown'."""
-    col = F.col(c)
+    col = named(c)
     return F.when(col.isNull() | is_blank(col), F.lit(BLANK_FILL)).otherwise(col)
 
 
@@ -61,9 +63,9 @@ def profile(df: DataFrame, columns: list[str] | None = None) -> tuple[int, list[
         if k in ("numeric", "boolean"):
             proj.append(num(c, f.dataType).alias(f"x{i}"))
         elif k == "string":
-            proj += [F.col(c).alias(f"x{i}"), is_blank(F.col(c)).alias(f"blank{i}")]
+            proj += [named(c).alias(f"x{i}"), is_blank(named(c)).alias(f"blank{i}")]
         else:
-            proj.append(F.col(c).alias(f"x{i}"))
+            proj.append(named(c).alias(f"x{i}"))
     base = df.select(*proj)
     proj2 = []
     for i, f in enumerate(fields):
@@ -174,6 +176,10 @@ def _exact_quantiles(d: DataFrame, columns: list[str], probs: list[float], group
     and picks the target ranks.  Every pass is a scan with a small output, and the
     number of expressions does not grow with the number of probabilities.
     """
+    # greatest and least pass over nulls, so these are kept apart
+    d = d.select(*[F.when(F.col(c).isNotNull(), F.greatest(F.least(F.col(c), F.lit(FAR)), F.lit(-FAR))).alias(c) for c in d.columns])
+    if known is not None:
+        known = {i: (n, _near(lo), _near(hi), ad) for i, (n, lo, hi, ad) in known.items()}
     if known is None:
         r = d.agg(*[e for i in range(len(columns)) for e in (
             F.count(f"c{i}").alias(f"n{i}"), F.min(f"c{i}").alias(f"lo{i}"),
@@ -311,8 +317,20 @@ def _exact_quantiles(d: DataFrame, columns: list[str], probs: list[float], group
             m = merged[ci][t["m"]]
             g, below_m = ci * 100000 + t["m"], m[2]
             lo, hi = found.get((g, t["r_lo"] - below_m)), found.get((g, t["r_hi"] - below_m))
-            out[(t["name"], t["p"])] = None if lo is None or hi is None else lo + t["frac"] * (hi - lo)
-    return out
+            out[(t["name"], t["p"])] = None if lo is None or hi is None else _between(lo, hi, t["frac"])
+    return {k: _between(v, v, 0.0) if v is not None else None for k, v in out.items()}
+
+
+def _near(x: float | None) -> float | None:
+    return x if x is None else min(max(x, -FAR), FAR)
+
+
+def _between(lo: float, hi: float, part: float) -> float:
+    """The value ``part`` of the way from lo to hi, infinite ones (held as FAR) included."""
+    if part and (hi >= FAR or lo <= -FAR) and lo != hi:
+        return math.inf if hi >= FAR else -math.inf
+    x = lo + part * (hi - lo)
+    return math.inf if x >= FAR else -math.inf if x <= -FAR else x
 
 
 def medians(df: DataFrame, columns: list[str]) -> dict[str, float | None]:
@@ -341,13 +359,13 @@ def describe(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     proj = df.select(*[num(c, types[c]).alias(f"c{i}") for i, c in enumerate(cols)])
     with reused(proj) as d:
         stats = d.agg(*[e for i in range(len(cols)) for e in (
-            F.count(f"c{i}").alias(f"n{i}"), exact_avg(F.col(f"c{i}")).alias(f"mean{i}"),
-            F.stddev_samp(f"c{i}").alias(f"std{i}"), F.min(f"c{i}").alias(f"min{i}"),
+            F.count(f"c{i}").alias(f"n{i}"), F.stddev_samp(f"c{i}").alias(f"std{i}"), F.min(f"c{i}").alias(f"min{i}"),
             F.max(f"c{i}").alias(f"max{i}"))]).first()
+        means = exact_means(d, [f"c{i}" for i in range(len(cols))])
         sk = d.agg(*[F.approx_count_distinct(f"c{i}").alias(f"ad{i}") for i in range(len(cols))]).first()
         known = {i: (stats[f"n{i}"], stats[f"min{i}"], stats[f"max{i}"], sk[f"ad{i}"]) for i in range(len(cols))}
         q = _exact_quantiles(d, cols, [0.25, 0.5, 0.75], QUANTILE_GROUP_LIMIT, 10000, 8, known)
-    rows = [(c, int(stats[f"n{i}"]), stats[f"mean{i}"], stats[f"std{i}"], stats[f"min{i}"],
+    rows = [(c, int(stats[f"n{i}"]), means[None, f"c{i}"], stats[f"std{i}"], stats[f"min{i}"],
              q[(c, 0.25)], q[(c, 0.5)], q[(c, 0.75)], stats[f"max{i}"]) for i, c in enumerate(cols)]
     schema = ("column string, count bigint, mean double, std double, min double, p25 double, "
               "p50 double, p75 double, max double")
@@ -369,9 +387,75 @@ def missing_total(df: DataFrame) -> DataFrame:
                   F.lit(len(fields)).alias("n_columns"))
 
 
+#: The types a text's values may all be read as, the narrowest first; the join of two is the first that holds both.
+LATTICE = ("boolean", "bigint", "double", "date", "timestamp", "string")
+_DATE = r"^\d{4}-\d\d-\d\d$"
+_STAMP = r"^\d{4}-\d\d-\d\d[ T]\d\d:\d\d(:\d\d(\.\d{1,6})?)?$"
+
+
+def readable_as(x: Column) -> dict[str, Column]:
+    """For each type below text, whether a text value can be read as it."""
+    day, stamp = x.try_cast("date").isNotNull() & x.rlike(_DATE), x.try_cast("timestamp_ntz").isNotNull() & x.rlike(_STAMP)
+    return {"boolean": F.lower(x).isin("true", "false"), "bigint": x.try_cast("bigint").isNotNull() & x.rlike(r"^\s*[+-]?\d+\s*$"),
+            "double": to_number(x).isNotNull(), "date": day, "timestamp": day | stamp}
+
+
+def joined_types(df: DataFrame, columns: list[str]) -> dict[str, tuple[int, str | None]]:
+    """{column: (values, narrowest type all of them can be read as)} of text columns, one aggregate; None without a value."""
+    aggs = []
+    for i, c in enumerate(columns):
+        x = named(c)
+        aggs.append(F.count(x).alias(f"n{i}"))
+        aggs += [F.count_if(ok).alias(f"{kind}{i}") for kind, ok in readable_as(x).items()]
+    if not columns:
+        return {}
+    r = df.agg(*aggs).first()
+    out = {}
+    for i, c in enumerate(columns):
+        n = r[f"n{i}"]
+        out[c] = n, next((k for k in LATTICE[:-1] if r[f"{k}{i}"] == n), "string") if n else None
+    return out
+
+
 def type_profile(df: DataFrame) -> DataFrame:
-    rows = [(i, f.name, f.dataType.simpleString(), kind_of(f.dataType)) for i, f in enumerate(df.schema.fields)]
-    return df.sparkSession.createDataFrame(rows, "position int, column string, dtype string, kind string")
+    """C4: (position, column, dtype, kind, non_null, missing, read_as), one row a column, by a scan of the values.
+
+    ``read_as`` is the narrowest type that holds all values of a text column; of a number
+    column 'bigint' if all its values are whole, else its own type; null without a value.
+    """
+    fields = df.schema.fields
+    texts = [f.name for f in fields if kind_of(f.dataType) == "string"]
+    types = joined_types(df, texts)
+    aggs = [F.count(F.lit(1)).alias("rows")]
+    for i, f in enumerate(fields):
+        aggs.append(F.count_if(missing(f.name, f.dataType)).alias(f"m{i}"))
+        if kind_of(f.dataType) == "numeric":
+            x = num(f.name, f.dataType)
+            aggs.append(F.coalesce(F.bool_and((x == F.floor(x).cast("double")) & (F.abs(x) < 2.0 ** 53)), F.lit(False)).alias(f"w{i}"))
+    r = df.agg(*aggs).first()
+    rows = []
+    for i, f in enumerate(fields):
+        kind, n = kind_of(f.dataType), r["rows"] - r[f"m{i}"]
+        own = f.dataType.simpleString()
+        if n == 0:
+            own = None
+        elif kind == "string":
+            own = types[f.name][1]
+        elif kind == "numeric" and r[f"w{i}"]:
+            own = "bigint"
+        rows.append((i, f.name, f.dataType.simpleString(), kind, n, r[f"m{i}"], own))
+    return df.sparkSession.createDataFrame(
+        rows, "position int, column string, dtype string, kind string, non_null bigint, missing bigint, read_as string")
+
+
+def _typed_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(k, v0, v1, ..., count): how often each non-null value of column k occurs, in v{k} with its own type."""
+    fields = {f.name: f.dataType for f in df.schema.fields}
+    cells = [F.struct(F.lit(k).alias("k"), *[(named(c) if i == k else F.lit(None).cast(fields[c])).alias(f"v{i}") for i, c in enumerate(columns)])
+             for k in range(len(columns))]
+    long = df.select(F.inline(F.array(*cells)))
+    some = reduce(lambda a, b: a | b, [F.col(f"v{i}").isNotNull() & (F.col("k") == i) for i in range(len(columns))])
+    return long.where(some).groupBy("k", *[f"v{i}" for i in range(len(columns))]).agg(F.count(F.lit(1)).alias("count"))
 
 
 def value_frequencies(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -381,21 +465,44 @@ def value_frequencies(df: DataFrame, columns: list[str]) -> DataFrame:
     name (one row per column), so no window spans a whole column.
     """
     long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"),
-                                                 F.col(c).cast("string").alias("value"))
+                                                 named(c).cast("string").alias("value"))
                                         for c in columns]))).where(F.col("value").isNotNull())
     counts = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("count"))
-    totals = df.agg(*[F.count(c).alias(f"t{i}") for i, c in enumerate(columns)])
+    totals = df.agg(*[F.count(named(c)).alias(f"t{i}") for i, c in enumerate(columns)])
     totals = to_long(totals, columns, [f"t{i}" for i in range(len(columns))], "column", "total")
     return (counts.join(F.broadcast(totals), "column")
             .select("column", "value", "count", (F.col("count") / F.col("total")).alias("probability")))
 
 
+def top_values(df: DataFrame, columns: list[str], k: int) -> DataFrame:
+    """(column, rank, value, count): the ``k`` most frequent non-null values of each column, most frequent first.
+
+    Equal counts stand in the order of the values' own type (9 before 10).  One count
+    of all columns is written; then each column keeps its ``k`` best map-side, so nothing
+    but ``k`` rows a column meets in one task.
+    """
+    counts = written(_typed_counts(df, columns), "counts")
+    out = None
+    for i, c in enumerate(columns):
+        best = counts.where(F.col("k") == i).orderBy(F.desc("count"), f"v{i}").limit(k)
+        own = Window.partitionBy("column").orderBy(F.desc("count"), "v")      # of these k rows
+        part = (best.select(F.lit(c).alias("column"), F.col(f"v{i}").alias("v"), "count")
+                .select("column", F.row_number().over(own).alias("rank"), F.col("v").cast("string").alias("value"), "count"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def modes(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Most frequent non-null value per column, smallest on ties (pandas ``mode()[0]``)."""
-    freq = value_frequencies(df, columns)
-    best = freq.groupBy("column").agg(F.min(F.struct((-F.col("count")).alias("nc"), F.col("value").alias("v")))
-                                      .alias("m"))
-    return best.select("column", F.col("m.v").alias("mode"), (-F.col("m.nc")).alias("mode_count"))
+    """(column, mode, mode_count): the most frequent non-null value, the smallest on ties (pandas ``mode()[0]``).
+
+    Values are compared by their own type; the result shows them as text.
+    """
+    counts = _typed_counts(df, columns)
+    values = [f"v{i}" for i in range(len(columns))]     # of a column's rows all but one are null
+    best = counts.groupBy("k").agg(F.min(F.struct((-F.col("count")).alias("nc"), *values)).alias("m"))
+    names = F.expr("array(" + ", ".join(sql_string(c) for c in columns) + ")")
+    return best.select(F.element_at(names, F.col("k") + 1).alias("column"), F.coalesce(*[F.col(f"m.{v}").cast("string") for v in values]).alias("mode"),
+                       (-F.col("m.nc")).alias("mode_count"))
 
 
 def hist_edges(lo: float, hi: float, bins: int = HIST_BINS) -> list[float]:
@@ -453,72 +560,28 @@ def histogram(df: DataFrame, columns: list[str], bins: int = HIST_BINS,
             .select("column", "bin", "lo", "hi", F.coalesce("count", F.lit(0)).cast("bigint").alias("count")))
 
 
-def _corr_aggs(types: dict, columns: list[str]) -> tuple[list[Column], list[tuple[int, int]]]:
-    aggs, keys = [], []
-    for i, a in enumerate(columns):
-        for j, b in enumerate(columns):
-            if j < i:
-                continue
-            xa, xb = num(a, types[a]), num(b, types[b])
-            both = xa.isNotNull() & xb.isNotNull()
-            aggs.append(safe_corr(F.when(both, xa), F.when(both, xb)).alias(f"r{i}_{j}"))
-            keys.append((i, j))
-    return aggs, keys
-
-
 def correlation_values(df: DataFrame, columns: list[str], by: str | None = None) -> dict:
     """{(group, col_i, col_j): r} for all ordered pairs (group None without ``by``).
 
-    Two-pass algorithm in two jobs: column means (and null counts), then the sums of
-    centred cross-products -- plain sums, cheap to generate code for and stable.  Pairs
-    touching a column with nulls use the pairwise-complete moment expression instead
-    (pandas drops nulls pair by pair).  Null on zero variance.
+    For the driver's own use: the columns of one model or report, and two sides at most.
+    Tables of many columns or groups take :func:`facsimile.operators.gram.correlations`.
     """
-    types = dict((f.name, f.dataType) for f in df.schema.fields)
-    x = {c: num(c, types[c]) for c in columns}
-    keys = [F.col(by)] if by else []
-    first = (df.groupBy(*keys) if by else df.groupBy()).agg(
-        F.count(F.lit(1)).alias("__n"),
-        *[e for i, c in enumerate(columns) for e in (F.avg(x[c]).alias(f"m{i}"), F.count(x[c]).alias(f"k{i}"))])
-    rows1 = {(r[by] if by else None): r for r in first.collect()}
-    has_null = {c for i, c in enumerate(columns) if any(r[f"k{i}"] != r["__n"] for r in rows1.values())}
-    groups = list(rows1)
-
-    def mean_of(i):
-        if not by:
-            return F.lit(rows1[None][f"m{i}"])
-        mp = F.create_map(*[F.lit(v) for g in groups for v in (g, rows1[g][f"m{i}"])])
-        return mp[F.col(by)]
-
-    centred = {c: x[c] - mean_of(i) for i, c in enumerate(columns) if c not in has_null}
-    aggs, plan = [], []
-    for i, a in enumerate(columns):
-        for j, b in enumerate(columns):
-            if j < i:
-                continue
-            if a in has_null or b in has_null:
-                both = x[a].isNotNull() & x[b].isNotNull()
-                aggs.append(safe_corr(F.when(both, x[a]), F.when(both, x[b])).alias(f"r{i}_{j}"))
-                plan.append((i, j, "direct"))
-            else:
-                aggs.append(F.sum(centred[a] * centred[b]).alias(f"s{i}_{j}"))
-                plan.append((i, j, "sum"))
-    rows2 = {(r[by] if by else None): r for r in (df.groupBy(*keys) if by else df.groupBy()).agg(*aggs).collect()}
+    from facsimile.operators.gram import correlations
+
+    whole = bool(by) and kind_of(df.schema[by].dataType) == "numeric"
     out = {}
-    for g, r in rows2.items():
-        for i, j, how in plan:
-            if how == "direct":
-                v = r[f"r{i}_{j}"]
-            else:
-                sij, sii, sjj = r[f"s{i}_{j}"], r[f"s{i}_{i}"], r[f"s{j}_{j}"]
-                v = sij / math.sqrt(sii * sjj) if sii and sjj and sii > 0 and sjj > 0 else None
-            out[(g, columns[i], columns[j])] = v
-            out[(g, columns[j], columns[i])] = v
+    for r in correlations(df, columns, by).where("i <= j").collect():
+        g = int(r["g"]) if whole and r["g"] is not None else r["g"]
+        out[(g, columns[r["i"]], columns[r["j"]])] = out[(g, columns[r["j"]], columns[r["i"]])] = r["corr"]
+    if not by:      # a table without rows correlates nothing
+        out = {(None, a, b): out.get((None, a, b)) for a in columns for b in columns}
     return out
 
 
 def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Pairwise Pearson (pairwise-complete rows, null on zero variance) as (col_i, col_j, corr)."""
-    vals = correlation_values(df, columns)
-    rows = [(a, b, vals[(None, a, b)]) for a in columns for b in columns]
-    return df.sparkSession.createDataFrame(rows, "col_i string, col_j string, corr double")
+    """Pairwise Pearson (pairwise-complete rows, null on zero variance) as (col_i, col_j, corr), made on the executors."""
+    from facsimile.operators.gram import correlations
+
+    names = F.expr("array(" + ", ".join(sql_string(c) for c in columns) + ")")
+    return correlations(df, columns).select(F.element_at(names, F.col("i") + 1).alias("col_i"),
+                                            F.element_at(names, F.col("j") + 1).alias("col_j"), "corr")

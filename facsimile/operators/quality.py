@@ -11,7 +11,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from facsimile.functions.stats import exact_avg, pct_diff, preservation, safe_corr
+from facsimile.functions.names import named
+from facsimile.functions.exact import exact_means
 from facsimile.operators.clean import numeric_matrix
 from facsimile.operators.profile import correlation_values, exact_quantiles, hist_bin, missing, num
 from facsimile.session import reused
@@ -33,13 +34,13 @@ def side_stats(original: DataFrame, synthetic: DataFrame, columns: list[str]) ->
     aggs = [F.count(F.lit(1)).alias("__rows")]
     for i in range(len(columns)):
         x = F.col(f"c{i}")
-        aggs += [exact_avg(x).alias(f"a{i}"), F.stddev_samp(x).alias(f"s{i}"), F.min(x).alias(f"lo{i}"),
-                 F.max(x).alias(f"hi{i}")]
+        aggs += [F.stddev_samp(x).alias(f"s{i}"), F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
     rows = {r["__side"]: r for r in u.groupBy("__side").agg(*aggs).collect()}
+    means = exact_means(u, [f"c{i}" for i in range(len(columns))], "__side") if columns else {}
     out = {"rows": [rows[k]["__rows"] if k in rows else 0 for k in (0, 1)], "columns": {}}
     for i, c in enumerate(columns):
         out["columns"][c] = [
-            {k: (rows[side][f"{k}{i}"] if side in rows else None) for k in ("a", "s", "lo", "hi")}
+            {"a": means.get((side, f"c{i}")), **{k: (rows[side][f"{k}{i}"] if side in rows else None) for k in ("s", "lo", "hi")}}
             for side in (0, 1)]
     return out
 
@@ -180,7 +181,7 @@ def shape_scores(o: DataFrame, s: DataFrame, cols: list[str], bins: int = HIST_B
         cs = []
         for c in keep:
             lo, hi = st["columns"][c][0]["lo"], st["columns"][c][0]["hi"]
-            x = F.col(c)
+            x = named(c)
             cs.append(F.when(x.between(F.lit(lo), F.lit(hi)),
                              F.struct(F.lit(side).alias("side"), F.lit(c).alias("column"),
                                       hist_bin(x, lo, hi, bins).alias("bin"))))
@@ -239,6 +240,12 @@ def band(c: Column) -> Column:
     return F.when(c >= SCORE_GOOD, F.lit("good")).when(c >= SCORE_MEDIUM, F.lit("medium")).otherwise(F.lit("low"))
 
 
+def _band(score: float | None) -> str | None:
+    if score is None:
+        return None
+    return "good" if score >= SCORE_GOOD else "medium" if score >= SCORE_MEDIUM else "low"
+
+
 def score_bands(original: DataFrame, synthetic: DataFrame) -> DataFrame:
     v = similarity_values(original, synthetic)
     rows = [("Mean Similarity", v["mean_similarity"]), ("Std Similarity", v["std_similarity"]),
@@ -249,19 +256,23 @@ def score_bands(original: DataFrame, synthetic: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- report pieces
 
-def percent_diffs(original: DataFrame, synthetic: DataFrame, first: int = 5) -> DataFrame:
-    """Mean and std difference in % for the first 5 numeric columns of the original."""
+def _percent(o, s):
+    if o is None or s is None:
+        return None
+    return 0.0 if o == 0 else abs(o - s) / abs(o) * 100.0
+
+
+def percent_diffs(original: DataFrame, synthetic: DataFrame, first: int | None = None) -> DataFrame:
+    """Mean and std difference in % of the shared numeric columns.
+
+    ``first`` keeps those among the original's first so many numeric columns; the source's display shows 5.
+    """
     other = set(synthetic.columns)
     cols = [c for c in numeric_columns(original)[:first] if c in other]
     st = side_stats(original, synthetic, cols)
 
-    def pct(o, s_):
-        if o is None or s_ is None:
-            return None
-        return 0.0 if o == 0 else abs(o - s_) / abs(o) * 100.0
-
-    rows = [(i, c, pct(st["columns"][c][0]["a"], st["columns"][c][1]["a"]),
-             pct(st["columns"][c][0]["s"], st["columns"][c][1]["s"])) for i, c in enumerate(cols)]
+    rows = [(i, c, _percent(st["columns"][c][0]["a"], st["columns"][c][1]["a"]),
+             _percent(st["columns"][c][0]["s"], st["columns"][c][1]["s"])) for i, c in enumerate(cols)]
     return original.sparkSession.createDataFrame(
         rows, "position int, column string, mean_diff_pct double, std_diff_pct double")
 
@@ -286,9 +297,11 @@ def profile_side(df: DataFrame, side: str) -> DataFrame:
     fields = df.schema.fields
     numeric = [f.name for f in fields if kind_of(f.dataType) == "numeric"]
     types = dict((f.name, f.dataType) for f in fields)
+    values = df.select(*[num(c, types[c]).alias(f"x{j}") for j, c in enumerate(numeric)])
+    means = exact_means(values, values.columns) if numeric else {}
     agg = df.agg(*[F.count_if(missing(f.name, f.dataType)).alias(f"m{i}") for i, f in enumerate(fields)],
                  *[e for j, c in enumerate(numeric) for e in (
-                     F.count(num(c, types[c])).alias(f"n{j}"), exact_avg(num(c, types[c])).alias(f"a{j}"),
+                     F.count(num(c, types[c])).alias(f"n{j}"),
                      F.stddev_samp(num(c, types[c])).alias(f"s{j}"), F.min(num(c, types[c])).alias(f"lo{j}"),
                      F.max(num(c, types[c])).alias(f"hi{j}"))]).first()
     q = exact_quantiles(df, numeric, [0.25, 0.5, 0.75]) if numeric else {}
@@ -297,7 +310,7 @@ def profile_side(df: DataFrame, side: str) -> DataFrame:
         c = f.name
         if c in numeric:
             j = numeric.index(c)
-            rows.append((side, i, c, f.dataType.simpleString(), int(agg[f"m{i}"]), int(agg[f"n{j}"]), agg[f"a{j}"],
+            rows.append((side, i, c, f.dataType.simpleString(), int(agg[f"m{i}"]), int(agg[f"n{j}"]), means[None, f"x{j}"],
                          agg[f"s{j}"], agg[f"lo{j}"], q[(c, 0.25)], q[(c, 0.5)], q[(c, 0.75)], agg[f"hi{j}"]))
         else:
             rows.append((side, i, c, f.dataType.simpleString(), int(agg[f"m{i}"]), None, None, None, None,
@@ -322,24 +335,60 @@ def size_tier(rows: Column) -> Column:
     return F.when(rows > SIZE_LARGE, F.lit("large")).when(rows > SIZE_MEDIUM, F.lit("medium")).otherwise(F.lit("small"))
 
 
-# ---------------------------------------------------------------- report
+# ---------------------------------------------------------------- documents and report
+
+def profile_document(df: DataFrame, name: str = "table") -> DataFrame:
+    """(name, document): one JSON text with the profile of a table, put together on the executors.
+
+    ``{"table", "columns": [{"position", "column", "dtype", "missing", "count", "mean", "std",
+    "min", "p25", "p50", "p75", "max"}]}``; numbers are texts of six decimals (those of 25 digits
+    and more in scientific form), absent ones null.  A row a column is all that meets in one task.
+    """
+    side = profile_side(df, name)
+
+    def text(c: str) -> Column:
+        x = F.col(c)
+        plain = F.round(x, 6).try_cast("decimal(38,6)").cast("string")
+        return F.when(F.abs(x) < 1e25, plain).otherwise(x.cast("string")).alias(c)
+
+    stats = ["mean", "std", "min", "p25", "p50", "p75", "max"]
+    cells = F.struct("position", "column", "dtype", F.col("missing").cast("string").alias("missing"),
+                     F.col("count").cast("string").alias("count"), *[text(c) for c in stats])
+    one = side.groupBy(F.col("side").alias("name")).agg(F.array_sort(F.collect_list(cells)).alias("columns"))
+    return one.select("name", F.to_json(F.struct(F.col("name").alias("table"), "columns"), {"ignoreNullFields": "false"}).alias("document"))
+
 
 def quality_report(original: DataFrame, synthetic: DataFrame, method: str = "independent") -> DataFrame:
-    """H16 as one long table (section, column, metric, value); the HTML is not rebuilt.
+    """H16 as one long table (section, column, metric, value, note); the HTML is not rebuilt.
 
-    Jobs: one for the per-side statistics of the raw tables, one for the numeric
-    matrices' statistics and one for both sides' histograms -- computed once and
-    shared by every section.
+    Sections: structure with the method used, preservation with the overall quality and
+    the correlation preservation, percent differences of every shared numeric column, similarity with
+    the bands of its scores, and the explained variance of two principal components.
+    A section that the tables do not allow says why in its ``status`` row.  The
+    statistics of a side are computed once and shared by the sections.
     """
     cols = common_numeric_columns(original, synthetic)
     st = side_stats(original, synthetic, cols)
     no, ns = st["rows"]
-    rows = [("structure", None, "original_rows", float(no)), ("structure", None, "synthetic_rows", float(ns)),
-            ("structure", None, "original_columns", float(len(original.columns))),
-            ("structure", None, "synthetic_columns", float(len(synthetic.columns))),
-            ("structure", None, "size_ratio", (ns / no) if no > 0 else 0.0)]
-    for c, _, mp, sp in _preservation_rows(st, cols):
-        rows += [("preservation", c, "mean_preservation", mp), ("preservation", c, "std_preservation", sp)]
+    rows = [("structure", None, "method", None, method),
+            ("structure", None, "original_rows", float(no), None), ("structure", None, "synthetic_rows", float(ns), None),
+            ("structure", None, "original_columns", float(len(original.columns)), None),
+            ("structure", None, "synthetic_columns", float(len(synthetic.columns)), None),
+            ("structure", None, "size_ratio", (ns / no) if no > 0 else 0.0, None),
+            ("structure", None, "all_columns_kept", float(len(original.columns) == len(synthetic.columns)), None)]
+    per = _preservation_rows(st, cols)
+    for c, _, mp, sp in per:
+        rows += [("preservation", c, "mean_preservation", mp, None), ("preservation", c, "std_preservation", sp, None)]
+    if per:
+        m, s = per[-1][2], per[-1][3]
+        rows.append(("preservation", None, "overall_quality", None if m is None or s is None else (m + s) / 2, None))
+    if len(cols) >= 2:
+        rows.append(("preservation", None, "corr_preservation", corr_preservation(original, synthetic).first()[0], None))
+    else:
+        rows.append(("preservation", None, "status", None, f"correlations need two shared numeric columns, not {len(cols)}"))
+    for c in cols:
+        for k, name in (("a", "mean_diff_pct"), ("s", "std_diff_pct")):
+            rows.append(("differences", c, name, _percent(st["columns"][c][0][k], st["columns"][c][1][k]), None))
     try:
         v = similarity_values(original, synthetic)
         u = None if v["mean_similarity"] is None or v["std_similarity"] is None else \
@@ -347,7 +396,13 @@ def quality_report(original: DataFrame, synthetic: DataFrame, method: str = "ind
         for k, val in [("mean_similarity", v["mean_similarity"]), ("std_similarity", v["std_similarity"]),
                        ("shape_similarity", v["shape_similarity"]), ("utility_score", u),
                        ("fidelity_score", v["shape_similarity"])]:
-            rows.append(("similarity", None, k, val))
-    except ValueError:
-        pass
-    return original.sparkSession.createDataFrame(rows, "section string, column string, metric string, value double")
+            rows.append(("similarity", None, k, val, _band(val)))
+    except ValueError as e:
+        rows.append(("similarity", None, "status", None, str(e)))
+    if len(cols) >= 2 and no >= 2:
+        from facsimile.operators.pca import pca_variance
+        for r in pca_variance(original, cols).collect():     # two rows
+            rows.append(("components", None, f"explained_variance_{r['component']}", r["explained_variance_ratio"], None))
+    else:
+        rows.append(("components", None, "status", None, "components need two shared numeric columns and two rows"))
+    return original.sparkSession.createDataFrame(rows, "section string, column string, metric string, value double, note string")

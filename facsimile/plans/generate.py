@@ -9,14 +9,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from facsimile.functions.names import named
 from facsimile.operators.copula import synthesize_copula
-from facsimile.operators.profile import profile
 from facsimile.operators.synth import synthesize_independent
 from facsimile.schema import MODELS, SynthConfig, check_unsupported
 
 
 def select_strict(df: DataFrame, columns: list[str]) -> DataFrame:
-    return df.select(*columns)
+    """The columns asked for, in the order asked; an unknown one is an error that names it."""
+    unknown = [c for c in columns if c not in df.columns]
+    if unknown:
+        raise ValueError(f"no such columns: {unknown}")
+    return df.select(*[named(c) for c in columns])
 
 
 def select_lenient(df: DataFrame, columns: list[str] | None) -> DataFrame:
@@ -24,12 +28,12 @@ def select_lenient(df: DataFrame, columns: list[str] | None) -> DataFrame:
     if not columns:
         return df
     keep = [c for c in df.columns if c in set(columns)]
-    return df.select(*keep) if keep else df
+    return df.select(*[named(c) for c in keep]) if keep else df
 
 
 def default_projection(df: DataFrame, k: int = 5) -> DataFrame:
     """The first five columns, the default column selection."""
-    return df.select(*df.columns[:k])
+    return df.select(*[named(c) for c in df.columns[:k]])
 
 
 def head(df: DataFrame, n: int | None, order: list[str] | None = None) -> DataFrame:
@@ -59,8 +63,7 @@ def synthesize(df: DataFrame, config: SynthConfig | None = None,
         raise ValueError(f"unknown model {cfg.model_type!r}")
     data = select_lenient(df, columns)
     check_unsupported(data)
-    rows, _ = profile(data.select(*data.columns[:1]))
-    if rows == 0:
+    if data.isEmpty():
         raise ValueError("input table is empty")
     if cfg.method == "independent":
         return synthesize_independent(data, cfg), "independent"
@@ -68,7 +71,7 @@ def synthesize(df: DataFrame, config: SynthConfig | None = None,
         return synthesize_copula(data, cfg), "copula"
     try:
         return synthesize_copula(data, cfg), "copula"
-    except (ValueError, ArithmeticError, RuntimeError):
+    except (ValueError, ArithmeticError):      # the marginals or their correlations cannot be modelled
         return synthesize_independent(data, cfg), "independent"
 
 

@@ -115,7 +115,7 @@ class SynthConfig:
     """
 
     num_samples: int | None = None
-    method: str = "independent"     # 'independent' | 'copula'
+    method: str = "copula"          # 'copula' (the default model) | 'independent' | 'auto'
     seed: int = 42
     privacy_level: str = "Medium"
     fast: bool = False
@@ -123,5 +123,4 @@ class SynthConfig:
     keep_int: bool = False
     stringify: bool = False
     keep_id: bool = False
-    epochs: int = 300
     model_type: str = "Gaussian Copula"
