@@ -60,7 +60,7 @@ def main():
     def q_batch():
         o = load("orders").select(F.col("o_orderpriority").alias("dataset"), "o_totalprice", "o_orderstatus",
                                   "o_custkey")
-        sink(synthesize_batch(o, config=SynthConfig(seed=1)))
+        sink(synthesize_batch(o, config=SynthConfig(seed=1, method="independent")))
 
     plan = [("profile", q_profile), ("synth_independent", q_synth_md5), ("synth_independent_fast", q_synth_fast),
             ("copula", q_copula), ("quality_report", q_report), ("batch", q_batch)]

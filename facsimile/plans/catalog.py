@@ -126,13 +126,103 @@ def q_histogram_20(spark, sf_dir):
     return r6(profile.histogram(load(spark, sf_dir, "events"), ["value"]))
 
 
-@query("type_profile",
-       "SELECT * FROM (VALUES (0, 'o_orderkey', 'bigint', 'numeric'), (1, 'o_custkey', 'bigint', 'numeric'), "
-       "(2, 'o_orderstatus', 'string', 'string'), (3, 'o_totalprice', 'double', 'numeric'), "
-       "(4, 'o_orderdate', 'timestamp_ntz', 'temporal'), (5, 'o_orderpriority', 'string', 'string')) "
-       "t(position, \"column\", dtype, kind)")
+TYPED_TEXT = {      # column -> its text in Spark SQL, and in the twin
+    "key_text": ("CAST(o_orderkey AS STRING)", "CAST(o_orderkey AS VARCHAR)"),
+    "price_text": ("CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE CAST(o_totalprice AS STRING) END",
+                   "CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE CAST(o_totalprice AS VARCHAR) END"),
+    "flag_text": ("IF(o_custkey % 2 = 0, 'True', 'false')", "CASE WHEN o_custkey % 2 = 0 THEN 'True' ELSE 'false' END"),
+    "day_text": ("date_format(o_orderdate, 'yyyy-MM-dd')", "strftime(o_orderdate, '%Y-%m-%d')"),
+    "time_text": ("IF(o_orderkey % 3 = 0, date_format(o_orderdate, 'yyyy-MM-dd'), date_format(o_orderdate, 'yyyy-MM-dd HH:mm:ss'))",
+                  "CASE WHEN o_orderkey % 3 = 0 THEN strftime(o_orderdate, '%Y-%m-%d') ELSE strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') END"),
+    "mixed_text": ("IF(o_orderkey % 7 = 0, o_orderstatus, CAST(o_orderkey AS STRING))",
+                   "CASE WHEN o_orderkey % 7 = 0 THEN o_orderstatus ELSE CAST(o_orderkey AS VARCHAR) END"),
+    "none_text": ("CAST(NULL AS STRING)", "CAST(NULL AS VARCHAR)"),
+}
+
+
+def _type_profile_sql() -> str:
+    cols = ", ".join(f"{sql} AS {c}" for c, (_, sql) in TYPED_TEXT.items())
+    t = f"(SELECT o_orderkey, o_totalprice, o_orderdate, {cols} FROM orders)"
+    parts = []
+    kinds = [("o_orderkey", "bigint", "numeric"), ("o_totalprice", "double", "numeric"), ("o_orderdate", "timestamp_ntz", "temporal"),
+             *((c, "string", "string") for c in TYPED_TEXT)]
+    for i, (c, dtype, kind) in enumerate(kinds):
+        if kind == "string":
+            day = f"(regexp_full_match({c}, '\\d{{4}}-\\d\\d-\\d\\d') AND TRY_CAST({c} AS DATE) IS NOT NULL)"
+            stamp = f"(length({c}) > 10 AND TRY_CAST({c} AS TIMESTAMP) IS NOT NULL)"
+            own = (f"CASE WHEN count({c}) = 0 THEN NULL WHEN bool_and(lower({c}) IN ('true', 'false')) THEN 'boolean' "
+                   f"WHEN bool_and(regexp_full_match({c}, '[+-]?\\d+') AND TRY_CAST({c} AS BIGINT) IS NOT NULL) THEN 'bigint' "
+                   f"WHEN bool_and(TRY_CAST({c} AS DOUBLE) IS NOT NULL) THEN 'double' WHEN bool_and({day}) THEN 'date' "
+                   f"WHEN bool_and({day} OR {stamp}) THEN 'timestamp' ELSE 'string' END")
+            src = f"(SELECT {c} FROM {t} WHERE {c} IS NOT NULL)"
+        else:
+            own = f"CASE WHEN count({c}) = 0 THEN NULL WHEN bool_and({c} = floor({c})) THEN 'bigint' ELSE '{dtype}' END" \
+                if kind == "numeric" else f"CASE WHEN count({c}) > 0 THEN '{dtype}' END"
+            src = t
+        parts.append(f"SELECT {i}::INTEGER AS position, '{c}' AS \"column\", '{dtype}' AS dtype, '{kind}' AS kind, "
+                     f"(SELECT count({c}) FROM {t}) AS non_null, (SELECT count(*) - count({c}) FROM {t}) AS missing, "
+                     f"(SELECT {own} FROM {src}) AS read_as")
+    return " UNION ALL ".join(parts)
+
+
+@query("type_profile", _type_profile_sql())
 def q_type_profile(spark, sf_dir):
-    return profile.type_profile(load(spark, sf_dir, "orders"))
+    o = load(spark, sf_dir, "orders")
+    return profile.type_profile(o.select("o_orderkey", "o_totalprice", "o_orderdate", *[F.expr(e).alias(c) for c, (e, _) in TYPED_TEXT.items()]))
+
+
+def _top_sql(cols: list[str], table: str, k: int) -> str:
+    return " UNION ALL ".join(
+        f"SELECT * FROM (SELECT '{c}' AS \"column\", (row_number() OVER (ORDER BY n DESC, {c}))::INTEGER AS rank, CAST({c} AS VARCHAR) AS value, "
+        f"n AS count FROM (SELECT {c}, count(*) AS n FROM {table} WHERE {c} IS NOT NULL GROUP BY 1)) WHERE rank <= {k}" for c in cols)
+
+
+@query("top_values", _top_sql(["p_size", "p_brand", "p_name"], "part", 12))
+def q_top_values(spark, sf_dir):
+    return profile.top_values(load(spark, sf_dir, "part"), ["p_size", "p_brand", "p_name"], 12)
+
+
+@query("mode_typed", "\nUNION ALL\n".join(
+    f"SELECT * FROM (SELECT '{c}' AS \"column\", CAST({c} AS VARCHAR) AS mode, count(*) AS mode_count FROM lineitem "
+    f"WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT 1)" for c in ["l_orderkey", "l_suppkey", "l_linenumber", "l_shipdate"]))
+def q_mode_typed(spark, sf_dir):
+    """Many order and supplier keys tie; the smallest number wins, not the first text."""
+    return profile.modes(load(spark, sf_dir, "lineitem"), ["l_orderkey", "l_suppkey", "l_linenumber", "l_shipdate"])
+
+
+# Values of 1e-19 and 1e300 of both signs; the large ones cancel, the small ones have a mean the
+# keys give in whole numbers.
+@query("describe_exact",
+       "WITH k AS (SELECT o_orderkey AS k, row_number() OVER (ORDER BY o_orderkey) AS r, count(*) OVER () AS n FROM orders) "
+       "SELECT count(*) AS count, round(sum(k)::HUGEINT::DOUBLE / count(*), 3) AS tiny_mean_e19, "
+       "round(sum(k)::HUGEINT::DOUBLE / count(*), 3) AS wide_mean_e19, max(n)::BIGINT AS n FROM k")
+def q_describe_exact(spark, sf_dir):
+    from facsimile.functions.exact import exact_means
+    o = load(spark, sf_dir, "orders").select("o_orderkey")
+    k = F.col("o_orderkey").cast("double")
+    # each key's three values: its 1e-19th part and a huge number of both signs, which cancel exactly
+    t = o.select(F.explode(F.array(k * 1e-19, F.lit(1e300) * (k + 1), F.lit(-1e300) * (k + 1))).alias("wide"), (k * 1e-19).alias("tiny"))
+    m = exact_means(t, ["wide", "tiny"])
+    n = o.count()
+    # the product with 1e19 is rounded again at 3 places
+    return spark.createDataFrame([(n, round(m[None, "tiny"] * 1e19, 3), round(m[None, "wide"] * 3 * 1e19, 3), n)],
+                                 "count bigint, tiny_mean_e19 double, wide_mean_e19 double, n bigint")
+
+
+def _masked(c: str, k: int) -> str:
+    return f"CASE WHEN l_orderkey % {k} = 0 THEN NULL ELSE {c} END"
+
+
+CORR_NULLS = {"l_quantity": 7, "l_extendedprice": 5, "l_discount": 3, "l_tax": 11}
+LI_NULLS = "(SELECT " + ", ".join(f"{_masked(c, k)} AS {c}" for c, k in CORR_NULLS.items()) + ", CAST(l_linenumber AS DOUBLE) AS l_linenumber, 1.5::DOUBLE AS flat FROM lineitem)"
+
+
+@query("correlation_nulls", Q.corr_matrix_sql(LI_NULLS, [*CORR_NULLS, "l_linenumber", "flat"]))
+def q_correlation_nulls(spark, sf_dir):
+    """Pairwise-complete correlations of columns with nulls of their own, by blocks of columns."""
+    li = load(spark, sf_dir, "lineitem")
+    t = li.select(*[F.expr(_masked(c, k)).alias(c) for c, k in CORR_NULLS.items()], "l_linenumber", F.lit(1.5).alias("flat"))
+    return r6(profile.correlation_matrix(t, t.columns))
 
 
 # ============================================================ cleaning (D*)
@@ -149,6 +239,20 @@ def q_impute_median(spark, sf_dir):
     return r6(clean.fill_median(li, ["l_discount"]))
 
 
+ORD_DATES = "(SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_orderdate END AS stamp, CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE CAST(o_orderdate AS DATE) END AS day FROM orders)"
+
+
+@query("impute_datetime",
+       f"SELECT o_orderkey, coalesce(stamp, (SELECT make_timestamp(floor(median(epoch_us(stamp)))::BIGINT) FROM {ORD_DATES})) AS stamp, "
+       f"coalesce(day, (SELECT DATE '1970-01-01' + floor(median(day - DATE '1970-01-01'))::INTEGER FROM {ORD_DATES})) AS day FROM {ORD_DATES}")
+def q_impute_datetime(spark, sf_dir):
+    """Missing dates and timestamps become the median and keep their type."""
+    o = load(spark, sf_dir, "orders").select(
+        "o_orderkey", F.when(F.col("o_orderkey") % 4 != 0, F.col("o_orderdate")).alias("stamp"),
+        F.when(F.col("o_orderkey") % 6 != 0, F.col("o_orderdate").cast("date")).alias("day"))
+    return clean.fill_median(o, ["stamp", "day"])
+
+
 def blank_priority(c):
     k = F.col("o_orderkey") % 11
     return (F.when(k == 0, F.lit(None).cast("string")).when(k == 1, F.lit("")).when(k == 2, F.lit("  "))
@@ -505,7 +609,7 @@ def q_score_bands(spark, sf_dir):
        f"FROM {Q.stats_pair_sql(LI_EVEN, LI_ODD, LI_NUM[:5])}")
 def q_percent_diffs(spark, sf_dir):
     a, b = li_halves(spark, sf_dir)
-    return r6(quality.percent_diffs(a, b))
+    return r6(quality.percent_diffs(a, b, 5))
 
 
 @query("structure_compare",
@@ -571,7 +675,7 @@ def q_batch_status(spark, sf_dir):
     return batch_status(src, synthesize_batch(src))
 
 
-# ============================================================ copula (F1) and PCA (H15): rows only
+# ============================================================ copula (F1) and PCA
 
 @query("synth_copula")
 def q_synth_copula(spark, sf_dir):
@@ -580,6 +684,50 @@ def q_synth_copula(spark, sf_dir):
     return synthesize_copula(li, SynthConfig(keep_id=True))
 
 
+@query("synth_copula_pair", Q.copula_pair_sql("orders", "o_totalprice", "o_totalprice * 0.3 + o_custkey * 20.0"))
+def q_synth_copula_pair(spark, sf_dir):
+    """Two continuous columns from their copula, to whole numbers."""
+    from facsimile.operators.copula import synthesize_copula
+    o = load(spark, sf_dir, "orders").select(F.col("o_totalprice").alias("a"), (F.col("o_totalprice") * 0.3 + F.col("o_custkey") * 20.0).alias("b"))
+    out = synthesize_copula(o, SynthConfig(keep_id=True))
+    return out.select("id", F.round("a").alias("a"), F.round("b").alias("b"))
+
+
+@query("synth_batch_copula", Q.copula_pair_sql("orders", "o_totalprice", "o_totalprice * 0.3 + o_custkey * 20.0", "o_orderpriority"))
+def q_synth_batch_copula(spark, sf_dir):
+    """The same two columns of every dataset from the dataset's own copula."""
+    from facsimile.operators.copula_groups import synthesize_groups
+    o = load(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("dataset"), F.col("o_totalprice").alias("a"),
+                                             (F.col("o_totalprice") * 0.3 + F.col("o_custkey") * 20.0).alias("b"))
+    out, _ = synthesize_groups(o)
+    return out.select("dataset", "id", F.round("a").alias("a"), F.round("b").alias("b"))
+
+
+@query("copula_discrete", " UNION ALL ".join(
+    f"SELECT DISTINCT '{c}' AS \"column\", CAST({c} AS DOUBLE) AS value FROM lineitem" for c in ["l_linenumber", "l_tax", "l_discount", "l_quantity"]))
+def q_copula_discrete(spark, sf_dir):
+    """The values that columns of few values draw: theirs, and nothing between."""
+    from facsimile.operators.copula import synthesize_copula
+    cols = ["l_linenumber", "l_tax", "l_discount", "l_quantity"]
+    out = synthesize_copula(load(spark, sf_dir, "lineitem").select("l_extendedprice", *cols), SynthConfig())
+    return out.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in cols]))).distinct()
+
+
+@query("synth_id_column",
+       f"SELECT i.id AS _id, n.o AS id, n.p AS \"total.price\", c.\"order.status\" FROM {ORD_IDS} i JOIN "
+       f"(SELECT i.id, round_even({Q.normal_col_sql('i.id', 'id', 's.m_o', 's.s_o')}, 2) AS o, "
+       f"round_even({Q.normal_col_sql('i.id', 'total.price', 's.m_p', 's.s_p')}, 2) AS p FROM {ORD_IDS} i CROSS JOIN "
+       f"(SELECT avg({Q.num('o_orderkey')}) AS m_o, stddev_samp({Q.num('o_orderkey')}) AS s_o, avg(o_totalprice) AS m_p, "
+       f"stddev_samp(o_totalprice) AS s_p FROM orders) s) n ON n.id = i.id JOIN "
+       f"(SELECT i.id, f.v AS \"order.status\" FROM {ORD_IDS} i JOIN {Q.freq_intervals_sql('orders', 'o_orderstatus')} f "
+       f"ON floor({Q.u_sql('i.id', 'order.status')} * f.n)::BIGINT >= f.lo AND floor({Q.u_sql('i.id', 'order.status')} * f.n)::BIGINT < f.hi) c ON c.id = i.id")
+def q_synth_id_column(spark, sf_dir):
+    """A source with a column ``id`` and dotted names, independent method."""
+    o = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("total.price"),
+                                             F.col("o_orderstatus").alias("order.status"))
+    return synth.synthesize_independent(o, SynthConfig(method="independent", keep_id=True))
+
+
 @query("pca_scores")
 def q_pca_scores(spark, sf_dir):
     from facsimile.operators.pca import pca_scores
@@ -644,7 +792,7 @@ def q_side_by_side(spark, sf_dir):
     # rows depend only on (id, column, seed): the first 100 rows of the full synthetic
     # table are exactly a 100-row synthesis, so only those are generated
     fake = synth.synthesize_independent(o.select("o_totalprice", "o_orderpriority"),
-                                        SynthConfig(keep_id=True, num_samples=100))
+                                        SynthConfig(method="independent", keep_id=True, num_samples=100))
     left = with_row_number(head(format_types(o, specs, floats_only=True), 100, ["o_orderkey"]), ["o_orderkey"])
     right = head(format_types(fake, specs, floats_only=True), 100, ["id"]).withColumnRenamed("id", "row")
     return (left.withColumn("side", F.lit("original"))
@@ -654,24 +802,49 @@ def q_side_by_side(spark, sf_dir):
 
 def _report_sql() -> str:
     cols = ["event_id", "user_id", "value"]
-    struct = (f"SELECT 'structure' AS section, NULL AS \"column\", metric, round(value, 6) AS value FROM ("
-              f"SELECT 'original_rows' AS metric, (SELECT count(*) FROM {EV_EVEN})::DOUBLE AS value UNION ALL "
-              f"SELECT 'synthetic_rows', (SELECT count(*) FROM {EV_ODD})::DOUBLE UNION ALL "
-              f"SELECT 'original_columns', 6.0::DOUBLE UNION ALL SELECT 'synthetic_columns', 6.0::DOUBLE UNION ALL "
-              f"SELECT 'size_ratio', (SELECT count(*) FROM {EV_ODD})::DOUBLE / (SELECT count(*) FROM {EV_EVEN}))")
     sp = Q.stats_pair_sql(EV_EVEN, EV_ODD, cols)
-    pres = (f"SELECT 'preservation', \"column\", 'mean_preservation', round({Q.pres('orig_mean', 'synth_mean')}, 6) "
-            f"FROM {sp} UNION ALL SELECT 'preservation', \"column\", 'std_preservation', "
-            f"round({Q.pres('orig_std', 'synth_std')}, 6) FROM {sp} UNION ALL "
-            f"SELECT 'preservation', '__overall__', 'mean_preservation', round(avg({Q.pres('orig_mean', 'synth_mean')}), 6) "
-            f"FROM {sp} UNION ALL SELECT 'preservation', '__overall__', 'std_preservation', "
-            f"round(avg({Q.pres('orig_std', 'synth_std')}), 6) FROM {sp}")
-    sim = (f"SELECT 'similarity', NULL, metric, round(value, 6) FROM (SELECT 'mean_similarity' AS metric, "
+    pres = Q.pres
+    struct = (f"SELECT 'structure' AS section, NULL AS \"column\", metric, value, note FROM ("
+              f"SELECT 'method' AS metric, NULL::DOUBLE AS value, 'independent' AS note UNION ALL "
+              f"SELECT 'original_rows', (SELECT count(*) FROM {EV_EVEN})::DOUBLE, NULL UNION ALL "
+              f"SELECT 'synthetic_rows', (SELECT count(*) FROM {EV_ODD})::DOUBLE, NULL UNION ALL "
+              f"SELECT 'original_columns', 6.0::DOUBLE, NULL UNION ALL SELECT 'synthetic_columns', 6.0::DOUBLE, NULL UNION ALL "
+              f"SELECT 'size_ratio', (SELECT count(*) FROM {EV_ODD})::DOUBLE / (SELECT count(*) FROM {EV_EVEN}), NULL UNION ALL "
+              f"SELECT 'all_columns_kept', 1.0::DOUBLE, NULL)")
+    kept = (f"SELECT 'preservation', \"column\", 'mean_preservation', {pres('orig_mean', 'synth_mean')}, NULL FROM {sp} UNION ALL "
+            f"SELECT 'preservation', \"column\", 'std_preservation', {pres('orig_std', 'synth_std')}, NULL FROM {sp} UNION ALL "
+            f"SELECT 'preservation', '__overall__', 'mean_preservation', avg({pres('orig_mean', 'synth_mean')}), NULL FROM {sp} UNION ALL "
+            f"SELECT 'preservation', '__overall__', 'std_preservation', avg({pres('orig_std', 'synth_std')}), NULL FROM {sp} UNION ALL "
+            f"SELECT 'preservation', NULL, 'overall_quality', (avg({pres('orig_mean', 'synth_mean')}) + avg({pres('orig_std', 'synth_std')})) / 2, NULL FROM {sp}")
+    raw = lambda t: Q.corr_matrix_sql(t, cols).replace("round(CAST(", "(CAST(").replace(", 6) AS corr", ") AS corr")
+    corr = (f"SELECT 'preservation', NULL, 'corr_preservation', {Q.corr_expr('a.corr', 'b.corr')}, NULL FROM ({raw(EV_EVEN)}) a "
+            f"JOIN ({raw(EV_ODD)}) b ON a.col_i = b.col_i AND a.col_j = b.col_j")
+    pct = lambda o, s_: f"CASE WHEN {o} = 0 THEN 0 ELSE abs({o} - {s_}) / abs({o}) * 100 END"
+    diffs = (f"SELECT 'differences', \"column\", 'mean_diff_pct', {pct('orig_mean', 'synth_mean')}, NULL FROM {sp} UNION ALL "
+             f"SELECT 'differences', \"column\", 'std_diff_pct', {pct('orig_std', 'synth_std')}, NULL FROM {sp}")
+    sim = (f"SELECT 'similarity', NULL, metric, value, {_band_sql('value')} FROM (SELECT 'mean_similarity' AS metric, "
            f"mean_similarity AS value FROM ({SIM_EV}) UNION ALL SELECT 'std_similarity', std_similarity FROM ({SIM_EV}) "
            f"UNION ALL SELECT 'shape_similarity', shape_similarity FROM ({SIM_EV}) UNION ALL SELECT 'utility_score', "
-           f"(mean_similarity + std_similarity) / 2 FROM ({SIM_EV}) UNION ALL SELECT 'fidelity_score', shape_similarity "
-           f"FROM ({SIM_EV}))")
-    return f"{struct} UNION ALL {pres} UNION ALL {sim}"
+           f"(mean_similarity + std_similarity) / 2 FROM ({SIM_EV}) UNION ALL SELECT 'fidelity_score', shape_similarity FROM ({SIM_EV}))")
+    return (f"SELECT section, \"column\", metric, round(value, 6) AS value, note FROM ({struct} UNION ALL {kept} UNION ALL {corr} "
+            f"UNION ALL {diffs} UNION ALL {sim} UNION ALL {_pca_report_sql(cols)})")
+
+
+def _pca_report_sql(cols: list[str]) -> str:
+    """Explained variance of the first two of three components in closed form: the eigenvalues of a
+    symmetric 3 x 3 matrix are q + 2 p cos(phi + 2 pi k / 3)."""
+    x = [f"coalesce({Q.num(c)}, 0)" for c in cols]
+    cov = {(i, j): f"covar_pop({x[i]}, {x[j]})" for i in range(3) for j in range(i, 3)}
+    m = "SELECT " + ", ".join(f"{e} AS c{i}{j}" for (i, j), e in cov.items()) + f" FROM {EV_EVEN}"
+    q = f"SELECT *, (c00 + c11 + c22) / 3 AS q FROM ({m})"
+    p = (f"SELECT *, sqrt(((c00 - q) * (c00 - q) + (c11 - q) * (c11 - q) + (c22 - q) * (c22 - q) + 2 * (c01 * c01 + c02 * c02 + c12 * c12)) / 6) AS p "
+         f"FROM ({q})")
+    r = (f"SELECT q, p, ((c00 - q) * ((c11 - q) * (c22 - q) - c12 * c12) - c01 * (c01 * (c22 - q) - c12 * c02) "
+         f"+ c02 * (c01 * c12 - (c11 - q) * c02)) / (2 * p * p * p) AS r FROM ({p})")
+    big = f"q + 2 * p * cos(acos(greatest({Q.d(-1)}, least({Q.d(1)}, r))) / 3)"
+    low = f"q + 2 * p * cos(acos(greatest({Q.d(-1)}, least({Q.d(1)}, r))) / 3 + 2 * pi() / 3)"
+    return (f"SELECT 'components', NULL, 'explained_variance_1', ({big}) / (3 * q), NULL FROM ({r}) UNION ALL "
+            f"SELECT 'components', NULL, 'explained_variance_2', (3 * q - ({big}) - ({low})) / (3 * q), NULL FROM ({r})")
 
 
 @query("quality_report", _report_sql())
@@ -680,6 +853,39 @@ def q_quality_report(spark, sf_dir):
     return r6(quality.quality_report(a, b))
 
 
+@query("pca_variance_three", f"SELECT right(metric, 1)::INTEGER AS component, round(value, 6) AS explained_variance_ratio FROM "
+                             f"(SELECT * FROM ({_pca_report_sql(['event_id', 'user_id', 'value'])}) t(section, \"column\", metric, value, note))")
+def q_pca_variance_three(spark, sf_dir):
+    """Explained variance of three columns against the closed form of a 3 x 3 matrix's eigenvalues."""
+    from facsimile.operators.pca import pca_variance
+    a, _ = ev_halves(spark, sf_dir)
+    return r6(pca_variance(a, ["event_id", "user_id", "value"]))
+
+
+def _document_sql(table: str, cols: list[tuple[str, str]], name: str) -> str:
+    def text(e: str) -> str:
+        return f"CAST(CAST(round({e}, 6) AS DECIMAL(38,6)) AS VARCHAR)"
+
+    parts = []
+    for i, (c, t) in enumerate(cols):
+        x = Q.num(c)
+        number = t in ("bigint", "double", "int")
+        v = {"count": f"CAST(count({x}) AS VARCHAR)", "mean": text(Q.exact_mean6(x)), "std": text(f"stddev_samp({x})"), "min": text(f"min({x})"),
+             "p25": text(f"quantile_cont({x}, 0.25)"), "p50": text(f"quantile_cont({x}, 0.5)"), "p75": text(f"quantile_cont({x}, 0.75)"),
+             "max": text(f"max({x})")} if number else {k: "NULL::VARCHAR" for k in ("count", "mean", "std", "min", "p25", "p50", "p75", "max")}
+        body = ", ".join(f"'{k}': {e}" for k, e in v.items())
+        parts.append(f"SELECT {i} AS i, {{'position': {i}, 'column': '{c}', 'dtype': '{t}', "
+                     f"'missing': CAST(count(*) - count({c}) AS VARCHAR), {body}}} AS s FROM {table}")
+    return (f"SELECT '{name}' AS name, CAST(to_json({{'table': '{name}', 'columns': list(s ORDER BY i)}}) AS VARCHAR) AS document "
+            f"FROM ({' UNION ALL '.join(parts)})")
+
+
+@query("profile_json", _document_sql(ORDERS_NULLS, [("o_orderkey", "bigint"), ("o_custkey", "bigint"), ("o_orderstatus", "string"),
+                                                    ("o_totalprice", "double"), ("o_orderdate", "timestamp_ntz"), ("o_orderpriority", "string")], "orders"))
+def q_profile_json(spark, sf_dir):
+    return quality.profile_document(orders_with_nulls(spark, sf_dir), "orders")
+
+
 PRIORITY_LEVEL_SQL = ("CASE o_orderpriority WHEN '1-URGENT' THEN 'High' WHEN '2-HIGH' THEN 'Medium' "
                       "WHEN '3-MEDIUM' THEN 'Low' ELSE o_orderpriority END")
 
@@ -798,6 +1004,58 @@ def q_multi_file_scan(spark, sf_dir):
     return r6(back.groupBy("dataset").agg(F.count(F.lit(1)).alias("rows"), F.sum("o_totalprice").alias("total")))
 
 
+TOKENS_SQL = "(" + ", ".join(f"'{t}'" for t in __import__("facsimile.sources.io", fromlist=["NA_TOKENS"]).NA_TOKENS) + ")"
+
+
+def _na(c: str) -> str:
+    return f"CASE WHEN {c} IN {TOKENS_SQL} THEN NULL ELSE {c} END"
+
+
+@query("csv_text_roundtrip",
+       f"SELECT 'conversations' AS \"table\", conv_id AS key, turn, md5({_na('text')}) AS digest FROM conversations UNION ALL "
+       f"SELECT 'documents', doc_id, 0, md5({_na('text')}) FROM documents")
+def q_csv_text_roundtrip(spark, sf_dir):
+    """Whole texts with quotes and line breaks through CSV and back."""
+    from facsimile.session import scratch_path
+    from facsimile.sources import io
+    out = None
+    for table, key, turn in (("conversations", "conv_id", F.col("turn")), ("documents", "doc_id", F.lit(0).cast("bigint"))):
+        path = scratch_path(spark, "csv-text")
+        io.write_csv(load(spark, sf_dir, table), path)
+        back = io.read_csv(spark, path).select(F.lit(table).alias("table"), F.col(key).alias("key"), turn.alias("turn"), F.md5("text").alias("digest"))
+        out = back if out is None else out.unionByName(back)
+    return out
+
+
+def _mixed_files(spark, sf_dir):
+    """One file a priority: two with their columns in another order, one with a column more, one that lacks one."""
+    from facsimile.session import scratch_path
+    from facsimile.sources import io
+    o = load(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus", "o_orderpriority", "o_custkey")
+    layouts = {"1-URGENT": ["o_orderkey", "o_totalprice", "o_orderstatus"], "2-HIGH": ["o_orderstatus", "o_orderkey", "o_totalprice"],
+               "3-MEDIUM": ["o_totalprice", "o_orderstatus", "o_orderkey"], "4-NOT SPECIFIED": ["o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus"],
+               "5-LOW": ["o_orderkey", "o_totalprice"]}
+    paths = []
+    for name, cols in layouts.items():
+        path = scratch_path(spark, f"mixed-{name[0]}")
+        io.write_csv(o.where(F.col("o_orderpriority") == name).select(*cols), path)
+        paths.append(path)
+    path = scratch_path(spark, "mixed-empty")
+    io.write_csv(o.limit(0).select("o_orderstatus", "o_totalprice").coalesce(1), path)     # a header alone
+    return [*paths, path]
+
+
+@query("multi_file_mixed",
+       "SELECT CASE WHEN o_orderpriority = '5-LOW' THEN NULL ELSE o_orderstatus END AS o_orderstatus, count(*) AS rows, sum(o_orderkey)::BIGINT AS keys, "
+       "round(sum(o_totalprice), 2) AS total, sum(CASE WHEN o_orderpriority = '4-NOT SPECIFIED' THEN o_custkey END)::BIGINT AS customers FROM orders GROUP BY 1")
+def q_multi_file_mixed(spark, sf_dir):
+    """Files of five layouts as one table, columns by name."""
+    from facsimile.sources import io
+    data, _ = io.read_csv_files(spark, _mixed_files(spark, sf_dir))
+    return data.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("rows"), F.sum("o_orderkey").alias("keys"),
+                                             F.round(F.sum("o_totalprice"), 2).alias("total"), F.sum("o_custkey").alias("customers"))
+
+
 # ============================================================ projections (B*)
 
 @query("project_columns", "SELECT o_orderkey, o_totalprice FROM orders")
@@ -880,6 +1138,17 @@ def q_scalar_number(spark, sf_dir):
                        F.format_number(F.col("o_orderkey") * 1000, 0).alias("key_thousands")))
 
 
+@query("percent_text",
+       "SELECT o_orderkey, CAST(CAST(round(o_totalprice / m * 100, 1) AS DECIMAL(38,1)) AS VARCHAR) || '%' AS share, "
+       "CAST(CAST(round(o_totalprice / a, 2) AS DECIMAL(38,2)) AS VARCHAR) || 'x' AS times "
+       "FROM orders, (SELECT max(o_totalprice) AS m, 777.0::DOUBLE AS a FROM orders)")
+def q_percent_text(spark, sf_dir):
+    from facsimile.functions.fmt import percent_text, ratio_text
+    o = load(spark, sf_dir, "orders")
+    most = F.lit(o.agg(F.max("o_totalprice")).first()[0])
+    return o.select("o_orderkey", percent_text(F.col("o_totalprice"), most).alias("share"), ratio_text(F.col("o_totalprice"), F.lit(777.0)).alias("times"))
+
+
 @query("scalar_date",
        "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS ts_text, o_orderdate + INTERVAL 1 HOUR "
        "AS next_hour, year(o_orderdate)::INTEGER AS y, month(o_orderdate)::INTEGER AS m FROM orders")

@@ -136,3 +136,41 @@ def hist_sql(orig: str, synth: str | None, col: str, bins: int = 20) -> str:
     if synth:
         q += f" LEFT JOIN {counts(synth, 'hs')} b ON g.bin = b.bin"
     return q
+
+
+def copula_pair_sql(table: str, a: str, b: str, group: str | None = None) -> str:
+    """Twin of the Gaussian copula of two continuous columns without ties: knots, normal scores, their
+    correlation, and the draws' way back, rounded to whole numbers; per ``group`` when given."""
+    from facsimile.functions.latent import PROBS, Z_LO, Z_N, Z_STEP
+
+    probs = "[" + ", ".join(repr(p) for p in PROBS) + "]"
+    g, by = (f"{group} AS g, ", "g") if group else ("0 AS g, ", "g")
+
+    def score(x: str) -> str:
+        k, lo, hi = f"k{x}", f"lo{x}", f"hi{x}"
+        n = f"least({Z_N - 1}, len(list_filter({k}, lambda v: v <= {x})))"
+        inner = (f"{d(Z_LO)} + {d(Z_STEP)} * ({n} - 1) + ({x} - {k}[{n}]) / ({k}[{n} + 1] - {k}[{n}]) * {d(Z_STEP)}")
+        tail = f"least({d(1)}, {d(0.5)} / n / {d(PROBS[0])})"
+        return (f"CASE WHEN {x} < {k}[1] THEN -sqrt(16 - 2 * ln(greatest(({lo} - {x}) / ({lo} - {k}[1]), {tail}))) "
+                f"WHEN {x} > {k}[{Z_N}] THEN sqrt(16 - 2 * ln(greatest(({hi} - {x}) / ({hi} - {k}[{Z_N}]), {tail}))) ELSE {inner} END")
+
+    def draw(z: str, x: str) -> str:
+        k, lo, hi = f"k{x}", f"lo{x}", f"hi{x}"
+        t = f"(({z} - {d(Z_LO)}) / {d(Z_STEP)})"
+        i = f"greatest(0, least({Z_N - 2}, floor({t})::BIGINT))"
+        part = f"exp((16 - {z} * {z}) / 2)"
+        return (f"round(round_even(CASE WHEN {z} < {d(Z_LO)} THEN {lo} + {part} * ({k}[1] - {lo}) WHEN {z} > {d(-Z_LO)} THEN {hi} - {part} * ({hi} - {k}[{Z_N}]) "
+                f"ELSE {k}[{i} + 1] + ({t} - {i}) * ({k}[{i} + 2] - {k}[{i} + 1]) END, 2))")
+
+    def normal(c: str) -> str:
+        # the stream of a dataset's column ends in the dataset's name
+        return z_sql("id", f"copula:{c}:' || g || '" if group else f"copula:{c}")
+
+    return (f"WITH t AS (SELECT {g}{a} AS a, {b} AS b FROM {table}), "
+            f"k AS (SELECT g, count(*) AS n, quantile_cont(a, {probs}) AS ka, min(a) AS loa, max(a) AS hia, "
+            f"quantile_cont(b, {probs}) AS kb, min(b) AS lob, max(b) AS hib FROM t GROUP BY g), "
+            f"r AS (SELECT t.g, corr({score('a')}, {score('b')}) AS r FROM t JOIN k ON k.g = t.g GROUP BY t.g), "
+            f"ids AS (SELECT g, unnest(range(n)) AS id FROM k), "
+            f"e AS (SELECT ids.g, id, {normal('a').replace(' g ', ' ids.g ')} AS ea, {normal('b').replace(' g ', ' ids.g ')} AS eb FROM ids), "
+            f"z AS (SELECT e.g, e.id, ea AS za, r * ea + sqrt(1 - r * r) * eb AS zb FROM e JOIN r ON r.g = e.g) "
+            f"SELECT {'z.g AS dataset, ' if group else ''}z.id, {draw('za', 'a')} AS a, {draw('zb', 'b')} AS b FROM z JOIN k ON k.{by} = z.g")

@@ -64,7 +64,7 @@ def test_synthesize_reports_method(spark, tables):
 
 def test_batch_status_and_per_dataset_draws(spark, tables):
     o = tables("orders").select(F.col("o_orderpriority").alias("dataset"), "o_totalprice", "o_orderstatus")
-    out = synthesize_batch(o, config=SynthConfig(num_samples=300))
+    out = synthesize_batch(o, config=SynthConfig(method="independent", num_samples=300))
     st = {r["dataset"]: r for r in batch_status(o, out).collect()}
     assert set(st) == {r[0] for r in o.select("dataset").distinct().collect()}
     assert all(r["status"] == "Success" and r["synthetic_rows"] == 300 for r in st.values())
