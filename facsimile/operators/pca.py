@@ -14,14 +14,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from facsimile.functions.names import named
-from facsimile.operators.clean import numeric_matrix
+from facsimile.operators.profile import num
 from facsimile.schema import common_numeric_columns, numeric_columns
 
 
+def _vectors(df: DataFrame, columns: list[str], id_col: str | None = None) -> DataFrame:
+    """(id, x): the columns' values in one vector, missing ones (NaN too) as 0; plain inner names, whatever the columns are called."""
+    types = dict((f.name, f.dataType) for f in df.schema.fields)
+    values = [F.coalesce(num(c, types[c]), F.lit(0.0)).alias(f"c{i}") for i, c in enumerate(columns)]
+    kept = [named(id_col).alias("id")] if id_col else []
+    plain = df.select(*kept, *values)
+    return VectorAssembler(inputCols=[f"c{i}" for i in range(len(columns))], outputCol="x").transform(plain)
+
+
 def fit_pca(original: DataFrame, columns: list[str], k: int = 2):
-    vec = VectorAssembler(inputCols=columns, outputCol="__x").transform(numeric_matrix(original, columns))
-    scaler = StandardScaler(inputCol="__x", outputCol="__c", withMean=True, withStd=False).fit(vec)
-    model = PCA(k=k, inputCol="__c", outputCol="__p").fit(scaler.transform(vec))
+    vec = _vectors(original, columns)
+    scaler = StandardScaler(inputCol="x", outputCol="c", withMean=True, withStd=False).fit(vec)
+    model = PCA(k=k, inputCol="c", outputCol="p").fit(scaler.transform(vec))
     pc = model.pc.toArray()
     signs = [1.0 if pc[abs(pc[:, j]).argmax(), j] >= 0 else -1.0 for j in range(k)]
     return scaler, model, signs
@@ -29,21 +38,15 @@ def fit_pca(original: DataFrame, columns: list[str], k: int = 2):
 
 def pca_scores(original: DataFrame, synthetic: DataFrame, k: int = 2, id_col: str | None = None) -> DataFrame:
     """(side, [id,] pc1, pc2) for both tables, projected on the original's components."""
-    cols = common_numeric_columns(original, synthetic)
+    cols = [c for c in common_numeric_columns(original, synthetic) if c != id_col]
     if len(cols) < 2:
         raise ValueError("PCA needs at least 2 common numeric columns")
     scaler, model, signs = fit_pca(original, cols, k)
 
     def project(df: DataFrame, side: str) -> DataFrame:
-        keep = [named(id_col)] if id_col else []
-        m = numeric_matrix(df, cols)
-        if id_col:
-            m = df.select(named(id_col), *[F.coalesce(named(c).cast("double"), F.lit(0.0)).alias(c) for c in cols])
-        v = VectorAssembler(inputCols=cols, outputCol="__x").transform(m)
-        p = model.transform(scaler.transform(v)).select(*([id_col] if id_col else []),
-                                                        vector_to_array("__p").alias("__a"))
-        return p.select(F.lit(side).alias("side"), *([named(id_col)] if id_col else keep[:0]),
-                        *[(F.col("__a")[j] * signs[j]).alias(f"pc{j + 1}") for j in range(k)])
+        p = model.transform(scaler.transform(_vectors(df, cols, id_col))).withColumn("a", vector_to_array("p"))
+        kept = [F.col("id").alias(id_col)] if id_col else []
+        return p.select(F.lit(side).alias("side"), *kept, *[(F.col("a")[j] * signs[j]).alias(f"pc{j + 1}") for j in range(k)])
 
     return project(original, "original").unionByName(project(synthetic, "synthetic"))
 

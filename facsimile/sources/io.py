@@ -121,16 +121,33 @@ def _header_cells(line: str) -> tuple[str, ...]:
     return tuple(next(csv.reader([line]), []))
 
 
+def _plain(path: str) -> str:
+    """A file's address in one form, as Spark's readers and the file system write it differently."""
+    return re.sub("^file:/+", "file:/", path)
+
+
 def _listed(spark: SparkSession, paths: list[str]) -> tuple[list[str], list[str]]:
-    """(files that are there, paths that are not)."""
+    """(files under the paths, paths that are not there); a folder stands for its visible files."""
     here, gone = [], []
     conf = spark._jsc.hadoopConfiguration()
     for p in paths:
         path = spark._jvm.org.apache.hadoop.fs.Path(p)
-        (here if path.getFileSystem(conf).exists(path) else gone).append(p)
+        fs = path.getFileSystem(conf)
+        if not fs.exists(path):
+            gone.append(p)
+            continue
+        for s in fs.listStatus(path):
+            if s.isFile() and s.getPath().getName()[0] not in "._":
+                here.append(_plain(s.getPath().toString()))
     return here, gone
 
 
+def _file_path() -> Column:
+    """The file of a row in the form of :func:`_plain`."""
+    plain = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    return F.regexp_replace(plain, "^file:/+", "file:/")
+
+
 def _raw_layouts(spark: SparkSession, paths: list[str]) -> tuple[list[tuple[list[str], DataFrame]], DataFrame]:
     """([(names, rows as text with FILE)], status): files grouped by their header, malformed ones left out.
 
@@ -142,11 +159,10 @@ def _raw_layouts(spark: SparkSession, paths: list[str]) -> tuple[list[tuple[list
                                    "dataset string, rows long, status string")
     if not here:
         return [], status
-    # the length alone is read here, no content
-    files = spark.read.format("binaryFile").load(here).select("path", "length")
-    first = (spark.read.text(here).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"))
+    first = (spark.read.text(here).select("value", _file_path().alias("path"), F.col("_metadata.file_block_start").alias("at"))
              .where("at = 0").groupBy("path").agg(F.first("value").alias("header")))      # a file's first block is one task's, in order
-    known = [(r["path"], r["header"]) for r in files.join(first, "path", "left").select("path", "header").collect()]   # one row a file
+    headers = {r["path"]: r["header"] for r in first.collect()}   # one row a file
+    known = [(p, headers.get(p)) for p in here]
     layouts: dict[tuple[str, ...], list[str]] = {}
     empty = []
     for path, header in sorted(known, key=lambda r: r[0]):
@@ -161,7 +177,7 @@ def _raw_layouts(spark: SparkSession, paths: list[str]) -> tuple[list[tuple[list
         # a spare column catches rows with more fields than the header; shorter rows end in nulls
         schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))] + [T.StructField("extra", T.StringType())])
         raw = (_options(spark.read.schema(schema), False).option("mode", "PERMISSIVE").csv(own)
-               .select("*", F.col("_metadata.file_path").alias("path")))
+               .select("*", _file_path().alias("path")))
         states.append(raw.groupBy("path").agg(F.count(F.lit(1)).alias("rows"), F.count("extra").alias("bad")))
         out.append((names, raw))
     listed = spark.createDataFrame([(p,) for own in layouts.values() for p in own], "path string")
@@ -180,13 +196,13 @@ def _raw_layouts(spark: SparkSession, paths: list[str]) -> tuple[list[tuple[list
                 .select(*[null_tokens(F.col(f"c{i}")).alias(n) for i, n in enumerate(names)], _file_name("path").alias(FILE)))
                for names, raw in out]
     if empty:
-        status = status.unionByName(spark.createDataFrame([(unquote(p.rsplit("/", 1)[-1]), 0, "Error: no header") for p in empty],
+        status = status.unionByName(spark.createDataFrame([(p.rsplit("/", 1)[-1], 0, "Error: no header") for p in empty],
                                                           "dataset string, rows long, status string"))
     return out, status
 
 
 def _file_name(path: str) -> Column:
-    return F.url_decode(F.replace(F.element_at(F.split(F.col(path), "/"), -1), F.lit("+"), F.lit("%2B")))
+    return F.element_at(F.split(F.col(path), "/"), -1)
 
 
 def read_csv_layouts(spark: SparkSession, paths: list[str], infer: bool = True) -> tuple[list[DataFrame], DataFrame]:
