@@ -88,6 +88,8 @@ def encode_column(c: str, rule: str, enc: Encoding) -> Column:
         fill = enc.fills.get(c)
         x = to_number(F.when(is_blank(col) | col.isNull(), F.lit(BLANK_FILL)).otherwise(col))
         return (F.coalesce(x, F.lit(fill)) if fill is not None else x).alias(c)
+    if rule == "hash":
+        return hash_encode(strip(filled_text(c))).cast("double").alias(c)
     if rule == "median":
         fill = enc.fills.get(c)
         x = num(c)
@@ -114,6 +116,8 @@ def fit_encoding(df: DataFrame, specs: list[ColumnSpec] | None = None) -> Encodi
                             *[to_number(named(c)).alias(c) for c in text_num])
         q = exact_quantiles(med_src, need_median + moments + text_num, [0.5])
         enc.fills = {c: q[(c, 0.5)] for c in need_median + moments + text_num}
+        # text of many values of which none is a number would be lost: it is hashed
+        enc.rules.update({c: "hash" for c in text_num if enc.fills[c] is None})
     if labels:
         enc.modes = {r["column"]: r["mode"] for r in modes(df, labels).collect()}
     return enc

@@ -25,9 +25,10 @@ from facsimile.functions.consts import const_map
 from facsimile.functions.fmt import round2, round_year
 from facsimile.operators.profile import num, profile
 from facsimile.schema import ColumnSpec, SynthConfig
-from facsimile.session import cut_lineage, default_parallelism, reused
+from facsimile.session import cut_lineage, default_parallelism, reused, written
 
 DRIVER_FREQ_LIMIT = 20000        # distinct values collected to build a broadcast lookup
+DRIVER_BYTES_LIMIT = 64 << 20    # ... and their bytes
 BROADCAST_BLOCK_LIMIT = 2000000  # exploded lookup rows allowed in a broadcast
 ROWS_PER_PARTITION = 1000000     # synthetic rows generated per task
 CHUNK = 1 << 20                  # blocks per first-level chunk of the two-level explode
@@ -134,10 +135,18 @@ def _lookup_from_rows(spark, rows: list[tuple], dtype: str, grouped: bool) -> Lo
     return Lookup(blocks, block, True, {g: tuple(x) for g, x in groups.items()})
 
 
+def _few(counts: DataFrame, values: list[str], rows: int) -> bool:
+    """Whether a written table of counts may be collected: proven by its rows and its values' bytes."""
+    size = sum((F.coalesce(F.octet_length(F.col(v).cast("string")), F.lit(0)) for v in values), F.lit(0))
+    r = counts.agg(F.count(F.lit(1)).alias("n"), F.sum(size.cast("long")).alias("b")).first()
+    return r["n"] <= rows and (r["b"] or 0) <= DRIVER_BYTES_LIMIT
+
+
 def small_lookups(df: DataFrame, columns: list[str]) -> dict[str, Lookup]:
     """Lookups of several small columns from ONE scan: each row is exploded into one
-    typed cell per column, counted per (column, value), and collected (bounded by the
-    distinct counts the caller checked)."""
+    typed cell per column and counted per (column, value).  The counts are written; a
+    column is collected only if its part of them is proven small, and is left out here (for
+    the distributed lookup) if it is not."""
     if not columns:
         return {}
     cells = [F.struct(F.lit(k).alias("k"), *[(named(c) if j == k else F.lit(None).cast(df.schema[c].dataType))
@@ -147,26 +156,24 @@ def small_lookups(df: DataFrame, columns: list[str]) -> dict[str, Lookup]:
     keep = F.lit(False)
     for k in range(len(columns)):
         keep = keep | ((F.col("k") == k) & F.col(f"v{k}").isNotNull())
-    rows = long.where(keep).groupBy(*long.columns).agg(F.count(F.lit(1)).alias("cnt")).collect()
-    out = {}
-    for k, c in enumerate(columns):
-        mine = [(None, r[f"v{k}"], r["cnt"]) for r in rows if r["k"] == k]
-        out[c] = _lookup_from_rows(df.sparkSession, mine, df.schema[c].dataType.simpleString(), False)
-    return out
+    values = [f"v{k}" for k in range(len(columns))]
+    counts = written(long.where(keep).groupBy(*long.columns).agg(F.count(F.lit(1)).alias("cnt")), "counts")
+    size = sum((F.coalesce(F.octet_length(F.col(v).cast("string")), F.lit(0)) for v in values), F.lit(0)).cast("long")
+    small = [r["k"] for r in counts.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("b")).collect()     # a row a column
+             if r["n"] <= DRIVER_FREQ_LIMIT and r["b"] <= DRIVER_BYTES_LIMIT]
+    rows = counts.where(F.col("k").isin(small)).collect() if small else []
+    return {columns[k]: _lookup_from_rows(df.sparkSession, [(None, r[f"v{k}"], r["cnt"]) for r in rows if r["k"] == k],
+                                          df.schema[columns[k]].dataType.simpleString(), False) for k in small}
 
 
 def categorical_lookup(df: DataFrame, column: str, spec: ColumnSpec | None = None,
                        group: str | None = None) -> Lookup:
     spark = df.sparkSession
     keys = ([named(group).alias("g")] if group else []) + [named(column).alias("v")]
-    freq = df.where(named(column).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("cnt"))
+    freq = written(df.where(named(column).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("cnt")), "freq")
     dtype = freq.schema["v"].dataType.simpleString()
-    d_est = spec.distinct if spec is not None else None
-    if d_est is not None and d_est <= DRIVER_FREQ_LIMIT:
-        rows = freq.collect()   # bounded: distinct (group, value) pairs, checked below
-        if len(rows) <= DRIVER_FREQ_LIMIT * 4:
-            return _lookup_from_rows(spark, [((r["g"] if group else None), r["v"], r["cnt"]) for r in rows],
-                                     dtype, bool(group))
+    if DRIVER_FREQ_LIMIT and _few(freq, ["g", "v"] if group else ["v"], DRIVER_FREQ_LIMIT):
+        return _lookup_from_rows(spark, [((r["g"] if group else None), r["v"], r["cnt"]) for r in freq.collect()], dtype, bool(group))
     order = (["g"] if group else []) + ["v"]
     intervals = _offsets_distributed(freq, order)
     if group:
@@ -178,8 +185,11 @@ def categorical_lookup(df: DataFrame, column: str, spec: ColumnSpec | None = Non
     if not group:
         groups = {None: (0, n_total)}
     block = max(1, math.ceil(n_total / max(1, d)))
+    # the rows and the bytes of what a broadcast would carry
+    wide = intervals.agg(F.max(F.octet_length(F.col("v").cast("string")))).first()[0] or 0
+    rows = d + n_total // block
     return Lookup(_blocks(intervals.select("v", "lo", "hi"), block), block,
-                  (d + n_total // block) <= BROADCAST_BLOCK_LIMIT, groups)
+                  rows <= BROADCAST_BLOCK_LIMIT and rows * wide <= DRIVER_BYTES_LIMIT, groups)
 
 
 def _group_lookup(groups: dict, group: str | None, which: int) -> Column:

@@ -1027,6 +1027,31 @@ def q_csv_text_roundtrip(spark, sf_dir):
     return out
 
 
+@query("xlsx_scan",
+       "SELECT p_partkey, p_name, p_brand, p_size, round(p_retailprice, 6) AS p_retailprice, "
+       "CASE WHEN p_size % 5 = 0 THEN NULL ELSE TIMESTAMP '2020-01-01 06:00:00' + to_days(p_size) END AS stamp FROM part")
+def q_xlsx_scan(spark, sf_dir):
+    """The parts as workbooks of 500 rows and back, with short rows and dates."""
+    from facsimile.sources import io
+    stamp = F.timestamp_add("DAY", F.col("p_size"), F.lit("2020-01-01 06:00:00").cast("timestamp_ntz"))
+    p = load(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_size", "p_retailprice",
+                                           F.when(F.col("p_size") % 5 != 0, stamp).alias("stamp"))
+    return r6(io.workbook_table(io.workbooks(p, 500)).drop("source_file"))
+
+
+@query("registry_snapshot", "SELECT o_orderstatus, count(*) AS rows, true AS reused FROM orders GROUP BY 1")
+def q_registry_snapshot(spark, sf_dir):
+    """A dataset registered twice, in another order the second time, is one snapshot, read through its view."""
+    from facsimile.registry import Registry
+    from facsimile.session import scratch_path
+    reg = Registry(spark, scratch_path(spark, "registry"))
+    o = load(spark, sf_dir, "orders")
+    first = reg.register("orders snapshot", o)
+    again = reg.register("orders snapshot", o.repartition(7, "o_custkey"))
+    return spark.table("orders_snapshot").groupBy("o_orderstatus").agg(
+        F.count(F.lit(1)).alias("rows"), F.lit(again.reused and not first.reused and again.path == first.path).alias("reused"))
+
+
 def _mixed_files(spark, sf_dir):
     """One file a priority: two with their columns in another order, one with a column more, one that lacks one."""
     from facsimile.session import scratch_path

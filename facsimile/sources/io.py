@@ -12,11 +12,13 @@ import io
 import re
 import zipfile
 from collections.abc import Iterator
-from datetime import datetime, timedelta
+from datetime import date, datetime, timedelta
 from urllib.parse import unquote
 from xml.etree import ElementTree
+from xml.sax.saxutils import escape
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -387,7 +389,11 @@ def read_excel(spark: SparkSession, paths: str | list[str], header_row: int = 0,
     row that lacks one has nulls there.  Rows without any value are left out.  A column
     whose values all are dates is a timestamp.  Output has ``source_file``.
     """
-    files = spark.read.format("binaryFile").load(paths)
+    return workbook_table(spark.read.format("binaryFile").load(paths).select("path", "content"), header_row, infer)
+
+
+def workbook_table(files: DataFrame, header_row: int = 0, infer: bool = True) -> DataFrame:
+    """The rows of workbooks given as (path, content binary); see :func:`read_excel`."""
     schema = pa.schema([("source_file", pa.string()), ("names", pa.list_(pa.string())), ("cells", pa.list_(pa.string()))])
 
     def parse(batches):
@@ -428,6 +434,77 @@ def read_excel(spark: SparkSession, paths: str | list[str], header_row: int = 0,
     return typed
 
 
+_BOOK = {
+    "[Content_Types].xml": '<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types">'
+        '<Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/>'
+        '<Default Extension="xml" ContentType="application/xml"/>'
+        '<Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/>'
+        '<Override PartName="/xl/styles.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.styles+xml"/>'
+        '<Override PartName="/xl/worksheets/sheet1.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/></Types>',
+    "_rels/.rels": '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" '
+        'Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument" Target="xl/workbook.xml"/></Relationships>',
+    "xl/_rels/workbook.xml.rels": '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" '
+        'Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/worksheet" Target="worksheets/sheet1.xml"/><Relationship Id="rId2" '
+        'Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/styles" Target="styles.xml"/></Relationships>',
+    "xl/workbook.xml": '<workbook xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" '
+        'xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="data" sheetId="1" r:id="rId1"/></sheets></workbook>',
+    "xl/styles.xml": '<styleSheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><cellXfs><xf numFmtId="0"/><xf numFmtId="22"/></cellXfs></styleSheet>',
+}
+
+
+def _book(names: list[str], rows: list[tuple]) -> bytes:
+    """One .xlsx file: a header and typed cells; dates and times as day numbers."""
+    def cell(v) -> str:
+        if v is None:
+            return "<c/>"
+        if isinstance(v, bool):
+            return f'<c t="b"><v>{int(v)}</v></c>'
+        if isinstance(v, (datetime, date)):
+            at = v if isinstance(v, datetime) else datetime(v.year, v.month, v.day)
+            return f'<c s="1"><v>{(at.replace(tzinfo=None) - datetime(1899, 12, 30)) / timedelta(days=1)!r}</v></c>'
+        if isinstance(v, (int, float)) and v == v and abs(v) != float("inf"):
+            return f"<c><v>{v!r}</v></c>"
+        return f'<c t="inlineStr"><is><t xml:space="preserve">{escape(str(v))}</t></is></c>'
+
+    body = "".join("<row>" + "".join(map(cell, r)) + "</row>" for r in [tuple(names), *rows])
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, text in _BOOK.items():
+            z.writestr(name, '<?xml version="1.0" encoding="UTF-8"?>' + text)
+        z.writestr("xl/worksheets/sheet1.xml", '<?xml version="1.0" encoding="UTF-8"?><worksheet '
+                   f'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>{body}</sheetData></worksheet>')
+    return buf.getvalue()
+
+
+SHEET_ROWS = 1_048_575      # fixed value: rows a sheet can hold beside its header
+
+
+def workbooks(df: DataFrame, rows_per_book: int = 100_000) -> DataFrame:
+    """(path, content): the table as .xlsx files of at most so many rows, made where the rows are.
+
+    A sheet has a row limit and is built in memory, so every task cuts its rows into books.
+    """
+    limit = min(rows_per_book, SHEET_ROWS)
+    names = df.columns
+    schema = pa.schema([("path", pa.string()), ("content", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, k, held = TaskContext.get().partitionId(), 0, []
+
+        def close() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pylist([dict(path=f"book-{part:05d}-{k:05d}.xlsx", content=_book(names, held[:limit]))], schema)
+
+        for b in batches:
+            held += list(zip(*(c.to_pylist() for c in b.columns)))
+            while len(held) >= limit:
+                yield close()
+                k, held = k + 1, held[limit:]
+        if held:
+            yield close()
+
+    return df.mapInArrow(run, "path string, content binary")
+
+
 def _cells(schema: pa.Schema, path: str, names: list[str], held: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_pylist([dict(source_file=unquote(path.rsplit("/", 1)[-1]), names=names, cells=c) for _, c in held], schema)
 
