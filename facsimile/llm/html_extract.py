@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from facsimile.functions.names import free_name
 from facsimile.llm.common import arrow_limits
 
 # Elements whose text is never article text.
@@ -384,7 +385,7 @@ def extract(pages: DataFrame, model: ExtractModel, html_col: str = "html", names
     arrow_limits(spark)
     shared = spark.sparkContext.broadcast(model)
     rest = [f for f in pages.schema if f.name not in names and f.name != html_col]
-    src = pages.select(*[F.col(f"`{f.name}`") for f in rest], F.col(f"`{html_col}`").cast("string").alias("__html"))
+    src = pages.select(*[F.col(f"`{f.name}`") for f in rest], F.col(f"`{html_col}`").cast("string").alias(free_name("html", pages.columns)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -8,9 +8,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from facsimile.functions.names import free_name
 from facsimile.llm.common import arrow_limits, slices
 
 UNKNOWN = "und"
@@ -182,7 +183,7 @@ def predict(docs: DataFrame, model: LangModel, text_col: str = "text", names: tu
     arrow_limits(spark)
     shared = spark.sparkContext.broadcast(model)
     rest = [f for f in docs.schema if f.name not in names]
-    keep = docs.select(*[F.col(f"`{f.name}`") for f in rest], F.col(f"`{text_col}`").cast("string").alias("__text"))
+    keep = docs.select(*[F.col(f"`{f.name}`") for f in rest], F.col(f"`{text_col}`").cast("string").alias(free_name("text", docs.columns)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -192,8 +193,3 @@ def predict(docs: DataFrame, model: LangModel, text_col: str = "text", names: tu
 
     schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in rest]
     return keep.mapInArrow(run, ", ".join([*schema, f"`{names[0]}` string, `{names[1]}` double, `{names[2]}` boolean"]))
-
-
-def training_rows(docs: DataFrame, held: Column) -> DataFrame:
-    """The rows outside the held-out fold."""
-    return docs.where(~held)

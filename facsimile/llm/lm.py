@@ -35,7 +35,7 @@ class LmParams:
     """``lot_tokens``: about as many tokens are a lot (more if one text has more)."""
 
     lot_tokens: int = 1_000_000
-    buckets: int = 16           # of contexts, by the whole part of log2 of their count
+    buckets: int = 64           # of contexts, by the whole part of log2 of their count: any count has its own
     grid: int = 48              # cells a side in which held-out counts are added up
     em_rounds: int = 60
 
@@ -180,11 +180,8 @@ def _texts(src: DataFrame, kind: str, p: LmParams) -> DataFrame:
     return src.mapInArrow(run, "lot long, part int, counts binary, sum long")
 
 
-def _probabilities(frame: pd.DataFrame, parts_log2: int, n: int, v: int, starts: int, deleted: bool):
-    """(ids, held, lengths, counts of words, context counts, ML pair and word probabilities, uniform) of a lot.
-
-    ``deleted`` leaves the token itself out of all counts, as held-out counts do.
-    """
+def _counted(frame: pd.DataFrame, parts_log2: int, starts: int):
+    """(ids, held, lengths of the texts, counts of each token's word, pair and context) of a lot."""
     texts = frame[frame.part < 0]
     answers = frame[frame.part >= 0].sort_values("part")
     if len(texts) != 1:
@@ -204,9 +201,21 @@ def _probabilities(frame: pd.DataFrame, parts_log2: int, n: int, v: int, starts:
     c1, c2 = both[:len(at) // 2], both[len(at) // 2:]
     ctx = np.concatenate([[0.0], c1[:-1]])
     ctx[np.cumsum(lengths) - lengths] = starts
-    less = 1 if deleted else 0
-    p2 = np.divide(c2 - less, ctx - less, out=np.zeros_like(c2), where=ctx > less)
-    return lot.ids, lot.held, lengths, c1, ctx, p2, (c1 - less) / max(1, n - less), 1 / (v + 1)
+    return lot.ids, np.array(lot.held, bool), lengths, c1, c2, ctx
+
+
+def _estimates(c1: np.ndarray, c2: np.ndarray, ctx: np.ndarray, n: int, less: np.ndarray | int = 0):
+    """(context counts, maximum-likelihood probabilities of pairs and words); ``less`` 1 leaves the token itself out."""
+    ctx = ctx - less
+    p2 = np.divide(c2 - less, ctx, out=np.zeros_like(c2), where=ctx > 0)
+    return ctx, np.maximum(p2, 0), np.maximum(c1 - less, 0) / np.maximum(1, n - less)
+
+
+def _mixed(ctx: np.ndarray, p2: np.ndarray, p1: np.ndarray, p0: float, w: np.ndarray) -> np.ndarray:
+    """log10 of the mixed estimates; after a context never seen the pair's weight goes to the others."""
+    b = _bucket(ctx, len(w))
+    full = np.where(ctx > 0, 1.0, w[b, 0] + w[b, 1])
+    return np.log10((w[b, 0] * p0 + w[b, 1] * p1 + np.where(ctx > 0, w[b, 2] * p2, 0)) / full)
 
 
 def _bucket(ctx: np.ndarray, buckets: int) -> np.ndarray:
@@ -239,13 +248,17 @@ def mixture(cells: dict[tuple[int, int, int], tuple[float, float, float, float]]
 
 def score(docs: DataFrame, held: str, params: LmParams = LmParams(), id_col: str = "doc_id", text_col: str = "text",
           parts_log2: int | None = None, stable: bool = False) -> DataFrame:
-    """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document.
+    """(id, held_out, n_tokens, n_known, train_tokens, base_score, score, deleted_score) of every document.
 
     ``held`` names a boolean column: rows where it is true teach nothing (null: false).
     Tokens are a whole text's words (A-Z lower-cased, cut at ASCII white space) and one
     end.  ``base_score`` adds log10((c+1)/(N+1*(V+1))) over the tokens.  ``score`` is the
     log10 probability under pair, word and uniform estimates mixed by the count of the
-    word before; the weights come from counts with the token itself left out.  A null
+    word before; the weights come from counts with the token itself left out.  A
+    training text is part of those counts and so looks likely to the model whatever it
+    says; ``deleted_score`` leaves each of its tokens out of the counts it is judged
+    by, so a text that the corpus holds once more stands apart.  For other texts it is
+    ``score``.  A null
     or empty text is its end alone; repeated rows are one each; without training rows
     all probability is uniform.  Every n-gram of every training text is counted.
 
@@ -273,9 +286,10 @@ def score(docs: DataFrame, held: str, params: LmParams = LmParams(), id_col: str
     grid, buckets = params.grid, params.buckets
 
     def tally(key, frame: pd.DataFrame) -> pd.DataFrame:
-        _, held_, lengths, _, ctx, p2, p1, _ = _probabilities(frame, parts_log2, n, v, starts, True)
-        on = np.repeat(~np.array(held_, bool), lengths)
-        p1, p2, b = np.maximum(p1[on], 0), np.maximum(p2[on], 0), _bucket(ctx[on] - 1, buckets)
+        _, held_, lengths, c1, c2, ctx = _counted(frame, parts_log2, starts)
+        on = np.repeat(~held_, lengths)
+        ctx, p2, p1 = _estimates(c1[on], c2[on], ctx[on], n, 1)
+        b = _bucket(ctx, buckets)
         place = lambda p: np.where(p > 0, np.clip(np.log2(np.maximum(p, 1e-300) * (v + 1)) + grid // 4, 1, grid - 1), 0).astype(int)
         cell = (b * grid + place(p1)) * grid + place(p2)
         size = buckets * grid * grid
@@ -293,19 +307,19 @@ def score(docs: DataFrame, held: str, params: LmParams = LmParams(), id_col: str
     shared = spark.sparkContext.broadcast(weights)
 
     def rate(key, frame: pd.DataFrame) -> pd.DataFrame:
-        ids, held_, lengths, c1, ctx, p2, p1, p0 = _probabilities(frame, parts_log2, n, v, starts, False)
+        ids, held_, lengths, c1, c2, ctx = _counted(frame, parts_log2, starts)
         first = np.cumsum(lengths) - lengths
-        b = _bucket(ctx, buckets)
-        # after a context never seen the pair estimate is nothing: its weight goes to the others
-        w = shared.value
-        full = np.where(ctx > 0, 1.0, w[b, 0] + w[b, 1])
-        prob = (w[b, 0] * p0 + w[b, 1] * p1 + np.where(ctx > 0, w[b, 2] * p2, 0)) / full
-        total = np.add.reduceat(np.log10(prob), first)
+        total = np.add.reduceat(_mixed(*_estimates(c1, c2, ctx, n), p0, shared.value), first)
+        without = total
+        if not held_.all():
+            own = np.repeat(np.where(held_, 0, 1), lengths)
+            without = np.add.reduceat(_mixed(*_estimates(c1, c2, ctx, n, own), p0, shared.value), first)
         base = np.add.reduceat(np.log10((c1 + 1) / (n + (v + 1))), first)
         return pd.DataFrame({"id": ids, "held_out": held_, "n_tokens": lengths,
                              "n_known": np.add.reduceat((c1 > 0).astype(np.int64), first), "train_tokens": n,
-                             "base_score": base, "score": total})
+                             "base_score": base, "score": total, "deleted_score": without})
 
     out = both.groupBy("lot").applyInPandas(
-        rate, f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        rate, f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, "
+              "deleted_score double")
     return out.withColumnRenamed("id", id_col)

@@ -18,6 +18,7 @@ from facsimile.llm.common import arrow_limits
 
 SPACE = "▁"
 WORDS_KEPT = 400_000
+WORD_CHARS = 64     # a longer word is counted whenever it comes
 _CHUNK = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
@@ -95,16 +96,19 @@ class Counter:
         return count[n], score[n]
 
     def chunk(self, s: str) -> tuple[int, float]:
-        """(pieces, score) of a string that no piece leaves; at most ``WORDS_KEPT`` are kept."""
-        if s not in self.known:
-            if len(self.known) > WORDS_KEPT:
-                self.known = {}
+        """(pieces, score) of a string that no piece leaves; ``WORDS_KEPT`` of at most ``WORD_CHARS`` are kept."""
+        got = self.known.get(s)
+        if got is None:
             if self.lines and "\n" in s and s != "\n":
                 parts = [self.chunk(t) for t in re.split("(\n)", s) if t]
-                self.known[s] = sum(n for n, _ in parts), sum(x for _, x in parts)
+                got = sum(n for n, _ in parts), sum(x for _, x in parts)
             else:
-                self.known[s] = self.viterbi(s)
-        return self.known[s]
+                got = self.viterbi(s)
+            if len(s) <= WORD_CHARS:
+                if len(self.known) > WORDS_KEPT:
+                    self.known = {}
+                self.known[s] = got
+        return got
 
     def words(self, words: list[str]) -> list[tuple[int, float]]:
         return [self.chunk(SPACE + w) if w else (0, 0.0) for w in words]
@@ -150,7 +154,9 @@ def count_tokens(docs: DataFrame, vocab: Vocabulary, id_col: str = "doc_id", tex
     tokens.  With a vocabulary of no file, words are cut at ASCII white space, which is
     dropped, and each begins with the space mark, as pieces that hold that mark only at
     their start (or nothing else) need; a blank text has 0 tokens.  A null text has 0
-    tokens and score 0.
+    tokens and score 0.  Of segmentations with equal scores the one whose last piece is
+    longest wins, as in the unigram libraries.  Repeated rows and null ids are counted one by one; no
+    rows give no rows; other columns are not read.
     """
     spark = docs.sparkSession
     arrow_limits(spark)

@@ -15,6 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from facsimile.functions.names import free_name
 from facsimile.llm.common import arrow_limits, slices, written
 
 BUCKETS = 1 << 18       # of character n-grams; words and their beginnings keep a 63-bit hash
@@ -346,7 +347,7 @@ def predict(docs: DataFrame, model: ToxicModel, text_col: str = "text", name: st
     arrow_limits(spark)
     shared = spark.sparkContext.broadcast(model)
     rest = [f for f in docs.schema if f.name != name]
-    keep = docs.select(*[F.col(f"`{f.name}`") for f in rest], F.col(f"`{text_col}`").cast("string").alias(f"{name} of"))
+    keep = docs.select(*[F.col(f"`{f.name}`") for f in rest], F.col(f"`{text_col}`").cast("string").alias(free_name("text", docs.columns)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
