@@ -21,4 +21,4 @@ def test_matches_sql(spark, name):
 
 
 def test_sql_names():
-    assert set(Q.oracle_sql()) <= set(Q.queries()) and len(Q.queries()) == 11
+    assert set(Q.oracle_sql()) <= set(Q.queries()) and len(Q.queries()) == 14

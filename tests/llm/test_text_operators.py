@@ -672,3 +672,130 @@ def test_toxicity_weights_are_the_minimum_of_the_penalised_loss():
     loose, _ = toxicity._train([np.flatnonzero(r).astype("<i4") for r in x], [r[r > 0] for r in x], y, [(i, v) for i, v in enumerate(d)], 12,
                                toxicity.ToxicParams(ridge=1e-2, rounds=400, swap_penalty=0.0))
     assert np.abs(d @ w).mean() < 0.7 * np.abs(d @ loose).mean()
+
+
+def test_language_model_by_brute_force(spark):
+    """Counts, estimates, held-out cells, weights and both scores from the definition, token by token."""
+    rng = np.random.default_rng(9)
+    vocab = [f"w{i}" for i in range(40)]
+    texts = [" ".join(rng.choice(vocab, int(rng.integers(0, 60)), p=np.arange(40, 0, -1) / 820)) for _ in range(150)]
+    texts += [texts[3], texts[4], None, "Unseen words HERE"]
+    held = [i % 7 == 2 for i in range(len(texts) - 1)] + [True]
+    df = spark.createDataFrame(list(zip(range(len(texts)), texts, held)), "doc_id long, text string, held boolean")
+    p = lm.LmParams(lot_tokens=300)
+    got = sorted(lm.score(df, "held", p, parts_log2=2).collect(), key=lambda r: r["doc_id"])
+    toks = [[*(t or "").lower().split(), None] for t in texts]
+    word, pair, context = {}, {}, {}
+    for t, h in zip(toks, held):
+        for a, b in zip(["<start>", *t[:-1]], t) if not h else ():
+            word[b] = word.get(b, 0) + 1
+            pair[a, b] = pair.get((a, b), 0) + 1
+            context[a] = context.get(a, 0) + 1
+    n, v = sum(word.values()), len(word)
+
+    def estimates(a, b, less):
+        ctx = context.get(a, 0) - less
+        return ctx, (pair.get((a, b), 0) - less) / ctx if ctx > 0 else 0.0, (word.get(b, 0) - less) / (n - less)
+
+    cells = {}
+    for t, h in zip(toks, held):
+        for a, b in zip(["<start>", *t[:-1]], t) if not h else ():
+            ctx, p2, p1 = estimates(a, b, 1)
+            place = lambda x: int(np.clip(np.log2(x * (v + 1)) + p.grid // 4, 1, p.grid - 1)) if x > 0 else 0
+            key = (int(np.log2(ctx + 1)), place(p1), place(p2))
+            m, s1, s2 = cells.get(key, (0, 0.0, 0.0))
+            cells[key] = m + 1, s1 + p1, s2 + p2
+    w = lm.mixture({k: (float(m), 1 / (v + 1), s1 / m, s2 / m) for k, (m, s1, s2) in cells.items()}, p.buckets, p.em_rounds)
+
+    def score(t, less):
+        total = 0.0
+        for a, b in zip(["<start>", *t[:-1]], t):
+            ctx, p2, p1 = estimates(a, b, less)
+            q = w[int(np.log2(ctx + 1))]
+            total += np.log10(q[0] / (v + 1) + q[1] * p1 + q[2] * p2) if ctx > 0 else np.log10((q[0] / (v + 1) + q[1] * p1) / (q[0] + q[1]))
+        return total
+
+    for r, t, h in zip(got, toks, held, strict=True):
+        assert r["score"] == pytest.approx(score(t, 0), rel=1e-9)
+        assert r["deleted_score"] == pytest.approx(score(t, 0 if h else 1), rel=1e-9)
+
+
+def test_mixture_is_the_maximum_by_expectation_maximisation():
+    """The weights of a bucket raise the held-out likelihood as far as a fine search over the simplex does."""
+    rng = np.random.default_rng(2)
+    cells = {(0, i, 0): (float(rng.integers(1, 50)), 1e-3, float(rng.random() * 0.01), float(rng.random() ** 3)) for i in range(30)}
+    w = lm.mixture(cells, 1, 4000)[0]
+    own = np.array(list(cells.values()))
+    value = lambda q: (own[:, 0] * np.log(own[:, 1:] @ q)).sum()
+    grid = [np.array([a, b, 1 - a - b]) for a in np.linspace(1e-6, 1, 101) for b in np.linspace(0, 1 - a, 101) if 1 - a - b >= 0]
+    assert value(w) >= max(map(value, grid)) - 1e-3
+
+
+def test_texts_that_occur_twice_stand_apart(spark):
+    """With its own tokens left out, a training text that the corpus holds once more is far likelier than others."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{int(x)}" for x in rng.zipf(1.3, 80) % 5000) for _ in range(300)]
+    texts += texts[:30]
+    df = spark.createDataFrame([(i, t, False) for i, t in enumerate(texts)], "doc_id long, text string, held boolean")
+    r = lm.score(df, "held").toPandas().set_index("doc_id").sort_index()
+    per = r.deleted_score / r.n_tokens
+    assert per.iloc[:30].quantile(0.1) > per.iloc[30:300].quantile(0.9) and r.deleted_score.sum() < r.score.sum()
+    plain = r.score / r.n_tokens
+    assert plain.iloc[:30].median() < plain.iloc[30:300].quantile(0.9)      # the model's own score does not say so
+
+
+def test_language_id_by_brute_force():
+    """Counts of n-grams, TF-IDF, cosine and rejection of a small model, term by term."""
+    rng = np.random.default_rng(1)
+    p = langid.LangParams(dims_log2=8)
+    shift = 64 - p.dims_log2
+
+    def counts(s):
+        out = np.zeros(1 << p.dims_log2)
+        code = [ord(c) + 1 for c in f" {s} "]
+        for i in range(len(code)):
+            key = 0
+            for k, m in enumerate(langid._MIX):
+                if i + k < len(code):
+                    key = (key ^ code[i + k]) * int(m) % (1 << 64)
+                    out[key >> shift] += 1
+        return out
+
+    for s in ("a", "the cat sat", "éèß straße", "中文 字"):
+        assert langid.ngram_counts(s, p.dims_log2).tolist() == counts(s).tolist()
+    idf = rng.random(256).astype(np.float32) + 0.1
+    cents = rng.random((5, 256)).astype(np.float32)
+    cents /= np.linalg.norm(cents, axis=1, keepdims=True)
+    model = langid.LangModel(p, ["aa", "bb", "cc"], idf, cents, np.array([0, 0, 1, 2, 2]), np.full(40, 0.55))
+    texts = ["the cat sat on the mat", "Ünïcode 12 words!", "zzz zzz", "一二三 abc", "x"]
+    lang, score, rejected = model.predict(texts)
+    for t, la, sc, rej in zip(texts, lang, score, rejected):
+        x = np.log1p(counts(langid.letters(t))) * idf
+        cos = cents @ (x / np.linalg.norm(x))
+        assert la == model.langs[model.owner[cos.argmax()]] and sc == pytest.approx(cos.max(), abs=1e-5) and rej == (cos.max() < 0.55)
+
+
+def test_stages_with_no_rows_and_with_clashing_names(spark):
+    """Each pipeline stage on an empty table, and on columns named like its own."""
+    import corpus_pipeline as cp
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for name, stage in cp.STAGES:
+        assert stage(spark, docs.limit(0), sf).count() == 0, name
+    odd = docs.limit(60)
+    for c in ("row", "gone", "rejected", "lang_pred", "similarity", "toxicity", "__row", "__gone", "text_", "html", "key", "digest", "fp"):
+        odd = odd.withColumn(c, pa_lit("x"))
+    odd = odd.cache()
+    for name, stage in cp.STAGES[:-1]:
+        out = stage(spark, odd, sf)
+        assert out.columns == odd.columns and out.where("row = 'x' and gone = 'x' and toxicity = 'x'").count() == out.count() > 0, name
+    assert cp.STAGES[-1][1](spark, odd, sf).count() >= 60
+    odd.unpersist()
+
+
+def test_token_counts_of_repeated_rows_and_long_words(spark):
+    vocab = token_count.Vocabulary((("▁a", -1.0), ("a", -1.5), ("▁", -2.0)))
+    rows = [(1, "aa"), (1, "aa"), (None, "aa"), (2, "a" * 5000)]
+    df = spark.createDataFrame([(i, t, 7) for i, t in rows], "doc_id long, text string, n_tokens int")
+    got = sorted((r["n_tokens"], r["doc_id"]) for r in token_count.count_tokens(df, vocab).where("doc_id is not null").collect())
+    assert got == [(2, 1), (2, 1), (5000, 2)] and token_count.count_tokens(df, vocab).count() == 4
