@@ -10,6 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from facsimile.functions.names import free_name
 from facsimile.llm import decontam, langid, packing, simhash, toxicity
 from facsimile.llm.common import is_fold, written
 from facsimile.llm.queries import CAPACITY, WINDOW, WORD_BPE
@@ -18,8 +19,9 @@ from facsimile.llm.queries import CAPACITY, WINDOW, WORD_BPE
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the language model accepts; learned outside the fold crc32 mod 4 = 2."""
     model = langid.fit(docs.where(~is_fold(F.col("doc_id"), 4, 2)))
-    got = langid.predict(docs, model, names=("__lang", "__similarity", "__rejected"))
-    return got.where(~F.col("__rejected")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    _, _, rejected = own = tuple(free_name(n, docs.columns) for n in ("lang_pred", "similarity", "rejected"))
+    got = langid.predict(docs, model, names=own)
+    return got.where(~F.col(rejected)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,8 +29,9 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     trained = ~is_fold(F.col("doc_id"), 5, 0)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic").where(trained)
     model = toxicity.fit(docs.where(trained), labels)
-    got = toxicity.predict(docs, model, name="__toxicity")
-    return got.where(F.col("__toxicity") < 0.5).select(*[F.col(f"`{c}`") for c in docs.columns])
+    score = free_name("toxicity", docs.columns)
+    got = toxicity.predict(docs, model, name=score)
+    return got.where(F.col(score) < 0.5).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,11 +41,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     apart.  A null id comes after all others; of rows with one id the one with the
     smallest hash of its text stays.
     """
-    docs = written(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("hash"), "__row")
+    row = free_name("row", docs.columns)
+    docs = written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("hash"), F.col(row).alias("row"))
     got = simhash.near_duplicates(docs.select(key.alias("key"), "text"), id_col="key", words=3, max_bits=2)
-    gone = written(got.where("key.__row <> component_id.__row").select(F.col("key.__row").alias("__gone")), "gone")
-    return docs.join(gone, F.col("__row") == F.col("__gone"), "left_anti").drop("__row")
+    gone = written(got.where("key.row <> component_id.row").select(F.col("key.row").alias("gone")), "gone")
+    return docs.join(gone, docs[row] == gone["gone"], "left_anti").drop(row)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,8 +54,9 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     digest = F.unhex(F.md5("text"))
     got = decontam.contamination(docs.select(digest.alias("digest"), "text"), bench, WINDOW, id_col="digest")
-    gone = written(got.where("contaminated").select(F.col("digest").alias("__gone")).distinct(), "gone")
-    return docs.join(gone, digest == F.col("__gone"), "left_anti")
+    mark = free_name("gone", docs.columns)
+    gone = written(got.where("contaminated").select(F.col("digest").alias(mark)).distinct(), "gone")
+    return docs.join(gone, digest == F.col(mark), "left_anti")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
