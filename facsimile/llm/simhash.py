@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from facsimile.llm.common import arrow_limits, out_batch, written
+from facsimile.llm.common import arrow_limits, hot_join, out_batch, written
 from facsimile.llm.components import connected_components
 
 SEED = 42
@@ -101,12 +101,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     smallest unless its class has no other; repeated ids are one row each.
     """
     fp = written(fingerprints(docs, id_col, text_col, words), "simhash")
-    classes = written(fp.groupBy("fp").agg(F.min("id").alias("least")), "simhash_classes")
+    classes = written(fp.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")), "simhash_classes")
     comp = connected_components(fingerprint_links(classes.select("fp"), max_bits))
     member = classes.join(comp, classes.fp == comp.node, "left").select(
-        "fp", "least", F.coalesce("component", "fp").alias("component"))
+        "fp", "least", "n", F.coalesce("component", "fp").alias("component"))
     reach = member.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = written(member.join(reach, "component").select("fp", "component_id"), "simhash_named")
-    return (fp.join(named, "fp")
+    named = written(member.join(reach, "component").select("fp", "n", "component_id"), "simhash_named")
+    return (hot_join(fp, named, ["fp"], "n")      # a third of all texts may have one fingerprint
             .select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
                     "component_id"))
