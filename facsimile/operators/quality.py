@@ -358,10 +358,11 @@ def profile_document(df: DataFrame, name: str = "table") -> DataFrame:
     return one.select("name", F.to_json(F.struct(F.col("name").alias("table"), "columns"), {"ignoreNullFields": "false"}).alias("document"))
 
 
-def quality_report(original: DataFrame, synthetic: DataFrame, method: str = "independent") -> DataFrame:
+def quality_report(original: DataFrame, synthetic: DataFrame, method: str = "independent",
+                   privacy_level: str | None = None) -> DataFrame:
     """H16 as one long table (section, column, metric, value, note); the HTML is not rebuilt.
 
-    Sections: structure with the method used, preservation with the overall quality and
+    Sections: structure with the method used (and the label of ``privacy_level`` if given), preservation with the overall quality and
     the correlation preservation, percent differences of every shared numeric column, similarity with
     the bands of its scores, and the explained variance of two principal components.
     A section that the tables do not allow says why in its ``status`` row.  The
@@ -376,6 +377,8 @@ def quality_report(original: DataFrame, synthetic: DataFrame, method: str = "ind
             ("structure", None, "synthetic_columns", float(len(synthetic.columns)), None),
             ("structure", None, "size_ratio", (ns / no) if no > 0 else 0.0, None),
             ("structure", None, "all_columns_kept", float(len(original.columns) == len(synthetic.columns)), None)]
+    if privacy_level is not None:
+        rows.append(("structure", None, "privacy", None, PRIVACY_LABELS.get(privacy_level, PRIVACY_DEFAULT)))
     per = _preservation_rows(st, cols)
     for c, _, mp, sp in per:
         rows += [("preservation", c, "mean_preservation", mp, None), ("preservation", c, "std_preservation", sp, None)]

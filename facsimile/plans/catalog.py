@@ -1036,7 +1036,7 @@ def q_xlsx_scan(spark, sf_dir):
     stamp = F.timestamp_add("DAY", F.col("p_size"), F.lit("2020-01-01 06:00:00").cast("timestamp_ntz"))
     p = load(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_size", "p_retailprice",
                                            F.when(F.col("p_size") % 5 != 0, stamp).alias("stamp"))
-    return r6(io.workbook_table(io.workbooks(p, 500)).drop("source_file"))
+    return r6(io.workbook_table(io.workbooks(p, 500)).drop("source_file").withColumn("p_size", F.col("p_size").cast("int")))
 
 
 @query("registry_snapshot", "SELECT o_orderstatus, count(*) AS rows, true AS reused FROM orders GROUP BY 1")

@@ -99,4 +99,4 @@ def run_generation(spark, input_path: str, output_dir: str | None = None, config
             io.write_json(fake, f"{output_dir}/synthetic_json")
         # read back what was written so the report scores the delivered table
         fake = io.read_csv(spark, f"{output_dir}/synthetic_csv") if "csv" in formats else fake
-    return fake, method, quality_report(data, fake, method)
+    return fake, method, quality_report(data, fake, method, (config or SynthConfig()).privacy_level)
