@@ -348,28 +348,33 @@ def to_long(one_row: DataFrame, names: list[str], aliases: list[str], key: str =
     return one_row.select(F.inline(arr))
 
 
-def describe(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """count, mean, std (n-1), min, 25/50/75 %, max per numeric column, exact.
+def described(df: DataFrame, columns: list[str]) -> list[tuple]:
+    """[(column, count, mean, std, min, p25, p50, p75, max)] of number columns, exact.
 
     The numeric projection is read once (kept when small enough) and shared by the
-    moment aggregate and the quantile passes.
+    moment aggregate, the exact sums and the quantile passes.
     """
     types = dict((f.name, f.dataType) for f in df.schema.fields)
-    cols = columns or [f.name for f in df.schema.fields if kind_of(f.dataType) == "numeric"]
-    proj = df.select(*[num(c, types[c]).alias(f"c{i}") for i, c in enumerate(cols)])
+    proj = df.select(*[num(c, types[c]).alias(f"c{i}") for i, c in enumerate(columns)])
+    inner = [f"c{i}" for i in range(len(columns))]
     with reused(proj) as d:
-        stats = d.agg(*[e for i in range(len(cols)) for e in (
+        stats = d.agg(*[e for i in range(len(columns)) for e in (
             F.count(f"c{i}").alias(f"n{i}"), F.stddev_samp(f"c{i}").alias(f"std{i}"), F.min(f"c{i}").alias(f"min{i}"),
             F.max(f"c{i}").alias(f"max{i}"))]).first()
-        means = exact_means(d, [f"c{i}" for i in range(len(cols))])
-        sk = d.agg(*[F.approx_count_distinct(f"c{i}").alias(f"ad{i}") for i in range(len(cols))]).first()
-        known = {i: (stats[f"n{i}"], stats[f"min{i}"], stats[f"max{i}"], sk[f"ad{i}"]) for i in range(len(cols))}
-        q = _exact_quantiles(d, cols, [0.25, 0.5, 0.75], QUANTILE_GROUP_LIMIT, 10000, 8, known)
-    rows = [(c, int(stats[f"n{i}"]), means[None, f"c{i}"], stats[f"std{i}"], stats[f"min{i}"],
-             q[(c, 0.25)], q[(c, 0.5)], q[(c, 0.75)], stats[f"max{i}"]) for i, c in enumerate(cols)]
+        means = exact_means(d, inner)
+        sk = d.agg(*[F.approx_count_distinct(f"c{i}").alias(f"ad{i}") for i in range(len(columns))]).first()
+        known = {i: (stats[f"n{i}"], stats[f"min{i}"], stats[f"max{i}"], sk[f"ad{i}"]) for i in range(len(columns))}
+        q = _exact_quantiles(d, columns, [0.25, 0.5, 0.75], QUANTILE_GROUP_LIMIT, 10000, 8, known)
+    return [(c, int(stats[f"n{i}"]), means[None, f"c{i}"], stats[f"std{i}"], stats[f"min{i}"],
+             q[(c, 0.25)], q[(c, 0.5)], q[(c, 0.75)], stats[f"max{i}"]) for i, c in enumerate(columns)]
+
+
+def describe(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """count, mean, std (n-1), min, 25/50/75 %, max per numeric column, exact."""
+    cols = columns or [f.name for f in df.schema.fields if kind_of(f.dataType) == "numeric"]
     schema = ("column string, count bigint, mean double, std double, min double, p25 double, "
               "p50 double, p75 double, max double")
-    return df.sparkSession.createDataFrame(rows, schema)
+    return df.sparkSession.createDataFrame(described(df, cols) if cols else [], schema)
 
 
 def missing_by_column(df: DataFrame) -> DataFrame:

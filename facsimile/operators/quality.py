@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from facsimile.functions.names import named
 from facsimile.functions.exact import exact_means
 from facsimile.operators.clean import numeric_matrix
-from facsimile.operators.profile import correlation_values, exact_quantiles, hist_bin, missing, num
+from facsimile.operators.profile import correlation_values, described, hist_bin, missing, num
 from facsimile.session import reused
 from facsimile.schema import (EPS, HIST_BINS, SCORE_GOOD, SCORE_MEDIUM, SHAPE_DEFAULT, SIZE_LARGE,
                               SIZE_MEDIUM, PRIVACY_DEFAULT, PRIVACY_LABELS, common_numeric_columns,
@@ -293,28 +293,12 @@ def size_ratio(original: DataFrame, synthetic: DataFrame) -> DataFrame:
 
 
 def profile_side(df: DataFrame, side: str) -> DataFrame:
-    """H13 for one side: (side, column, dtype, missing, count, mean, std, min, p25, p50, p75, max)."""
+    """H13 for one side: (side, position, column, dtype, missing, count, mean, std, min, p25, p50, p75, max)."""
     fields = df.schema.fields
     numeric = [f.name for f in fields if kind_of(f.dataType) == "numeric"]
-    types = dict((f.name, f.dataType) for f in fields)
-    values = df.select(*[num(c, types[c]).alias(f"x{j}") for j, c in enumerate(numeric)])
-    means = exact_means(values, values.columns) if numeric else {}
-    agg = df.agg(*[F.count_if(missing(f.name, f.dataType)).alias(f"m{i}") for i, f in enumerate(fields)],
-                 *[e for j, c in enumerate(numeric) for e in (
-                     F.count(num(c, types[c])).alias(f"n{j}"),
-                     F.stddev_samp(num(c, types[c])).alias(f"s{j}"), F.min(num(c, types[c])).alias(f"lo{j}"),
-                     F.max(num(c, types[c])).alias(f"hi{j}"))]).first()
-    q = exact_quantiles(df, numeric, [0.25, 0.5, 0.75]) if numeric else {}
-    rows = []
-    for i, f in enumerate(fields):
-        c = f.name
-        if c in numeric:
-            j = numeric.index(c)
-            rows.append((side, i, c, f.dataType.simpleString(), int(agg[f"m{i}"]), int(agg[f"n{j}"]), means[None, f"x{j}"],
-                         agg[f"s{j}"], agg[f"lo{j}"], q[(c, 0.25)], q[(c, 0.5)], q[(c, 0.75)], agg[f"hi{j}"]))
-        else:
-            rows.append((side, i, c, f.dataType.simpleString(), int(agg[f"m{i}"]), None, None, None, None,
-                         None, None, None, None))
+    absent = df.agg(*[F.count_if(missing(f.name, f.dataType)).alias(f"m{i}") for i, f in enumerate(fields)]).first()
+    stats = {r[0]: r[1:] for r in described(df, numeric)} if numeric else {}
+    rows = [(side, i, f.name, f.dataType.simpleString(), int(absent[f"m{i}"]), *stats.get(f.name, [None] * 8)) for i, f in enumerate(fields)]
     return df.sparkSession.createDataFrame(rows, (
         "side string, position int, column string, dtype string, missing bigint, count bigint, mean double, "
         "std double, min double, p25 double, p50 double, p75 double, max double"))
@@ -365,18 +349,31 @@ def quality_report(original: DataFrame, synthetic: DataFrame, method: str = "ind
     Sections: structure with the method used (and the label of ``privacy_level`` if given), preservation with the overall quality and
     the correlation preservation, percent differences of every shared numeric column, similarity with
     the bands of its scores, and the explained variance of two principal components.
-    A section that the tables do not allow says why in its ``status`` row.  The
-    statistics of a side are computed once and shared by the sections.
+    A section that the tables do not allow says why in its ``status`` row.  The shared
+    number columns of a side are read once (kept when small enough) for all sections.
     """
     cols = common_numeric_columns(original, synthetic)
+    shape = len(original.columns), len(synthetic.columns)
+    narrow = [t.select(*[named(c) for c in cols]) for t in (original, synthetic)]
+    if not cols:
+        return original.sparkSession.createDataFrame(_report_rows(*narrow, cols, shape, method, privacy_level), _REPORT)
+    with reused(narrow[0]) as o, reused(narrow[1]) as s:
+        return original.sparkSession.createDataFrame(_report_rows(o, s, cols, shape, method, privacy_level), _REPORT)
+
+
+_REPORT = "section string, column string, metric string, value double, note string"
+
+
+def _report_rows(original: DataFrame, synthetic: DataFrame, cols: list[str], shape: tuple[int, int], method: str,
+                 privacy_level: str | None) -> list[tuple]:
     st = side_stats(original, synthetic, cols)
     no, ns = st["rows"]
     rows = [("structure", None, "method", None, method),
             ("structure", None, "original_rows", float(no), None), ("structure", None, "synthetic_rows", float(ns), None),
-            ("structure", None, "original_columns", float(len(original.columns)), None),
-            ("structure", None, "synthetic_columns", float(len(synthetic.columns)), None),
+            ("structure", None, "original_columns", float(shape[0]), None),
+            ("structure", None, "synthetic_columns", float(shape[1]), None),
             ("structure", None, "size_ratio", (ns / no) if no > 0 else 0.0, None),
-            ("structure", None, "all_columns_kept", float(len(original.columns) == len(synthetic.columns)), None)]
+            ("structure", None, "all_columns_kept", float(shape[0] == shape[1]), None)]
     if privacy_level is not None:
         rows.append(("structure", None, "privacy", None, PRIVACY_LABELS.get(privacy_level, PRIVACY_DEFAULT)))
     per = _preservation_rows(st, cols)
@@ -408,4 +405,4 @@ def quality_report(original: DataFrame, synthetic: DataFrame, method: str = "ind
             rows.append(("components", None, f"explained_variance_{r['component']}", r["explained_variance_ratio"], None))
     else:
         rows.append(("components", None, "status", None, "components need two shared numeric columns and two rows"))
-    return original.sparkSession.createDataFrame(rows, "section string, column string, metric string, value double, note string")
+    return rows
