@@ -1184,6 +1184,101 @@ def q_scalar_date(spark, sf_dir):
                     F.year("o_orderdate").alias("y"), F.month("o_orderdate").alias("m"))
 
 
+# ============================================================ readers, names, constants and failures by their rows
+
+@query("load_dispatch", " UNION ALL ".join(
+    f"SELECT '{kind}' AS kind, count(*) AS rows, sum(o_orderkey)::BIGINT AS keys, count(DISTINCT o_orderpriority) AS priorities FROM orders"
+    for kind in ("csv", "json", "parquet")))
+def q_load_dispatch(spark, sf_dir):
+    """One table by its file's extension, whatever its case."""
+    from facsimile.session import scratch_path
+    from facsimile.sources import io
+    o = load(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
+    out = None
+    for kind, ending in (("csv", ".csv"), ("json", ".JSON"), ("parquet", ".Parquet")):
+        path = scratch_path(spark, "dispatch") + ending
+        {"csv": io.write_csv, "json": io.write_json, "parquet": lambda d, p: d.write.parquet(p)}[kind](o, path)
+        t = io.load_table(spark, path).agg(F.lit(kind).alias("kind"), F.count(F.lit(1)).alias("rows"), F.sum("o_orderkey").alias("keys"),
+                                           F.count_distinct("o_orderpriority").alias("priorities"))
+        out = t if out is None else out.unionByName(t)
+    return out
+
+
+@query("select_strict", "SELECT o_totalprice, o_orderkey, o_orderstatus AS \"order.status\" FROM orders")
+def q_select_strict(spark, sf_dir):
+    from facsimile.plans.generate import select_strict
+    o = load(spark, sf_dir, "orders").withColumnRenamed("o_orderstatus", "order.status")
+    return select_strict(o, ["o_totalprice", "o_orderkey", "order.status"])
+
+
+@query("clean_names", "SELECT o_orderkey AS \"key\", o_custkey AS \"key.1\", o_orderstatus AS \"order.status\", "
+                      "CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_custkey END AS \"Unnamed: 3\" FROM orders")
+def q_clean_names(spark, sf_dir):
+    """Padded, repeated, dotted and missing header names."""
+    from facsimile.session import scratch_path
+    from facsimile.sources import io
+    path = scratch_path(spark, "names")
+    o = load(spark, sf_dir, "orders")
+    lines = o.select(F.concat_ws(",", "o_orderkey", "o_custkey", "o_orderstatus", F.when(F.col("o_orderkey") % 3 == 0, "").otherwise(F.col("o_custkey").cast("string"))).alias("value"))
+    # every part file begins with the header, as files of one layout do
+    headed = lines.withColumn("part", F.spark_partition_id())
+    head = headed.select("part").distinct().select("part", F.lit(0).alias("at"), F.lit(" key ,key,\torder.status, ").alias("value"))
+    (head.unionByName(headed.select("part", F.lit(1).alias("at"), "value")).repartition("part").sortWithinPartitions("part", "at")
+     .select("part", "value").write.partitionBy("part").text(path))
+    files = io._listed(spark, [r[0] for r in spark.read.text(path).select(F.regexp_extract("_metadata.file_path", "^(.*)/[^/]*$", 1)).distinct().collect()])[0]
+    data, _ = io.read_csv_files(spark, files)
+    return data.drop("dataset")
+
+
+@query("constant_columns",
+       f"SELECT i.id AS id, 7.5::DOUBLE AS one, NULL::DOUBLE AS none, '' AS empty, 'same' AS word FROM {ORD_IDS} i")
+def q_constant_columns(spark, sf_dir):
+    """A constant number repeats, no numbers stay none, no texts become empty ones, one text repeats."""
+    o = load(spark, sf_dir, "orders").select(F.lit(7.5).alias("one"), F.lit(None).cast("double").alias("none"),
+                                             F.lit(None).cast("string").alias("empty"), F.lit("same").alias("word"))
+    return synth.synthesize_independent(o, SynthConfig(method="independent", keep_id=True))
+
+
+@query("short_year_format",
+       "SELECT o_orderkey, CAST(round_even(year, 0) AS BIGINT) AS year, round_even(price_date, 2) AS price_date, "
+       "CAST(round_even(y, 0) AS BIGINT) AS y FROM (SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, "
+       "CAST(year(o_orderdate) AS DOUBLE) + 0.25 AS year, o_totalprice AS price_date, CAST(year(o_orderdate) AS DOUBLE) AS y FROM orders)")
+def q_short_year_format(spark, sf_dir):
+    """The display's short rule: by the names year and yr, or by values; 'date' in a name says nothing there."""
+    y = F.year("o_orderdate").cast("double")
+    o = load(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("o_orderkey"), (y + 0.25).alias("year"),
+                                             F.col("o_totalprice").alias("price_date"), y.alias("y"))
+    return formatting.format_types(o, rule="short")
+
+
+@query("batch_failures",
+       "SELECT 'good' AS file, count(*) AS original_rows, count(*) AS synthetic_rows, 'Success' AS status FROM orders WHERE o_orderpriority IN ('1-URGENT', '3-MEDIUM') UNION ALL "
+       "SELECT 'bad', count(*), 0, 'Error: ' || count(*) FILTER (o_orderstatus = 'F') || ' malformed rows' FROM orders WHERE o_orderpriority = '2-HIGH' UNION ALL "
+       "SELECT 'header', 0, 0, 'Error: no rows' UNION ALL SELECT 'gone', 0, 0, 'Error: no such file'")
+def q_batch_failures(spark, sf_dir):
+    """A batch of good files of two layouts, one with malformed rows, one with a header alone and one that is not there."""
+    from facsimile.plans.batch import run_batch
+    from facsimile.session import scratch_path
+    from facsimile.sources import io
+    o = load(spark, sf_dir, "orders")
+    root = scratch_path(spark, "failures")
+    pick = lambda name: o.where(F.col("o_orderpriority") == name).coalesce(1)
+    io.write_csv(pick("1-URGENT").select("o_totalprice", "o_custkey"), f"{root}/a")
+    io.write_csv(pick("3-MEDIUM").select("o_custkey", "o_totalprice", "o_orderstatus"), f"{root}/b")
+    # rows of finished orders hold one field too many
+    line = F.concat_ws(",", F.col("o_totalprice").cast("string"), F.col("o_custkey").cast("string"), F.when(F.col("o_orderstatus") == "F", "x"))
+    bad = pick("2-HIGH").select(F.lit(1).alias("at"), line.alias("value"))
+    head = spark.range(1).select(F.lit(0).alias("at"), F.lit("o_totalprice,o_custkey").alias("value"))
+    head.unionByName(bad).repartition(1).sortWithinPartitions("at").select("value").write.text(f"{root}/c")
+    io.write_csv(o.limit(0).select("o_totalprice", "o_custkey").coalesce(1), f"{root}/d")
+    status = run_batch(spark, [f"{root}/{x}" for x in "abcd"] + [f"{root}/gone.csv"], f"{root}/out", SynthConfig(method="copula"))
+    names = {f.rsplit("/", 1)[-1]: kind for x, kind in (("a", "good"), ("b", "good"), ("c", "bad"), ("d", "header"))
+             for f in io._listed(spark, [f"{root}/{x}"])[0]} | {"gone.csv": "gone"}
+    kind = F.create_map(*[F.lit(v) for n, k in names.items() for v in (n.replace(".csv", "_synthetic.csv"), k)])[F.col("dataset")]
+    return status.groupBy(kind.alias("file"), "status").agg(F.sum("original_rows").alias("original_rows"),
+                                                            F.sum("synthetic_rows").alias("synthetic_rows"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
