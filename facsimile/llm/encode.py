@@ -135,7 +135,10 @@ class WordEncoder:
         pool = _gather(pool, first[piece].ravel(), size[piece].ravel())    # of distinct words now
         size = size[piece].sum(1)
         n = size[each]
-        return _gather(pool, (np.cumsum(size) - size)[each], n), np.concatenate([[0], np.cumsum(n)])[limits]
+        out = _gather(pool, (np.cumsum(size) - size)[each], n), np.concatenate([[0], np.cumsum(n)])[limits]
+        del words, coded, distinct, each, plain, core, tail, both
+        pa.default_memory_pool().release_unused()       # a worker that waits keeps little
+        return out
 
     def check(self, text: str) -> bool:
         plain = self.tokenizer.encode(text, add_special_tokens=False).ids
