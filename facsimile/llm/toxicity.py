@@ -19,7 +19,7 @@ from facsimile.functions.names import free_name
 from facsimile.llm.common import arrow_limits, slices, written
 
 BUCKETS = 1 << 18       # of character n-grams; words and their beginnings keep a 63-bit hash
-PAIRS = 2_000_000       # (feature, counts) rows a task holds before it sums them up
+PAIRS = 1_000_000       # (feature, counts) rows a task holds before it sums them up
 #: First and last code points of scripts without spaces.
 UNSPACED = ((0xE00, 0xEFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x2E80, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF))
 
@@ -350,8 +350,9 @@ def predict(docs: DataFrame, model: ToxicModel, text_col: str = "text", name: st
     keep = docs.select(*[F.col(f"`{f.name}`") for f in rest], F.col(f"`{text_col}`").cast("string").alias(free_name("text", docs.columns)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 500):
             score = shared.value.scores(b.column(b.num_columns - 1))
+            pa.default_memory_pool().release_unused()       # a worker that waits keeps little
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(score, pa.float64())],
                                              names=[*(f.name for f in rest), name])
 
