@@ -799,3 +799,34 @@ def test_token_counts_of_repeated_rows_and_long_words(spark):
     df = spark.createDataFrame([(i, t, 7) for i, t in rows], "doc_id long, text string, n_tokens int")
     got = sorted((r["n_tokens"], r["doc_id"]) for r in token_count.count_tokens(df, vocab).where("doc_id is not null").collect())
     assert got == [(2, 1), (2, 1), (5000, 2)] and token_count.count_tokens(df, vocab).count() == 4
+
+
+def test_words_and_pairs_are_numbered():
+    """The keys of words and pairs by brute force: equal ones alone share a place, and a key is the same in any lot."""
+    rng = np.random.default_rng(5)
+    alphabet = np.frombuffer(b" \t\n\x0b\x0c\r\x1c\x1f\x00AaZz\xc3\xa9\xed\xa0\x85", np.uint8)
+    keys = {}
+    for k in range(60):
+        texts = [rng.choice(alphabet, int(n)).tobytes() for n in rng.choice([0, 3, 40, 400], 4)]
+        texts += [b"", b"x" * 63 + b" " + b"x" * 64 + b" " + b"x" * 65 + b" " + b"X" * 500]
+        lengths, distinct, at = lm._numbered(texts)
+        tokens = [[*t.lower().split(), None] for t in texts]
+        grams = [w for t in tokens for w in t] + [g for t in tokens for g in zip(["<start>", *t], t)]
+        assert lengths.tolist() == [len(t) for t in tokens] and (distinct[1:] > distinct[:-1]).all()
+        assert set(at.tolist()) == set(range(len(distinct))) and len(set(grams)) == len(distinct)
+        assert all(keys.setdefault(g, key) == key for g, key in zip(grams, distinct[at].tolist(), strict=True))
+    assert len(set(keys.values())) == len(keys)
+
+
+def test_language_model_cuts_texts_twice(spark):
+    """The scores come from the counts written with the held-out cells: no third cut of the texts, no second shuffle of them."""
+    rows = [(2 ** 53 + 1, "the cat sat", False), (None, "the dog sat", True), (5, " ".join(f"w{i % 91}" for i in range(3000)), False), (6, None, False)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, held boolean")
+    out = lm.score(df, "held", lm.LmParams(piece_tokens=100), parts_log2=1)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "FlatMapGroups" not in plan and plan.count("Scan parquet") == 1
+    got = {r["doc_id"]: r for r in out.collect()}
+    assert {k: r["n_tokens"] for k, r in got.items()} == {2 ** 53 + 1: 4, None: 4, 5: 3001, 6: 1}
+    whole = {r["doc_id"]: r for r in lm.score(df, "held", parts_log2=0).collect()}
+    for k, r in got.items():
+        assert r["score"] == pytest.approx(whole[k]["score"], rel=1e-9) and r["deleted_score"] == pytest.approx(whole[k]["deleted_score"], rel=1e-9)
