@@ -92,6 +92,20 @@ def default_parallelism(spark: SparkSession) -> int:
         return os.cpu_count() or 8
 
 
+def spread(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` dealt to as many tasks as the shuffle parallelism, each with at least ``rows`` rows or so.
+
+    For work that costs far more a row than its bytes say: a scan cuts its files by size,
+    so a small file is one task.  A frame with as many partitions already stays as it is.
+    """
+    target = default_parallelism(df.sparkSession)
+    parts = df.rdd.getNumPartitions()
+    if parts >= target:
+        return df
+    tasks = min(target, -(-df.count() // rows))
+    return df.repartition(tasks) if tasks > parts else df
+
+
 REUSE_MAX_BYTES = 8 << 30   # default for spark.facsimile.reuse.maxBytes
 
 

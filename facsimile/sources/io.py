@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from facsimile.functions.fmt import to_number
 from facsimile.functions.names import free_name, named
-from facsimile.session import written
+from facsimile.session import spread, written
 
 # The text a CSV reader takes as missing (pandas defaults).
 NA_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND",
@@ -393,7 +393,10 @@ def read_excel(spark: SparkSession, paths: str | list[str], header_row: int = 0,
 
 
 def workbook_table(files: DataFrame, header_row: int = 0, infer: bool = True) -> DataFrame:
-    """The rows of workbooks given as (path, content binary); see :func:`read_excel`."""
+    """The rows of workbooks given as (path, content binary); see :func:`read_excel`.
+
+    Every workbook is parsed once: its cells are written, and header, types and rows come from there.
+    """
     schema = pa.schema([("source_file", pa.string()), ("names", pa.list_(pa.string())), ("cells", pa.list_(pa.string()))])
 
     def parse(batches):
@@ -412,7 +415,8 @@ def workbook_table(files: DataFrame, header_row: int = 0, infer: bool = True) ->
                 if held:
                     yield _cells(schema, path, names, held)
 
-    long = files.select("path", "content").mapInArrow(parse, "source_file string, names array<string>, cells array<string>")
+    long = written(files.select("path", "content").mapInArrow(
+        parse, "source_file string, names array<string>, cells array<string>"), "workbook-cells")
     # the files' own headers: as many names as there are columns
     seen = (long.where("cells is null").select("source_file", F.posexplode("names").alias("at", "name"))
             .groupBy("name").agg(F.min(F.struct("source_file", "at")).alias("first")).orderBy("first").select("name").collect())
@@ -480,11 +484,13 @@ SHEET_ROWS = 1_048_575      # fixed value: rows a sheet can hold beside its head
 
 
 def workbooks(df: DataFrame, rows_per_book: int = 100_000) -> DataFrame:
-    """(path, content): the table as .xlsx files of at most so many rows, made where the rows are.
+    """(path, content): the table as .xlsx files of at most so many rows.
 
     A sheet has a row limit and is built in memory, so every task cuts its rows into books.
+    The rows of a few partitions are dealt to more tasks first, as many as there are books at most.
     """
     limit = min(rows_per_book, SHEET_ROWS)
+    df = spread(df, limit)
     names = df.columns
     schema = pa.schema([("path", pa.string()), ("content", pa.binary())])
 

@@ -247,6 +247,25 @@ def test_workbooks(spark, tmp_path):
                    ("c", "2020-01-01 18:00:00", 3.0, None, "one.xlsx"), ("d", "None", 9.0, "x", "two.xlsx")]
 
 
+def test_workbooks_are_built_by_many_tasks_and_parsed_once(spark, tmp_path):
+    df = spark.range(0, 900, 1, 1).select("id", F.concat(F.lit("row "), "id").alias("name"), F.when(F.col("id") % 3 > 0, F.col("id") / 4).alias("part"))
+    books = io.workbooks(df, 100)
+    paths = [r["path"] for r in books.select("path").collect()]
+    assert len({p.split("-")[1] for p in paths}) == 4 and len(set(paths)) == len(paths) == 12
+    assert io.workbooks(df.limit(150), 100).count() == 2 and io.workbooks(df.limit(0), 100).count() == 0
+
+    def seen(batches):
+        for b in batches:
+            for path in b.column(0).to_pylist():
+                with open(tmp_path / path, "a") as f:
+                    f.write("x")
+            yield b
+
+    back = io.workbook_table(books.mapInArrow(seen, books.schema)).drop("source_file")
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
+    assert {f.name: f.read_text() for f in tmp_path.iterdir()} == dict.fromkeys(paths, "x")
+
+
 def test_medians_of_dates_keep_their_type(spark):
     df = spark.sql("""SELECT * FROM VALUES (DATE '2020-01-01', TIMESTAMP '2020-01-01 00:00:00', TIMESTAMP_NTZ '2020-01-01 00:00:00'), (NULL, NULL, NULL),
                       (DATE '2020-01-04', TIMESTAMP '2020-01-01 00:00:01', TIMESTAMP_NTZ '2020-01-03 00:00:00') t(d, t, n)""")
